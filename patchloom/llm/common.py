@@ -23,7 +23,7 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     An expression named inside a lambda is evaluated again for each element; a lambda's own
     variable is not.
     """
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
 
 
 def words(text: Column) -> Column:
@@ -36,6 +36,11 @@ def long_array(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
+def power_of_two(n: Column) -> Column:
+    """The long 1 << n."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), n.cast("int"))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only, unlike lower()."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
