@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, licenses, quality_rules, url_filters
+from . import bpe, fingerprints, licenses, quality_rules, url_filters
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +27,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, URL_RULES, url_filters.domains_with(pages, BLOCK_TERMS))
 
 
-OP2_SQL = f"""
+OP2_SQL = rf"""
 WITH p AS (SELECT page_id,
     translate(coalesce(regexp_extract(url, '(?s)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -41,6 +41,17 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'al
 """
 
 
+def vocabulary_path() -> str:
+    """The word-end BPE file of the installed public tokenizers, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(read(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -55,6 +66,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_url_filters": op2_url_filters,
+    "op3_bpe_encoding": op3_bpe_encoding,
     "op4_license_scans": op4_license_scans,
     "op9_quality_rules": op9_quality_rules,
 }
