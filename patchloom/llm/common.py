@@ -81,15 +81,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def pairs(df: DataFrame) -> DataFrame:
         return df.where("a <> b").distinct()
 
+    def met(rows: DataFrame, least: DataFrame) -> DataFrame:
+        # bitwise not: another key than the aggregate's, so both sides are dealt out for the join alone and a large node's rows may be split
+        least = least.select(F.bitwise_not("a").alias("key"), "m")
+        return rows.withColumn("key", F.bitwise_not("a")).join(least, "key")
+
     current = cut(pairs(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
     seen = None
     while True:
         both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = pairs(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        large = pairs(met(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")))
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a")
+        small = met(down, least)
         current = cut(pairs(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))))
         now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
