@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, licenses, quality_rules, url_filters
+from . import bpe, fingerprints, licenses, mixing, quality_rules, simhash, substrings, url_filters
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +57,15 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality_rules.fit(docs, quality_rules.trusted_ids(read(spark, sf_dir, "labels")))
@@ -63,12 +73,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.passages(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", "n_words", "other_doc_id", "other_start", "n_equal")
+
+
 QUERIES: dict[str, Query] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_url_filters": op2_url_filters,
     "op3_bpe_encoding": op3_bpe_encoding,
     "op4_license_scans": op4_license_scans,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op7_source_mixing": op7_source_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 #: DuckDB SQL for those that SQL can express.
