@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, licenses, mixing, quality_rules, simhash, substrings, url_filters
+from . import bpe, classifier, fingerprints, languages, licenses, mixing, quality_rules, simhash, substrings, url_filters
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,11 +61,21 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return classifier.rate(docs, classifier.fit(docs, classifier.graded(read(spark, sf_dir, "labels"))))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return languages.predict(docs, languages.fit(docs))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality_rules.fit(docs, quality_rules.trusted_ids(read(spark, sf_dir, "labels")))
@@ -84,7 +94,9 @@ QUERIES: dict[str, Query] = {
     "op3_bpe_encoding": op3_bpe_encoding,
     "op4_license_scans": op4_license_scans,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_source_mixing": op7_source_mixing,
+    "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
 }
