@@ -102,8 +102,7 @@ class Skeleton:
             found = self.block(block)
             self.at += 1
             return found
-        found = self.statement(block)
-        return found
+        return self.statement(block)
 
     def block(self, block: str) -> list[Node]:
         found: list[Node] = []
@@ -219,7 +218,7 @@ class Skeleton:
             if t.text == ";" or t.text == "}":
                 break
             if t.text == "\n":
-                last = texts[-1] if texts else ""
+                last = self.tokens[self.at - 1].text if texts else ""
                 ahead = next((x.text for x in self.tokens[self.at :] if x.text != "\n"), "")
                 if self.language in ("go", "javascript", "typescript") and last not in GOES_ON and ahead not in (".", "?", ":", "&&", "||", "+"):
                     break
@@ -229,6 +228,7 @@ class Skeleton:
             ended = self.past()
         semicolon = self.text() == ";" and self.language in ("java", "c", "rust", "php", "javascript", "typescript")
         end = self.tokens[self.at].end if semicolon else ended
+        self.at += semicolon
         return Node(self.kind(word, texts), block, first.start, end)
 
     def kind(self, word: str, texts: list[str]) -> str:
@@ -367,6 +367,8 @@ def _head(tokens: list[Token], brace: int, language: str) -> int | None:
     depth, bracket = 0, None
     while i >= 0:
         text = tokens[i].text
+        if depth == 0 and text in (";", "}"):
+            break
         if text in CLOSE:
             depth += 1
         elif text in OPEN:
@@ -375,8 +377,6 @@ def _head(tokens: list[Token], brace: int, language: str) -> int | None:
                 break
             if depth == 0 and text == "(":
                 bracket = i
-        elif depth == 0 and text in (";", "}", "{"):
-            break
         if depth == 0 and keyword and text == keyword:
             return _with_modifiers(tokens, i) if tokens[i + 1].kind == "name" or language == "go" and tokens[i + 1].text == "(" else None
         if depth == 0 and language in ("javascript", "typescript") and text == "function":
@@ -396,7 +396,7 @@ def _head(tokens: list[Token], brace: int, language: str) -> int | None:
 
 def _with_modifiers(tokens: list[Token], i: int) -> int:
     """Back over modifiers and the return type."""
-    while i > 0 and (tokens[i - 1].kind == "name" and tokens[i - 1].text not in ("return", "else", "new", "default") or tokens[i - 1].text in ("*", "]", "[", ">", "<", "&")):
+    while i > 0 and (tokens[i - 1].kind == "name" and tokens[i - 1].text not in ("return", "else", "new", "default") or tokens[i - 1].text in ("*", "]", "[", ">", "<", "&", "@")):
         i -= 1
     return i
 

@@ -1 +1,131 @@
-"""Placeholder filled below."""
+"""Queries: the pairs and features pipelines over generated code, against rows told by hand from each template."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from patchloom.operators import features as X
+from patchloom.operators import pairs as P
+from patchloom.plans.base import query, read
+
+NL = "' || chr(10) || '"
+K = "' || CAST(o_orderkey AS VARCHAR(20)) || '"
+#: (language, vulnerable, fixed) by o_orderkey % 8; {K} splices the key in.
+TEMPLATES = [
+    ("go", f"a{K} := load(x){NL}if err != nil {{{NL}  return err{NL}}}{NL}db.Query(\"q\" + a{K})", f"a{K} := load(x){NL}if err != nil {{{NL}  return err{NL}}}{NL}db.Query(\"q\", a{K})"),
+    ("py", f"def f(x):{NL}    y = x{K}{NL}    if y:{NL}        os.system(y){NL}    return y", f"def f(x):{NL}    y = x{K}{NL}    if y and x:{NL}        os.system(y){NL}    return y"),
+    ("js", f"let a = 1;{NL}eval(a{K});", f"let a = 1;{NL}eval(a{K});"),
+    ("php", f"try {{ $a = $x; }} catch (E $e) {{ echo $a{K}; }}", f"try {{ $a = $x; }} catch (E $e) {{ echo htmlspecialchars($a{K}); }}"),
+    ("python", f"a = b{K}{NL}c(a)", f"c(a){NL}a = b{K}"),
+    ("java", f"int f() {{ return {K}; }}", "int f() { return 0; }"),
+    ("golang", f"x := {K}{NL}run(x)", None),
+    ("ts", f"while (a) {{ b(a, {K}); break; }}", f"while (a) {{ b(a, {K}); break; }}"),
+]
+CODE = "SELECT o_orderkey AS row_index, CAST(o_orderkey % 8 AS INTEGER) AS template, " + ", ".join(
+    f"CASE o_orderkey % 8 {' '.join(f'WHEN {i} THEN ' + ('NULL' if t[j] is None else repr_) for i, t in enumerate(TEMPLATES) for repr_ in [chr(39) + str(t[j]) + chr(39)])} END AS {name}"
+    for j, name in enumerate(("language", "vulnerable_code", "fixed_code"))
+) + ", 'r' || CAST(o_custkey AS VARCHAR(20)) AS repo, 'f' AS file, 'm' AS method FROM orders"
+
+# (template, origin, seq, parent, type, block, label, flag that is set)
+EXPECTED = [
+    (0, "vulnerable", 1, None, "assign", "function_body", 0, None), (0, "vulnerable", 2, None, "if", "function_body", 0, None), (0, "vulnerable", 3, 2, "return", "if_true_branch", 0, "handler"),
+    (0, "vulnerable", 4, None, "call_expr", "function_body", 1, "db"), (0, "fixed", 1, None, "assign", "function_body", 0, None), (0, "fixed", 2, None, "if", "function_body", 0, None),
+    (0, "fixed", 3, 2, "return", "if_true_branch", 0, "handler"), (0, "fixed", 4, None, "call_expr", "function_body", 0, "db"),
+    (1, "vulnerable", 1, None, "assign", "function_body", 0, None), (1, "vulnerable", 2, None, "if", "function_body", 1, None), (1, "vulnerable", 3, 2, "call_expr", "if_true_branch", 0, "exec"),
+    (1, "vulnerable", 4, None, "return", "function_body", 0, None), (1, "fixed", 1, None, "assign", "function_body", 0, None), (1, "fixed", 2, None, "if", "function_body", 0, None),
+    (1, "fixed", 3, 2, "call_expr", "if_true_branch", 0, "exec"), (1, "fixed", 4, None, "return", "function_body", 0, None),
+    (2, "unchanged", 1, None, "assign", "function_body", 0, None), (2, "unchanged", 2, None, "call_expr", "function_body", 0, "eval"),
+    (3, "vulnerable", 1, None, "try_catch", "function_body", 0, None), (3, "vulnerable", 2, 1, "assign", "try_body", 0, None), (3, "vulnerable", 3, 1, "other", "exception_handler", 1, "handler"),
+    (3, "fixed", 1, None, "try_catch", "function_body", 0, None), (3, "fixed", 2, 1, "assign", "try_body", 0, None), (3, "fixed", 3, 1, "other", "exception_handler", 0, "handler"),
+    (4, "vulnerable", 1, None, "assign", "function_body", 0, None), (4, "vulnerable", 2, None, "call_expr", "function_body", 0, None),
+    (4, "fixed", 1, None, "call_expr", "function_body", 0, None), (4, "fixed", 2, None, "assign", "function_body", 0, None),
+    (6, "vulnerable", 1, None, "assign", "function_body", 1, None), (6, "vulnerable", 2, None, "call_expr", "function_body", 1, None),
+    (7, "unchanged", 1, None, "while", "function_body", 0, None), (7, "unchanged", 2, 1, "call_expr", "loop_body", 0, None), (7, "unchanged", 3, 1, "break", "loop_body", 0, None),
+]
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for v in row) + ")" for row in rows)
+
+
+def code_pairs(spark, sf_dir):
+    read(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return spark.sql(CODE.replace("chr(", "char("))
+
+
+def statement_table(spark, sf_dir):
+    rows = X.features(code_pairs(spark, sf_dir))
+    seq = F.element_at(F.split("statement_id", "#"), -1).cast("int")
+    return rows.withColumns({"row_index": F.element_at(F.split("statement_id", ":"), 4).cast("long"), "seq": seq})
+
+
+E = f"e(template, origin, seq, parent, kind, block, label, flag) AS (VALUES {_values(EXPECTED)}), p AS ({CODE})"
+_J = "FROM p JOIN e ON p.template = e.template"
+
+
+@query(f"WITH {E} SELECT row_index, origin, CAST(seq AS INTEGER) AS seq, kind AS statement_type, block AS parent_block_type, CAST(CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS INTEGER) AS nesting_depth {_J}")
+def statement_tree(spark, sf_dir):
+    return statement_table(spark, sf_dir).select("row_index", "origin", "seq", "statement_type", "parent_block_type", "nesting_depth")
+
+
+@query(f"WITH {E} SELECT row_index, CAST(seq AS INTEGER) AS seq, CAST(label AS INTEGER) AS label {_J} WHERE origin = 'vulnerable'")
+def label_statements(spark, sf_dir):
+    return statement_table(spark, sf_dir).where("origin = 'vulnerable'").select("row_index", "seq", "label")
+
+
+@query(f"WITH {E} SELECT kind AS statement_type, count(*) AS n {_J} GROUP BY 1")
+def statement_type_counts(spark, sf_dir):
+    return statement_table(spark, sf_dir).groupBy("statement_type").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {E} SELECT row_index, origin, CAST(seq AS INTEGER) AS seq, coalesce(flag = 'db', false) AS is_db_query, coalesce(flag = 'exec', false) AS is_process_exec, coalesce(flag = 'eval', false) AS is_dynamic_eval,
+  coalesce(flag = 'handler', false) AS inside_error_handler, CAST(CASE WHEN p.template IN (0, 1) AND parent IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS guard_count {_J}""")
+def features_end_to_end(spark, sf_dir):
+    return statement_table(spark, sf_dir).select("row_index", "origin", "seq", "is_db_query", "is_process_exec", "is_dynamic_eval", "inside_error_handler", "guard_count")
+
+
+#: (template, number of the pair, has a vulnerable side, has a fixed side) of aligned statement pairs.
+ALIGNED = [
+    (0, 3, 1, 1), (1, 3, 1, 1), (2, 2, 1, 1), (3, 1, 1, 1), (4, 3, 1, 1), (5, 1, 1, 1), (6, 2, 1, 0), (7, 1, 1, 1),
+]
+
+
+@query(f"WITH a(template, n, v, f) AS (VALUES {_values(ALIGNED)}), p AS ({CODE}) SELECT row_index, CAST(n AS BIGINT) AS n_pairs FROM p JOIN a ON p.template = a.template")
+def pairs_statement(spark, sf_dir):
+    made, _ = P.pair(code_pairs(spark, sf_dir), "statement", "aligned")
+    return made.groupBy("row_index").agg(F.count("*").alias("n_pairs"))
+
+
+@query(f"WITH p AS ({CODE}) SELECT row_index, vulnerable_code, fixed_code, 'method' AS granularity FROM p WHERE template IN (1, 5)")
+def pairs_method(spark, sf_dir):
+    made, _ = P.pair(code_pairs(spark, sf_dir), "method", "strict")
+    return made.select("row_index", "vulnerable_code", "fixed_code", "granularity")
+
+
+@query(f"WITH p AS ({CODE}) SELECT row_index, CAST(CASE WHEN template IN (1, 5) THEN 1 ELSE 0 END AS INTEGER) AS n_methods FROM p")
+def extract_methods(spark, sf_dir):
+    from patchloom.functions import text as T
+
+    found = P.split_code(F.col("vulnerable_code"), T.resolve_language(F.col("language")), "method")
+    return code_pairs(spark, sf_dir).select("row_index", F.size(found).alias("n_methods"))
+
+
+STATEMENTS = [(0, 3), (1, 3), (2, 2), (3, 1), (4, 2), (5, 1), (6, 2), (7, 1)]
+
+
+@query(f"WITH a(template, n) AS (VALUES {_values(STATEMENTS)}), p AS ({CODE}) SELECT row_index, CAST(n AS INTEGER) AS n_statements FROM p JOIN a ON p.template = a.template")
+def extract_statements(spark, sf_dir):
+    from patchloom.functions import text as T
+
+    found = P.split_code(F.col("vulnerable_code"), T.resolve_language(F.col("language")), "statement")
+    return code_pairs(spark, sf_dir).select("row_index", F.size(found).alias("n_statements"))
+
+
+@query("""SELECT o_orderkey AS row_index, 'success' AS status, CASE o_orderkey % 3 WHEN 0 THEN 'a=>a|=>n|b=>b' WHEN 1 THEN 'a=>a|x=>y' ELSE 'a=>a|x~y=>z' END AS pairs FROM orders""")
+def pair_aligned(spark, sf_dir):
+    v = F.expr("CASE o_orderkey % 3 WHEN 0 THEN array('a', 'b') WHEN 1 THEN array('a', 'x') ELSE array('a', 'x', 'y') END")
+    f = F.expr("CASE o_orderkey % 3 WHEN 0 THEN array('a', 'n', 'b') WHEN 1 THEN array('a', 'y') ELSE array('a', 'z') END")
+    status, made = P.pair_aligned(F.col("v"), F.col("f"))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_index"), v.alias("v"), f.alias("f"))
+    shown = F.array_join(F.transform("p", lambda x: F.concat(F.replace(x["vulnerable_code"], F.lit("\n\n"), F.lit("~")), F.lit("=>"), x["fixed_code"])), "|")
+    return rows.select("row_index", status.alias("status"), made.alias("p")).select("row_index", "status", shown.alias("pairs"))
