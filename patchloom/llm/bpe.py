@@ -17,12 +17,13 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Chunks of text and pairs of tokens that a worker remembers; then it starts anew.
-CACHE = 400_000
+#: Chunks of text and pairs of tokens that a worker remembers, in each of two generations: full, the younger becomes the older, and what is used again comes back.
+CACHE = 500_000
 #: Characters that Unicode calls white space, as the vocabulary's own pattern sees them.
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 # Fixed value: the word pattern of this kind of vocabulary.
@@ -51,13 +52,15 @@ class Vocabulary:
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(data["model"]["merges"])}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
+        self.names = {t: str(i) for t, i in self.ids.items()}
         #: the merge that makes a token: its rank and its two parts
         self.made = {a + b: (i, a, b) for (a, b), i in self.ranks.items()}
         #: every ending of every token: a suffix scan stops where none goes on
         self.endings = {t[i:] for t in self.ids for i in range(len(t))}
         self.letters = byte_letters()
         self.apart: dict[tuple[str, str], bool] = {}
-        self.chunks: dict[str, tuple[int, str, str]] = {}
+        self.chunks: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def stands(self, left: str, token: str) -> bool:
@@ -93,14 +96,18 @@ class Vocabulary:
     def last_token(self, text: str, last: list[str], end: str) -> str:
         """The last token of text's encoding, given those of its shorter prefixes."""
         ids, endings, found = self.ids, self.endings, []
-        for start in range(len(text) - 1, -1, -1):
-            token = text[start:] + end
+        token, start = end, len(text)
+        while start:
+            start -= 1
+            token = text[start] + token
             if token in ids:
-                found.append((start, token))
+                found.append(token)
             elif token not in endings:
                 break
-        for start, token in reversed(found):
-            if not start or self.stands(last[start], token):
+        size = len(text) + len(end)
+        while found:
+            token = found.pop()
+            if len(token) == size or self.stands(last[size - len(token)], token):
                 return token
         raise ValueError(f"no token ends {text!r}")
 
@@ -110,26 +117,36 @@ class Vocabulary:
         for word in words:
             node = trie
             for letter in word:
-                node = node.setdefault(letter, {})
-            node[END] = True
+                child = node.get(letter)
+                if child is None:
+                    child = node[letter] = {}
+                node = child
+            node[END] = word
         found: dict[str, list[str]] = {}
+        last_token = self.last_token
         # depth first; last[i] is the last token of the path's first i letters
         last, stack = [""], [(trie, "")]
         while stack:
             node, prefix = stack.pop()
-            del last[max(1, len(prefix)) :]
-            if prefix and len(last) == len(prefix):
+            size = len(prefix)
+            if size:
+                del last[size:]
                 if END in node:
-                    tokens, at, token = [], len(prefix), self.last_token(prefix, last, END)
-                    while token:
-                        tokens.append(token)
-                        at -= len(token.removesuffix(END))
+                    tokens, at, token = [], size, last_token(prefix, last, END)
+                    tokens.append(token)
+                    at -= len(token) - len(END)
+                    while at:
                         token = last[at]
-                    found[prefix] = tokens[::-1]
+                        tokens.append(token)
+                        at -= len(token)
+                    tokens.reverse()
+                    found[prefix] = tokens
                     if len(node) == 1:
                         continue
-                last.append(self.last_token(prefix, last, ""))
-            stack.extend((child, prefix + letter) for letter, child in node.items() if letter != END)
+                last.append(last_token(prefix, last, ""))
+            for letter, child in node.items():
+                if letter != END:
+                    stack.append((child, prefix + letter))
         return found
 
     def learn(self, chunks: set[str]) -> None:
@@ -143,9 +160,10 @@ class Vocabulary:
                 text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
                 pieces[chunk] = ["".join(map(letters, word.encode())) for word in WORDS(text)]
         found = self.encode(list({w for words in pieces.values() for w in words}))
+        known, names = self.chunks, self.names
         for chunk, words in pieces.items():
-            tokens = [t for w in words for t in found[w]]
-            self.chunks[chunk] = (len(tokens), " ".join(str(self.ids[t]) for t in tokens), " ".join(tokens))
+            tokens = found[words[0]] if len(words) == 1 else [t for w in words for t in found[w]]
+            known[chunk] = (" ".join([names[t] for t in tokens]), " ".join(tokens))
 
     def split(self, text: str) -> list[str]:
         """The chunks of a text between white space; split() alone also cuts at four control characters."""
@@ -165,22 +183,25 @@ class Vocabulary:
                 chunks.append([x for i, part in enumerate(parts) for x in ([SPECIAL + part] if i % 2 else self.split(part))])
             else:
                 chunks.append(self.split(text))
-        known = self.chunks
-        every = set().union(*chunks)
-        new = {x for x in every if x not in known}
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = every
+        new = set().union(*chunks)
+        if len(self.chunks) + len(new) > CACHE:
+            self.chunks, self.older = {}, self.chunks
+        known, older = self.chunks, self.older
+        new.difference_update(known)
+        back = new.intersection(older)
+        known.update({x: older[x] for x in back})
+        new -= back
         if special := {x for x in new if x.startswith(SPECIAL) and x.removeprefix(SPECIAL) in self.special}:
-            known.update({x: (1, str(self.special[t]), t) for x in special for t in [x.removeprefix(SPECIAL)]})
+            known.update({x: (str(self.special[t]), t) for x in special for t in [x.removeprefix(SPECIAL)]})
             new -= special
         self.learn(new)
         out = []
         for own in chunks:
             found = [x for x in map(known.__getitem__, own) if x[0]]
             if found:
-                counts, ids, decoded = zip(*found)
-                out.append((sum(counts), " ".join(ids), " ".join(decoded)))
+                ids, decoded = zip(*found)
+                ids = " ".join(ids)
+                out.append((ids.count(" ") + 1, ids, " ".join(decoded)))
             else:
                 out.append((0, "", ""))
         return out
@@ -211,28 +232,27 @@ def encode(docs: DataFrame, path: str, with_text: bool = False) -> DataFrame:
     path names the vocabulary file, the same on every machine. Null and empty texts have no tokens
     and the digests of the empty string. Repeated rows each keep their row; other columns are left out.
     """
-    sha = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    kinds = {"doc_id": "long", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "string", "decoded": "string"} if with_text else {})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            at = 0
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+            at, texts = 0, [t or "" for t in batch["text"].to_pylist()]
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and (end == at or size + len(texts[end]) <= GROUP):
                     size += len(texts[end])
                     end += 1
                 found = vocab.encode_texts(texts[at:end])
-                out = pd.DataFrame({
-                    "doc_id": batch["doc_id"].iloc[at:end].astype("Int64"),
-                    "n_tokens": [f[0] for f in found],
-                    "ids_sha256": [hashlib.sha256(f[1].encode()).hexdigest() for f in found],
-                    "decoded_sha256": [hashlib.sha256(f[2].encode()).hexdigest() for f in found],
-                })
+                columns = [
+                    batch["doc_id"].slice(at, end - at),
+                    pa.array([f[0] for f in found], pa.int64()),
+                    pa.array([hashlib.sha256(f[1].encode()).hexdigest() for f in found]),
+                    pa.array([hashlib.sha256(f[2].encode()).hexdigest() for f in found]),
+                ]
                 if with_text:
-                    out["ids"], out["decoded"] = [f[1] for f in found], [f[2] for f in found]
-                yield out
+                    columns += [pa.array([f[1] for f in found]), pa.array([f[2] for f in found])]
+                yield pa.RecordBatch.from_arrays(columns, list(kinds))
                 at = end
 
-    return docs.select("doc_id", "text").mapInPandas(run, sha + (", ids string, decoded string" if with_text else ""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in kinds.items()))
