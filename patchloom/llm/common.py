@@ -28,7 +28,7 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """array<string> of the words of text; null counts as empty."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
 def long_array(values: list[int]) -> Column:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, power_of_two, words
+from .common import bind, long_array, power_of_two, words
 
 #: Buckets of the hashed grams: fixes the size of what is sent to the driver and back.
 BUCKETS = 1 << 14
@@ -26,56 +26,79 @@ BIN = 0.001
 BROADCAST_IDS = 4_000_000
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
-
-
-def grams(hashed: Column, buckets: int = BUCKETS) -> Column:
-    """array<bigint> of the buckets of each word and of each word with the next (the last: with the end)."""
-    pairs = F.transform(hashed, lambda h, i: F.pmod(F.xxhash64(h, F.get(hashed, i + 1)), F.lit(buckets)))
-    return F.concat(F.transform(hashed, lambda h: F.pmod(h, F.lit(buckets))), pairs)
+#: Repeated windows that are searched for one by one.
+FEW = 16
 
 
 def hashes(text: Column) -> Column:
+    """array<bigint>: a hash of each word."""
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def repeat_words(hashed: Column) -> Column:
-    """Words inside three-word windows that occur twice or more.
+def pairs(hashed: Column) -> Column:
+    """A hash of each word with the next; the last stands with the end."""
+    return F.transform(hashed, lambda h, i: F.xxhash64(h, F.get(hashed, i + 1)))
 
-    Windows are sorted by hash with their place in the low bits, so equal ones become neighbours:
-    n log n for a text of any length. Neighbours count as equal only if their whole hashes are.
-    """
 
-    def covered(windows: Column) -> Column:
-        place = power_of_two(F.length(F.bin(F.size(windows).cast("bigint")))) - 1
-        keys = F.sort_array(F.transform(windows, lambda h, i: h.bitwiseAND(F.bitwise_not(place)).bitwiseOR(i.cast("bigint"))))
-
-        def repeated(sorted_keys: Column) -> Column:
-            def window(key: Column) -> Column:
-                return F.get(windows, key.bitwiseAND(place).cast("int"))
-
-            def same(key: Column, other: Column) -> Column:
-                near = key.bitwiseAND(F.bitwise_not(place)) == other.bitwiseAND(F.bitwise_not(place))
-                return F.coalesce(near & (window(key) == window(other)), F.lit(False))
-
-            places = F.transform(
-                F.filter(sorted_keys, lambda key, i: same(key, F.get(sorted_keys, i - 1)) | same(key, F.get(sorted_keys, i + 1))),
-                lambda key: key.bitwiseAND(place),
-            )
-            return bind(
-                F.sort_array(places),
-                lambda p: F.aggregate(
-                    F.transform(p, lambda x, i: F.least(F.lit(3).cast("bigint"), x - F.coalesce(F.get(p, i - 1), F.lit(-3).cast("bigint")))),
-                    F.lit(0).cast("bigint"),
-                    lambda total, x: total + x,
-                ),
-            )
-
-        return bind(keys, repeated)
-
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size(hashed) - 3), lambda i: F.xxhash64(F.get(hashed, i), F.get(hashed, i + 1), F.get(hashed, i + 2))
+def bucket(value: Column) -> Column:
+    return value.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
+def windows(hashed: Column, paired: Column) -> Column:
+    """A hash of each three words in a row."""
+    return F.transform(F.slice(paired, 1, F.greatest(F.size(paired) - 2, F.lit(0))), lambda p, i: p.bitwiseXOR(F.get(hashed, i + 2)))
+
+
+def _covered(places: Column) -> Column:
+    """Words in three-word windows at these places, ascending."""
+    return bind(
+        places,
+        lambda p: F.aggregate(
+            F.transform(p, lambda x, i: F.least(F.lit(3).cast("bigint"), x - F.coalesce(F.get(p, i - 1), F.lit(-3).cast("bigint")))),
+            F.lit(0).cast("bigint"),
+            lambda total, x: total + x,
+        ),
     )
-    return F.when(F.size(hashed) < 4, F.lit(0).cast("bigint")).otherwise(bind(windows, covered))
+
+
+def _by_sorting(found: Column) -> Column:
+    """Places of the windows that occur twice or more, n log n for any number of them.
+
+    Windows are sorted by hash with their place in the low bits, so equal ones become neighbours.
+    Neighbours count as equal only if their whole hashes are.
+    """
+    place = power_of_two(F.length(F.bin(F.size(found).cast("bigint")))) - 1
+    keys = F.sort_array(F.transform(found, lambda h, i: h.bitwiseAND(F.bitwise_not(place)).bitwiseOR(i.cast("bigint"))))
+
+    def repeated(sorted_keys: Column) -> Column:
+        def whole(key: Column) -> Column:
+            return F.get(found, key.bitwiseAND(place).cast("int"))
+
+        def same(key: Column, other: Column) -> Column:
+            near = key.bitwiseAND(F.bitwise_not(place)) == other.bitwiseAND(F.bitwise_not(place))
+            return F.coalesce(near & (whole(key) == whole(other)), F.lit(False))
+
+        kept = F.filter(sorted_keys, lambda key, i: same(key, F.get(sorted_keys, i - 1)) | same(key, F.get(sorted_keys, i + 1)))
+        return F.sort_array(F.transform(kept, lambda key: key.bitwiseAND(place)))
+
+    return bind(keys, repeated)
+
+
+def repeat_words(hashed: Column, paired: Column) -> Column:
+    """Words inside three-word windows that occur twice or more: those without any, those with a few of them, and the rest each have a way."""
+
+    def of(found: Column) -> Column:
+        def among(some: Column) -> Column:
+            near = F.filter(F.transform(found, lambda w, i: F.when(F.array_contains(some, w), i.cast("bigint"))), lambda i: i.isNotNull())
+            return _covered(F.when(F.size(some) <= FEW, near).otherwise(_by_sorting(found)))
+
+        def twice(in_order: Column) -> Column:
+            return F.array_distinct(F.filter(in_order, lambda w, i: w == F.get(in_order, i + 1)))
+
+        none = F.size(F.array_distinct(found)) == F.size(found)
+        return F.when(none, F.lit(0).cast("bigint")).otherwise(bind(bind(F.sort_array(found), twice), among))
+
+    return F.when(F.size(hashed) < 4, F.lit(0).cast("bigint")).otherwise(bind(windows(hashed, paired), of))
 
 
 @dataclass(frozen=True)
@@ -86,6 +109,19 @@ class Model:
     threshold: float | None
 
 
+def _table(model: Model | None) -> Column:
+    return long_array(list(model.ratios if model else (0,)))
+
+
+def _score(hashed: Column, paired: Column, ratios: Column) -> Column:
+    """Mean log ratio of the words and pairs of a text; null without words."""
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0).cast("bigint"), lambda s, v: s + F.get(ratios, bucket(v)))
+
+    return F.when(F.size(hashed) > 0, (total(hashed) + total(paired)) / (F.lit(20_000.0) * F.size(hashed)))
+
+
 def judge(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept.
 
@@ -93,20 +129,28 @@ def judge(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     counts, score null, base_failed. Without a model (or trusted documents), kept is what the base
     rules leave.
     """
-    ratios = F.split(F.lit(",".join(map(str, model.ratios if model else (0,)))), ",").cast("array<bigint>")
+    ratios = _table(model)
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
-    def of_words(hashed: Column) -> Column:
-        total = F.aggregate(grams(hashed), F.lit(0).cast("bigint"), lambda s, g: s + F.get(ratios, g.cast("int")))
-        score = F.when(F.size(hashed) > 0, total / (F.lit(20_000.0) * F.size(hashed)))
-        return F.struct(F.size(hashed).cast("long").alias("n"), repeat_words(hashed).alias("r"), (score if model else F.lit(None).cast("double")).alias("s"))
+    def of_words(found: Column) -> Column:
+        def of_hashes(hashed: Column) -> Column:
+            def of_pairs(paired: Column) -> Column:
+                score = _score(hashed, paired, ratios) if model else F.lit(None).cast("double")
+                return F.struct(
+                    F.size(hashed).cast("long").alias("n"), F.char_length(F.array_join(found, "")).cast("long").alias("c"),
+                    repeat_words(hashed, paired).alias("r"), score.alias("s"),
+                )
+
+            return bind(pairs(hashed), of_pairs)
+
+        return bind(F.transform(found, lambda w: F.xxhash64(w)), of_hashes)
 
-    out = docs.withColumn("_w", bind(hashes(F.col(text)), of_words))
+    out = docs.withColumn("_w", bind(words(F.col(text)), of_words))
     out = out.withColumns({
         "n_words": F.col("_w.n"),
-        "word_chars": F.char_length(F.translate(whole, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.char_length(whole) - F.char_length(F.translate(whole, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.col("_w.c"),
+        "n_symbols": F.regexp_count(whole, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": F.col("_w.r"),
         "score": F.col("_w.s"),
@@ -127,9 +171,10 @@ def fit(docs: DataFrame, trusted: DataFrame) -> Model:
         trusted = F.broadcast(trusted)
     docs = docs.select("doc_id", "text")
     marked = docs.join(trusted.withColumn("_trusted", F.lit(1)), "doc_id", "left")
+    grams = bind(hashes(F.col("text")), lambda hashed: F.concat(hashed, pairs(hashed)))
     counts = (
-        marked.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(bind(hashes(F.col("text")), grams)).alias("g"))
-        .groupBy("g")
+        marked.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(grams).alias("h"))
+        .groupBy(bucket(F.col("h")).alias("g"))
         .agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
         .collect()  # a row per bucket
     )
@@ -140,8 +185,10 @@ def fit(docs: DataFrame, trusted: DataFrame) -> Model:
     if all_target == BUCKETS:
         return Model((0,) * BUCKETS, None)
     ratios = tuple(round(1e4 * (math.log((t + 1) / all_target) - math.log((r + 1) / all_raw))) for r, t in zip(raw, target, strict=True))
-    scored = judge(docs.join(trusted, "doc_id", "left_semi"), Model(ratios, None)).where("not base_failed")
-    bins = scored.groupBy(F.floor(F.col("score") / BIN).alias("bin")).count().collect()  # at most some 20,000: log ratios are bounded
+    held = _table(Model(ratios, None))
+    score = bind(hashes(F.col("text")), lambda h: F.when(F.size(h) >= MIN_WORDS, bind(pairs(h), lambda p: _score(h, p, held))))
+    scored = docs.join(trusted, "doc_id", "left_semi").select(F.floor(score / BIN).alias("bin")).where("bin is not null")
+    bins = scored.groupBy("bin").count().collect()  # at most some 20,000: log ratios are bounded
     return Model(ratios, _threshold(sorted((r["bin"], r["count"]) for r in bins)))
 
 
