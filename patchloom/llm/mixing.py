@@ -58,7 +58,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return per.select("source", "source_size", "rows", "target")
 
 
-def _round_block(rows: pd.DataFrame, last: bool = False) -> pd.DataFrame:
+def _rounded(rows: pd.DataFrame, last: bool) -> pd.DataFrame:
     """Round the fractions p of one block of one source, longest first; one at most stays fractional unless last.
 
     Fraction p of a document of size s stands for s * p words. Moving d words from one to the
@@ -85,8 +85,12 @@ def _round_block(rows: pd.DataFrame, last: bool = False) -> pd.DataFrame:
     return rows.assign(p=p)
 
 
+def _round_block(rows: pd.DataFrame) -> pd.DataFrame:
+    return _rounded(rows, False)
+
+
 def _round_last(rows: pd.DataFrame) -> pd.DataFrame:
-    return _round_block(rows, last=True)
+    return _rounded(rows, True)
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
