@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from patchloom.operators import classify
 from patchloom.operators import features as X
+from patchloom.operators import metrics as M
 from patchloom.operators import pairs as P
 from patchloom.plans.base import query, read
 
@@ -129,3 +131,12 @@ def pair_aligned(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_index"), v.alias("v"), f.alias("f"))
     shown = F.array_join(F.transform("p", lambda x: F.concat(F.replace(x["vulnerable_code"], F.lit("\n\n"), F.lit("~")), F.lit("=>"), x["fixed_code"])), "|")
     return rows.select("row_index", status.alias("status"), made.alias("p")).select("row_index", "status", shown.alias("pairs"))
+
+
+@query()
+def classify_end_to_end(spark, sf_dir):
+    """Both approaches with a small tree over the generated pairs: metrics by fold, approach and model."""
+    source = code_pairs(spark, sf_dir).withColumn("cve_id", F.lit(None).cast("string")).withColumn("vulnerability_type", F.lit("CWE")).withColumn("method", F.col("row_index").cast("string"))
+    config = classify.Config(models=[{"name": "decision_tree", "params": {"maxDepth": 3}}], importance=False)
+    out = classify.compare(source, X.features(source), config)["metrics"]
+    return out.select("fold", "approach", "model", "n_test", "n_test_pos", *[F.round(c, 6).alias(c) for c in M.METRICS])
