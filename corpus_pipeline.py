@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from patchloom.llm import bpe, mixing, quality_rules, simhash, substrings
 from patchloom.llm.common import read, table
@@ -12,7 +13,8 @@ from patchloom.llm.queries import vocabulary_path
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, judged against the trusted ones among them."""
     model = quality_rules.fit(docs, quality_rules.trusted_ids(read(spark, sf_dir, "labels")))
-    return quality_rules.judge(docs, model).where("kept").select(*docs.columns)
+    # whole rows travel as one column, so that no column of theirs clashes with the rules' own
+    return quality_rules.judge(docs.select(F.struct("*").alias("_doc"), "text"), model).where("kept").select("_doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
