@@ -136,3 +136,11 @@ def dedup_keep_first(spark, sf_dir):
     joined = joined.join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     first = joined.withColumn("k", F.row_number().over(Window.partitionBy("n_name").orderBy(F.desc("s_acctbal"), "s_suppkey")))
     return first.where("k = 1").select("s_suppkey", "n_name", "r_name")
+
+
+@query("""SELECT * FROM (VALUES ('pairs.granularity', '"method"'), ('pairs.strategy', '"aligned"'), ('xai.shap_max_samples', '300'), ('xai.permutation_max_features', '100'), ('xai.top_k', '5')) t(key, value)""")
+def config_flatten(spark, sf_dir):
+    from patchloom import config
+
+    merged = config.merge(config.DEFAULTS, {"pairs": {"granularity": "method"}, "xai": {"top_k": 5}})
+    return config.table(spark, {k: merged[k] for k in ("pairs", "xai")})

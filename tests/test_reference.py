@@ -221,3 +221,13 @@ def test_streams_take_the_same_column_functions(spark, tmp_path):
     query = streams.sides(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt"))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == datasets.sides(spark.read.parquet(str(tmp_path / "in"))).count()
+
+
+def test_config(tmp_path):
+    from patchloom import config
+
+    (tmp_path / "a.yaml").write_text("classify:\n  cv_folds: 5\nnew: 1\n")
+    (tmp_path / "b.yaml").write_text(":\n  - [")
+    got = config.load(str(tmp_path / "a.yaml"))
+    assert got["classify"]["cv_folds"] == 5 and got["classify"]["test_size"] == 0.2 and got["new"] == 1
+    assert config.load(str(tmp_path / "b.yaml")) == config.load(str(tmp_path / "none.yaml")) == config.load() == config.DEFAULTS
