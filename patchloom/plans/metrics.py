@@ -162,7 +162,7 @@ def dataset_info(spark, sf_dir):
 #: Contributions: centred features.
 V = f"""{S}, a AS (SELECT avg(quantity) AS q, avg(tax) AS t, avg(y_score) AS y FROM s),
   v AS (SELECT method_id || ':' || line AS sample_id, feature, value, x FROM (SELECT method_id, line, unnest(['quantity', 'tax', 'y_score']) AS feature,
-  unnest([round((quantity - q) * 0.1, 6), round((tax - t) * 2, 6), round((y_score - y) * -1.5, 6)]) AS value, unnest([quantity, tax, y_score]) AS x FROM s, a))"""
+  unnest([round((quantity - q) * 0.1, 4), round((tax - t) * 2, 4), round((y_score - y) * -1.5, 4)]) AS value, unnest([quantity, tax, y_score]) AS x FROM s, a))"""
 WEIGHTS = {"quantity": 0.1, "tax": 2.0, "y_score": -1.5}
 
 
@@ -172,7 +172,7 @@ def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in WEIGHTS])
     joined = rows.crossJoin(F.broadcast(means))  # one row
     parts = F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.round((F.col(c) - F.col(f"m_{c}")) * w, 6).alias("value"), F.col(c).cast("double").alias("x")) for c, w in WEIGHTS.items()
+        F.struct(F.lit(c).alias("feature"), F.round((F.col(c) - F.col(f"m_{c}")) * w, 4).alias("value"), F.col(c).cast("double").alias("x")) for c, w in WEIGHTS.items()
     ])
     return joined.select("sample_id", F.explode(parts).alias("p")).select("sample_id", "p.*")
 
