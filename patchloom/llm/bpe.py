@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks of text and pairs of tokens that a worker remembers, in each of two generations: full, the younger becomes the older, and what is used again comes back.
-CACHE = 500_000
+CACHE = 200_000
 #: Characters that Unicode calls white space, as the vocabulary's own pattern sees them.
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 # Fixed value: the word pattern of this kind of vocabulary.
@@ -223,7 +223,7 @@ def decode(ids: list[int], path: str) -> str:
 
 
 #: Texts are worked on in groups of about so many characters, so that a batch of very long ones stays small.
-GROUP = 1 << 21
+GROUP = 1 << 19
 
 
 def encode(docs: DataFrame, path: str, with_text: bool = False) -> DataFrame:
