@@ -17,10 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Hash buckets of the trigrams: with the number of languages, it fixes the model's size.
 BUCKETS = 1 << 15
 #: Documents a language that the model is fitted on, about, picked by hash.
 SAMPLE = 5000
+#: Languages that a model may have; more are an error.
+MOST_LANGUAGES = 2000
 SMOOTHING = 0.05
 #: Characters that are counted at a time.
 CHUNK = 1 << 20
@@ -83,9 +87,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     their own documents; what comes to the driver is a row a language and bucket.
     """
     known = docs.where(F.col("lang").isNotNull() & ~held_out()).select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("u"))
-    shares = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share"))
-    # one row a language
-    picked = known.join(shares, "lang").where(F.col("u") < F.col("share") * (1 << 30)).select("lang", "text")
+    shares = cut(known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share")))
+    if shares.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: the model wouldn't fit a worker")
+    # a row a language, at most MOST_LANGUAGES: texts aren't dealt out by language
+    picked = known.join(F.broadcast(shares), "lang").where(F.col("u") < F.col("share") * (1 << 30)).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
