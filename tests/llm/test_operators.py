@@ -435,6 +435,19 @@ def test_passages_exact_and_fuzzy(spark, odd, empty):
     assert kept.count() == len(ODD) - 1 and kept.where("doc_id = 6").count() == 0
 
 
+def test_passages_with_words_changed_all_along(spark):
+    r, docs, want = random.Random(31), [], set()
+    for i in range(40):
+        passage = prose(60, 3000 + i).split()
+        every = (5, 6, 8, 10)[i % 4]
+        changed = [f"new{i}x{k}" if k % every == every - 1 else w for k, w in enumerate(passage)]
+        docs += [(i, f"{prose(r.randint(5, 40), 4000 + i)} {' '.join(passage)} {prose(30, 5000 + i)}"), (1000 + i, f"{prose(r.randint(5, 40), 6000 + i)} {' '.join(changed)} {prose(30, 7000 + i)}")]
+        want.add((1000 + i, i))
+    got = substrings.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["other_doc_id"]) for x in got} == want
+    assert all(x["n_words"] >= 50 and x["n_equal"] >= 0.8 * x["n_words"] for x in got)
+
+
 def test_passages_that_very_many_share_stay_linear(spark):
     passage = prose(60, 78)
     df = spark.createDataFrame([(i, f"{prose(20, 1000 + i)} {passage} {prose(20, 5000 + i)}") for i in range(300)], "doc_id long, text string")
