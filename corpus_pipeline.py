@@ -14,7 +14,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, judged against the trusted ones among them."""
     model = quality_rules.fit(docs, quality_rules.trusted_ids(read(spark, sf_dir, "labels")))
     # whole rows travel as one column, so that no column of theirs clashes with the rules' own
-    return quality_rules.judge(docs.select(F.struct("*").alias("_doc"), "text"), model).where("kept").select("_doc.*")
+    return quality_rules.judge(docs.select(F.struct("*").alias("_doc"), "doc_id", "text"), model).where("kept").select("_doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

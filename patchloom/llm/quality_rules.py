@@ -1,23 +1,21 @@
-"""Quality rules: base counts of every text and a hashed n-gram log-likelihood ratio, DataFrame functions only.
+"""Quality rules: base counts of every text and an n-gram log-likelihood ratio, DataFrame functions only.
 
-The ratio compares two multinomials over hashed words and word pairs: one of the trusted target
-documents, one of the whole corpus. A document's score is the mean log ratio of its grams, so
-long and short texts compare. Documents below a low quantile of the trusted documents' own scores
+The ratio compares two multinomials over words and word pairs, known by 64-bit hashes: one of the
+trusted target documents, one of the whole corpus. Each distinct gram has counts of its own, in a
+table that grows with the corpus. A document's score is the mean log ratio of its grams, its own
+occurrences held out of the counts, so that trusted and other documents, long and short ones compare. Documents below a low quantile of the trusted documents' own scores
 are rejected: one deterministic threshold for all.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, long_array, power_of_two, words
+from .common import bind, power_of_two, table, words
 
-#: Buckets of the hashed grams: fixes the size of what is sent to the driver and back.
-BUCKETS = 1 << 14
 #: How far below the trusted documents' median a score may lie, in distances of their fifth percentile from it.
 SPREADS = 5
 #: Scores are counted in bins of this width to find the two percentiles.
@@ -40,8 +38,14 @@ def pairs(hashed: Column) -> Column:
     return F.transform(hashed, lambda h, i: F.xxhash64(h, F.get(hashed, i + 1)))
 
 
-def bucket(value: Column) -> Column:
-    return value.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def gram_counts(text: Column) -> Column:
+    """array<struct<h, c>>: each distinct word and pair of a text, and how often it occurs."""
+
+    def runs(found: Column) -> Column:
+        starts = F.filter(F.transform(found, lambda h, i: F.when(F.coalesce(h != F.get(found, i - 1), F.lit(True)), i)), lambda i: i.isNotNull())
+        return bind(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(found, i).alias("h"), (F.coalesce(F.get(at, k + 1), F.size(found)) - i).alias("c"))))
+
+    return bind(bind(hashes(text), lambda hashed: F.sort_array(F.concat(hashed, pairs(hashed)))), runs)
 
 
 def windows(hashed: Column, paired: Column) -> Column:
@@ -103,43 +107,33 @@ def repeat_words(hashed: Column, paired: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """ratios: of each bucket, in ten-thousandths; threshold: of the mean ratio, None if nothing is trusted."""
+    """scores: (key, score) of each fitted document with words; threshold: of the score, None if nothing is trusted."""
 
-    ratios: tuple[int, ...]
+    scores: DataFrame | None
     threshold: float | None
 
 
-def _table(model: Model | None) -> Column:
-    return long_array(list(model.ratios if model else (0,)))
-
-
-def _score(hashed: Column, paired: Column, ratios: Column) -> Column:
-    """Mean log ratio of the words and pairs of a text; null without words."""
-
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0).cast("bigint"), lambda s, v: s + F.get(ratios, bucket(v)))
-
-    return F.when(F.size(hashed) > 0, (total(hashed) + total(paired)) / (F.lit(20_000.0) * F.size(hashed)))
+def key_of(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, text)
 
 
 def judge(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept.
 
-    One narrow pass; docs' own columns of those names are replaced. Null and empty texts: zero
-    counts, score null, base_failed. Without a model (or trusted documents), kept is what the base
-    rules leave.
+    docs' own columns of those names are replaced. Null and empty texts: zero counts, score null,
+    base_failed. With a model docs are the fitted ones, doc_id among their columns, and scores are
+    joined to them; without one (or trusted documents), one narrow pass: score is null, and kept is
+    what the base rules leave.
     """
-    ratios = _table(model)
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
     def of_words(found: Column) -> Column:
         def of_hashes(hashed: Column) -> Column:
             def of_pairs(paired: Column) -> Column:
-                score = _score(hashed, paired, ratios) if model else F.lit(None).cast("double")
                 return F.struct(
                     F.size(hashed).cast("long").alias("n"), F.char_length(F.array_join(found, "")).cast("long").alias("c"),
-                    repeat_words(hashed, paired).alias("r"), score.alias("s"),
+                    repeat_words(hashed, paired).alias("r"),
                 )
 
             return bind(pairs(hashed), of_pairs)
@@ -153,8 +147,12 @@ def judge(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
         "n_symbols": F.regexp_count(whole, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": F.col("_w.r"),
-        "score": F.col("_w.s"),
     })
+    if model is None or model.scores is None:
+        out = out.withColumn("score", F.lit(None).cast("double"))
+    else:
+        keyed = out.drop("score").withColumn("_key", key_of(F.col("doc_id"), F.col(text)))
+        out = keyed.join(model.scores.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     passed = F.lit(True) if model is None or model.threshold is None else F.coalesce(F.col("score") >= model.threshold, F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & passed).drop("_w")
@@ -166,30 +164,29 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, trusted: DataFrame) -> Model:
-    """Counts over all docs' whole texts, and over those with an id in trusted."""
+    """Counts over all docs' whole texts, and over those with an id in trusted; the scores of all docs by them.
+
+    The driver gets three totals and the bins of the trusted documents' scores; grams stay in tables.
+    """
     if trusted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         trusted = F.broadcast(trusted)
-    docs = docs.select("doc_id", "text")
-    marked = docs.join(trusted.withColumn("_trusted", F.lit(1)), "doc_id", "left")
-    grams = bind(hashes(F.col("text")), lambda hashed: F.concat(hashed, pairs(hashed)))
-    counts = (
-        marked.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(grams).alias("h"))
-        .groupBy(bucket(F.col("h")).alias("g"))
-        .agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
-        .collect()  # a row per bucket
-    )
-    raw, target = [0] * BUCKETS, [0] * BUCKETS
-    for row in counts:
-        raw[row["g"]], target[row["g"]] = row["raw"], row["target"]
-    all_raw, all_target = sum(raw) + BUCKETS, sum(target) + BUCKETS
-    if all_target == BUCKETS:
-        return Model((0,) * BUCKETS, None)
-    ratios = tuple(round(1e4 * (math.log((t + 1) / all_target) - math.log((r + 1) / all_raw))) for r, t in zip(raw, target, strict=True))
-    held = _table(Model(ratios, None))
-    score = bind(hashes(F.col("text")), lambda h: F.when(F.size(h) >= MIN_WORDS, bind(pairs(h), lambda p: _score(h, p, held))))
-    scored = docs.join(trusted, "doc_id", "left_semi").select(F.floor(score / BIN).alias("bin")).where("bin is not null")
-    bins = scored.groupBy("bin").count().collect()  # at most some 20,000: log ratios are bounded
-    return Model(ratios, _threshold(sorted((r["bin"], r["count"]) for r in bins)))
+    marked = docs.select("doc_id", "text").join(trusted.withColumn("_trusted", F.lit(1)), "doc_id", "left")
+    # a row a document and gram, so a common word has no more rows than documents
+    own = marked.select(key_of(F.col("doc_id"), F.col("text")).alias("key"), F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(gram_counts(F.col("text"))).alias("g"))
+    own = own.select("key", "t", "g.h", "g.c")
+    counts = table(own.groupBy("h").agg(F.sum("c").alias("raw"), F.sum(F.col("c") * F.col("t")).alias("target")))
+    n, all_raw, all_target = counts.agg(F.count("*"), F.sum("raw"), F.sum("target")).first()
+    if not all_target:
+        return Model(None, None)
+    # the document's own occurrences held out, one added to each gram's count; in ten-thousandths
+    target, raw = F.col("target") - F.col("c") * F.col("t") + 1, F.col("raw") - F.col("c") + 1
+    ratio = F.round(1e4 * (F.log(target / F.lit(float(all_target + n))) - F.log(raw / F.lit(float(all_raw + n))))).cast("long")
+    rated = own.join(counts, "h").select("key", "t", "c", ratio.alias("ratio"))
+    score = F.sum(F.col("c") * F.col("ratio")) / (F.lit(1e4) * F.sum("c"))
+    scores = table(rated.groupBy("key").agg(score.alias("score"), F.max("t").alias("t"), F.sum("c").alias("grams")))
+    # a word and a pair each
+    bins = scores.where(F.col("t") == 1).where(F.col("grams") >= 2 * MIN_WORDS).groupBy(F.floor(F.col("score") / BIN).alias("bin")).count().collect()  # at most some 20,000: log ratios are bounded
+    return Model(scores.select("key", "score"), _threshold(sorted((r["bin"], r["count"]) for r in bins)))
 
 
 def _threshold(bins: list[tuple[int, int]]) -> float | None:

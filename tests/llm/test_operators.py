@@ -399,6 +399,35 @@ def test_quality_ratio_keeps_what_looks_trusted(spark, odd, empty):
     assert none.threshold is None and quality_rules.judge(odd, none).count() == len(ODD)
 
 
+def test_quality_ratio_does_not_blur_with_many_grams(spark):
+    def made(i, words):
+        r = random.Random(i)
+        return " ".join(r.choice(words) for _ in range(200))
+
+    # 1,500 documents of words of their own, 300,000 distinct words
+    filler = [(10_000 + i, " ".join(f"f{i}x{k}" for k in range(200))) for i in range(1500)]
+    good = [(i, made(i, WORDS[:200])) for i in range(60)]
+    bad = [(1000 + i, made(1000 + i, WORDS[300:500])) for i in range(60)]
+    docs = spark.createDataFrame(good + bad + filler, "doc_id long, text string")
+    model = quality_rules.fit(docs, spark.createDataFrame([(i,) for i in range(0, 60, 2)], "doc_id long"))
+    judged = {x["doc_id"]: x for x in quality_rules.judge(docs, model).where("doc_id < 10000").collect()}
+    # against counts of the grams themselves, the document's own held out
+    from collections import Counter
+
+    grams = {i: Counter(w := t.split()) + Counter(zip(w, [*w[1:], None])) for i, t in good + bad + filler}
+    raw, target = Counter(), Counter()
+    for i, found in grams.items():
+        raw.update(found)
+        if i < 60 and i % 2 == 0:
+            target.update(found)
+    n, totals = len(raw), (sum(raw.values()), sum(target.values()))
+    for i, x in judged.items():
+        mine = i < 60 and i % 2 == 0
+        want = sum(c * (np.log((target[g] - c * mine + 1) / (totals[1] + n)) - np.log((raw[g] - c + 1) / (totals[0] + n))) for g, c in grams[i].items()) / (2 * 200)
+        assert abs(x["score"] - want) < 1e-3
+    assert {i for i, x in judged.items() if x["kept"]} == set(range(60))
+
+
 # substrings
 
 
