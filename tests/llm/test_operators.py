@@ -436,6 +436,39 @@ def test_chain_prefers_ordered_matches():
     assert substrings.chain(a, b)[0] == [1, 2, 4]
 
 
+def test_chain_goes_on_after_a_long_gap():
+    first, second = list(range(0, 500, 9)), list(range(560, 760, 9))
+    shift = [x + 3 for x in first] + [x + 40 for x in second]
+    chains = substrings.chain(first + second, shift)
+    assert sorted(chains) == [list(range(len(first))), list(range(len(first), len(first) + len(second)))]
+
+
+def test_chain_against_brute_force():
+    r = random.Random(3)
+    for _ in range(200):
+        points = sorted({(r.randint(0, 80), r.randint(0, 80)) for _ in range(r.randint(1, 40))})
+        a, b = [x for x, _ in points], [y for _, y in points]
+        score = []
+        for i in range(len(a)):
+            before = [score[j] - substrings.GAP * (a[i] - a[j] + b[i] - b[j]) for j in range(i) if 0 < a[i] - a[j] <= substrings.REACH and 0 < b[i] - b[j] <= substrings.REACH]
+            score.append(substrings.WORTH + max([0.0, *before]))
+        got = substrings.chain(a, b)
+        cost = sum(substrings.GAP * (a[y] - a[x] + b[y] - b[x]) for x, y in zip(got[0], got[0][1:]))
+        # the next word of a diagonal is taken at once, which may miss a word's gap
+        assert sorted(i for own in got for i in own) == list(range(len(a))) and max(score) - (substrings.WORTH * len(got[0]) - cost) <= 2 * substrings.WORTH
+        assert all(0 < a[y] - a[x] <= substrings.REACH and 0 < b[y] - b[x] <= substrings.REACH for own in got for x, y in zip(own, own[1:]))
+
+
+def test_second_fuzzy_passage_of_a_pair(spark):
+    def edited(words, tag):  # two words inserted in the middle
+        return words[:28] + [f"{tag}x", f"{tag}y"] + words[28:]
+
+    one, two = prose(300, 91).split(), prose(56, 92).split()
+    docs = [(1, " ".join([*one, prose(70, 93), *two])), (2, " ".join([*edited(one, "p"), prose(60, 94), *edited(two, "q")]))]
+    got = substrings.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((x["start"], x["end"]) for x in got) == [(0, 302), (362, 420)]
+
+
 def test_seeds_of_a_shared_run_don_t_depend_on_what_surrounds_it():
     r = np.random.default_rng(1)
     run = r.integers(0, 2**63, 20).astype(np.uint64)
