@@ -469,6 +469,22 @@ def test_second_fuzzy_passage_of_a_pair(spark):
     assert sorted((x["start"], x["end"]) for x in got) == [(0, 302), (362, 420)]
 
 
+def test_passages_need_one_earlier_document(spark):
+    a, b, c = (prose(20, 700 + i) for i in range(3))
+    docs = [(i, f"{prose(60, 710 + i)} {line} {prose(60, 720 + i)}") for i, line in enumerate([a, b, c])]
+    half, own = prose(30, 703), prose(30, 704)
+    changed = " ".join("new" if k == 15 else w for k, w in enumerate(own.split()))
+    docs += [
+        (10, f"{prose(60, 730)} {a} {b} {c} {prose(60, 731)}"),  # three lines of three documents
+        (11, f"{prose(40, 732)} {a} {b} {c}"),  # now document 10 has them all
+        (20, f"{prose(60, 733)} {half} {prose(60, 734)}"),
+        (21, f"{prose(60, 735)} {half} {own} {prose(60, 736)}"),
+        (22, f"{prose(60, 737)} {half} {changed} {prose(60, 738)}"),  # 21 has it, but 20 had half of it first
+    ]
+    got = substrings.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["start"], x["end"], x["other_doc_id"]) for x in got) == [(11, 40, 100, 10), (22, 60, 120, 21)]
+
+
 def test_seeds_of_a_shared_run_don_t_depend_on_what_surrounds_it():
     r = np.random.default_rng(1)
     run = r.integers(0, 2**63, 20).astype(np.uint64)
