@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,10 @@ Permission to use, copy, modify, and/or distribute this software for any purpose
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
 """,
 }
+#: Whole texts, each with a title as its first paragraph, named SPDX identifier[.variant].txt.
+FOLDER = Path(__file__).parent / "license_texts"
+#: What follows this line of a text isn't always copied with it.
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
 #: Spellings that count as one.
 SPELLINGS = [("licence", "license"), ("organisation", "organization"), ("favour", "favor"), ("acknowledgement", "acknowledgment"), ("sub license", "sublicense"), ("per cent", "percent")]
 #: A line that names a copyright holder.
@@ -79,17 +84,36 @@ def known(spark: SparkSession, *kinds: dict) -> DataFrame:
     return spark.createDataFrame(sorted(rows.items()), "digest string, license string")
 
 
+def bundled(spark: SparkSession) -> DataFrame:
+    """(license, text) of the bundled whole texts: MIT, ISC and those in FOLDER."""
+    files = [(re.sub(r"(\.university)?\.txt$", "", f.name), f.read_text("utf-8")) for f in sorted(FOLDER.glob("*.txt"))]
+    return spark.createDataFrame([*TEXTS.items(), *files], "license string, text string")
+
+
+def known_texts(texts: DataFrame) -> DataFrame:
+    """(digest, license) of whole texts (license, text): with and without the first paragraph, and what follows the terms. One row a digest."""
+    start = F.regexp_replace("text", r"^\s+", "")
+    short = F.when(F.contains(start, F.lit(END_OF_TERMS)), F.concat(F.substring_index(start, END_OF_TERMS, 1), F.lit(END_OF_TERMS)))
+    bare = F.when(F.contains(start, F.lit(END_OF_TERMS)), F.substring_index(start, END_OF_TERMS, 1))
+    forms = texts.select("license", F.explode(F.array(start, short, bare)).alias("form")).where("form is not null")
+    untitled = F.when(F.col("form").rlike(r"\n[ \t\r]*\n"), F.regexp_replace("form", r"^(?s:.*?)\n[ \t\r]*\n", ""))
+    forms = forms.select("license", F.explode(F.array("form", untitled)).alias("form")).where("form is not null")
+    # a text that is nothing but a title has the digest of the empty text without it
+    return forms.where(canonical(F.col("form")) != "").groupBy(digest(F.col("form")).alias("digest")).agg(F.min("license").alias("license"))
+
+
 def notice_map() -> dict[str, str]:
     return {_known(t): name for name, texts in NOTICES.items() for t in texts}
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """doc_id, digest of the entire canonical text, license that has this digest, and the notices among its lines.
 
     notices: SPDX identifiers of lines that are known notices, sorted and joined by commas, empty
     if there are none; n_notices: how many such lines. Null and empty texts have the digest of the
-    empty text, no license and no notices. Rows are kept one for one. The table of known digests is
-    a constant of a few rows, so its side of the hash join is broadcast.
+    empty text, no license and no notices. Rows are kept one for one. texts: a table (license, text)
+    of the known whole texts; without one, the bundled ones, few enough to be broadcast. Notices that
+    are a whole document are known as well.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -97,7 +121,8 @@ def scan(docs: DataFrame) -> DataFrame:
     likely = F.filter(F.split(text, "\n"), lambda line: line.rlike("(?i)licen[sc]"))
     notices = F.filter(F.transform(likely, lambda line: F.element_at(table, digest(line))), lambda x: x.isNotNull())
     out = docs.select("doc_id", digest(text).alias("digest"), notices.alias("found"))
-    out = out.join(F.broadcast(known(spark, TEXTS, NOTICES)), "digest", "left")
+    whole = known_texts(bundled(spark) if texts is None else texts).union(known(spark, NOTICES)).groupBy("digest").agg(F.min("license").alias("license"))
+    out = out.join(F.broadcast(whole) if texts is None else whole, "digest", "left")
     return out.select("doc_id", "digest", "license", F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"), F.size("found").cast("long").alias("n_notices"))
 
 

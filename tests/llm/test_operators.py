@@ -176,6 +176,23 @@ def test_license_digests_ignore_case_punctuation_copyright_and_spelling(spark, e
 # SimHash
 
 
+def test_whole_license_texts_are_known(spark):
+    read = {f.name.split(".txt")[0].replace(".university", ""): f.read_text() for f in sorted(licenses.FOLDER.glob("*.txt"))}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "MPL-2.0"} <= set(read)
+    read["MIT"] = licenses.TEXTS["MIT"]
+    docs, want = [(0, "MIT License", ""), (1, None, "")], {0: None, 1: None}
+    for name, text in read.items():
+        title, body = text.strip().split("\n\n", 1)
+        for form in (text, body, f"{title}\n\nCopyright (c) 2020 Someone\n\n{body}", text.split("END OF TERMS")[0] + "END OF TERMS AND CONDITIONS" if "END OF TERMS" in text else text, text + "\nmore"):
+            want[len(docs)] = None if form.endswith("more") else name
+            docs.append((len(docs), form, ""))
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["license"] for r in licenses.scan(df).collect()} == want
+    own = spark.createDataFrame([("Own-1", "Own License\n\nDo as you like."), ("Own-1", "Own License\n\nDo as you like.")], "license string, text string")
+    mine = spark.createDataFrame([(1, "do as you LIKE"), (2, read["MPL-2.0"])], "doc_id long, text string")
+    assert rows(licenses.scan(mine, own), "doc_id", "license") == [(1, "Own-1"), (2, None)]
+
+
 def slow_fingerprint(text):
     import xxhash
 
