@@ -77,13 +77,22 @@ def safe_name(text: str) -> str:
     return re.sub(r"[^A-Za-z0-9_.-]+", "_", text).strip("_")
 
 
+#: Rows of a sheet below its header.
+SHEET_ROWS = 1_048_575
+#: Tables with a row for each of the input's; the others have one for each key.
+PER_ROW = {"predictions"}
+
+
 def write_report(tables: dict[str, DataFrame], folder: str, formats: tuple[str, ...] = ("csv",)) -> list[str]:
-    """Each non-empty table in each format: csv (a folder each), parquet, xlsx (one workbook of small tables, if a writer is installed)."""
+    """Each non-empty table in each format: csv (a folder each), parquet, xlsx (one workbook of small tables, if a writer is installed).
+
+    Tables of PER_ROW are folders of CSV parts, in place of a sheet too. ValueError if a sheet would be cut.
+    """
     made = []
     filled = {name: df for name, df in tables.items() if not df.isEmpty()}
     for name, df in filled.items():
-        if "csv" in formats:
-            write_csv(df, path := f"{folder}/{safe_name(name)}.csv", single=True)
+        if "csv" in formats or "xlsx" in formats and name in PER_ROW:
+            write_csv(df, path := f"{folder}/{safe_name(name)}.csv", single=name not in PER_ROW)
             made.append(path)
         if "parquet" in formats:
             df.write.mode("overwrite").parquet(path := f"{folder}/{safe_name(name)}.parquet")
@@ -94,9 +103,15 @@ def write_report(tables: dict[str, DataFrame], folder: str, formats: tuple[str,
             import pandas as pd
         except ImportError:
             return made
+        sheets = {name: df for name, df in filled.items() if name not in PER_ROW}
+        for name, df in sheets.items():
+            if df.limit(SHEET_ROWS + 1).count() > SHEET_ROWS:
+                raise ValueError(f"{name}: more than {SHEET_ROWS} rows don't fit a sheet")
+        if not sheets:
+            return made
         Path(folder).mkdir(parents=True, exist_ok=True)
         with pd.ExcelWriter(path := f"{folder}/report.xlsx") as book:
-            for name, df in filled.items():
-                df.limit(1_000_000).toPandas().to_excel(book, sheet_name=name[:31], index=False, freeze_panes=(1, 0))
+            for name, df in sheets.items():
+                df.toPandas().to_excel(book, sheet_name=name[:31], index=False, freeze_panes=(1, 0))
         made.append(path)
     return made
