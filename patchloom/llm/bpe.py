@@ -7,7 +7,7 @@ into a trie, a depth-first walk hands each node the last tokens of the prefixes
 prefix that many words share is worked out once. A word's ids are read back along its last tokens.
 
 Spark deals out the documents; each task handles its own batches, with no shuffle. Words are kept
-in a bounded cache of the worker.
+in a bounded cache, which ends with the task.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks of text and pairs of tokens that a worker remembers, in each of two generations: full, the younger becomes the older, and what is used again comes back.
+#: Chunks of text and pairs of tokens that a task remembers, in each of two generations: full, the younger becomes the older, and what is used again comes back.
 CACHE = 200_000
 #: Characters that Unicode calls white space, as the vocabulary's own pattern sees them.
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
@@ -58,10 +58,14 @@ class Vocabulary:
         #: every ending of every token: a suffix scan stops where none goes on
         self.endings = {t[i:] for t in self.ids for i in range(len(t))}
         self.letters = byte_letters()
+        self.forget()
+        self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+
+    def forget(self) -> None:
+        """Drop what is remembered, so that an idle worker holds the vocabulary alone."""
         self.apart: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, tuple[str, str]] = {}
         self.older: dict[str, tuple[str, str]] = {}
-        self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def stands(self, left: str, token: str) -> bool:
         """Whether token may follow left, so that BPE of the two texts joined gives the two again."""
@@ -226,33 +230,36 @@ def decode(ids: list[int], path: str) -> str:
 GROUP = 1 << 19
 
 
-def encode(docs: DataFrame, path: str, with_text: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; with_text adds ids and decoded.
+def encode(docs: DataFrame, path: str, add: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; add names more: ids, decoded.
 
     path names the vocabulary file, the same on every machine. Null and empty texts have no tokens
     and the digests of the empty string. Repeated rows each keep their row; other columns are left out.
     """
-    kinds = {"doc_id": "long", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "string", "decoded": "string"} if with_text else {})
+    kinds = {"doc_id": "long", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | {name: "string" for name in add}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in batches:
-            at, texts = 0, [t or "" for t in batch["text"].to_pylist()]
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= GROUP):
-                    size += len(texts[end])
-                    end += 1
-                found = vocab.encode_texts(texts[at:end])
-                columns = [
-                    batch["doc_id"].slice(at, end - at),
-                    pa.array([f[0] for f in found], pa.int64()),
-                    pa.array([hashlib.sha256(f[1].encode()).hexdigest() for f in found]),
-                    pa.array([hashlib.sha256(f[2].encode()).hexdigest() for f in found]),
-                ]
-                if with_text:
-                    columns += [pa.array([f[1] for f in found]), pa.array([f[2] for f in found])]
-                yield pa.RecordBatch.from_arrays(columns, list(kinds))
-                at = end
+        try:
+            for batch in batches:
+                column, at = batch["text"], 0
+                while at < len(column):
+                    # of a batch only one group is Python strings
+                    texts, size, first = [], 0, at
+                    while at < len(column) and (not texts or size < GROUP):
+                        texts.append(column[at].as_py() or "")
+                        size += len(texts[-1])
+                        at += 1
+                    found = vocab.encode_texts(texts)
+                    columns = [
+                        batch["doc_id"].slice(first, at - first),
+                        pa.array([f[0] for f in found], pa.int64()),
+                        pa.array([hashlib.sha256(f[1].encode()).hexdigest() for f in found]),
+                        pa.array([hashlib.sha256(f[2].encode()).hexdigest() for f in found]),
+                        *(pa.array([f[("ids", "decoded").index(name) + 1] for f in found]) for name in add),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, list(kinds))
+        finally:
+            vocab.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in kinds.items()))

@@ -36,6 +36,14 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", F.lit(SEED)).alias("luck"))
 
 
+def _apart(sized: DataFrame) -> DataFrame:
+    """sized with again, 0 or the number of a row among those equal in all, so that very many of them come to blocks of their own."""
+    per = sized.groupBy("doc_id", "source", "size", "luck").agg(F.count("*").alias("times"))
+    parts = per.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / BLOCK).cast("int"))))
+    each = F.explode(F.sequence(F.lit(0), F.least(F.lit(BLOCK), F.col("times") - F.col("part").cast("long") * BLOCK).cast("int") - 1)).alias("k")
+    return parts.select("doc_id", "source", "size", "luck", "part", each).select("doc_id", "source", "size", "luck", (F.col("part").cast("long") * BLOCK + F.col("k")).alias("again"))
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """source, source_size, rows and target of each source.
 
@@ -100,14 +108,14 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     have size 0 and no copies; null sources form a source of their own; rows equal in all are
     rounded each for itself. An empty table, or one without words, takes nothing.
     """
-    sized = table(sizes(docs))
+    sized = table(_apart(sizes(docs)))
     goals = cut(targets(sized))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = sized.join(goals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     joined = joined.withColumn("share", share).withColumn("whole", F.floor(F.col("share") + EPS))
     joined = joined.withColumn("p", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("share") - F.col("whole"))).otherwise(F.lit(0.0)))
     joined = joined.withColumn("whole", F.when(F.col("size") > 0, F.col("whole")).otherwise(F.lit(0)).cast("long"))
-    joined = joined.withColumn("blocks", F.ceil(F.col("rows") / block)).withColumn("block", F.pmod(F.xxhash64("luck"), F.col("blocks")))
+    joined = joined.withColumn("blocks", F.ceil(F.col("rows") / block)).withColumn("block", F.pmod(F.xxhash64("luck", "again"), F.col("blocks")))
     # ids travel as text: pandas would make floats of a column with nulls
     current = joined.select(F.col("doc_id").cast("string").alias("doc_id"), "luck", "source", "size", "source_size", "target", "whole", "p", "blocks", "block")
     decided, blocks = [], goals.agg(F.max(F.ceil(F.col("rows") / block))).first()[0] or 0
@@ -127,12 +135,13 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def apply(docs: DataFrame) -> DataFrame:
-    """docs with each row as many times as the mix takes it; all columns stay.
+    """docs with each row as many times as the mix takes it; all columns stay, whatever their names.
 
     Of rows equal in id and text, one stands for all and takes their copies together.
     """
-    taken = mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("luck").alias("_luck")).agg(F.sum("copies").alias("_copies"))
-    luck = F.xxhash64("doc_id", "text", F.lit(SEED))
-    marked = docs.join(taken.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")) & (luck == F.col("_luck")))
-    once = marked.withColumn("_rank", F.row_number().over(Window.partitionBy("_id", "_luck").orderBy("_copies"))).where("_rank = 1")
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    taken = mix(docs).groupBy(F.col("doc_id").alias("_of"), F.col("luck").alias("_of_luck")).agg(F.sum("copies").cast("int").alias("_copies"))
+    # whole rows travel as one column, so that no column of theirs clashes with this one's
+    marked = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("doc_id", "text", F.lit(SEED)).alias("_luck"))
+    marked = marked.join(taken.where("_copies > 0"), F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_luck") == F.col("_of_luck")))
+    once = marked.dropDuplicates(["_id", "_luck"])
+    return once.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])

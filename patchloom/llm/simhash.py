@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.array([fingerprint(t) for t in batch["text"].to_pylist()], dtype=np.uint64)
+            bits = np.array([fingerprint(t.as_py()) for t in batch["text"]], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(bits.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long")
@@ -147,9 +147,10 @@ def components(docs: DataFrame, hot: int = HOT) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each near-duplicate component: the one with the smallest doc_id.
 
-    All columns stay. Of rows equal in id and text, one is kept.
+    All columns stay, whatever their names. Of rows equal in id and text, one is kept.
     """
-    keepers = components(docs).select(F.col("keeper.doc_id").alias("_id"), F.col("keeper.text_hash").alias("_hash")).distinct()
-    marked = docs.withColumn("_hash_of_text", F.xxhash64("text"))
-    joined = marked.join(keepers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash_of_text") == F.col("_hash")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_hash_of_text"]).select(*docs.columns)
+    keepers = components(docs).select(F.col("keeper.doc_id").alias("_of"), F.col("keeper.text_hash").alias("_of_hash")).distinct()
+    # whole rows travel as one column, so that no column of theirs clashes with this one's
+    marked = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
+    joined = marked.join(keepers, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_hash") == F.col("_of_hash")), "left_semi")
+    return joined.dropDuplicates(["_id", "_hash"]).select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
