@@ -34,7 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the digests of ids and decoded text, and the ids, joined by spaces."""
-    return bpe.encode(docs, vocabulary_path(), with_text=True).drop("decoded")
+    return bpe.encode(docs, vocabulary_path(), add=("ids",))
 
 
 STAGES = [
