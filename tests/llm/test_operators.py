@@ -590,15 +590,55 @@ def test_passages_with_words_changed_all_along(spark):
         docs += [(i, f"{prose(r.randint(5, 40), 4000 + i)} {' '.join(passage)} {prose(30, 5000 + i)}"), (1000 + i, f"{prose(r.randint(5, 40), 6000 + i)} {' '.join(changed)} {prose(30, 7000 + i)}")]
         want.add((1000 + i, i))
     got = substrings.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {(x["doc_id"], x["other_doc_id"]) for x in got} == want
+    found = {(x["doc_id"], x["other_doc_id"]) for x in got}
+    # every fifth word changed leaves twelve windows of four words, of which a quarter are seeds
+    assert found <= want and found >= {x for x in want if x[1] % 4} and len(found) >= 0.9 * len(want)
     assert all(x["n_words"] >= 50 and x["n_equal"] >= 0.8 * x["n_words"] for x in got)
 
 
+def test_passages_against_all_pairs(spark):
+    """Recall and precision of planted fuzzy passages, by an alignment of all pairs of texts in plain Python."""
+    r, docs = random.Random(47), []
+    for i in range(24):
+        passage = prose(r.choice([60, 80, 110]), 8000 + i).split()
+        like = (1.0, 0.95, 0.9, 0.85)[i % 4]
+        changed = list(passage)
+        for k in r.sample(range(len(passage)), round(len(passage) * (1 - like))):
+            changed[k] = f"c{i}x{k}"
+        if i % 3 == 0:  # words put in and left out
+            del changed[20]
+            changed.insert(40, f"in{i}")
+        docs += [(i, f"{prose(r.randint(5, 60), 8100 + i)} {' '.join(passage)} {prose(20, 8200 + i)}"), (100 + i, f"{prose(r.randint(5, 60), 8300 + i)} {' '.join(changed)} {prose(30, 8400 + i)}")]
+    docs += [(300 + i, f"{prose(50, 8500 + i)} {' '.join(docs[2 * i][1].split()[10:40])} {prose(50, 8600 + i)}") for i in range(4)]  # 30 words alone
+    words = {d: t.split() for d, t in docs}
+
+    def shared(a, b):
+        """Most equal words of an alignment."""
+        row = [0] * (len(b) + 1)
+        for x in a:
+            left = 0
+            for j, y in enumerate(b):
+                above = row[j + 1]
+                row[j + 1], left = max(above, row[j], left + (x == y)), above
+        return row[-1]
+
+    want = {(b, a) for b in words for a in words if a < b and len(set(words[a]) & set(words[b])) >= 30 and shared(words[a], words[b]) >= 40}
+    got = substrings.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = {(x["doc_id"], x["other_doc_id"]) for x in got}
+    assert found <= want and len(found) >= 0.95 * len(want) and len(want) >= 22
+    for x in got:  # what a row says holds in the texts
+        mine, other = words[x["doc_id"]][x["start"] : x["end"]], words[x["other_doc_id"]]
+        assert x["n_words"] == len(mine) >= 50 and x["n_equal"] >= 0.8 * len(mine)
+        assert shared(mine, other[max(0, x["other_start"] - 3) : x["other_start"] + len(mine) + 3]) >= x["n_equal"]
+
+
 def test_passages_that_very_many_share_stay_linear(spark):
     passage = prose(60, 78)
     df = spark.createDataFrame([(i, f"{prose(20, 1000 + i)} {passage} {prose(20, 5000 + i)}") for i in range(300)], "doc_id long, text string")
     got = substrings.passages(df).collect()
-    assert {r["doc_id"] for r in got} == set(range(1, 300)) and {r["other_doc_id"] for r in got} == {0}
+    # another than the first stands for it only where it has the word beside the passage as well
+    assert len(got) == 299 and {r["doc_id"] for r in got} == set(range(1, 300)) and sum(r["other_doc_id"] == 0 for r in got) >= 290
+    assert all(r["other_doc_id"] == 0 or r["n_words"] > 60 for r in got)
 
 
 def test_without_words():
