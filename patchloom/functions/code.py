@@ -1,113 +1,236 @@
 """Statements of a snippet of code: one lexer and a skeleton parser for bracketed languages, ast for Python.
 
 Small per-row helpers of the generators in operators.pairs and operators.features. They know
-statements, blocks and calls, not whole grammars; token counts are lexer tokens.
+statements, blocks, calls and names, not whole grammars. What a statement's ancestors tell is
+worked out by Spark.
 """
 
 from __future__ import annotations
 
 import ast
 import re
-import textwrap
-from dataclasses import dataclass, field
+from bisect import bisect_left
+from collections.abc import Iterator
+from typing import NamedTuple
 
 # Words that open a statement, by the type that they make.
 KEYWORDS = {
     "if": "if", "for": "for", "foreach": "for", "while": "while", "do": "do_while", "switch": "switch", "select": "switch", "try": "try_catch", "return": "return", "break": "break",
-    "continue": "continue", "throw": "throw_raise", "raise": "throw_raise", "goto": "other", "defer": "other", "go": "other", "fallthrough": "other", "import": "other", "export": "other",
-    "global": "other", "echo": "other", "var": "assign", "let": "assign", "const": "assign",
+    "continue": "continue", "throw": "throw_raise", "goto": "goto", "defer": "defer", "go": "go_routine", "fallthrough": "fallthrough", "import": "import", "export": "export",
+    "global": "global", "echo": "echo", "var": "assign", "let": "assign", "const": "assign",
 }
-# Words that a bracket may follow without being a call.
-NOT_CALLS = {"if", "for", "foreach", "while", "switch", "catch", "function", "func", "fn", "return", "match", "elseif", "else", "do", "select", "and", "or", "not", "in", "def", "elif", "with", "lambda", "echo", "array", "list", "isset"}
-
-_LEX = {
-    "hash": r"(?P<comment>#[^\n]*|//[^\n]*|/\*.*?\*/)", "slash": r"(?P<comment>//[^\n]*|/\*.*?\*/)",
-    "rest": r"|(?P<string>`[^`]*`|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*')|(?P<tag><\?php|<\?=|\?>)|(?P<name>\$?[A-Za-z_]\w*)|(?P<number>\d[\w.]*)|(?P<line>\n)|(?P<space>\s+)|(?P<sign>->|::|:=|=>|===|!==|==|!=|<=|>=|\+\+|--|&&|\|\||\.\.\.|[-+*/%.&|^]=|.)",
+# Which of them are words of each language.
+WORDS = {
+    "go": {"if", "for", "switch", "select", "return", "break", "continue", "goto", "defer", "go", "fallthrough", "var", "const"},
+    "javascript": {"if", "for", "while", "do", "switch", "try", "return", "break", "continue", "throw", "import", "export", "var", "let", "const"},
+    "php": {"if", "for", "foreach", "while", "do", "switch", "try", "return", "break", "continue", "throw", "goto", "global", "echo", "const"},
+    "java": {"if", "for", "while", "do", "switch", "try", "return", "break", "continue", "throw"},
+    "c": {"if", "for", "while", "do", "switch", "return", "break", "continue", "goto"},
+    "rust": {"if", "for", "while", "return", "break", "continue", "let", "const"},
 }
-_LEXERS = {kind: re.compile(_LEX[kind] + _LEX["rest"], re.S) for kind in ("hash", "slash")}
-OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
-#: A line that ends so goes on.
-GOES_ON = {",", ".", "->", "::", "=", ":=", "+", "-", "*", "/", "%", "&&", "||", "(", "[", "{", "=>", "?", ":", "+=", ".=", "==", "&", "|", "<", ">"}
-
-
-@dataclass
-class Token:
+# Words that open what is no statement of the table.
+LEAVES = {
+    "go": {"type"}, "javascript": {"class", "abstract", "interface", "enum", "debugger", "declare", "namespace"},
+    "php": {"class", "abstract", "final", "interface", "trait", "unset", "static", "use", "namespace", "declare", "exit"},
+}
+# Words that are no names of variables, and that a bracket may follow without being a call.
+RESERVED = {
+    "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var nil true false iota",
+    "python": "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield",
+    "javascript": "async await break case catch class const continue debugger default delete do else export extends false finally for function if import in instanceof let new null of return static super switch this throw true try typeof undefined var void while yield",
+    "php": "abstract and array as break case catch class clone const continue declare default do echo else elseif empty extends final finally fn for foreach function global goto if implements include include_once instanceof insteadof interface list match namespace new or print private protected public require require_once return static switch throw trait try use var while xor yield exit",
+    "java": "assert break case catch class continue default do else finally for if new return switch synchronized throw try while",
+    "c": "break case continue default do else for goto if return sizeof switch while",
+    "rust": "as break const continue else fn for if impl in let loop match mut return struct while",
+}
+RESERVED = {language: frozenset(words.split()) for language, words in RESERVED.items()}
+for table in (WORDS, LEAVES, RESERVED):
+    table["typescript"] = table["javascript"]
+#: Reserved, but a call all the same.
+CALLED = {"javascript": {"super", "import"}, "typescript": {"super", "import"}, "php": {"empty"}}
+
+_STRING = r"|(?P<string>%s`[^`]*`|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*')|(?P<tag><\?php|<\?=|\?>)|(?P<name>%s)|(?P<number>\d[\w.]*)|(?P<line>\n)|(?P<space>\s+)"
+_SIGNS = r"|(?P<sign>\?->|->|::|:=|<-|===|!==|=>|\*\*=?|==|!=|<=|>=|\+\+|--|&&=?|\|\|=?|\?\?=?|\.\.\.|<<=?|>>=?|\?\.|[-+*/%.&|^]=|.)"
+_BLOCK = r"(?P<comment>//[^\n]*|/\*.*?\*/)"
+_PYTHON = r"(?i:[rbuf]{1,2}(?=[\"']))?(?:\"\"\".*?\"\"\"|'''.*?'''|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')|"
+_LEXERS = {
+    "python": re.compile(r"(?P<comment>#[^\n]*)" + _STRING % (_PYTHON, r"[^\W\d]\w*") + _SIGNS, re.S),
+    "php": re.compile(r"(?P<comment>#(?!\[)[^\n]*|//[^\n]*|/\*.*?\*/)" + _STRING % ("", r"\$?\\?[A-Za-z_\x80-\U0010ffff][\w\\]*") + _SIGNS, re.S),
+    "other": re.compile(_BLOCK + _STRING % ("", r"[^\W\d][\w]*|\$[\w$]*") + _SIGNS, re.S),
+}
+OPEN, CLOSE = {"(", "[", "{", "${"}, {")", "]", "}"}
+ASSIGNS = {"=", ":=", "+=", "-=", "*=", "/=", "%=", ".=", "&=", "|=", "^=", "**=", "??=", "||=", "&&=", "<<=", ">>="}
+#: A line that ends so goes on; one that begins so, too.
+GOES_ON = {",", ".", "->", "::", "+", "-", "*", "/", "%", "&&", "||", "(", "[", "{", "=>", "?", ":", "==", "&", "|", "<", ">", "===", "!=", "!==", "??", "?."} | ASSIGNS
+GOES_BACK = {".", "?", ":", "&&", "||", "+", "?.", "??", "=>", "="}
+
+
+class Token(NamedTuple):
     kind: str
     text: str
     start: int
     end: int
+    leaves: int  # tokens that a grammar makes of it
 
 
-@dataclass
 class Node:
-    """A statement: its type, the block it stands in, its span, the spans of child statements, and those children."""
+    """A statement: its type, the block it stands in, its span, and child statements."""
 
-    kind: str
-    block: str
-    start: int
-    end: int
-    children: list[Node] = field(default_factory=list)
-    label: int = 0
+    __slots__ = ("kind", "block", "start", "end", "children", "label", "defined", "test")
+
+    def __init__(self, kind: str, block: str, start: int, end: int, children: list[Node] | None = None):
+        self.kind, self.block, self.start, self.end, self.children, self.label = kind, block, start, end, children or [], 0
+        self.defined: int | None = None  # names it assigns, if the parser knows
+        self.test: tuple[int, int] | None = None  # span of an if's condition
+
+
+def _pieces(body: str, language: str) -> int:
+    """Tokens of a string's inside: escapes, and what stands between them (Python: that only if there are none)."""
+    if not body:
+        return 0
+    escapes = len(re.findall(r"\\.", body, re.S))
+    if language == "python":
+        return escapes or 1
+    return escapes + sum(1 for x in re.split(r"\\.", body, flags=re.S) if x)
+
+
+_HOLES = {"js": re.compile(r"\$\{"), "php": re.compile(r"\{(?=\$)|\$[A-Za-z_]\w*"), "python": re.compile(r"\{\{|\}\}|\{")}
+
+
+def _string(text: str, at: int, language: str) -> Iterator[Token]:
+    """A string's tokens: one, or those of its parts and of the code in its holes."""
+    quote = re.match(r"\w*('''|\"\"\"|.)", text, re.S).group()
+    mark = quote.lstrip("rbufRBUF")
+    holes = None
+    if language in ("javascript", "typescript") and mark == "`" and "${" in text:
+        holes = _HOLES["js"]
+    elif language == "php" and mark == '"' and "$" in text:
+        holes = _HOLES["php"]
+    elif language == "python" and "f" in quote.lower() and "{" in text:
+        holes = _HOLES["python"]
+    end = len(text) - len(mark)
+    if holes is None:
+        yield Token("string", text, at, at + len(text), 2 + _pieces(text[len(quote) : end], language))
+        return
+    i, shown, first = len(quote), 0, quote
+    while True:
+        m = holes.search(text, i, end)
+        while m and m.group() in ("{{", "}}"):
+            m = holes.search(text, m.end(), end)
+        stop = m.start() if m else end
+        yield Token("string", first + text[i:stop] + ("" if m else mark), at + shown, at + (stop if m else len(text)), bool(first) + _pieces(text[i:stop], language) + (m is None))
+        if not m:
+            return
+        first = ""
+        if m.group()[0] == "$" and m.group() != "${":
+            yield Token("name", m.group(), at + stop, at + m.end(), 2)
+            i = shown = m.end()
+            continue
+        depth, j = 1, m.end()
+        while j < end and depth:
+            depth += (text[j] == "{") - (text[j] == "}")
+            j += 1
+        yield Token("hole", m.group(), at + stop, at + m.end(), 1)
+        inner = re.sub(r"(?:![rsa])?(?::[^\[\]()'\"]*)?$", "", text[m.end() : j - 1]) if language == "python" else text[m.end() : j - 1]
+        yield from (t._replace(start=t.start + at + m.end(), end=t.end + at + m.end()) for t in lex(inner, language) if t.kind != "line")
+        yield Token("sign", "}", at + j - 1, at + j, 1)
+        i = shown = j
 
 
 def lex(code: str, language: str) -> list[Token]:
-    """Tokens without space; line ends are kept."""
-    lexer = _LEXERS["hash" if language in ("php", "python") else "slash"]
-    return [Token(m.lastgroup, m.group(), m.start(), m.end()) for m in lexer.finditer(code) if m.lastgroup not in ("space", "comment", "tag")]
+    """Tokens without white space; line ends and comments are kept."""
+    out = []
+    for m in _LEXERS.get(language, _LEXERS["other"]).finditer(code):
+        kind = m.lastgroup
+        if kind == "string":
+            out.extend(_string(m.group(), m.start(), language))
+        elif kind not in ("space", "tag"):
+            text = m.group()
+            out.append(Token(kind, text, m.start(), m.end(), 0 if kind == "line" else 2 if kind == "name" and text[0] == "$" and language == "php" else 1))
+    return out
+
+
+def brackets(tokens: list[Token]) -> dict[int, int]:
+    """Of each bracket, opening or closing, the index of the other."""
+    pairs, stack = {}, []
+    for i, t in enumerate(tokens):
+        if t.text in OPEN and t.kind != "string":
+            stack.append(i)
+        elif t.text in CLOSE and t.kind == "sign" and stack:
+            j = stack.pop()
+            pairs[i], pairs[j] = j, i
+    return pairs
 
 
 class Skeleton:
     """Statements of a bracketed language."""
 
-    def __init__(self, code: str, language: str):
-        self.code, self.language, self.tokens, self.at = code, language, lex(code, language), 0
+    def __init__(self, tokens: list[Token], language: str):
+        self.language, self.tokens, self.at = language, [t for t in tokens if t.kind != "comment"], 0
+        self.words, self.leaves = WORDS[language], LEAVES.get(language, set())
 
     def text(self, ahead: int = 0) -> str:
         i = self.at + ahead
         return self.tokens[i].text if i < len(self.tokens) else ""
 
-    def skip_lines(self) -> None:
-        while self.text() in ("\n", ";"):
+    def skip(self, *what: str) -> None:
+        while self.text() in what:
             self.at += 1
 
     def past(self) -> int:
         """Go past one token, or past a whole bracket; where it ended."""
-        depth = 0
+        depth, end = 0, 0
         while self.at < len(self.tokens):
             t = self.tokens[self.at]
             self.at += 1
-            depth += (t.text in OPEN) - (t.text in CLOSE)
+            depth += (t.text in OPEN and t.kind != "string") - (t.text in CLOSE and t.kind == "sign")
+            end = t.end
             if depth <= 0:
-                return t.end
-        return len(self.code)
+                break
+        return end
 
-    def header(self) -> None:
-        """Go to the brace that opens a body (or, for a body without one, past the bracketed condition)."""
+    def header(self, node: Node) -> None:
+        """Go to the brace that opens a body (or, for a body without one, past the bracketed condition); statements in it are children."""
         if self.text() == "(" and self.language != "go":
+            if self.language in ("javascript", "typescript") and node.kind == "for" and self.text(1) in ("let", "const", "var"):
+                first, mark = self.tokens[self.at + 1], self.at
+                self.at += 1
+                while self.at < len(self.tokens) and self.text() not in (";", ")", "of", "in"):
+                    end = self.past()
+                if self.text() == ";":
+                    node.children.append(Node("assign", node.block, first.start, self.tokens[self.at].end))
+                self.at = mark
             self.past()
-            self.skip_newlines()
+            self.skip("\n")
             return
+        first, start, inits = self.at, self.at, []
         while self.at < len(self.tokens) and self.text() != "{":
+            if self.text() == ";":
+                inits.append((start, self.at))
+                start = self.at + 1
             self.past()
-
-    def skip_newlines(self) -> None:
-        while self.text() == "\n":
-            self.at += 1
+            if self.text() == "{" and self.at > first and self.tokens[self.at - 1].text in ("=", ":=", "range", "[", "]", "struct", "interface") and self.language == "go":
+                self.past()
+        if node.kind in ("if", "switch") and inits and inits[0][0] < inits[0][1]:
+            own = self.tokens[inits[0][0] : inits[0][1]]
+            node.children.append(Node(self.kind("", own), node.block, own[0].start, own[-1].end))
+        if node.kind == "if" and start < self.at:
+            node.test = (self.tokens[start].start, self.tokens[self.at - 1].end)
 
     def body(self, block: str) -> list[Node]:
         """The statements of a braced body, or the one statement that stands for it."""
-        self.skip_newlines()
+        self.skip("\n")
         if self.text() == "{":
             self.at += 1
-            found = self.block(block)
+            found = self.statements(block)
             self.at += 1
             return found
         return self.statement(block)
 
-    def block(self, block: str) -> list[Node]:
+    def statements(self, block: str) -> list[Node]:
         found: list[Node] = []
         while True:
-            self.skip_lines()
+            self.skip("\n", ";")
             if self.at >= len(self.tokens) or self.text() == "}":
                 return found
             before = self.at
@@ -117,159 +240,425 @@ class Skeleton:
 
     def last_end(self) -> int:
         i = self.at - 1
-        while i >= 0 and self.tokens[i].text in ("\n",):
+        while i >= 0 and self.tokens[i].kind == "line":
             i -= 1
         return self.tokens[i].end if i >= 0 else 0
 
     def statement(self, block: str) -> list[Node]:
-        self.skip_lines()
+        self.skip("\n", ";")
         if self.at >= len(self.tokens) or self.text() == "}":
             return []
         first = self.tokens[self.at]
         word = first.text.lower() if self.language == "php" else first.text
+        after = self.text(1)
         if word == "{":
-            self.at += 1
-            found = self.block(block)
-            self.at += 1
-            return found
-        if word in ("case", "default") and block == "switch_case" or word == "default" and self.text(1) == ":":
-            while self.at < len(self.tokens) and self.text() != ":":
+            return self.body(block)
+        if word in ("case", "default") and (block == "switch_case" or after == ":"):
+            while self.at < len(self.tokens) and self.text() not in (":", "}"):
                 self.past()
-            self.at += 1
+            self.at += self.text() == ":"
             return []
-        make = getattr(self, f"_{KEYWORDS.get(word, '')}", None)
-        if word in ("if", "for", "foreach", "while", "do", "switch", "select", "try"):
+        scripted = self.language in ("javascript", "typescript")
+        if first.kind == "name" and after == ":" and (self.language == "go" or scripted) and word not in self.words:
+            node = Node("label", block, first.start, first.end)
+            self.at += 2
+            node.children = self.statement(block)
+        elif word == "export":
+            node = Node("export", block, first.start, first.end)
+            self.at += 1 + (after == "default")
+            node.children = self.statement(block) if self.text() not in ("{", "*") else []
+            while not node.children and self.at < len(self.tokens) and self.text() not in (";", "\n"):
+                self.past()
+            self.at += self.text() == ";"
+        elif word in self.words and KEYWORDS[word] in ("if", "for", "while", "do_while", "switch", "try_catch"):
             node = Node(KEYWORDS[word], block, first.start, first.end)
-            if word == "for" and self.language != "go" and self.text(1) == "await":
-                self.at += 1
-            self.at += 1
-            make(node)
-            node.end = self.last_end()
-            if node.kind == "while" and self.language == "go":
-                node.kind = "for"
-            return [node]
-        if self.is_function():
+            self.at += 1 + (after == "await")
+            getattr(self, f"_{node.kind}")(node)
+        elif self.is_function():
             node = Node("function_def", block, first.start, first.end)
+            starred = any(self.text(i) == "*" for i in range(3))
             while self.at < len(self.tokens) and self.text() != "{":
                 self.past()
             node.children = self.body("function_body")
-            node.end = self.last_end()
-            return [node]
-        return [self.simple(block, word)]
+            if starred:
+                return []
+        elif word in self.leaves and not (word == "static" and after == "::") and not (scripted and after in ("=", ".", "(")):
+            while self.at < len(self.tokens) and self.text() not in (";", "}"):
+                brace = self.text() == "{"
+                self.past()
+                if brace or self.text() == "\n" and self.language != "php" and word not in ("class", "interface"):
+                    break
+            return []
+        else:
+            return [self.simple(block, word)]
+        node.end = self.last_end()
+        return [node]
 
     def is_function(self) -> bool:
         i = 1 if self.text() in ("async", "static") else 0
-        return self.text(i) in ("function", "func", "fn") and self.at + i + 1 < len(self.tokens) and self.tokens[self.at + i + 1].kind == "name"
+        name = i + 1 + (self.text(i + 1) in ("*", "&"))
+        return self.text(i) in ("function", "func", "fn") and self.at + name < len(self.tokens) and self.tokens[self.at + name].kind == "name"
 
     def _if(self, node: Node) -> None:
-        self.header()
-        node.children = self.body("if_true_branch")
-        mark = self.at
-        self.skip_lines() if self.text() == ";" else self.skip_newlines()
-        if self.text() == "else":
-            self.at += 1
-            self.skip_newlines()
-            node.children += self.body("if_false_branch") if self.text() != "if" else self.statement("if_false_branch")
-        elif self.text() == "elseif":
-            inner = Node("if", "if_false_branch", self.tokens[self.at].start, 0)
-            self.at += 1
-            self._if(inner)
-            inner.end = self.last_end()
-            node.children.append(inner)
-        else:
-            self.at = mark
+        self.header(node)
+        node.children += self.body("if_true_branch")
+        while True:
+            mark = self.at
+            self.skip("\n")
+            word = self.text().lower() if self.language == "php" else self.text()
+            if word == "elseif":
+                # a clause of the same if: the further ones, and else, aren't its own
+                inner = Node("if", "if_false_branch", self.tokens[self.at].start, 0)
+                self.at += 1
+                self.header(inner)
+                inner.children += self.body("if_true_branch")
+                inner.end = self.last_end()
+                node.children.append(inner)
+                continue
+            if word == "else":
+                self.at += 1
+                self.skip("\n")
+                node.children += self.statement("if_false_branch") if self.text() == "if" else self.body("if_false_branch")
+            else:
+                self.at = mark
+            return
 
     def _for(self, node: Node) -> None:
-        self.header()
-        node.children = self.body("loop_body")
+        self.header(node)
+        node.children += self.body("loop_body")
 
     _while = _for
 
     def _do_while(self, node: Node) -> None:
         node.children = self.body("loop_body")
-        self.skip_newlines()
+        self.skip("\n")
         if self.text() == "while":
             self.at += 1
             self.past()
+            self.at += self.text() == ";"
 
     def _switch(self, node: Node) -> None:
-        self.header()
-        node.children = self.body("switch_case")
+        self.header(node)
+        node.children += self.body("switch_case")
 
     def _try_catch(self, node: Node) -> None:
         node.children = self.body("try_body")
         while True:
             mark = self.at
-            self.skip_newlines()
-            label = {"catch": "exception_handler", "finally": "finally_block"}.get(self.text())
-            if label is None:
+            self.skip("\n")
+            block = {"catch": "exception_handler", "finally": "finally_block"}.get(self.text())
+            if block is None:
                 self.at = mark
                 return
             self.at += 1
             if self.text() == "(":
                 self.past()
-            node.children += self.body(label)
+            node.children += self.body(block)
 
     def simple(self, block: str, word: str) -> Node:
         """A statement up to its semicolon, or the end of a line that doesn't go on."""
-        first, texts, ended = self.tokens[self.at], [], 0
+        first, own, ended = self.tokens[self.at], self.at, 0
+        lined = self.language in ("go", "javascript", "typescript")
         while self.at < len(self.tokens):
             t = self.tokens[self.at]
-            if t.text == ";" or t.text == "}":
+            if t.text in (";", "}") and t.kind == "sign":
                 break
-            if t.text == "\n":
-                last = self.tokens[self.at - 1].text if texts else ""
-                ahead = next((x.text for x in self.tokens[self.at :] if x.text != "\n"), "")
-                if self.language in ("go", "javascript", "typescript") and last not in GOES_ON and ahead not in (".", "?", ":", "&&", "||", "+"):
+            if t.kind == "line":
+                last = self.tokens[self.at - 1].text if self.at > own else ""
+                ahead = next((x.text for x in self.tokens[self.at :] if x.kind != "line"), "")
+                if lined and last not in GOES_ON and (ahead not in GOES_BACK or self.language == "go"):
                     break
                 self.at += 1
                 continue
-            texts.append(t.text)
             ended = self.past()
-        semicolon = self.text() == ";" and self.language in ("java", "c", "rust", "php", "javascript", "typescript")
+        tokens = [t for t in self.tokens[own : self.at] if t.kind != "line"]
+        semicolon = self.text() == ";" and self.language != "go"
         end = self.tokens[self.at].end if semicolon else ended
         self.at += semicolon
-        return Node(self.kind(word, texts), block, first.start, end)
+        return Node(self.kind(word, tokens), block, first.start, end)
 
-    def kind(self, word: str, texts: list[str]) -> str:
-        if word in KEYWORDS:
+    def kind(self, word: str, own: list[Token]) -> str:
+        if word in self.words:
             return KEYWORDS[word]
-        if any(t in ("=", ":=", "++", "--") or (len(t) == 2 and t[1] == "=" and t[0] in "+-*/%.&|^") for t in texts):
-            return "assign"
-        calls = "(" in texts and texts[0] != "new"
-        if self.language == "go":
-            return "call_expr"
-        return "call_expr" if calls else "expr_stmt"
+        depth, signs = 0, []
+        for t in own:
+            depth += (t.text in OPEN and t.kind != "string") - (t.text in CLOSE and t.kind == "sign")
+            if depth == 0 and t.kind == "sign":
+                signs.append(t.text)
+        go = self.language == "go"
+        if any(x == "=" or go and (x in ASSIGNS or x in ("++", "--")) for x in signs):
+            return "expr_stmt" if "=>" in signs and "=" not in signs[: signs.index("=>")] else "assign"
+        if go:
+            return "send" if "<-" in signs and own[0].text != "<-" else "call_expr"
+        if any(x in ASSIGNS or x in ("++", "--") for x in signs):
+            return "expr_stmt"
+        whole = any(a == own[0].start and b == own[-1].end and not made for a, b, _, made in calls(own, self.language, "".join)) if own and own[-1].text in (")", "`") else False
+        return "call_expr" if whole else "expr_stmt"
+
+
+def calls(own: list[Token], language: str, text_of) -> list[tuple[int, int, str, bool]]:
+    """(start, end, name, made by new) of each call among a statement's tokens; the name is the called expression's text, by text_of (start, end) or the tokens joined."""
+    pairs, reserved, called = brackets(own), RESERVED[language], CALLED.get(language, ())
+    joined = text_of == "".join
+    scripted = language in ("javascript", "typescript")
+
+    def name_of(lo: int, hi: int) -> str:
+        return "" if joined else text_of(own[lo].start, own[hi].end)
+
+    def before(j: int) -> int | None:
+        """The first token of the postfix chain that ends at j."""
+        while True:
+            t = own[j]
+            if t.text in (")", "]", "}") and t.kind == "sign":
+                if j not in pairs:
+                    return None
+                j = pairs[j]
+                if t.text == "}":  # a function's body: back to its keyword
+                    while j >= 0 and own[j].text not in ("func", "function", "=>"):
+                        j = pairs[j] - 1 if own[j].text in (")", "]") and j in pairs else j - 1
+                    return max(j, 0)
+                if j and (own[j - 1].text in (")", "]") or own[j - 1].kind in ("name", "string") and own[j - 1].text not in reserved):
+                    j -= 1
+                    continue
+                return j
+            if j >= 2 and own[j - 1].text in (".", "->", "::", "?.", "?->"):
+                j -= 2
+                continue
+            return j
+
+    found = []
+    for i, t in enumerate(own):
+        if t.text == "new" and scripted and t.kind == "name":
+            j = i + 1
+            while j + 2 < len(own) and own[j + 1].text == ".":
+                j += 2
+            if j < len(own):
+                opened = j + 1 < len(own) and own[j + 1].text == "("
+                found.append((t.start, own[pairs.get(j + 1, j + 1)].end if opened else own[j].end, name_of(i + 1, j), True))
+            continue
+        if t.text != "(" or i == 0 or t.kind == "string":
+            continue
+        last = own[i - 1]
+        if not (last.kind in ("name", "string") and (last.text not in reserved or last.text in called or i > 1 and own[i - 2].text in (".", "->", "?.", "::")) or last.text in (")", "]", "}") and last.kind == "sign"):
+            continue
+        j = before(i - 1)
+        if j is None or own[j].text in reserved and own[j].text not in called and own[j].text not in ("this", "func", "function", "static", "new"):
+            continue
+        if last.text == "}" and own[j].text not in ("func", "function"):
+            continue
+        ahead = own[j - 1].text if j else ""
+        if ahead in ("function", "func", "fn", "def") or ahead == "new" and (language == "php" or before(i - 1) == j and not any(own[k].text in (")", "]") for k in range(j, i))):
+            continue
+        if language == "go" and (ahead == "]" and own[j - 2].text == "[" or own[j].text == "[" and j + 1 in (pairs.get(j), i)):
+            continue
+        close = pairs.get(i, len(own) - 1)
+        if scripted and close + 1 < len(own) and own[close + 1].text == "{" and last.kind == "name" and not ahead:
+            continue
+        if language == "php" and i > 1 and own[i - 2].text == "?->":
+            continue
+        j -= ahead == "new"
+        found.append((own[j].start, own[close].end, name_of(j, i - 1), False))
+    return found
+
+
+class Side:
+    """One version of a method: its tokens, read once, and its statements."""
+
+    def __init__(self, code: str, language: str):
+        self.code, self.language = code, language
+        every = lex(code, language)
+        self.tokens = [t for t in every if t.kind not in ("line", "comment")]
+        self.starts = [t.start for t in self.tokens]
+        counted = [t for t in every if t.leaves]
+        self.counted, self.leaves = [t.start for t in counted], [0]
+        for t in counted:
+            self.leaves.append(self.leaves[-1] + t.leaves)
+        self.lines = [m.start() for m in re.finditer("\n", code)]
+        self.roots = python_nodes(code) if language == "python" else _first_body(every, self.tokens, language)
+
+    def line(self, at: int) -> int:
+        return bisect_left(self.lines, at) + 1
+
+    def n_tokens(self, node: Node) -> int:
+        return self.leaves[bisect_left(self.counted, node.end)] - self.leaves[bisect_left(self.counted, node.start)]
+
+    def own(self, node: Node) -> list[Token]:
+        """The node's tokens without its children's."""
+        out, at = [], node.start
+        for lo, hi in [*sorted((c.start, c.end) for c in node.children), (node.end, node.end)]:
+            if lo > at:
+                out += self.tokens[bisect_left(self.starts, at) : bisect_left(self.starts, lo)]
+            at = max(at, hi)
+        return out
+
+    def own_text(self, node: Node) -> str:
+        """The node's text without its children's: its header, for compound statements."""
+        out, at = [], node.start
+        for child in sorted(node.children, key=lambda n: n.start):
+            out.append(self.code[at : child.start])
+            at = max(at, child.end)
+        return "".join([*out, self.code[at : node.end]])
+
+
+def joins(own: list[Token], language: str) -> bool:
+    """Whether text is joined or filled in: by an operator between two operands, or by a string with holes (PHP: in double quotes, JavaScript: in backticks)."""
+    if language == "python":
+        return any(t.kind == "hole" for t in own)
+    sign, quote = ("." if language == "php" else "+"), {"php": '"', "go": None}.get(language, "`")
+    reserved = RESERVED[language]
+
+    def operand(t: Token) -> bool:
+        return t.kind in ("number", "string") or t.kind == "name" and (t.text not in reserved or t.text in ("this", "null", "nil", "true", "false", "undefined")) or t.text in (")", "]", "}") and t.kind == "sign"
+
+    return any(t.kind == "string" and t.text[0] == quote or t.text == sign and t.kind == "sign" and i and operand(own[i - 1]) for i, t in enumerate(own))
+
+
+def _parts(own: list[Token]) -> list[list[Token]]:
+    """Tokens between commas outside brackets."""
+    out, depth = [[]], 0
+    for t in own:
+        depth += (t.text in OPEN and t.kind != "string") - (t.text in CLOSE and t.kind == "sign")
+        if t.text == "," and depth == 0:
+            out.append([])
+        else:
+            out[-1].append(t)
+    return out
+
+
+def n_defined(kind: str, own: list[Token], language: str) -> int:
+    """Names that an assignment's own tokens give a value."""
+    if kind != "assign" or not own:
+        return 0
+    scripted, word = language in ("javascript", "typescript"), own[0].text
+    if word in ("var", "let", "const") and (scripted or language == "go"):
+        if language == "go":
+            return int(word == "var" and len(own) > 1 and own[1].kind == "name")
+        return sum(1 for part in _parts(own[1:]) if part and part[0].kind == "name")
+    at = next((i for i, t in enumerate(own) if t.text in ASSIGNS and t.kind == "sign"), None)
+    if at is None or word == "const":
+        return 0
+    left = own[:at]
+    if language == "go":
+        return sum(1 for part in _parts(left) if len(part) == 1 and part[0].kind == "name")
+    if scripted:
+        return int(len(left) == 1 and left[0].kind == "name")
+    if len(left) == 1 or len(left) == 3 and left[1].text in ("->", "::"):
+        return sum(1 for t in (left[0], left[-1]) if t.text[0] == "$") if len(left) == 3 else int(left[0].text[0] == "$")
+    if left[0].text in ("[", "list"):
+        return sum(1 for part in _parts(left[1 + (left[0].text == "list") : -1]) if len(part) == 1 and part[0].text[0] == "$")
+    if left[0].text[0] == "$" and left[1].text == "[" and brackets(left).get(1) == len(left) - 1:
+        return 1 + (len(left) == 4 and left[2].text[0] == "$")
+    return 0
+
+
+# TypeScript's own types, which are no names.
+TYPES = {"string", "number", "boolean", "any", "void", "unknown", "never", "object", "symbol", "bigint"}
+
+
+def n_names(own: list[Token], language: str) -> int:
+    """Names of variables, functions and packages among a statement's tokens; fields count in Python alone."""
+    reserved = RESERVED[language]
+    if language == "php":
+        return sum(1 for t in own if t.kind == "name" and t.text[0] == "$")
+    names = [i for i, t in enumerate(own) if t.kind == "name" and t.text not in reserved]
+    if language == "python":
+        return len(names)
+
+    def near(i: int) -> str:
+        return own[i].text if 0 <= i < len(own) else ""
+
+    if language == "go":
+        # types: after a name, a closing square bracket or a star that no operand precedes; of a literal, before its brace
+        typed = {i for i in names if near(i - 1) in (".", "]") or i and own[i - 1].kind == "name" and near(i - 1) not in reserved or near(i - 1) in ("new", "chan", "map") or near(i + 1) == "{" and near(i - 1) in (":=", "=", ",", "(", "&", "return", "[", ":", "*")}
+        return len(names) - len(typed)
+    inside, stack = {}, []
+    for i, t in enumerate(own):
+        if t.text in CLOSE and t.kind == "sign" and stack:
+            stack.pop()
+        inside[i] = stack[-1] if stack else ""
+        if t.text in OPEN and t.kind != "string":
+            stack.append(t.text)
+
+    def field(i: int) -> bool:
+        if near(i - 1) in (".", "?.") or language == "typescript" and own[i].text in TYPES:
+            return True
+        return inside[i] == "{" and near(i - 1) in ("{", ",") and near(i + 1) in (",", "}", ":", "(")
+
+    return sum(1 for i in names if not field(i))
 
 
 # Statement types of Python's syntax tree.
 PYTHON_KINDS = {
     "Assign": "assign", "AugAssign": "assign", "AnnAssign": "assign", "If": "if", "For": "for", "AsyncFor": "for", "While": "while", "Try": "try_catch", "TryStar": "try_catch",
-    "Raise": "throw_raise", "Return": "return", "Break": "break", "Continue": "continue", "FunctionDef": "function_def", "AsyncFunctionDef": "function_def",
+    "With": "with", "AsyncWith": "with", "Raise": "throw_raise", "Return": "return", "Break": "break", "Continue": "continue", "FunctionDef": "function_def", "AsyncFunctionDef": "function_def",
+    "Import": "import", "ImportFrom": "import", "Pass": "pass", "Global": "global", "Nonlocal": "nonlocal", "Assert": "assert", "Delete": "delete",
 }
 
 
-def python_nodes(code: str) -> list[Node] | None:
-    """Statements by Python's own parser; None if it can't read the snippet."""
-    try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError, RecursionError):
-        return None
-    raw, starts = code.encode(), [0]
-    for line in code.splitlines(keepends=True):
-        starts.append(starts[-1] + len(line.encode()))
+def _target(x: ast.expr) -> int:
+    """Names directly in what a Python assignment assigns to."""
+    if isinstance(x, ast.Name):
+        return 1
+    if isinstance(x, ast.Tuple | ast.List):
+        return sum(isinstance(e, ast.Name) for e in x.elts)
+    if isinstance(x, ast.Attribute):
+        return 1 + isinstance(x.value, ast.Name)
+    if isinstance(x, ast.Subscript):
+        return isinstance(x.value, ast.Name) + sum(isinstance(e, ast.Name) for e in (x.slice.elts if isinstance(x.slice, ast.Tuple) else [x.slice]))
+    return 0
+
+
+def _python_tree(code: str) -> tuple[ast.Module, int] | None:
+    """The tree of a snippet, which may be indented, and how many lines stand before it."""
+    for before in ("", "if 1:\n"):
+        try:
+            return ast.parse(before + code), before.count("\n")
+        except (SyntaxError, ValueError, RecursionError):
+            continue
+    return None
+
+
+def python_nodes(code: str) -> list[Node]:
+    """Statements of the first function of Python code, or of all of it, by Python's own parser; lines, if it can't read the snippet."""
+    parsed = _python_tree(code)
+    if parsed is None:
+        return [Node(_line_kind(m.group(1)), "function_body", m.start(1), m.end(1)) for m in re.finditer(r"^[ \t]*([^\s#].*?)[ \t]*$", code, re.M)]
+    tree, skipped = parsed
+    lines, starts = code.splitlines(keepends=True), [0]
+    for line in lines:
+        starts.append(starts[-1] + len(line))
 
     def place(line: int, col: int) -> int:
-        return len(raw[: starts[line - 1] + col].decode(errors="ignore"))
+        line -= skipped + 1
+        if line >= len(lines):
+            return len(code)
+        text = lines[line]
+        return starts[line] + (col if text.isascii() else len(text.encode()[:col].decode(errors="ignore")))
 
     def walk(body: list[ast.stmt], block: str) -> list[Node]:
         found = []
         for s in body:
             name = type(s).__name__
-            kind = PYTHON_KINDS.get(name) or ("call_expr" if name == "Expr" and isinstance(s.value, ast.Call) else "expr_stmt" if name == "Expr" else "other")
+            kind = PYTHON_KINDS.get(name)
+            if name == "Expr":
+                bare = isinstance(s.value, ast.Tuple) and s.value.col_offset == s.value.elts[0].col_offset if isinstance(s.value, ast.Tuple) and s.value.elts else False
+                kind = "call_expr" if isinstance(s.value, ast.Call) else "expression_statement" if bare else "expr_stmt"
+            if kind is None or kind == "function_def" and s.decorator_list:
+                continue  # classes, matches and decorated functions have no rows
             node = Node(kind, block, place(s.lineno, s.col_offset), place(s.end_lineno, s.end_col_offset))
-            if kind == "if":
-                node.children = walk(s.body, "if_true_branch") + walk(s.orelse, "if_false_branch")
+            if kind == "assign":
+                node.defined = _target(s.targets[0] if name == "Assign" else s.target)
+            elif kind == "if":
+                node.children = walk(s.body, "if_true_branch")
+                rest = s.orelse
+                while len(rest) == 1 and isinstance(rest[0], ast.If) and code.startswith("elif", place(rest[0].lineno, rest[0].col_offset)):
+                    # a clause of the same if: the further ones, and else, aren't its own
+                    clause = rest[0]
+                    inner = Node("if", "if_false_branch", place(clause.lineno, clause.col_offset), place(clause.body[-1].end_lineno, clause.body[-1].end_col_offset))
+                    inner.children = walk(clause.body, "if_true_branch")
+                    node.children.append(inner)
+                    rest = clause.orelse
+                node.children += walk(rest, "if_false_branch")
             elif kind in ("for", "while"):
                 node.children = walk(s.body, "loop_body") + walk(s.orelse, "loop_else_branch")
             elif kind == "try_catch":
@@ -277,81 +666,76 @@ def python_nodes(code: str) -> list[Node] | None:
                 node.children += walk(s.orelse, "try_else_branch") + walk(s.finalbody, "finally_block")
             elif kind == "function_def":
                 node.children = walk(s.body, "function_body")
-            elif name in ("With", "AsyncWith"):
+            elif kind == "with":
                 node.children = walk(s.body, "with_body")
             found.append(node)
         return found
 
-    return walk(tree.body, "function_body")
-
-
-def nodes(code: str, language: str) -> list[Node]:
-    """The statements of the first function of code, or of all of it if there is none."""
-    if language == "python":
-        roots = python_nodes(code)
-        if roots is None:
-            roots = [Node("other", "function_body", m.start(1), m.end(1)) for m in re.finditer(r"^[ \t]*(\S.*?)\s*$", code, re.M)]
-    else:
-        roots = Skeleton(*body_of(code, language)).block("function_body")
-    if len(roots) == 1 and roots[0].kind == "function_def":
-        return roots[0].children
-    first = next((r for r in roots if r.kind == "function_def"), None)
-    return first.children if first else roots
-
-
-def body_of(code: str, language: str) -> tuple[str, str]:
-    """code with everything but the first method's body blanked, where the language has methods that no keyword opens."""
-    if language in ("java", "c", "rust", "typescript", "javascript", "go", "php"):
-        spans = method_spans(code, language)
-        if spans:
-            start, end = spans[0]
-            open_at = next((t.start for t in lex(code, language) if start <= t.start < end and t.text == "{" and _opens_body(code, language, t.start, start)), None)
-            if open_at is not None:
-                blank = "".join(c if c == "\n" else " " for c in code[: open_at + 1])
-                return blank + code[open_at + 1 : end - 1], language
-    return code, language
-
-
-def _opens_body(code: str, language: str, brace: int, start: int) -> bool:
-    """Whether the brackets between start and brace are all closed."""
-    depth = 0
-    for t in lex(code[start:brace], language):
-        depth += (t.text in OPEN) - (t.text in CLOSE)
-    return depth == 0
+    body = tree.body[0].body if skipped else tree.body
+    todo = list(body)
+    while todo:
+        s = todo.pop(0)
+        if isinstance(s, ast.FunctionDef | ast.AsyncFunctionDef):
+            return walk(s.body, "function_body")
+        todo = [x for x in ast.iter_child_nodes(s) if isinstance(x, ast.stmt | ast.ExceptHandler)] + todo
+    return walk(body, "function_body")
+
+
+def _line_kind(line: str) -> str:
+    """The type of a line of Python that its parser can't read."""
+    word = re.match(r"\w*", line).group()
+    known = {"if": "if", "elif": "if", "for": "for", "while": "while", "try": "try_catch", "with": "with", "return": "return", "raise": "throw_raise", "import": "import", "from": "import"}
+    plain = {w: w for w in ("break", "continue", "pass", "global", "nonlocal", "assert")} | {"del": "delete", "def": "function_def"}
+    if kind := (known | plain).get(word):
+        return kind
+    return "assign" if re.search(r"(?<![=!<>])=(?!=)", re.sub(r"\(.*\)", "()", line)) else "call_expr" if re.fullmatch(r"[\w.]+\(.*\)", line) else "expr_stmt"
+
+
+def _first_body(every: list[Token], tokens: list[Token], language: str) -> list[Node]:
+    """The statements of the first function, or of all the code if it has none."""
+    found = functions(tokens, language)
+    first = min(found, default=None)
+    if language in ("javascript", "typescript"):
+        arrow = next((i for i, t in enumerate(tokens) if t.text == "=>" and i + 1 < len(tokens) and tokens[i + 1].text != "{"), None)
+        if arrow is not None and (first is None or arrow < first[0]):
+            return []  # the first function's body is an expression
+    if first is not None:
+        start, end = tokens[first[1]].end, tokens[first[2]].start
+        every = [t for t in every if start <= t.start < end]
+    return Skeleton(every, language).statements("function_body")
+
+
+def functions(tokens: list[Token], language: str) -> list[tuple[int, int, int]]:
+    """(first token, opening brace, closing brace) of the function-like constructs of a bracketed language."""
+    pairs, out = brackets(tokens), []
+    for i, t in enumerate(tokens):
+        if t.text == "{" and t.kind == "sign" and i in pairs:
+            head = _head(tokens, i, language)
+            if head is not None:
+                out.append((head, i, pairs[i]))
+    return out
 
 
 def method_spans(code: str, language: str) -> list[tuple[int, int]]:
     """Spans of the function-like constructs, outermost only (Java: nested ones as well)."""
-    tokens = [t for t in lex(code, language) if t.text != "\n"]
     if language == "python":
-        try:
-            tree = ast.parse(textwrap.dedent(code))
-        except (SyntaxError, ValueError, RecursionError):
+        parsed = _python_tree(code)
+        if parsed is None:
             return []
-        lines = [0]
+        (tree, skipped), lines = parsed, [0]
         for line in code.splitlines(keepends=True):
             lines.append(lines[-1] + len(line))
-        top, stack = [], [tree]
+        top, stack = [], list(tree.body[0].body if skipped else tree.body)
         while stack:
             n = stack.pop(0)
             if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef):
-                top.append((lines[n.lineno - 1], lines[n.end_lineno] if n.end_lineno < len(lines) else len(code)))
+                last = n.end_lineno - skipped
+                top.append((lines[n.lineno - skipped - 1], lines[last] if last < len(lines) else len(code)))
             else:
                 stack = list(ast.iter_child_nodes(n)) + stack
         return top
-    pairs, stack = {}, []
-    for i, t in enumerate(tokens):
-        if t.text in OPEN:
-            stack.append(i)
-        elif t.text in CLOSE and stack:
-            pairs[stack.pop()] = i
-    found = []
-    for i, t in enumerate(tokens):
-        if t.text != "{" or i not in pairs:
-            continue
-        head = _head(tokens, i, language)
-        if head is not None:
-            found.append((tokens[head].start, tokens[pairs[i]].end))
+    tokens = [t for t in lex(code, language) if t.kind not in ("line", "comment")]
+    found = [(tokens[head].start, tokens[close].end) for head, _, close in functions(tokens, language)]
     if language == "java":
         return sorted(found)
     outer = []
@@ -378,7 +762,12 @@ def _head(tokens: list[Token], brace: int, language: str) -> int | None:
             if depth == 0 and text == "(":
                 bracket = i
         if depth == 0 and keyword and text == keyword:
-            return _with_modifiers(tokens, i) if tokens[i + 1].kind == "name" or language == "go" and tokens[i + 1].text == "(" else None
+            named = i + 1
+            if language == "go" and tokens[named].text == "(":  # a receiver; without a name after it, a literal
+                while tokens[named].text != ")" and named < brace:
+                    named += 1
+                named += 1
+            return _with_modifiers(tokens, i) if tokens[named].kind == "name" and tokens[named + 1].text in ("(", "[", "<") else None
         if depth == 0 and language in ("javascript", "typescript") and text == "function":
             return _with_modifiers(tokens, i)
         i -= 1
@@ -387,7 +776,7 @@ def _head(tokens: list[Token], brace: int, language: str) -> int | None:
     if tokens[brace - 1].text == "=>":
         return bracket
     name = tokens[bracket - 1]
-    if name.kind != "name" or name.text in NOT_CALLS or name.text == "new":
+    if name.kind != "name" or name.text in RESERVED[language] or name.text == "new":
         return None
     if language in ("java", "c") and not (bracket >= 2 and (tokens[bracket - 2].kind == "name" or tokens[bracket - 2].text in ("*", ">", "]", "&")) and tokens[bracket - 2].text not in ("new", "return", "else")):
         return None if language == "c" or bracket >= 2 and tokens[bracket - 2].text not in ("{", "}", ";") else bracket - 1
@@ -408,27 +797,9 @@ def methods(code: str, language: str) -> list[str]:
 def statements(code: str, language: str) -> list[str]:
     """Texts of the top-level statements of the first function, or of the snippet; the whole snippet if there are none."""
     code = code.strip()
-    if language == "python":
-        code = textwrap.dedent(code)
-    return [t for n in nodes(code, language) if (t := code[n.start : n.end].strip())] or ([code] if code else [])
+    return [t for n in Side(code, language).roots if (t := code[n.start : n.end].strip())] or ([code] if code else [])
 
 
-def calls(code: str, language: str) -> list[tuple[int, int, str]]:
-    """(start, end, name) of each call: a dotted name and its brackets."""
-    tokens = [t for t in lex(code, language) if t.text != "\n"]
-    found, stack, ends = [], [], {}
-    for i, t in enumerate(tokens):
-        if t.text in OPEN:
-            stack.append(i)
-        elif t.text in CLOSE and stack:
-            ends[stack.pop()] = t.end
-    for i, t in enumerate(tokens):
-        if t.text != "(" or i == 0 or tokens[i - 1].kind != "name" or tokens[i - 1].text in NOT_CALLS:
-            continue
-        j = i - 1
-        while j >= 2 and tokens[j - 1].text in (".", "->", "::") and (tokens[j - 2].kind == "name" or tokens[j - 2].text == ")"):
-            if tokens[j - 2].text == ")":
-                break
-            j -= 2
-        found.append((tokens[j].start, ends.get(i, t.end), code[tokens[j].start : tokens[i - 1].end].replace("\n", "")))
-    return found
+def nodes(code: str, language: str) -> list[Node]:
+    """The statements of the first function of code, or of all of it if there is none."""
+    return Side(code, language).roots

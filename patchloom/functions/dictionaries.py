@@ -56,19 +56,24 @@ SANITIZERS = {
     "php": ("htmlspecialchars", "filter_var", "mysqli_real_escape_string"),
 }
 
-# Calls that format text (the last is by suffix), and the operator that joins it.
+# Calls that format text, exact and by suffix.
 FORMATS = {
     "go": (("fmt.Sprintf", "fmt.Sprint", "fmt.Sprintln", "fmt.Errorf"), ()),
     "python": ((), (".format",)),
     "javascript": ((), ()),
     "php": (("sprintf", "vsprintf"), ()),
 }
-JOINS = {"go": "+", "python": "+", "javascript": "+", "php": "."}
 
 # First parts of standard library names.
 STDLIB = {
-    "go": ("bufio", "bytes", "context", "crypto", "encoding", "errors", "exec", "filepath", "fmt", "http", "io", "ioutil", "json", "log", "os", "path", "regexp", "sort", "strconv", "strings", "sync", "template", "time", "url"),
-    "python": ("base64", "collections", "datetime", "functools", "hashlib", "io", "itertools", "json", "logging", "math", "os", "pathlib", "pickle", "random", "re", "shutil", "socket", "subprocess", "sys", "tempfile", "time", "urllib"),
-    "javascript": ("Array", "Buffer", "Date", "JSON", "Math", "Number", "Object", "Promise", "String", "child_process", "console", "crypto", "fs", "http", "path", "process", "url"),
+    "go": (
+        "fmt", "os", "io", "ioutil", "net", "http", "strings", "strconv", "time", "context", "errors", "sync", "bytes", "encoding", "json", "sql", "exec", "regexp", "path", "filepath",
+        "log", "reflect", "sort", "gob",
+    ),
+    "python": (
+        "os", "sys", "re", "json", "subprocess", "io", "time", "itertools", "collections", "typing", "pathlib", "shutil", "urllib", "http", "socket", "pickle", "logging", "functools",
+        "hashlib", "shlex", "glob",
+    ),
+    "javascript": ("JSON", "Math", "console", "fs", "path", "http", "https", "crypto", "util"),
     "php": (),
 }

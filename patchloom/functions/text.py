@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -96,11 +97,16 @@ def call_target_kind(name: Column, language: str) -> Column:
 
 def only_literals(n_used: Column, n_calls: Column, kind: Column) -> Column:
     """Calls or assignments that use no variable."""
-    return (n_used == 0) & ((n_calls > 0) | (kind == "assign")) & ~kind.isin("break", "continue", "other")
+    return (n_used == 0) & ((n_calls > 0) | (kind == "assign")) & ~kind.isin("pass", "break", "continue", "fallthrough", "goto", "label", "import", "global", "nonlocal")
+
+
+def output_text(raw: Column, kind: Column, language: Column) -> Column:
+    """Output that is no call: PHP's echo, JavaScript's .innerHTML."""
+    return (kind == "echo") | language.isin("javascript", "typescript") & raw.contains(".innerHTML")
 
 
 def is_compound(n_children: Column, kind: Column) -> Column:
-    return (n_children > 0) | kind.isin("if", "for", "while", "do_while", "switch", "try_catch", "function_def")
+    return (n_children > 0) | kind.isin("if", "for", "while", "do_while", "switch", "try_catch", "function_def", "with")
 
 
 def cyclomatic(kind: Column) -> Column:
@@ -113,9 +119,13 @@ def row_index_of(statement_id: Column) -> Column:
     return F.try_element_at(found, F.lit(-1)).cast("long")
 
 
+#: A lone method that starts with a modifier; TypeScript reads it inside a class, whose first line counts.
+ISOLATED = re.compile(r"\s*(private|public|protected|readonly|static) ")
+
+
 def wrap_method(code: Column) -> Column:
     """A class around a lone method that starts with a modifier, for languages whose methods need one."""
-    return F.when(F.ltrim(code).rlike(r"^(private|public|protected|readonly|static) "), F.concat(F.lit("class _ {\n"), code, F.lit("\n}"))).otherwise(code)
+    return F.when(code.rlike("^" + ISOLATED.pattern), F.concat(F.lit("class _ {\n"), code, F.lit("\n}"))).otherwise(code)
 
 
 def pair_strict(v: Column, f: Column) -> tuple[Column, Column]:

@@ -1,13 +1,14 @@
 """The features pipeline: code pairs to a flat table of labelled statements.
 
-One parse of each side gives the statements of both; everything that can be told from a row's own
-columns (sink flags, target kind, structure, ids) is a column expression on top.
+A worker reads each side's tokens once and gives a struct a statement, with the places of its
+ancestors. Everything that ancestors or a row's own columns tell (depth, guards, handlers,
+sanitizers, sink flags, target kind, ids) is an expression on top.
 """
 
 from __future__ import annotations
 
 import re
-import textwrap
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from patchloom.functions import code as C
 from patchloom.functions import text as T
-from patchloom.functions.dictionaries import FORMATS, JOINS, SANITIZERS, SINKS
+from patchloom.functions.dictionaries import FORMATS, SANITIZERS, SINKS
 
 #: Languages with dictionaries; TypeScript is read as JavaScript.
 LANGUAGES = ("go", "python", "javascript", "php", "typescript")
@@ -29,36 +30,31 @@ COLUMNS = (
     "num_variables_used", "uses_only_literals", "guard_count", "inside_error_handler", "is_error_handling_statement", "sanitization_call_detected", "is_compound", "num_direct_children",
     "cyclomatic_contribution", "label",
 )
+#: What a worker tells of a statement; path has the places of its ancestors among the pair's statements, outermost first.
 STATEMENT = (
-    "origin string, seq int, parent int, depth int, kind string, block string, first int, last int, raw string, tokens int, calls array<string>, top string, joins boolean, "
-    "defined int, used int, guards int, in_handler boolean, handles boolean, sanitized boolean, children int, label int"
+    "origin string, seq int, path array<int>, kind string, block string, first int, last int, raw string, tokens int, calls array<string>, n_calls int, top string, joins boolean, "
+    "defined int, used int, guard boolean, children int, label int"
 )
+NAMES = [x.split(" ")[0] for x in STATEMENT.split(", ")]
+# Fixed value: the left side of Go's error check.
+ERROR_CHECK = re.compile(r"(?:[^&|=!<>]*\b)?err\w*\s*!=\s*nil", re.I)
 
 
 def _squeeze(x: str) -> str:
     return re.sub(r"\s+", " ", x).strip()
 
 
-def own_text(code: str, node: C.Node) -> str:
-    """The node's text without its children's: its header, for compound statements."""
-    out, at = [], node.start
-    for child in sorted(node.children, key=lambda n: n.start):
-        out.append(code[at : child.start])
-        at = max(at, child.end)
-    return "".join([*out, code[at : node.end]])
-
-
 def _mark(nodes: list[C.Node]) -> None:
     for n in nodes:
         n.label = 1
         _mark(n.children)
 
 
-def label(v: list[C.Node], f: list[C.Node], v_code: str, f_code: str) -> None:
+def label(v: list[C.Node], f: list[C.Node], v_side: C.Side, f_side: C.Side) -> None:
     """Label the vulnerable statements that the fix changed: 1 for changed headers, replaced and deleted statements; 0 for equal and moved ones."""
     if not v:
         return
-    vs, fs = ([_squeeze(code[n.start : n.end]) for n in nodes] for code, nodes in ((v_code, v), (f_code, f)))
+    vs, fs = ([_squeeze(side.code[n.start : n.end]) for n in nodes] for side, nodes in ((v_side, v), (f_side, f)))
     codes = SequenceMatcher(None, vs, fs).get_opcodes()
     moved: dict[str, int] = {}
     for tag, _, _, c, d in codes:
@@ -71,8 +67,8 @@ def label(v: list[C.Node], f: list[C.Node], v_code: str, f_code: str) -> None:
                 if x.kind != y.kind:
                     _mark([x])
                     continue
-                x.label = int(_squeeze(own_text(v_code, x)) != _squeeze(own_text(f_code, y)))
-                label(x.children, y.children, v_code, f_code)
+                x.label = int(_squeeze(v_side.own_text(x)) != _squeeze(f_side.own_text(y)))
+                label(x.children, y.children, v_side, f_side)
         elif tag == "replace":
             _mark(v[a:b])
         elif tag == "delete":
@@ -83,81 +79,54 @@ def label(v: list[C.Node], f: list[C.Node], v_code: str, f_code: str) -> None:
                     _mark([x])
 
 
-def _defined(own: str, language: str) -> list[str]:
-    """Names that the statement's own text assigns."""
-    tokens = [t for t in C.lex(own, language) if t.text != "\n"]
-    depth, found = 0, []
-    for i, t in enumerate(tokens):
-        depth += (t.text in C.OPEN) - (t.text in C.CLOSE)
-        if depth == 0 and (t.text in ("=", ":=", "++", "--") or len(t.text) == 2 and t.text[1] == "=" and t.text[0] in "+-*/%.&|^"):
-            found += [x.text for j, x in enumerate(tokens[:i]) if x.kind == "name" and x.text not in C.KEYWORDS and (j == 0 or tokens[j - 1].text not in (".", "->", "::"))]
-            break
-    return list(dict.fromkeys(found))
-
-
-def _rows(code: str, roots: list[C.Node], language: str, origin: str, labelled: bool) -> list[tuple]:
-    """One row a statement, parents first, with what only its text and its ancestors tell."""
-    dictionary = "javascript" if language == "typescript" else language
-    exact, suffix = FORMATS[dictionary]
-    out: list[tuple] = []
-
-    def walk(node: C.Node, parent: int | None, kind_above: str | None, depth: int, guards: int, handled: bool, clean: bool) -> None:
-        seq = len(out) + 1
-        own = own_text(code, node)
-        calls = C.calls(own, language)
-        names = [n for _, _, n in calls]
-        outer = next((n for a, b, n in calls if not any(x <= a and b <= y and (x, y) != (a, b) for x, y, _ in calls)), "")
-        tokens = C.lex(own, language)
-        has_string = any(t.kind == "string" for t in tokens)
-        interpolated = any(t.kind == "string" and (t.text[0] == "`" and "${" in t.text or language == "php" and t.text[0] == '"' and "$" in t.text) for t in tokens) or (
-            language == "python" and re.search(r"\bf[\"']", own) is not None
-        )
-        joins = interpolated or has_string and any(t.text == JOINS[dictionary] for t in tokens) or any(n in exact or n.endswith(suffix) for n in names if exact or suffix)
-        defined = _defined(own, language)
-        words = [t.text for t in tokens if t.kind == "name" and t.text not in C.KEYWORDS and (language != "php" or t.text[0] == "$")]
-        used = len(words) - sum(1 for d in defined if d in words)
-        handled = handled or node.block == "exception_handler" and parent is not None
-        clean = clean or any(n in SANITIZERS[dictionary] for n in names)
-        text = code[node.start : node.end]
-        first = code.count("\n", 0, node.start) + 1
-        out.append((
-            origin, seq, parent, depth, node.kind, node.block, first, first + text.count("\n"), text, sum(t.text != "\n" for t in C.lex(text, language)), names, outer, bool(joins),
-            len(defined), used, guards, handled, kind_above == "try_catch" and node.block == "exception_handler", clean, len(node.children), node.label if labelled else 0,
-        ))
-        go_error = language == "go" and node.kind == "if" and re.search(r"\w*[eE]rr\w*\s*!=\s*nil", own) is not None
-        for child in node.children:
-            walk(child, seq, node.kind, depth + 1, guards + (node.kind == "if"), handled or go_error and child.block == "if_true_branch", clean)
-
-    for root in roots:
-        walk(root, None, None, 0, 0, False, False)
-    return out
+def _rows(side: C.Side, origin: str, first: int, labelled: bool) -> Iterator[tuple]:
+    """A row a statement, parents first; first is the place of the first among the pair's."""
+    code, language, at = side.code, side.language, 0
+    shift = 1 if language == "typescript" and T.ISOLATED.match(code) else 0
+
+    def walk(node: C.Node, path: list[int]) -> Iterator[tuple]:
+        nonlocal at
+        at += 1
+        place = first + at
+        own = side.own(node)
+        calls = C.calls(own, language, lambda a, b: code[a:b]) if any(t.text in ("(", "new") for t in own) else []
+        outer = [c for c in calls if not any(x is not c and x[0] <= c[0] and c[1] <= x[1] for x in calls)]
+        top = min(outer, default=None)
+        defined = C.n_defined(node.kind, own, language) if node.defined is None else node.defined
+        guard = language == "go" and node.test is not None and ERROR_CHECK.fullmatch(code[slice(*node.test)]) is not None
+        yield (
+            origin, at, path, node.kind, node.block, side.line(node.start) + shift, side.line(node.end) + shift, code[node.start : node.end], side.n_tokens(node), [c[2] for c in calls if c[2]], len(calls), top[2] if top else "",
+            C.joins(own, language), defined, C.n_names(own, language) - defined, guard, len(node.children), node.label if labelled else 0,
+        )
+        for child in sorted(node.children, key=lambda n: n.start):
+            yield from walk(child, [*path, place])
+
+    for root in side.roots:
+        yield from walk(root, [])
 
 
 def statements_of(vulnerable: str, fixed: str | None, language: str) -> list[tuple]:
     """Rows of both versions of one method; of the vulnerable one alone, as unchanged, if the two are the same."""
-    clean = textwrap.dedent if language == "python" else (lambda x: x)
-    v = clean(vulnerable)
-    v_nodes = C.nodes(v, language)
+    v = C.Side(vulnerable, language)
     if not (fixed and fixed.strip()):
-        _mark(v_nodes)
-        return _rows(v, v_nodes, language, "vulnerable", True)
+        _mark(v.roots)
+        return list(_rows(v, "vulnerable", 0, True))
     if vulnerable.strip() == fixed.strip():
-        return _rows(v, v_nodes, language, "unchanged", False)
-    f = clean(fixed)
-    f_nodes = C.nodes(f, language)
-    label(v_nodes, f_nodes, v, f)
-    return _rows(v, v_nodes, language, "vulnerable", True) + _rows(f, f_nodes, language, "fixed", False)
+        return list(_rows(v, "unchanged", 0, False))
+    f = C.Side(fixed, language)
+    label(v.roots, f.roots, v, f)
+    rows = list(_rows(v, "vulnerable", 0, True))
+    return rows + list(_rows(f, "fixed", len(rows), False))
 
 
 def parsed(pairs: DataFrame) -> DataFrame:
     """pairs with _language and _s, a struct for each statement; null where the code can't be worked on."""
-    names = [x.split(" ")[0] for x in STATEMENT.split(", ")]
 
     @F.pandas_udf(f"array<struct<{','.join(x.replace(' ', ':', 1) for x in STATEMENT.split(', '))}>>")
     def of_pair(vs: pd.Series, fs: pd.Series, languages: pd.Series) -> pd.Series:
         def one(v: str, f: str | None, language: str) -> list[dict] | None:
             try:
-                return [dict(zip(names, row)) for row in statements_of(v, f, language)]
+                return [dict(zip(NAMES, row)) for row in statements_of(v, f, language)]
             except (IndexError, ValueError, RecursionError):
                 return None
 
@@ -176,49 +145,101 @@ def _by_language(language: Column, of) -> Column:
     return out
 
 
+def _placed(s: Column) -> Column:
+    """Each statement of s, a pair's, with what its ancestors tell: depth, above (the lines and number of its parent), guards, in_handler, handles and sanitized.
+
+    path has places in s, so each ancestor is looked up, never searched for. _clean says of each
+    statement whether it calls a sanitizer.
+    """
+
+    def of(x: Column, i: Column) -> Column:
+        path = x["path"]
+        nested = F.size(path) > 0
+
+        def at(place: Column) -> Column:
+            return F.get(s, place - 1)
+
+        def handles(p: Column, k: Column) -> Column:
+            below = at(F.coalesce(F.get(path, k + 1), i + 1))  # the next one on the way to x
+            return (below["block"] == "exception_handler") | (below["block"] == "if_true_branch") & at(p)["guard"]
+
+        parent = at(F.element_at(path, -1))
+        return F.struct(
+            *[x[name].alias(name) for name in NAMES], F.size(path).alias("depth"),
+            F.when(nested, F.struct(parent["first"].alias("first"), parent["last"].alias("last"), parent["seq"].alias("seq"))).alias("above"),
+            F.size(F.filter(path, lambda p: at(p)["kind"] == "if")).alias("guards"), F.exists(F.transform(path, handles), lambda h: h).alias("in_handler"),
+            F.when(nested, (parent["kind"] == "try_catch") & (x["block"] == "exception_handler")).otherwise(False).alias("handles"),
+            (F.get(F.col("_clean"), i) | F.exists(path, lambda p: F.get(F.col("_clean"), p - 1))).alias("sanitized"),
+        )
+
+    return F.transform(s, of)
+
+
 def features(pairs: DataFrame) -> DataFrame:
     """The statement table: COLUMNS for each statement of each pair of a language with dictionaries.
 
     pairs needs row_index; other missing columns count as null. Pairs without vulnerable code, and
     those whose code can't be parsed, give no rows.
     """
+    return table_of(parsed(pairs))
+
+
+def table_of(parsed_pairs: DataFrame) -> DataFrame:
+    """features() of pairs that parsed() has gone over."""
+    rows = parsed_pairs
     for c in ("cve_id", "vulnerability_type", "commit_hash", "repo", "file", "method"):
-        if c not in pairs.columns:
-            pairs = pairs.withColumn(c, F.lit(None).cast("string"))
-    rows = parsed(pairs).withColumn("s", F.explode("_s"))
-    prefix = F.concat_ws(":", T.or_empty(F.col("repo")), T.or_empty(F.col("file")), T.or_empty(F.col("method")), F.col("row_index").cast("string"), F.col("s.origin"))
-    rows = rows.select("*", "s.*", prefix.alias("_prefix"))
-    spans = F.transform("_s", lambda x: F.struct(x["origin"].alias("o"), x["seq"].alias("q"), x["first"].alias("a"), x["last"].alias("b")))
-    above = F.filter(spans, lambda x: (x["o"] == F.col("origin")) & (x["q"] == F.col("parent")))[0]
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast("string"))
+    language = F.col("_language")
+
+    def cleans(calls: Column, name: str) -> Column:
+        return F.exists(calls, lambda n: T.matches(n, SANITIZERS[name], (), ()))
+
+    meta = [T.or_empty(F.col(c)).alias(c) for c in ("cve_id", "vulnerability_type", "commit_hash", "repo", "file", "method")]
+    rows = rows.select("_s", "_language", F.col("row_index").cast("string").alias("_row"), *meta, F.transform("_s", lambda x: _by_language(language, lambda name: cleans(x["calls"], name))).alias("_clean"))
+    rows = rows.select("_language", "_row", *[m for m in ("cve_id", "vulnerability_type", "commit_hash", "repo", "file", "method")], F.inline(_placed(F.col("_s"))))
+    prefix = F.concat_ws(":", "repo", "file", "method", "_row", "origin")
 
     def identity(first: Column, last: Column, seq: Column) -> Column:
-        return F.concat(F.col("_prefix"), F.lit(":"), first, F.lit("-"), last, F.lit("#"), seq)
+        return F.concat(prefix, F.lit(":"), first, F.lit("-"), last, F.lit("#"), seq)
 
-    language = F.col("_language")
     flags = {flag: _by_language(language, lambda name, flag=flag: T.sink_flags(F.col("calls"), name)[flag]) for flag in FLAGS}
-    flags["is_output_render"] = flags["is_output_render"] | ((language == "php") & F.lower(F.ltrim("raw")).startswith("echo")) | (language.isin("javascript", "typescript") & F.col("raw").contains(".innerHTML"))
+    flags["is_output_render"] = flags["is_output_render"] | T.output_text(F.col("raw"), F.col("kind"), language)
+    formats = _by_language(language, lambda name: F.exists("calls", lambda n: T.matches(n, *FORMATS[name], ())))
     made = {
-        "vulnerability_type": F.when(F.col("origin") == "vulnerable", T.or_empty(F.col("vulnerability_type"))).otherwise("none"),
+        "vulnerability_type": F.when(F.col("origin") == "vulnerable", F.col("vulnerability_type")).otherwise("none"),
         "statement_id": identity(F.col("first"), F.col("last"), F.col("seq")),
-        "parent_statement_id": F.when(F.col("parent").isNotNull(), identity(above["a"], above["b"], above["q"])),
+        "parent_statement_id": F.when(F.col("above").isNotNull(), identity(F.col("above.first"), F.col("above.last"), F.col("above.seq"))),
         "nesting_depth": F.col("depth"), "statement_type": F.col("kind"), "parent_block_type": F.col("block"),
-        "repo_name": T.or_empty(F.col("repo")), "file_path": T.or_empty(F.col("file")), "function_name": T.or_empty(F.col("method")), "language": language,
+        "repo_name": F.col("repo"), "file_path": F.col("file"), "function_name": F.col("method"), "language": language,
         "line_start": F.col("first"), "line_end": F.col("last"), "num_source_lines": F.col("last") - F.col("first") + 1,
-        "raw_text": F.col("raw"), "token_count": F.col("tokens"), "char_length": F.char_length("raw"), "num_calls": F.size("calls"),
+        "raw_text": F.col("raw"), "token_count": F.col("tokens"), "char_length": F.char_length("raw"), "num_calls": F.col("n_calls"),
         "top_level_call_name": F.col("top"), "call_target_kind": _by_language(language, lambda name: T.call_target_kind(F.col("top"), name)),
-        **flags, "uses_string_concat_or_format": F.col("joins"), "num_variables_defined": F.col("defined"), "num_variables_used": F.col("used"),
-        "uses_only_literals": T.only_literals(F.col("used"), F.size("calls"), F.col("kind")), "guard_count": F.col("guards"), "inside_error_handler": F.col("in_handler"),
+        **flags, "uses_string_concat_or_format": F.col("joins") | formats, "num_variables_defined": F.col("defined"), "num_variables_used": F.col("used"),
+        "uses_only_literals": T.only_literals(F.col("used"), F.col("n_calls"), F.col("kind")), "guard_count": F.col("guards"), "inside_error_handler": F.col("in_handler"),
         "is_error_handling_statement": F.col("handles"), "sanitization_call_detected": F.col("sanitized"), "is_compound": T.is_compound(F.col("children"), F.col("kind")),
         "num_direct_children": F.col("children"), "cyclomatic_contribution": T.cyclomatic(F.col("kind")), "label": F.col("label"),
     }
-    same = {c: T.or_empty(F.col(c)) for c in ("cve_id", "commit_hash", "repo")} | {"origin": F.col("origin")}
-    every = made | same
-    return rows.select(*[every[c].alias(c) for c in COLUMNS])
+    return rows.select(*[made.get(c, F.col(c)).alias(c) for c in COLUMNS])
 
 
-def counters(pairs: DataFrame) -> DataFrame:
-    """One row: rows in, skipped for their language, for missing code, and those that couldn't be parsed."""
+def counters(pairs: DataFrame, parsed_pairs: DataFrame | None = None) -> DataFrame:
+    """One row of the nine counters: rows in and out, positive labels, rows of each origin, and rows skipped for their language, for missing code, or because they couldn't be parsed.
+
+    parsed_pairs, if parsed() has gone over pairs already (and is kept), saves a second parse.
+    """
     language = T.resolve_language(F.col("language"))
     known = F.coalesce(language.isin(*LANGUAGES), F.lit(False))
-    seen = pairs.agg(F.count("*").alias("total_rows"), F.count_if(~known).alias("skipped_language"), F.count_if(known & ~T.has_code(F.col("vulnerable_code"))).alias("skipped_no_code"))
-    return seen.crossJoin(parsed(pairs).agg(F.count_if(F.col("_s").isNull()).alias("failed")))  # one row each
+    seen = pairs.agg(F.count("*").alias("total_input_rows"), F.count_if(~known).alias("skipped_unsupported_language"), F.count_if(known & ~T.has_code(F.col("vulnerable_code"))).alias("skipped_no_code"))
+
+    def of(test) -> Column:
+        return F.coalesce(F.sum(F.size(F.filter(F.coalesce("_s", F.array().cast(kind)), test)).cast("long")), F.lit(0).cast("long"))
+
+    own = parsed(pairs) if parsed_pairs is None else parsed_pairs
+    kind = own.schema["_s"].dataType
+    found = own.agg(
+        of(lambda x: F.lit(True)).alias("total_output_rows"), of(lambda x: x["label"] == 1).alias("total_positive_labels"), of(lambda x: x["origin"] == "vulnerable").alias("total_from_vulnerable_side"),
+        of(lambda x: x["origin"] == "fixed").alias("total_from_fixed_side"), of(lambda x: x["origin"] == "unchanged").alias("total_from_unchanged_rows"), F.count_if(F.col("_s").isNull()).alias("skipped_extraction_failure"),
+    )
+    names = ("total_input_rows", "total_output_rows", "total_positive_labels", "total_from_vulnerable_side", "total_from_fixed_side", "total_from_unchanged_rows", "skipped_unsupported_language", "skipped_no_code", "skipped_extraction_failure")
+    return seen.crossJoin(found).select(*names)  # one row each

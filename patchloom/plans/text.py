@@ -236,10 +236,10 @@ def parse_test_size(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.when(n >= 1, n / 100).otherwise(n).alias("test_size"))
 
 
-_KIND = "CASE p_partkey % 4 WHEN 0 THEN 'assign' WHEN 1 THEN 'call_expr' WHEN 2 THEN 'break' ELSE 'other' END"
+_KIND = "CASE p_partkey % 6 WHEN 0 THEN 'assign' WHEN 1 THEN 'call_expr' WHEN 2 THEN 'break' WHEN 3 THEN 'echo' WHEN 4 THEN 'import' ELSE 'goto' END"
 
 
-@query(f"SELECT p_partkey, p_size % 3 = 0 AND (p_size % 2 > 0 OR k = 'assign') AND k NOT IN ('break', 'continue', 'other') AS uses_only_literals FROM (SELECT *, {_KIND} AS k FROM part)")
+@query(f"SELECT p_partkey, p_size % 3 = 0 AND (p_size % 2 > 0 OR k = 'assign') AND k NOT IN ('pass', 'break', 'continue', 'fallthrough', 'goto', 'label', 'import', 'global', 'nonlocal') AS uses_only_literals FROM (SELECT *, {_KIND} AS k FROM part)")
 def only_literals(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", T.only_literals(F.col("p_size") % 3, F.col("p_size") % 2, F.expr(_KIND)).alias("uses_only_literals"))
 

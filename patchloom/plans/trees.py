@@ -54,7 +54,7 @@ def direct_children(spark, sf_dir):
     return trees.children(nodes(spark, sf_dir)).select("tree", "id", "num_direct_children")
 
 
-@query(f"""WITH {N} SELECT n.tree, n.id, count(c.id) > 0 OR any_value(n.kind) IN ('if', 'for', 'while', 'do_while', 'switch', 'try_catch', 'function_def') AS is_compound,
+@query(f"""WITH {N} SELECT n.tree, n.id, count(c.id) > 0 OR any_value(n.kind) IN ('if', 'for', 'while', 'do_while', 'switch', 'try_catch', 'function_def', 'with') AS is_compound,
   CAST(any_value(n.kind) IN ('if', 'for', 'while', 'do_while', 'try_catch') AS INTEGER) AS cyclomatic_contribution FROM n LEFT JOIN n c ON c.tree = n.tree AND c.parent = n.id GROUP BY ALL""")
 def compound_cyclomatic(spark, sf_dir):
     return trees.compound(nodes(spark, sf_dir))

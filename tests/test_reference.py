@@ -87,7 +87,8 @@ def test_trees():
 
 
 def labels(v, f, language="python"):
-    return [(r[4], r[20]) for r in features.statements_of(v, f, language) if r[0] != "fixed"]
+    rows = [dict(zip(features.NAMES, r)) for r in features.statements_of(v, f, language)]
+    return [(r["kind"], r["label"]) for r in rows if r["origin"] != "fixed"]
 
 
 def test_labels():
@@ -141,7 +142,9 @@ def test_features_pipeline(some):
     assert sql["is_db_query"] and sql["uses_string_concat_or_format"] and sql["top_level_call_name"] == "db.Query" and sql["vulnerability_type"] == "CWE-89"
     assert any(r["sanitization_call_detected"] for r in rows if r["origin"] == "fixed") and not any(r["label"] for r in rows if r["origin"] == "fixed")
     counted = features.counters(some).first()
-    assert (counted["skipped_language"], counted["skipped_no_code"], counted["failed"]) == (2, 1, 0)
+    assert (counted["skipped_unsupported_language"], counted["skipped_no_code"], counted["skipped_extraction_failure"]) == (2, 1, 0)
+    assert counted["total_input_rows"] == 27 and counted["total_output_rows"] == len(rows) and counted["total_positive_labels"] == sum(r["label"] for r in rows)
+    assert counted["total_from_vulnerable_side"] + counted["total_from_fixed_side"] == len(rows) and counted["total_from_unchanged_rows"] == 0
 
 
 def test_error_handler_flags(spark):
