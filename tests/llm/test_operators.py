@@ -641,10 +641,10 @@ def test_passages_that_very_many_share_stay_linear(spark):
     assert all(r["other_doc_id"] == 0 or r["n_words"] > 60 for r in got)
 
 
-def test_without_words():
-    assert substrings.without("a b  c\nd", [(1, 3)]) == "a d"
-    assert substrings.without(" a b ", [(0, 2)]).strip() == ""
-    assert substrings.without("a b c", [(2, 3), (0, 1)]) == "b "
+def test_without_words(spark):
+    rows = [("a b  c\nd", [(1, 3)], "a d"), (" a b ", [(0, 2)], " "), ("a b c", [(2, 3), (0, 1)], "b "), ("a", [], "a"), ("", [(0, 1)], "")]
+    df = spark.createDataFrame(rows, "text string, spans array<struct<start:int,end:int>>, want string")
+    assert df.where(substrings.without(F.col("text"), F.col("spans")) != F.col("want")).count() == 0
 
 
 def test_queries_are_registered():
