@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
+from patchloom import config
 from patchloom.operators import classify, datasets, features, pairs
 from patchloom.sources import tables
 
@@ -15,13 +17,14 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("-i", "--input", required=True)
     p.add_argument("-o", "--output", required=True)
     p.add_argument("-m", "--mode", choices=("pairs", "features", "classify"), default="pairs")
-    p.add_argument("-g", "--granularity", choices=("statement", "method"), default="statement")
-    p.add_argument("-s", "--strategy", choices=("aligned", "strict"), default="aligned")
-    p.add_argument("--split-input", help="statement table made before; made anew otherwise")
-    p.add_argument("--models", default="random_forest", help="names, separated by commas")
-    p.add_argument("--test-size", default="0.2")
-    p.add_argument("--cv-folds", type=int, default=0)
-    p.add_argument("--formats", default="csv")
+    p.add_argument("-g", "--granularity", choices=("statement", "method"))
+    p.add_argument("-s", "--strategy", choices=("aligned", "strict"))
+    p.add_argument("--config", help="a YAML file of settings; what is given here comes first")
+    p.add_argument("--split-input", help="the statement table's path: read if it is there, else made and written to it")
+    p.add_argument("--models", help="names, separated by commas")
+    p.add_argument("--test-size")
+    p.add_argument("--cv-folds", type=int)
+    p.add_argument("--formats")
     p.add_argument("--no-xai", action="store_true")
     p.add_argument("-v", "--verbose", action="store_true")
     return p.parse_args(argv)
@@ -31,22 +34,33 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     args = parse(argv)
     spark = spark or SparkSession.builder.appName("patchloom").getOrCreate()
     spark.sparkContext.setLogLevel("INFO" if args.verbose else "WARN")
-    source = tables.read_pairs(spark, args.input)
+    source, found = tables.read_pairs(spark, args.input), config.load(args.config)
     if args.mode == "pairs":
-        made, counted = pairs.pair(source, args.granularity, args.strategy)
+        made, counted = pairs.pair(source, args.granularity or found["pairs"]["granularity"], args.strategy or found["pairs"]["strategy"])
         tables.write_csv(made, args.output)
         counted.show(truncate=False)
     elif args.mode == "features":
-        tables.write_csv(features.features(source), args.output)
-        features.counters(source).show(truncate=False)
+        features_to(source, args.output).show(truncate=False)
     else:
-        table = tables.read_csv(spark, args.split_input) if args.split_input else features.features(source)
-        config = classify.Config(models=args.models.split(","), test_size=datasets.parse_test_size(args.test_size), cv_folds=args.cv_folds, importance=not args.no_xai)
-        report = classify.compare(source, table, config)
-        for path in tables.write_report(report, tables.run_folder(args.output), tuple(args.formats.split(","))):
+        path = args.split_input or found["classification"]["split_input"]
+        if path and not tables.exists(spark, path):
+            features_to(source, path).show(truncate=False)
+        table = tables.read_csv(spark, path) if path else features.features(source)
+        set_here = {"models": args.models.split(",") if args.models else None, "test_size": datasets.parse_test_size(args.test_size) if args.test_size else None, "cv_folds": args.cv_folds, "importance": False if args.no_xai else None}
+        report = classify.compare(source, table, classify.Config.of(found, **set_here))
+        report |= {"README": spark.createDataFrame(classify.README, "item string, text string"), "config": config.table(spark, found)}
+        formats = args.formats.split(",") if args.formats else found["classification"]["output_formats"]
+        for path in tables.write_report(report, tables.run_folder(args.output), tuple(formats)):
             print(path)
         report["summary"].show(truncate=False)
 
 
+def features_to(source: DataFrame, path: str) -> DataFrame:
+    """The statement table of source, written to path; its counters. Code is parsed once."""
+    done = features.parsed(source).persist(StorageLevel.DISK_ONLY)
+    tables.write_csv(features.table_of(done), path)
+    return features.counters(source, done)
+
+
 if __name__ == "__main__":
     main()

@@ -10,9 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 # Default settings.
 DEFAULTS: dict[str, Any] = {
     "pairs": {"granularity": "statement", "strategy": "aligned"},
-    "classify": {"group_by": "method", "test_size": 0.2, "cv_folds": 0, "random_state": 42, "threshold": 0.5, "aggregation": "max", "models": ["random_forest"]},
-    "raw_features": {"ngram_range": [1, 2], "max_features": 2000, "min_df": 1, "sublinear_tf": True},
-    "xai": {"shap_max_samples": 300, "permutation_max_features": 100, "top_k": 20},
+    "classification": {
+        "split": {"group_by": "method", "test_size": 0.2, "cv_folds": 0, "random_state": 42},
+        "models": ["random_forest"], "threshold": 0.5, "method_aggregation": "max", "output_formats": ["csv"], "split_input": None,
+        "raw_features": {"max_features": 2000, "ngram_range": [1, 2], "min_df": 1},
+        "split_features": {
+            "numeric": [
+                "nesting_depth", "num_source_lines", "token_count", "char_length", "num_calls", "is_process_exec", "is_db_query", "is_dynamic_eval", "is_deserialization", "is_file_io", "is_network_call",
+                "is_output_render", "uses_string_concat_or_format", "num_variables_defined", "num_variables_used", "uses_only_literals", "guard_count", "inside_error_handler", "is_error_handling_statement",
+                "sanitization_call_detected", "is_compound", "num_direct_children", "cyclomatic_contribution",
+            ],
+            "categorical": ["statement_type", "parent_block_type", "call_target_kind", "language"], "raw_text_tfidf": False, "tfidf_max_features": 500,
+        },
+        "xai": {
+            "enabled": True, "top_k": 20, "shap": True, "shap_max_samples": 300, "permutation": True, "permutation_repeats": 5, "permutation_scoring": "average_precision",
+            "permutation_max_features": 100, "local_explanations": 10,
+        },
+    },
 }
 
 

@@ -1,25 +1,29 @@
-"""Method level against statement level: both datasets, the same folds, all models, metrics and importance."""
+"""Method level against statement level: both datasets, the same folds, all models, metrics, explanations."""
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import Any
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patchloom import config as settings
 from patchloom.functions import text as T
 from patchloom.operators import datasets as D
-from patchloom.operators import features as X
 from patchloom.operators import metrics as M
 from patchloom.operators import models, textfeat
+from patchloom.sources.tables import stored
 
-NUMERIC = (
-    "nesting_depth", "num_source_lines", "token_count", "char_length", "num_calls", "num_variables_defined", "num_variables_used", "guard_count", "num_direct_children", "cyclomatic_contribution",
-    *X.FLAGS, "uses_string_concat_or_format", "uses_only_literals", "inside_error_handler", "is_error_handling_statement", "sanitization_call_detected", "is_compound",
-)
+# Titles of the comparison's columns by approach and evaluation level, and of the difference of the first two.
+TITLES = {("raw", "method"): "raw | method", ("split", "method"): "split | method (agregasi statement)", ("split", "statement"): "split | statement"}
+DELTA = "selisih (split - raw) @method"
+EXPLAINED = ("native_importance", "shap_mean_abs", "shap_mean", "shap_value_corr", "permutation_mean", "permutation_std")
 
 
 @dataclass(frozen=True)
@@ -32,20 +36,49 @@ class Config:
     threshold: float = 0.5
     rollup: str = "max"
     max_terms: int = 2000
+    min_df: int = 1
+    numeric: tuple[str, ...] = tuple(settings.DEFAULTS["classification"]["split_features"]["numeric"])
+    categorical: tuple[str, ...] = tuple(settings.DEFAULTS["classification"]["split_features"]["categorical"])
+    statement_terms: int = 0
     importance: bool = True
+    shap: bool = True
+    explained: int = 300
+    local: int = 10
+    top_k: int = 20
+    permutation: bool = True
+    repeats: int = 5
+    scoring: str = "average_precision"
+    permuted: int = 100
+
+    @classmethod
+    def of(cls, found: dict[str, Any], **over: Any) -> Config:
+        """From settings as config.load() gives them; over's values, where not None, come first."""
+        c = found["classification"]
+        split, raw, rows, xai = c["split"], c["raw_features"], c["split_features"], c["xai"]
+        given = {
+            "models": list(c["models"]), "group_by": split["group_by"], "test_size": D.parse_test_size(split["test_size"]), "cv_folds": int(split["cv_folds"] or 0), "seed": int(split["random_state"]),
+            "threshold": float(c["threshold"]), "rollup": c["method_aggregation"], "max_terms": int(raw["max_features"]), "min_df": int(raw["min_df"]), "numeric": tuple(rows["numeric"]), "categorical": tuple(rows["categorical"]),
+            "statement_terms": int(rows["tfidf_max_features"]) if rows["raw_text_tfidf"] else 0, "importance": bool(xai["enabled"]), "shap": bool(xai["shap"]), "explained": int(xai["shap_max_samples"]),
+            "local": int(xai["local_explanations"]), "top_k": int(xai["top_k"]), "permutation": bool(xai["permutation"]), "repeats": int(xai["permutation_repeats"]), "scoring": xai["permutation_scoring"], "permuted": int(xai["permutation_max_features"]),
+        }
+        return cls(**(given | {k: v for k, v in over.items() if v is not None}))
 
 
 def statements_of(pairs: DataFrame, table: DataFrame, by: str) -> DataFrame:
     """The statement table with row_index, side, method_id, group_id and method_label.
 
-    Statements whose pair isn't in pairs raise an error.
+    Statements whose pair isn't in pairs raise an error; of those whose pair has another cve_id a
+    warning tells.
     """
-    rows = table.withColumn("row_index", T.row_index_of(F.col("statement_id"))).persist()
+    rows = stored(table.withColumn("row_index", T.row_index_of(F.col("statement_id"))))
     if not D.orphans(rows, pairs).isEmpty():
         raise ValueError("statements of pairs that aren't there: was the table made of another input?")
+    if "cve_id" in rows.columns and "cve_id" in pairs.columns and (n := D.lineage_mismatches(rows, pairs)):
+        warnings.warn(f"{n} statements have another cve_id than their pair: was the table made of another input?", stacklevel=2)
     keys = pairs.select("row_index", D.group_key(by).alias("group_id"))
     method = F.concat_ws(":", F.col("row_index").cast("string"), "origin")
-    return rows.join(keys, "row_index").withColumns({"method_id": method, "method_label": (F.col("origin") == "vulnerable").cast("int")})
+    joined = rows.join(keys, "row_index").withColumn("side", F.col("origin"))
+    return joined.withColumns({"method_id": method, "method_label": (F.col("origin") == "vulnerable").cast("int"), "label": T.to_number(F.col("label")).cast("int")})
 
 
 def vectors(weights: DataFrame, terms: list[str], id_column: str) -> DataFrame:
@@ -56,51 +89,187 @@ def vectors(weights: DataFrame, terms: list[str], id_column: str) -> DataFrame:
     return weights.join(F.broadcast(place), "term").groupBy(id_column).agg(sparse(F.collect_list(F.struct("i", "weight"))).alias("features"))
 
 
+def term_vectors(rows: DataFrame, id_column: str, text: str, size: int, min_df: int = 1) -> tuple[DataFrame, list[str]]:
+    """rows with features, TF-IDF fitted on those that aren't test rows, and the terms; rows without terms get zeros."""
+    fitted = textfeat.fit(rows.where("not is_test"), id_column, text, size, min_df)
+    terms = [r["term"] for r in fitted[0].orderBy("term").collect()]  # at most size
+    made = vectors(textfeat.transform(rows, fitted, id_column, text), terms, id_column)
+    zeros = F.udf(lambda: Vectors.sparse(len(terms), []), VectorUDT())
+    joined = rows.join(made.withColumnRenamed("features", "_features"), id_column, "left")
+    return joined.withColumn("features", F.coalesce("_features", zeros())).drop("_features"), terms
+
+
+def statement_vectors(rows: DataFrame, config: Config) -> tuple[DataFrame, list[str]]:
+    """rows with features and their names: numbers, a column for each category seen in training, and, if asked for, terms of the text."""
+    numeric, categorical = D.feature_columns(list(config.numeric)), D.feature_columns(list(config.categorical))
+    D.check_columns(rows, numeric + categorical)
+    seen = D.one_hot(rows.where("not is_test"), "statement_id", categorical).select("feature").distinct() if categorical else None
+    found = sorted(r["feature"] for r in seen.collect()) if categorical else []  # categories of code, not of data
+    made: dict[str, Column] = {f"_f{i}": T.to_number(F.col(c)) for i, c in enumerate(numeric)}
+    for one in found:
+        column, _, value = one.partition("=")
+        made[f"_f{len(made)}"] = (F.coalesce(F.col(column).cast("string"), F.lit("none")) == value).cast("double")
+    names = numeric + found
+    rows = rows.withColumns(made)
+    inputs = list(made)
+    if config.statement_terms:
+        rows, terms = term_vectors(rows, "statement_id", "raw_text", config.statement_terms)
+        rows, inputs, names = rows.withColumnRenamed("features", "_terms"), [*inputs, "_terms"], [*names, *[f"term={t}" for t in terms]]
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(rows).drop(*inputs), names
+
+
+def explain(fitted: models.Fitted, train: DataFrame, scored: DataFrame, names: list[str], config: Config) -> tuple[DataFrame, DataFrame | None, list[str]]:
+    """(importance by feature, local explanations, notes) of a model.
+
+    scored are the test rows with sample_id, y_true, y_score and features. Linear models have exact
+    Shapley values of independent features; for others there are none, which a note says.
+    """
+    spark, notes = train.sparkSession, []
+    table = spark.createDataFrame([(n,) for n in names], "feature string")
+    native = models.native_importance(fitted, names)
+    table = table.join(F.broadcast(spark.createDataFrame(native, "feature string, native_importance double")), "feature", "left") if native else table.withColumn("native_importance", F.lit(None).cast("double"))
+    linear = models.linear_parts(fitted, train) if config.shap else None
+    local = None
+    if linear:
+        weights, means, base = linear
+        sample = M.explain_sample(scored.select("sample_id", "y_true", "y_score", "features"), config.local, config.explained, config.seed)
+        sample = stored(sample)
+        parts = models.contributions(sample, weights, means, names)
+        of_feature = parts.groupBy("feature").agg(F.avg(F.abs("value")).alias("shap_mean_abs"), F.avg("value").alias("shap_mean"), M.correlation("x", "value").alias("shap_value_corr"))
+        table = table.join(of_feature, "feature", "left")
+        best = M.top_contributions(parts.join(F.broadcast(sample.where("sample_rank is not null").select("sample_id")), "sample_id"), config.top_k)
+        local = best.join(sample.drop("features"), "sample_id").select(
+            "sample_rank", "sample_id", "y_true", "y_score", (F.col("y_score") >= config.threshold).cast("int").alias("y_pred"), F.lit(base).alias("base_value"), "contribution_rank", "feature",
+            F.col("x").alias("feature_value"), F.col("value").alias("shap_value"), F.when(F.col("value") > 0, "-> vulnerable").otherwise("-> aman").alias("direction"),
+        )
+        notes.append("Shapley values of a linear model of independent features, in units of its margin")
+    else:
+        table = table.withColumns({c: F.lit(None).cast("double") for c in ("shap_mean_abs", "shap_mean", "shap_value_corr")})
+        notes.append("no Shapley values for this kind of model" if config.shap else "Shapley values are turned off")
+    metric = {"average_precision": "pr_auc"}.get(config.scoring, config.scoring)
+    if config.permutation and metric in ("pr_auc", "roc_auc") and scored.select("y_true").distinct().count() < 2:
+        notes.append(f"no permutation importance: the test rows have one class only ({config.scoring})")
+        permuted = None
+    elif config.permutation:
+        candidates = names
+        if len(names) > config.permuted:
+            by = "shap_mean_abs" if linear else "native_importance" if native else None
+            order = table if by else variances(scored, names)
+            candidates = [r["feature"] for r in order.orderBy(F.desc_nulls_last(by or "variance"), "feature").limit(config.permuted).collect()]  # a setting bounds them
+            notes.append(f"permutation importance of the {config.permuted} first of {len(names)} features alone")
+        permuted = models.permutation_importance(fitted, scored, names, candidates, D.places, metric, config.repeats, config.seed)
+    else:
+        permuted = None
+    table = table.join(permuted, "feature", "left") if permuted is not None else table.withColumns({c: F.lit(None).cast("double") for c in ("permutation_mean", "permutation_std")})
+    return table.select("feature", *EXPLAINED), local, notes
+
+
+def variances(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(feature, variance) of the rows' features."""
+    per = rows.select(F.posexplode(vector_to_array("features"))).groupBy("pos").agg(F.var_pop("col").alias("variance"))
+    return per.select(F.get(F.array(*[F.lit(n) for n in names]), F.col("pos")).alias("feature"), "variance")
+
+
 def compare(pairs: DataFrame, table: DataFrame, config: Config = Config()) -> dict[str, DataFrame]:  # noqa: B008
-    """metrics, predictions, summary, comparison, importance, dataset_info over all folds, models and approaches."""
-    statements = statements_of(pairs, table, config.group_by).persist()
-    methods = D.align(D.raw_methods(pairs, config.group_by), statements).persist()
+    """The report's tables over all folds, models and approaches: raw (whole methods) and split (statements, and methods by their statements)."""
+    spark = pairs.sparkSession
+    # what is read again is stored, so that plans stay short however many folds and models there are
+    statements = stored(statements_of(pairs, table, config.group_by))
+    methods = stored(D.align(D.raw_methods(pairs, config.group_by), statements))
     groups = D.strata(statements)
     folds = D.kfold(groups, config.cv_folds, config.seed) if config.cv_folds else D.holdout(groups, config.test_size, config.seed).select("group_id", F.when(F.col("is_test"), 0).otherwise(1).alias("fold"))
-    folds = folds.persist()
-    predicted, importance, info = [], [], []
+    folds = stored(folds)
+    for c in ("cve_id", "vulnerability_type", "language", "method"):
+        if c not in methods.columns:
+            methods = methods.withColumn(c, F.lit(None).cast("string"))
+    meta = ["cve_id", "vulnerability_type", "language", "side"]
+    predicted, importance, local, info, notes, seconds = [], [], [], [], [], []
     for fold in range(config.cv_folds or 1):
         side = folds.select("group_id", (F.col("fold") == fold).alias("is_test"))
-        m, s = methods.join(side, "group_id"), statements.join(side, "group_id")
-        info += [x.agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test"), F.count_distinct("group_id").alias("n_groups")).withColumns({"fold": F.lit(fold), "approach": F.lit(a)}) for x, a in ((m, "method"), (s, "statement"))]
-        fitted = textfeat.fit(m.where("not is_test"), "method_id", "code", config.max_terms)
-        terms = [r["term"] for r in fitted[0].orderBy("term").collect()]  # at most max_terms
-        made = vectors(textfeat.transform(m, fitted, "method_id", "code"), terms, "method_id")
-        assembler = VectorAssembler(inputCols=list(NUMERIC), outputCol="features")
-        numbers = s.select("statement_id", "method_id", "group_id", "is_test", "label", "method_label", *[F.col(c).cast("double").alias(c) for c in NUMERIC])
+        m, terms = term_vectors(methods.join(side, "group_id"), "method_id", "code", config.max_terms, config.min_df)
+        s, columns = statement_vectors(statements.join(side, "group_id"), config)
         approaches = {
-            "method": (m.join(made, "method_id").select(F.col("method_id").alias("sample_id"), "method_id", "group_id", "is_test", F.col("label").cast("int").alias("label"), "features"), terms),
-            "statement": (assembler.transform(numbers).select(F.col("statement_id").alias("sample_id"), "method_id", "group_id", "is_test", F.col("label").cast("int").alias("label"), "method_label", "features"), list(NUMERIC)),
+            "raw": ("method", m.select(F.col("method_id").alias("sample_id"), "method_id", "group_id", "is_test", F.col("label").cast("int").alias("label"), "features", *meta, "method", T.preview(F.col("code")).alias("text_preview")), terms),
+            "split": ("statement", s.select(F.col("statement_id").alias("sample_id"), "statement_id", "method_id", "group_id", "is_test", "label", "method_label", "features", *meta, "function_name", "statement_type", T.preview(F.col("raw_text")).alias("text_preview")), columns),
         }
-        # every model reads these again, over and over
-        approaches = {a: (rows.persist(), models.balanced(rows.where("not is_test")).persist(), names) for a, (rows, names) in approaches.items()}
+        ready = {}
+        for approach, (unit, rows, names) in approaches.items():
+            rows = stored(rows)
+            test = F.col("is_test")
+            counted = rows.agg(
+                F.count_if(~test).alias("n_train"), F.count_if(~test & (F.col("label") == 1)).alias("n_train_pos"), F.count_if(test).alias("n_test"), F.count_if(test & (F.col("label") == 1)).alias("n_test_pos"),
+                F.count_distinct(F.when(~test, F.col("group_id"))).alias("n_train_groups"), F.count_distinct(F.when(test, F.col("group_id"))).alias("n_test_groups"),
+            ).first()
+            info.append({"fold": fold + 1, "approach": approach, "unit": unit, "n_features": len(names)} | counted.asDict())
+            usable = 0 < counted["n_train_pos"] < counted["n_train"] and counted["n_test"] > 0
+            if usable:
+                ready[approach] = (unit, rows, models.balanced(rows.where("not is_test").select("label", "features")).persist(), names)
+            else:
+                warnings.warn(f"fold {fold + 1}, {approach}: one class only to train on, or nothing to test; left out", stacklevel=2)
         for one in models.specs(config.models, config.seed):
-            for approach, (rows, train, names) in approaches.items():
-                if train.select("label").distinct().count() < 2:
-                    continue
-                model = models.fit(one, train, len(names))
-                scored = models.score(model, rows.where("is_test")).withColumn("y_true", F.col("label")).persist()
-                tags = {"fold": F.lit(fold), "approach": F.lit(approach), "model": F.lit(one.label)}
-                predicted.append(M.predict(scored, config.threshold).select("sample_id", "group_id", "y_true", "y_score", "y_pred").withColumns(tags))
-                if approach == "statement":
-                    up = M.rollup(scored, config.rollup).withColumnRenamed("method_id", "sample_id")
-                    predicted.append(M.predict(up, config.threshold).drop("n_statements").withColumns(tags | {"approach": F.lit("aggregated")}).select(predicted[-1].columns))
-                if config.importance and (found := models.native_importance(model, names)):
-                    importance.append(pairs.sparkSession.createDataFrame(found, "feature string, native double").withColumns(tags))
+            for approach, (unit, rows, train, names) in ready.items():
+                fitted = models.fit(one, train, len(names))
+                tags = {"fold": F.lit(fold + 1), "approach": F.lit(approach), "model": F.lit(one.label)}
+                seconds.append((fold + 1, approach, one.label, fitted.seconds))
+                test = rows.where("is_test").withColumn("y_true", F.col("label"))
+                scored = test.select("sample_id", "features").join(models.score(fitted, test.select("sample_id", "features")), "sample_id")
+                scored = test.drop("features", "is_test").join(scored, "sample_id")
+                scored = stored(scored)
+                own = M.predict(scored, config.threshold).drop("features", "label", "method_label")
+                predicted.append(own.withColumns(tags | {"eval_level": F.lit(unit)}))
+                if approach == "split":
+                    up = M.predict(M.rollup(scored, config.rollup), config.threshold).withColumn("sample_id", F.col("method_id"))
+                    up = up.join(methods.select("method_id", *meta, "method"), "method_id", "left")
+                    predicted.append(up.withColumns(tags | {"eval_level": F.lit("method")}))
+                if config.importance:
+                    made, here, said = explain(fitted, train, scored, names, config)
+                    importance.append(stored(made).withColumns(tags))
+                    notes += [(fold + 1, approach, one.label, n) for n in said]
+                    if here is not None:
+                        local.append(here.join(scored.select("sample_id", "text_preview"), "sample_id").withColumns(tags))
     if not predicted:
         raise ValueError("no model could be trained: every training fold has one class only")
-    every = reduce(DataFrame.unionByName, predicted).persist()
-    keys = ["fold", "approach", "model"]
-    per_fold = M.metrics(every, keys, config.threshold)
+
+    def union(frames: list[DataFrame]) -> DataFrame:
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+    front = ["fold", "approach", "eval_level", "model"]
+    every = union(predicted).withColumnRenamed("group_id", "group")
+    first = [*front, "sample_id", "group", "y_true", "y_score", "y_pred"]
+    every = every.select(*first, *[c for c in every.columns if c not in (*first, "text_preview")], "text_preview")
+    every = stored(every)
+    timed = spark.createDataFrame(seconds, "fold int, approach string, model string, train_seconds double")
+    per_fold = M.metrics(every, front, config.threshold).join(F.broadcast(timed), ["fold", "approach", "model"])
+    per_fold = per_fold.select(*front, "n_test", "n_test_pos", *M.METRICS, "tp", "fp", "tn", "fn", "train_seconds")
+    per_fold = stored(per_fold)
+    title = reduce(lambda rest, x: F.when((F.col("approach") == x[0][0]) & (F.col("eval_level") == x[0][1]), x[1]).otherwise(rest), TITLES.items(), F.lit(None).cast("string"))
+    by_title = M.long_metrics(per_fold.withColumn("approach", title), ["fold", "approach", "model"], list(M.METRICS))
+    compared = M.comparison(by_title, list(TITLES.values()), (TITLES["raw", "method"], TITLES["split", "method"])).withColumnRenamed("delta", DELTA)
+    keys = ["approach", "model"]
     out = {
-        "metrics": per_fold, "predictions": every, "dataset_info": reduce(DataFrame.unionByName, info), "summary": M.summary(per_fold, ["approach", "model"], list(M.METRICS)),
-        "comparison": M.comparison(M.long_metrics(per_fold, keys, list(M.METRICS)), ["method", "aggregated", "statement"], ("method", "aggregated")),
+        "comparison": compared, "summary": M.summary(per_fold, ["approach", "eval_level", "model"], [*M.METRICS, "tp", "fp", "tn", "fn", "n_test", "n_test_pos", "train_seconds"]), "metrics": per_fold, "predictions": every,
+        "dataset_info": spark.createDataFrame(info, "fold int, approach string, unit string, n_train long, n_train_pos long, n_test long, n_test_pos long, n_features int, n_train_groups long, n_test_groups long"),
     }
     if importance:
-        out["importance"] = M.ranked(M.importance_mean(reduce(DataFrame.unionByName, importance), ["native"]), "native", ["approach", "model"])
+        folded = union(importance)
+        out["importance"] = M.ranked_by_basis(M.importance_mean(folded, list(EXPLAINED)), keys)
+        if config.cv_folds:
+            out["importance_folds"] = M.ranked_by_basis(folded, ["fold", *keys])
+        out["xai_notes"] = spark.createDataFrame(notes, "fold int, approach string, model string, note string")
+    if local:
+        out["local_explanations"] = union(local).select("fold", "approach", "model", "sample_rank", "sample_id", "y_true", "y_score", "y_pred", "base_value", "contribution_rank", "feature", "feature_value", "shap_value", "direction", "text_preview")
     return out
+
+
+#: What the report's tables are.
+README = [
+    ("raw", "a row is a whole method; features are TF-IDF weights of its code tokens"),
+    ("split", "a row is a statement; features are numbers and categories of the statement table"),
+    ("eval_level", "statement: scores of statements; method: of methods, for split the greatest or mean score of their statements"),
+    ("folds", "groups of rows (of one method, unless set otherwise) stand on one side, the same for both approaches"),
+    ("comparison", "means over folds: a row a model and metric, a column an approach and level"),
+    ("summary, metrics", "metrics, averaged over folds and of each fold"),
+    ("importance", "native importance, drop of a metric when a feature is dealt out anew, and Shapley values of linear models"),
+    ("local_explanations", "contributions to the scores of the test rows of greatest score"),
+    ("predictions, dataset_info, xai_notes, config", "scores of all test rows, sizes of each fold, remarks, and the settings used"),
+]

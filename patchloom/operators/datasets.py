@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions import text as T
 
 SIDE_LABEL = {"vulnerable": 1, "fixed": 0, "unchanged": 0}
-#: Columns that tell where a statement comes from or restate its label.
+# Columns that tell where a statement comes from or restate its label.
 LEAKY = (
-    "cve_id", "vulnerability_type", "commit_hash", "repo", "repo_name", "origin", "file_path", "function_name", "statement_id",
-    "parent_statement_id", "line_start", "line_end", "raw_text", "label",
+    "cve_id", "vulnerability_type", "commit_hash", "repo", "origin", "statement_id", "parent_statement_id", "repo_name", "file_path", "function_name", "line_start", "line_end", "label",
 )
 
 
@@ -52,12 +53,25 @@ def orphans(statements: DataFrame, methods: DataFrame, key: str = "row_index") -
     return statements.join(methods.select(key).distinct(), key, "left_anti")
 
 
+def lineage_mismatches(statements: DataFrame, pairs: DataFrame, key: str = "row_index", value: str = "cve_id") -> int:
+    """How many statements have another value than the pair they are said to come from; nulls count as empty."""
+    own = pairs.select(key, F.coalesce(F.col(value).cast("string"), F.lit("")).alias("_theirs"))
+    return statements.join(own, key).where(F.coalesce(F.col(value).cast("string"), F.lit("")) != F.col("_theirs")).count()
+
+
 def strata(statements: DataFrame) -> DataFrame:
     """group_id and stratum: 1 if any of its statements is positive."""
     return statements.groupBy("group_id").agg(F.max("label").alias("stratum"))
 
 
-def _dealt(groups: DataFrame, seed: int, stratified: bool) -> DataFrame:
+def places(ids: DataFrame, seed: int | str) -> DataFrame:
+    """group_id and its place, from 1, in order of a digest of group_id and seed; inside each stratum, if ids has that column."""
+    if "stratum" in ids.columns:
+        return _dealt(ids, seed, True).select("group_id", "stratum", "place")
+    return _dealt(ids.withColumn("stratum", F.lit(0)), seed, False).select("group_id", "place")
+
+
+def _dealt(groups: DataFrame, seed: int | str, stratified: bool) -> DataFrame:
     """groups with place and size in their stratum, in order of a digest of group and seed.
 
     Groups are one row each. The place is exact: rows are ranked inside buckets of the digest's
@@ -91,7 +105,9 @@ def kfold(groups: DataFrame, k: int, seed: int = 42) -> DataFrame:
 
 
 def feature_columns(wanted: list[str]) -> list[str]:
-    """wanted less the leaky ones."""
+    """wanted less the leaky ones, of which a warning tells."""
+    if left_out := [c for c in wanted if c in LEAKY]:
+        warnings.warn(f"left out, since they tell the label: {left_out}", stacklevel=2)
     return [c for c in wanted if c not in LEAKY]
 
 

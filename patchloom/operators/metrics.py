@@ -128,6 +128,17 @@ def importance_mean(importance: DataFrame, columns: list[str]) -> DataFrame:
     return importance.groupBy("approach", "model", "feature").agg(*[F.avg(c).alias(c) for c in columns])
 
 
+#: What importance is ranked by: the first of these that has any value.
+BASES = ("shap_mean_abs", "permutation_mean", "native_importance")
+
+
+def ranked_by_basis(importance: DataFrame, keys: list[str]) -> DataFrame:
+    """importance with importance_basis, and rank by it within keys."""
+    joined = importance.join(F.broadcast(basis_of(importance, keys, list(BASES))), keys)  # a row a model
+    by = F.coalesce(*[F.when(F.col("importance_basis") == b, F.col(b)) for b in BASES])
+    return ranked(joined.withColumn("_by", by), "_by", keys).drop("_by")
+
+
 def basis_of(importance: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """importance_basis by keys: the first of columns that has any value."""
     counts = importance.groupBy(*keys).agg(*[F.count(c).alias(c) for c in columns])
@@ -150,3 +161,17 @@ def top_contributions(contributions: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("sample_id").orderBy(F.desc(F.abs("value")), "feature")
     out = contributions.where("value <> 0").withColumn("contribution_rank", F.row_number().over(order)).where(F.col("contribution_rank") <= k)
     return out.withColumn("direction", F.when(F.col("value") > 0, "raises").otherwise("lowers"))
+
+
+def explain_sample(df: DataFrame, n_top: int, most: int, seed: int = 42) -> DataFrame:
+    """sample_id and sample_rank of the n_top rows of greatest y_score, and without a rank of as many others, in order of a digest, as make up most.
+
+    Rows equal in y_score and sample_id stand in the order of their other columns; sample_id is
+    unique in what classify explains.
+    """
+    top = df.orderBy(F.desc("y_score"), "sample_id").limit(n_top)
+    top = top.withColumn("sample_rank", F.row_number().over(Window.orderBy(F.desc("y_score"), "sample_id")))  # n_top rows
+    rest = df.join(F.broadcast(top.select("sample_id").distinct()), "sample_id", "left_anti")  # n_top rows
+    digest = F.md5(F.concat("sample_id", F.lit(f"|{seed}")))
+    rest = rest.orderBy(digest, "sample_id", "y_score").limit(max(0, most - n_top)).withColumn("sample_rank", F.lit(None).cast("int"))
+    return top.unionByName(rest)

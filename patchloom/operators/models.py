@@ -1,64 +1,213 @@
-"""Classifiers by name, their scores, and what they rest on."""
+"""Classifiers by name and their scores."""
 
 from __future__ import annotations
 
 import importlib
+import math
+import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml import Estimator, Pipeline
+import numpy as np
+import pandas as pd
+from pyspark.ml import Estimator
 from pyspark.ml import classification as ml
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.operators import metrics as M
 
-# Aliases, the class behind each, its default parameters, whether features are scaled first.
-MODELS: dict[str, tuple[str, dict[str, Any], bool]] = {
-    "random_forest": ("RandomForestClassifier", {"numTrees": 300, "maxDepth": 10}, False),
-    "extra_trees": ("RandomForestClassifier", {"numTrees": 300, "maxDepth": 10, "featureSubsetStrategy": "sqrt", "subsamplingRate": 1.0}, False),
-    "decision_tree": ("DecisionTreeClassifier", {"maxDepth": 10}, False),
-    "gradient_boosting": ("GBTClassifier", {"maxIter": 100}, False),
-    "hist_gradient_boosting": ("GBTClassifier", {"maxIter": 100}, False),
-    "logistic_regression": ("LogisticRegression", {"maxIter": 1000}, True),
-    "linear_svm": ("LinearSVC", {"maxIter": 1000}, True),
-    "naive_bayes": ("NaiveBayes", {"modelType": "gaussian"}, False),
-    "mlp": ("MultilayerPerceptronClassifier", {"maxIter": 100}, True),
+
+class AdaBoost:
+    """Boosted stumps (discrete SAMME of two classes): each round's stump is fitted with rows weighed by the misses so far.
+
+    A stump is a comparison of one feature, so weights and scores are expressions over features and
+    no round's rows are stored.
+    """
+
+    def __init__(self, rounds: int = 50, learning_rate: float = 1.0, seed: int = 42):
+        self.rounds, self.rate, self.seed = rounds, learning_rate, seed
+
+    def fit(self, train: DataFrame) -> Boosted:
+        rows = train.select("features", "label", vector_to_array("features").alias("_x")).persist()
+        stumps: list[tuple[float, int, float, float, float]] = []
+        weight = F.lit(1.0)
+        for _ in range(self.rounds):
+            tree = ml.DecisionTreeClassifier(maxDepth=1, weightCol="weight", seed=self.seed).fit(rows.withColumn("weight", weight))
+            root = tree._call_java("rootNode")
+            if root.subtreeDepth() == 0:
+                break
+            split = root.split()
+            stump = (split.featureIndex(), split.threshold(), root.leftChild().prediction(), root.rightChild().prediction())
+            missed = (_says(stump) != F.col("label")).cast("double")
+            err, total = rows.agg(F.sum(weight * missed), F.sum(weight)).first()
+            err /= total
+            if err >= 0.5:
+                break
+            alpha = self.rate * math.log((1 - err) / max(err, 1e-10))
+            stumps.append((alpha, *stump))
+            if err <= 1e-10:
+                break
+            # in proportion, so that weights stay near 1 however many rounds there are
+            weight = weight * F.exp(missed * alpha) * F.lit(1 / (1 - err + err * math.exp(alpha)))
+        rows.unpersist()
+        return Boosted(stumps, len(train.select("features").first()[0]))
+
+
+def _says(stump: tuple[int, float, float, float]) -> Column:
+    at, threshold, left, right = stump
+    return F.when(F.get("_x", F.lit(at)) <= threshold, left).otherwise(right)
+
+
+@dataclass
+class Boosted:
+    """stumps: (weight, feature, threshold, what it says up to it, and beyond)."""
+
+    stumps: list[tuple[float, int, float, float, float]]
+    width: int
+
+    def scored(self, df: DataFrame) -> DataFrame:
+        total = sum(alpha for alpha, *_ in self.stumps) or 1.0
+        margin = F.lit(0.0)
+        for alpha, *stump in self.stumps:
+            margin = margin + F.lit(alpha / total) * (2 * _says(tuple(stump)) - 1)
+        return df.withColumn("_x", vector_to_array("features")).withColumn("y_score", M.squash(margin)).drop("_x")
+
+    def importances(self) -> list[float]:
+        out = np.zeros(self.width)
+        for alpha, at, *_ in self.stumps:
+            out[at] += alpha
+        return (out / (out.sum() or 1.0)).tolist()
+
+
+class KernelSvm:
+    """An RBF support vector machine on random Fourier features: a linear one over components cosines approximates the kernel's."""
+
+    def __init__(self, components: int = 512, gamma: float | None = None, regParam: float = 0.01, maxIter: int = 200, seed: int = 42):
+        self.components, self.gamma, self.seed = components, gamma, seed
+        self.linear = ml.LinearSVC(featuresCol="cosines", regParam=regParam, maxIter=maxIter)
+
+    def fit(self, train: DataFrame) -> Kernel:
+        spread = train.select(F.posexplode(vector_to_array("features"))).agg(F.var_pop("col"), F.max("pos")).first()
+        width = spread[1] + 1
+        gamma = self.gamma or 1 / (width * (spread[0] or 1.0))
+        made = np.random.default_rng(self.seed)
+        kernel = Kernel(made.normal(0, math.sqrt(2 * gamma), (width, self.components)), made.uniform(0, 2 * math.pi, self.components))
+        linear = self.linear.setWeightCol("weight") if "weight" in train.columns else self.linear
+        kernel.linear = linear.fit(kernel.cosines(train))
+        return kernel
+
+
+class Kernel:
+    def __init__(self, directions: np.ndarray, phases: np.ndarray):
+        self.directions, self.phases, self.linear = directions, phases, None
+
+    def cosines(self, df: DataFrame) -> DataFrame:
+        directions, phases = self.directions, self.phases
+
+        @F.pandas_udf("array<double>")
+        def of(x: pd.Series) -> pd.Series:
+            return pd.Series(list(math.sqrt(2 / len(phases)) * np.cos(np.stack(x.to_numpy()) @ directions + phases))) if len(x) else pd.Series([], dtype=object)
+
+        return df.withColumn("cosines", array_to_vector(of(vector_to_array("features"))))
+
+    def scored(self, df: DataFrame) -> DataFrame:
+        out = self.linear.transform(self.cosines(df))
+        return out.withColumn("y_score", M.squash(F.element_at(vector_to_array("rawPrediction"), 2))).select(*df.columns, "y_score")
+
+
+class Nearest:
+    """The mean label of the k nearest rows, exact: blocks of scored rows meet blocks of training rows, each pair of blocks in a task of its own."""
+
+    #: Rows of a block of scored and of training rows.
+    ASKED, KNOWN = 1024, 8192
+
+    def __init__(self, k: int = 5):
+        self.k = k
+
+    def fit(self, train: DataFrame) -> Nearest:
+        self.train, self.n = train.select("label", vector_to_array("features").alias("x")), train.count()
+        return self
+
+    def scored(self, df: DataFrame) -> DataFrame:
+        """df with y_score; of rows at equal distance those of smaller label and digest come first."""
+        k, known_blocks = self.k, max(1, -(-self.n // self.KNOWN))
+        asked_blocks = max(1, -(-df.count() // self.ASKED))
+        digest = F.xxhash64("x")
+        known = self.train.withColumns({"_id": digest, "_k": F.pmod(F.xxhash64(digest, "label", F.lit(7)), F.lit(known_blocks)), "_a": F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1)))})
+        # the same features are asked for once
+        asked = df.select(vector_to_array("features").alias("x")).withColumn("_id", digest).dropDuplicates(["_id"])
+        asked = asked.withColumns({"_a": F.pmod("_id", F.lit(asked_blocks)), "_k": F.explode(F.sequence(F.lit(0), F.lit(known_blocks - 1)))})
+
+        def near(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+            if not len(mine) or not len(theirs):
+                return pd.DataFrame({"_id": [], "d": [], "label": [], "n": []})
+            theirs = theirs.sort_values(["label", "_id"])
+            a, b = np.stack(mine["x"].to_numpy()), np.stack(theirs["x"].to_numpy())
+            apart = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0).round(9)
+            first = np.argsort(apart, axis=1, kind="stable")[:, :k]
+            own = np.repeat(mine["_id"].to_numpy(), first.shape[1])
+            return pd.DataFrame({"_id": own, "d": np.take_along_axis(apart, first, 1).ravel(), "label": theirs["label"].to_numpy(dtype=float)[first].ravel(), "n": theirs["_id"].to_numpy()[first].ravel()})
+
+        found = asked.groupBy("_a", "_k").cogroup(known.groupBy("_a", "_k")).applyInPandas(near, "_id long, d double, label double, n long")
+        # k rows from each block of training rows
+        best = F.slice(F.array_sort(F.collect_list(F.struct("d", "label", "n"))), 1, k)
+        mean = F.aggregate(best, F.lit(0.0), lambda s, r: s + r["label"]) / F.size(best)
+        scores = found.groupBy("_id").agg(mean.alias("y_score"))
+        keyed = df.withColumn("_id", F.xxhash64(vector_to_array("features")))
+        return keyed.join(scores, "_id").select(*df.columns, "y_score")
+
+
+# Aliases, the class behind each, its default parameters, whether features are scaled first, whether classes are weighed alike.
+MODELS: dict[str, tuple[str, dict[str, Any], bool, bool]] = {
+    "random_forest": ("RandomForestClassifier", {"numTrees": 300, "maxDepth": 30}, False, True),
+    "extra_trees": ("RandomForestClassifier", {"numTrees": 300, "maxDepth": 30, "bootstrap": False}, False, True),
+    "decision_tree": ("DecisionTreeClassifier", {"maxDepth": 30}, False, True),
+    "gradient_boosting": ("GBTClassifier", {"maxIter": 100, "maxDepth": 3}, False, False),
+    "hist_gradient_boosting": ("GBTClassifier", {"maxIter": 100, "maxDepth": 5}, False, True),
+    "adaboost": ("AdaBoost", {"rounds": 50}, False, False),
+    "logistic_regression": ("LogisticRegression", {"maxIter": 5000}, True, True),
+    "svm": ("KernelSvm", {}, True, True),
+    "linear_svm": ("LinearSVC", {"maxIter": 10000}, True, True),
+    "knn": ("Nearest", {"k": 5}, True, False),
+    "naive_bayes": ("NaiveBayes", {"modelType": "gaussian"}, False, False),
+    "mlp": ("MultilayerPerceptronClassifier", {"maxIter": 2000}, True, False),
 }
 #: Aliases that need packages Spark doesn't bring.
 OUTSIDE = {"xgboost": "xgboost", "lightgbm": "lightgbm"}
-#: Aliases without a counterpart in Spark ML.
-WITHOUT = ("adaboost", "svm", "knn")
+OWN = {c.__name__: c for c in (AdaBoost, KernelSvm, Nearest)}
 
 
 @dataclass(frozen=True)
 class Spec:
     label: str
-    estimator: Estimator
+    estimator: Any
     scale: bool
+    balance: bool = True
 
 
 def spec(raw: str | dict[str, Any], seed: int = 42) -> Spec:
-    """A model from an alias, or from name or class (a dotted path), params, label, scale."""
+    """A model from an alias, or from name or class (a dotted path), params, label, scale, balance."""
     given = {"name": raw} if isinstance(raw, str) else dict(raw)
     if path := given.get("class"):
         module, _, name = path.rpartition(".")
-        kind, defaults, scale = getattr(importlib.import_module(module), name), {}, False
+        kind, defaults, scale, balance = getattr(importlib.import_module(module), name), {}, False, False
     else:
         alias = str(given.get("name", "")).strip().lower()
         if alias in OUTSIDE:
             raise ImportError(f"{alias} needs the package {OUTSIDE[alias]}, which isn't installed")
         if alias not in MODELS:
             raise ValueError(f"unknown model {alias!r}; known: {', '.join(sorted(MODELS))}")
-        name, defaults, scale = MODELS[alias]
-        kind = getattr(ml, name)
-    params = defaults | given.get("params", {})
+        name, defaults, scale, balance = MODELS[alias]
+        kind = OWN.get(name) or getattr(ml, name)
+    params = {k: v for k, v in (defaults | given.get("params", {})).items() if v is not None}
     made = kind(**params)
-    if made.hasParam("seed") and "seed" not in params:
+    if isinstance(made, Estimator) and made.hasParam("seed") and "seed" not in params:
         made = made.setSeed(seed)
-    return Spec(given.get("label") or given.get("name") or name, made, given.get("scale", scale))
+    return Spec(given.get("label") or given.get("name") or name, made, given.get("scale", scale), given.get("balance", balance))
 
 
 def specs(raw: list[str | dict[str, Any]], seed: int = 42) -> list[Spec]:
@@ -68,63 +217,126 @@ def specs(raw: list[str | dict[str, Any]], seed: int = 42) -> list[Spec]:
     for one in raw:
         s = spec(one, seed)
         seen[s.label] = seen.get(s.label, 0) + 1
-        out.append(s if seen[s.label] == 1 else Spec(f"{s.label}_{seen[s.label]}", s.estimator, s.scale))
+        out.append(s if seen[s.label] == 1 else Spec(f"{s.label}_{seen[s.label]}", s.estimator, s.scale, s.balance))
     return out
 
 
 def balanced(df: DataFrame, label: str = "label") -> DataFrame:
     """df with weight: rows of both classes count the same in total."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
-    per = counts.withColumn("weight", F.sum("_n").over(Window.partitionBy()) / (F.lit(2.0) * F.col("_n"))).drop("_n")
-    return df.join(F.broadcast(per), label)  # two rows
+    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}  # two classes
+    weight = F.lit(None).cast("double")
+    for value, n in counts.items():
+        weight = F.when(F.col(label) == value, sum(counts.values()) / (len(counts) * n)).otherwise(weight)
+    return df.withColumn("weight", weight)
+
 
+@dataclass
+class Fitted:
+    """A model and the scaling before it; mean and spread of the features, if they were scaled."""
 
-def fit(s: Spec, train: DataFrame, width: int | None = None):
-    """A fitted pipeline over features and label."""
-    estimator = s.estimator.copy()
-    if estimator.hasParam("layers") and width:
-        estimator = estimator.setLayers([width, 100, 2])
-    if estimator.hasParam("weightCol") and "weight" in train.columns:
-        estimator = estimator.setWeightCol("weight")
-    stages = [StandardScaler(inputCol="features", outputCol="scaled", withMean=False), estimator.setFeaturesCol("scaled")] if s.scale else [estimator]
-    return Pipeline(stages=stages).fit(train)
+    scaler: Any
+    model: Any
+    seconds: float
 
+    def scaled(self, df: DataFrame) -> DataFrame:
+        if self.scaler is None:
+            return df
+        others = [c for c in df.columns if c != "features"]
+        return self.scaler.transform(df).select(*others, F.col("_scaled").alias("features"))
 
-def score(model, df: DataFrame) -> DataFrame:
+
+def fit(s: Spec, train: DataFrame, width: int | None = None) -> Fitted:
+    """A model of features and label, and weight, if there is one and the model is to weigh classes alike."""
+    train = train if s.balance else train.drop("weight")
+    scaler = StandardScaler(inputCol="features", outputCol="_scaled", withMean=True).fit(train) if s.scale else None
+    out = Fitted(scaler, None, 0.0)
+    rows, estimator = out.scaled(train), s.estimator
+    if isinstance(estimator, Estimator):
+        estimator = estimator.copy()
+        if estimator.hasParam("layers") and width:
+            estimator = estimator.setLayers([width, 100, 2])
+        if estimator.hasParam("weightCol") and "weight" in rows.columns:
+            estimator = estimator.setWeightCol("weight")
+    began = time.perf_counter()
+    out.model = estimator.fit(rows)
+    out.seconds = round(time.perf_counter() - began, 3)
+    return out
+
+
+def score(fitted: Fitted, df: DataFrame) -> DataFrame:
     """df with y_score: the probability of class 1, or its squashed margin."""
-    out = model.transform(df)
+    columns = [c for c in df.columns if c != "features"]
+    rows = fitted.scaled(df)
+    if hasattr(fitted.model, "scored"):
+        return fitted.model.scored(rows).select(*columns, "y_score")
+    out = fitted.model.transform(rows)
     if "probability" in out.columns:
         made = F.element_at(vector_to_array("probability"), 2)
     else:
         made = M.squash(F.element_at(vector_to_array("rawPrediction"), 2))
-    return out.withColumn("y_score", made).select(*df.columns, "y_score")
+    return out.withColumn("y_score", made).select(*columns, "y_score")
 
 
-def native_importance(model, names: list[str]) -> list[tuple[str, float]] | None:
+def native_importance(fitted: Fitted, names: list[str]) -> list[tuple[str, float]] | None:
     """(feature, importance): trees' importances or sizes of coefficients; None if the model has neither."""
-    last = model.stages[-1]
-    values = getattr(last, "featureImportances", None)
+    own = getattr(fitted.model, "importances", None)
+    if own is not None:
+        return list(zip(names, own()))
+    values = getattr(fitted.model, "featureImportances", None)
     if values is None:
-        values = getattr(last, "coefficients", None)
+        values = getattr(fitted.model, "coefficients", None)
     return None if values is None else [(n, abs(float(v))) for n, v in zip(names, values.toArray())]
 
 
-def permutation_importance(model, test: DataFrame, columns: list[str], assemble, metric: str = "roc_auc", repeats: int = 3, seed: int = 42) -> DataFrame:
-    """(feature, permutation_mean, permutation_std): how much the metric drops when one column of test is dealt out anew.
+def linear_parts(fitted: Fitted, train: DataFrame) -> tuple[list[float], list[float], float] | None:
+    """(weight, mean) of each unscaled feature and the margin at the means, of a linear model; None for others."""
+    coefficients = getattr(fitted.model, "coefficients", None)
+    if coefficients is None:
+        return None
+    weights, intercept = coefficients.toArray(), float(fitted.model.intercept)
+    if fitted.scaler is not None:
+        mean, spread = fitted.scaler.mean.toArray(), fitted.scaler.std.toArray()
+        return [float(w / s) if s else 0.0 for w, s in zip(weights, spread)], mean.tolist(), intercept
+    per = train.select(F.posexplode(vector_to_array("features"))).groupBy("pos").agg(F.avg("col").alias("m")).collect()  # a row a feature
+    means = [m for _, m in sorted((r["pos"], r["m"]) for r in per)]
+    return weights.tolist(), means, intercept + float(np.dot(weights, means))
+
+
+def contributions(df: DataFrame, weights: list[float], means: list[float], names: list[str]) -> DataFrame:
+    """(sample_id, feature, value, x) for each feature that isn't at its mean or has no weight: weight * (x - mean), the exact Shapley value of a linear model of independent features."""
+    x = df.select("sample_id", vector_to_array("features").alias("_x"))
+    parts = [F.array(*[F.lit(v) for v in values]) for values in (weights, means, names)]
+    made = F.transform("_x", lambda v, i: F.struct(F.get(parts[2], i).alias("feature"), (F.get(parts[0], i) * (v - F.get(parts[1], i))).alias("value"), v.alias("x")))
+    return x.select("sample_id", F.inline(made))
 
-    test has sample_id, y_true and columns; assemble makes features of it. All shuffled copies are
-    scored in one job.
+
+def permutation_importance(fitted: Fitted, test: DataFrame, names: list[str], candidates: list[str], places, metric: str = "pr_auc", repeats: int = 5, seed: int = 42) -> DataFrame:
+    """(feature, permutation_mean, permutation_std): how much the metric drops when one feature of test is dealt out anew.
+
+    test has sample_id (unique), y_true and features; places(ids, seed) numbers ids from 1 in an
+    order of its own for each seed. Rows of one order get a feature of the rows of another, so no
+    task gets all rows. All dealt copies are scored in one job.
     """
-    base = test.select("sample_id", "y_true", *columns)
-    order = base.withColumn("_rn", F.row_number().over(Window.orderBy("sample_id")))
-    copies = base.withColumns({"feature": F.lit(""), "repeat": F.lit(0)})
-    for column in columns:
-        for r in range(repeats):
-            dealt = base.select(F.row_number().over(Window.orderBy(F.md5(F.concat("sample_id", F.lit(f"|{seed}|{r}"))), "sample_id")).alias("_rn"), F.col(column).alias("_new"))
-            shuffled = order.join(dealt, "_rn").withColumn(column, F.col("_new")).drop("_rn", "_new")
-            copies = copies.unionByName(shuffled.withColumns({"feature": F.lit(column), "repeat": F.lit(r)}))
-    scored = score(model, assemble(copies))
-    per = M.metrics(scored, ["feature", "repeat"]).select("feature", "repeat", F.col(metric).alias("m"))
-    before = per.where("feature = ''").select(F.col("m").alias("_b"))
-    drops = per.where("feature <> ''").crossJoin(F.broadcast(before)).withColumn("d", F.col("_b") - F.col("m"))  # one row
-    return drops.groupBy("feature").agg(F.avg("d").alias("permutation_mean"), F.stddev_pop("d").alias("permutation_std"))
+    base = test.select("sample_id", "y_true", vector_to_array("features").alias("_x")).persist()
+    ids = base.select(F.col("sample_id").alias("group_id"))
+    here = base.join(places(ids, seed).withColumnRenamed("group_id", "sample_id"), "sample_id")
+    at = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(names.index(n)).alias("j")) for n in candidates])
+
+    def dealt(r: int) -> DataFrame:
+        other = base.join(places(ids, f"{seed}|{r}").withColumnRenamed("group_id", "sample_id"), "sample_id").select("place", F.col("_x").alias("_d"))
+        return here.join(other, "place").select("sample_id", "y_true", "_x", "_d", F.lit(r).alias("repeat"))
+
+    copies: Iterator[DataFrame] = (dealt(r) for r in range(repeats))
+    every = next(copies)
+    for more in copies:
+        every = every.unionByName(more)
+    every = every.select("sample_id", "y_true", "_x", "_d", "repeat", F.inline(at))
+    changed = array_to_vector(F.transform("_x", lambda v, i: F.when(i == F.col("j"), F.get("_d", i)).otherwise(v)))
+    rows = every.select("sample_id", "y_true", "feature", "repeat", changed.alias("features"))
+    rows = rows.unionByName(base.select("sample_id", "y_true", F.lit("").alias("feature"), F.lit(0).alias("repeat"), array_to_vector("_x").alias("features")))
+    per = M.metrics(score(fitted, rows), ["feature", "repeat"]).select("feature", "repeat", F.col(metric).alias("m")).persist()
+    before = per.where("feature = ''").first()["m"]
+    drops = per.where("feature <> ''").withColumn("d", F.lit(before).cast("double") - F.col("m"))
+    out = drops.groupBy("feature").agg(F.avg("d").alias("permutation_mean"), F.stddev_pop("d").alias("permutation_std"))
+    base.unpersist()
+    return out

@@ -37,8 +37,8 @@ EXPECTED = [
     (1, "vulnerable", 4, None, "return", "function_body", 0, None), (1, "fixed", 1, None, "assign", "function_body", 0, None), (1, "fixed", 2, None, "if", "function_body", 0, None),
     (1, "fixed", 3, 2, "call_expr", "if_true_branch", 0, "exec"), (1, "fixed", 4, None, "return", "function_body", 0, None),
     (2, "unchanged", 1, None, "assign", "function_body", 0, None), (2, "unchanged", 2, None, "call_expr", "function_body", 0, "eval"),
-    (3, "vulnerable", 1, None, "try_catch", "function_body", 0, None), (3, "vulnerable", 2, 1, "assign", "try_body", 0, None), (3, "vulnerable", 3, 1, "other", "exception_handler", 1, "handler"),
-    (3, "fixed", 1, None, "try_catch", "function_body", 0, None), (3, "fixed", 2, 1, "assign", "try_body", 0, None), (3, "fixed", 3, 1, "other", "exception_handler", 0, "handler"),
+    (3, "vulnerable", 1, None, "try_catch", "function_body", 0, None), (3, "vulnerable", 2, 1, "assign", "try_body", 0, None), (3, "vulnerable", 3, 1, "echo", "exception_handler", 1, "handler"),
+    (3, "fixed", 1, None, "try_catch", "function_body", 0, None), (3, "fixed", 2, 1, "assign", "try_body", 0, None), (3, "fixed", 3, 1, "echo", "exception_handler", 0, "handler"),
     (4, "vulnerable", 1, None, "assign", "function_body", 0, None), (4, "vulnerable", 2, None, "call_expr", "function_body", 0, None),
     (4, "fixed", 1, None, "call_expr", "function_body", 0, None), (4, "fixed", 2, None, "assign", "function_body", 0, None),
     (6, "vulnerable", 1, None, "assign", "function_body", 1, None), (6, "vulnerable", 2, None, "call_expr", "function_body", 1, None),
@@ -139,4 +139,4 @@ def classify_end_to_end(spark, sf_dir):
     source = code_pairs(spark, sf_dir).withColumn("cve_id", F.lit(None).cast("string")).withColumn("vulnerability_type", F.lit("CWE")).withColumn("method", F.col("row_index").cast("string"))
     config = classify.Config(models=[{"name": "decision_tree", "params": {"maxDepth": 3}}], importance=False)
     out = classify.compare(source, X.features(source), config)["metrics"]
-    return out.select("fold", "approach", "model", "n_test", "n_test_pos", *[F.round(c, 6).alias(c) for c in M.METRICS])
+    return out.select("fold", "approach", "eval_level", "model", "n_test", "n_test_pos", *[F.round(c, 6).alias(c) for c in M.METRICS])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchloom.operators import datasets as D
 from patchloom.operators import metrics as M
+from patchloom.operators import models
 from patchloom.plans.base import S, query, r6, read, statements
 
 KEYS = ["approach", "model"]
@@ -142,9 +145,9 @@ def importance_rank(spark, sf_dir):
     return M.ranked(importance(spark, sf_dir), "native", [*KEYS, "fold"]).select("feature", "fold", *KEYS, "rank")
 
 
-@query(f"""WITH {I} SELECT approach, model, CASE WHEN count(permutation) > 0 THEN 'permutation' WHEN count(shap) > 0 THEN 'shap' WHEN count(native) > 0 THEN 'native' END AS importance_basis FROM i GROUP BY ALL""")
+@query(f"""WITH {I} SELECT approach, model, CASE WHEN count(shap) > 0 THEN 'shap' WHEN count(permutation) > 0 THEN 'permutation' WHEN count(native) > 0 THEN 'native' END AS importance_basis FROM i GROUP BY ALL""")
 def importance_basis_pick(spark, sf_dir):
-    return M.basis_of(importance(spark, sf_dir), KEYS, ["permutation", "shap", "native"])
+    return M.basis_of(importance(spark, sf_dir), KEYS, ["shap", "permutation", "native"])
 
 
 @query(f"""WITH {I}, m AS (SELECT approach, model, feature, avg(shap) AS shap FROM i GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY approach, model ORDER BY shap DESC, feature) AS rank FROM m WHERE shap IS NOT NULL)
@@ -169,12 +172,10 @@ WEIGHTS = {"quantity": 0.1, "tax": 2.0, "y_score": -1.5}
 def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """weight * (value - mean) of each feature of each statement: exact for a linear model of independent features."""
     rows = statements(spark, sf_dir).withColumn("sample_id", F.concat_ws(":", F.col("method_id").cast("string"), F.col("line").cast("string")))
-    means = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in WEIGHTS])
-    joined = rows.crossJoin(F.broadcast(means))  # one row
-    parts = F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.round((F.col(c) - F.col(f"m_{c}")) * w, 4).alias("value"), F.col(c).cast("double").alias("x")) for c, w in WEIGHTS.items()
-    ])
-    return joined.select("sample_id", F.explode(parts).alias("p")).select("sample_id", "p.*")
+    means = rows.agg(*[F.avg(c) for c in WEIGHTS]).first()
+    vectors = rows.select("sample_id", array_to_vector(F.array(*[F.col(c).cast("double") for c in WEIGHTS])).alias("features"))
+    made = models.contributions(vectors, list(WEIGHTS.values()), list(means), list(WEIGHTS))
+    return made.withColumn("value", F.round("value", 4))
 
 
 @query(f"WITH {V} SELECT sample_id, feature, value FROM v")
@@ -210,13 +211,13 @@ def topn_samples(spark, sf_dir):
     return M.top_samples(_samples(spark, sf_dir), 25)
 
 
-@query(f"""WITH {_SAMPLES}, top AS (SELECT * FROM t ORDER BY y_score DESC, sample_id LIMIT 25),
-  rest AS (SELECT * FROM t WHERE sample_id NOT IN (SELECT sample_id FROM top) ORDER BY md5(sample_id || '|42'), sample_id LIMIT 75) SELECT * FROM top UNION ALL SELECT * FROM rest""")
+@query(f"""WITH {_SAMPLES}, u AS (SELECT sample_id, max(y_score) AS y_score FROM t GROUP BY 1),
+  top AS (SELECT *, CAST(row_number() OVER (ORDER BY y_score DESC, sample_id) AS INTEGER) AS sample_rank FROM u QUALIFY sample_rank <= 25),
+  rest AS (SELECT *, CAST(NULL AS INTEGER) AS sample_rank FROM u WHERE sample_id NOT IN (SELECT sample_id FROM top) ORDER BY md5(sample_id || '|42'), sample_id LIMIT 75) SELECT * FROM top UNION ALL SELECT * FROM rest""")
 def explain_sample_rest(spark, sf_dir):
-    every = _samples(spark, sf_dir)
-    top = M.top_samples(every, 25)
-    rest = every.join(F.broadcast(top.select("sample_id")), "sample_id", "left_anti")  # 25 rows
-    return top.union(rest.orderBy(F.md5(F.concat("sample_id", F.lit("|42"))), "sample_id").limit(75))
+    # an order may have a line number twice: the greater score stands for both
+    every = _samples(spark, sf_dir).groupBy("sample_id").agg(F.max("y_score").alias("y_score"))
+    return M.explain_sample(every, 25, 100)
 
 
 @query(f"""WITH {S}, l AS (SELECT unnest(['quantity', 'price', 'tax', 'y_score']) AS feature, unnest([quantity, price, tax, y_score]) AS value FROM s)
@@ -231,14 +232,14 @@ def logistic_squash(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", r6(M.squash(F.col("c_acctbal") / 1000)).alias("score"))
 
 
-@query(f"""WITH {S}, a AS (SELECT *, row_number() OVER (PARTITION BY approach, model ORDER BY method_id, line, price, quantity, tax) AS rn, row_number() OVER (PARTITION BY approach, model ORDER BY md5(method_id || ':' || line || '|7'), method_id, line, price, quantity, tax) AS rs FROM s)
-  SELECT x.method_id, x.line, x.approach, x.model, y.tax AS tax FROM a x JOIN a y ON x.approach = y.approach AND x.model = y.model AND x.rn = y.rs""")
+@query(f"""WITH {S}, u AS (SELECT method_id || ':' || line AS group_id, approach || '|' || model AS stratum, max(tax) AS tax FROM s GROUP BY ALL),
+  a AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(group_id || '|42'), group_id) AS rn, row_number() OVER (PARTITION BY stratum ORDER BY md5(group_id || '|42|0'), group_id) AS rs FROM u)
+  SELECT x.group_id, x.stratum, y.tax AS tax FROM a x JOIN a y ON x.stratum = y.stratum AND x.rn = y.rs""")
 def permutation_shuffle(spark, sf_dir):
-    """One column dealt out anew inside each fold's test rows, in order of a digest: what permutation importance scores again."""
-    w = Window.partitionBy(*KEYS)
-    digest = F.md5(F.concat(F.col("method_id").cast("string"), F.lit(":"), F.col("line").cast("string"), F.lit("|7")))
-    rows = statements(spark, sf_dir).select("method_id", "line", *KEYS, "tax", "price", "quantity")
-    order = ["method_id", "line", "price", "quantity", "tax"]
-    rows = rows.withColumns({"rn": F.row_number().over(w.orderBy(*order)), "rs": F.row_number().over(w.orderBy(digest, *order))})
-    other = rows.select(*KEYS, F.col("rs").alias("rn"), "tax")
-    return rows.drop("tax", "rs").join(other, [*KEYS, "rn"]).select("method_id", "line", *KEYS, "tax")
+    """One column dealt out anew inside each model's test rows: what permutation importance scores again."""
+    id_ = F.concat_ws(":", F.col("method_id").cast("string"), F.col("line").cast("string"))
+    rows = statements(spark, sf_dir).groupBy(id_.alias("group_id"), F.concat_ws("|", *KEYS).alias("stratum")).agg(F.max("tax").alias("tax"))
+    ids = rows.select("group_id", "stratum")
+    here, there = D.places(ids, 42), D.places(ids, "42|0")
+    other = rows.join(there, ["group_id", "stratum"]).select("stratum", "place", "tax")
+    return here.join(other, ["stratum", "place"]).select("group_id", "stratum", "tax")

@@ -138,9 +138,10 @@ def dedup_keep_first(spark, sf_dir):
     return first.where("k = 1").select("s_suppkey", "n_name", "r_name")
 
 
-@query("""SELECT * FROM (VALUES ('pairs.granularity', '"method"'), ('pairs.strategy', '"aligned"'), ('xai.shap_max_samples', '300'), ('xai.permutation_max_features', '100'), ('xai.top_k', '5')) t(key, value)""")
+@query("""SELECT * FROM (VALUES ('pairs.granularity', '"method"'), ('pairs.strategy', '"aligned"'), ('split.group_by', '"method"'), ('split.test_size', '0.2'), ('split.cv_folds', '5'), ('split.random_state', '42'),
+  ('raw_features.max_features', '2000'), ('raw_features.ngram_range', '[1, 2]'), ('raw_features.min_df', '1')) t(key, value)""")
 def config_flatten(spark, sf_dir):
     from patchloom import config
 
-    merged = config.merge(config.DEFAULTS, {"pairs": {"granularity": "method"}, "xai": {"top_k": 5}})
-    return config.table(spark, {k: merged[k] for k in ("pairs", "xai")})
+    merged = config.merge(config.DEFAULTS, {"pairs": {"granularity": "method"}, "classification": {"split": {"cv_folds": 5}}})
+    return config.table(spark, {"pairs": merged["pairs"], **{k: merged["classification"][k] for k in ("split", "raw_features")}})

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -262,7 +261,7 @@ def outermost_interval(spark, sf_dir):
 @query("SELECT row_index, cve_id, language, vulnerable_code FROM (" + PAIRS + ")")
 def scan_csv_roundtrip(spark, sf_dir):
     """Quotes and line ends in fields survive being written and read."""
-    path = f"{_scratch(spark)}/csv-{uuid.uuid4().hex}"
+    path = f"{tables.shared_dir(spark)}/csv-{uuid.uuid4().hex}"
     tables.write_csv(pairs(spark, sf_dir).select("row_index", "cve_id", "language", "vulnerable_code"), path)
     schema = "row_index long, cve_id string, language string, vulnerable_code string"
     from pyspark.sql import types
@@ -272,19 +271,13 @@ def scan_csv_roundtrip(spark, sf_dir):
 
 @query("SELECT doc_id, quality, toxic FROM labels")
 def csv_sink_roundtrip(spark, sf_dir):
-    path = f"{_scratch(spark)}/csv-{uuid.uuid4().hex}"
+    path = f"{tables.shared_dir(spark)}/csv-{uuid.uuid4().hex}"
     tables.write_csv(read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), path)
     from pyspark.sql import types
 
     return tables.read_csv(spark, path, types.StructType.fromDDL("doc_id long, quality int, toxic int"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share, one of our own where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
-
-
 N = f"""n AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term
   FROM (SELECT item_id, {_TOKENS.format(x='text')} AS t FROM benchmark)) GROUP BY ALL)"""
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from datetime import datetime
 from pathlib import Path
 
@@ -39,6 +41,27 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
         raise
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or, unset on a local master, one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+    return (named or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder: later plans start there, and a lost executor costs no recomputation."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """A pair table from CSV or, by its ending, Parquet; with row_index, in the file's order for CSV."""
     if str(path).rstrip("/").endswith(".parquet"):
@@ -56,7 +79,8 @@ def with_row_index(df: DataFrame, order: str | None = None) -> DataFrame:
         return df
     if order is not None:
         df = df.sort(order)
-    marked = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    # kept, so that counts and rows see the same partitions
+    marked = stored(df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)))
     per = marked.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = per.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row a partition

@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import statistics
 
 import duckdb
 import pytest
@@ -191,11 +192,76 @@ def test_classify(some):
     config = classify.Config(models=[{"name": "decision_tree", "params": {"maxDepth": 3}}], test_size=0.25)
     pairs_ = some.where("row_index < 100")
     out = classify.compare(pairs_, features.features(pairs_), config)
-    got = {r["approach"]: r for r in out["metrics"].collect()}
-    assert set(got) == {"method", "statement", "aggregated"} and got["method"]["n_test"] == got["aggregated"]["n_test"] == 12
+    got = {(r["approach"], r["eval_level"]): r for r in out["metrics"].collect()}
+    assert set(got) == {("raw", "method"), ("split", "method"), ("split", "statement")} and got["raw", "method"]["n_test"] == got["split", "method"]["n_test"] == 12
     assert out["importance"].where("rank = 1").count() == 2
+    info = {r["approach"]: r for r in out["dataset_info"].collect()}
+    assert info["split"]["unit"] == "statement" and info["raw"]["n_train_groups"] + info["raw"]["n_test_groups"] == 24 and info["split"]["n_features"] > 23
+    shown = out["predictions"].where("eval_level = 'statement'").first()
+    assert shown["statement_type"] and shown["text_preview"]
+    assert out["metrics"].where("train_seconds is null").count() == 0 and out["xai_notes"].count() == 3 and "local_explanations" not in out
+    assert {"statement_type=call_expr", "language=go"} <= {r["feature"] for r in out["importance"].where("approach = 'split'").collect()}
     with pytest.raises(ValueError):
         classify.statements_of(pairs_.where("row_index > 3"), features.features(pairs_), "method")
+    with pytest.warns(UserWarning, match="another cve_id"):
+        classify.statements_of(pairs_.withColumn("cve_id", F.lit("other")), features.features(pairs_), "method")
+
+
+def test_explanations_of_a_linear_model(some):
+    config = classify.Config(models=["logistic_regression"], test_size=0.25, permuted=5, repeats=2, local=3, explained=10)
+    pairs_ = some.where("row_index < 100")
+    out = classify.compare(pairs_, features.features(pairs_), config)
+    top = out["local_explanations"].where("approach = 'split'").collect()
+    assert {r["sample_rank"] for r in top} == {1, 2, 3} and all(r["direction"] == ("-> vulnerable" if r["shap_value"] > 0 else "-> aman") for r in top)
+    # contributions add up to the margin that the score squashes
+    every = classify.compare(pairs_, features.features(pairs_), classify.Config(models=["logistic_regression"], test_size=0.25, permutation=False, local=50, explained=100, top_k=1000))["local_explanations"].where("approach = 'split'").collect()
+    by: dict = {}
+    for r in every:
+        by.setdefault((r["approach"], r["sample_id"]), []).append(r)
+    for rows in by.values():
+        margin = rows[0]["base_value"] + sum(r["shap_value"] for r in rows)
+        assert abs(1 / (1 + 2.718281828459045 ** -margin) - rows[0]["y_score"]) < 1e-6
+    assert out["importance"].where("permutation_mean is not null").groupBy("approach").count().collect()[0]["count"] == 5
+    assert {r["importance_basis"] for r in out["importance"].collect()} == {"shap_mean_abs"}
+
+
+@pytest.mark.parametrize("name", ["adaboost", "svm", "knn", "extra_trees", "naive_bayes", "linear_svm"])
+def test_models_tell_two_classes_apart(spark, name):
+    import random
+
+    from pyspark.ml.linalg import Vectors
+
+    r = random.Random(5)
+    rows = []
+    for i in range(240):
+        y = i % 2
+        # a ring around a disc for what isn't linear, two clouds for what is
+        far = (2.5 if y else 0.7) if name in ("svm", "knn", "extra_trees") else None
+        a = r.uniform(0, 6.283)
+        x = (far * math.cos(a) + r.gauss(0, 0.1), far * math.sin(a) + r.gauss(0, 0.1)) if far else (r.gauss(3 * y, 1), r.gauss(-3 * y, 1))
+        rows.append((str(i), y, Vectors.dense(*x)))
+    df = spark.createDataFrame(rows, ["sample_id", "label", "features"]).withColumn("label", F.col("label").cast("int"))
+    train, test = df.where("int(sample_id) % 4 < 2"), df.where("int(sample_id) % 4 >= 2")
+    params = {"extra_trees": {"numTrees": 20, "maxDepth": 6}, "adaboost": {"rounds": 20}, "svm": {"components": 128}}.get(name, {})
+    fitted = models.fit(models.spec({"name": name, "params": params}), models.balanced(train), 2)
+    scored = models.score(fitted, test).collect()
+    assert len(scored) == 120 and sum((x["y_score"] >= 0.5) == x["label"] for x in scored) >= 110
+    if name == "knn":  # against brute force, on features scaled as the model's
+        mean, spread = ([f([v[2][k] for v in rows if int(v[0]) % 4 < 2]) for k in (0, 1)] for f in (statistics.mean, statistics.stdev))
+        at = {v[0]: [(v[2][k] - mean[k]) / spread[k] for k in (0, 1)] for v in rows}
+        for x in scored:
+            near = sorted((sum((p - q) ** 2 for p, q in zip(at[x["sample_id"]], at[v[0]])), v[1]) for v in rows if int(v[0]) % 4 < 2)[:5]
+            assert abs(x["y_score"] - sum(y for _, y in near) / 5) < 1e-9
+
+
+def test_permutation_importance_finds_what_counts(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(str(i), i % 2, Vectors.dense(float(i % 2), float(i * 7 % 13))) for i in range(200)]
+    df = spark.createDataFrame(rows, ["sample_id", "label", "features"]).withColumn("y_true", F.col("label").cast("int"))
+    fitted = models.fit(models.spec("decision_tree"), models.balanced(df), 2)
+    got = {r["feature"]: r for r in models.permutation_importance(fitted, df, ["a", "b"], ["a", "b"], datasets.places, "roc_auc", 3).collect()}
+    assert got["a"]["permutation_mean"] > 0.3 and got["b"]["permutation_mean"] == 0 and got["a"]["permutation_std"] > 0
 
 
 def test_sources(spark, some, tmp_path):
@@ -229,8 +295,10 @@ def test_streams_take_the_same_column_functions(spark, tmp_path):
 def test_config(tmp_path):
     from patchloom import config
 
-    (tmp_path / "a.yaml").write_text("classify:\n  cv_folds: 5\nnew: 1\n")
+    (tmp_path / "a.yaml").write_text("classification:\n  split:\n    cv_folds: 5\n  models: [{name: decision_tree, params: {maxDepth: 2}}]\nnew: 1\n")
     (tmp_path / "b.yaml").write_text(":\n  - [")
     got = config.load(str(tmp_path / "a.yaml"))
-    assert got["classify"]["cv_folds"] == 5 and got["classify"]["test_size"] == 0.2 and got["new"] == 1
+    assert got["classification"]["split"] == config.DEFAULTS["classification"]["split"] | {"cv_folds": 5} and got["new"] == 1
+    made = classify.Config.of(got, cv_folds=2, test_size=None)
+    assert made.cv_folds == 2 and made.test_size == 0.2 and made.models[0]["params"] == {"maxDepth": 2} and "statement_type" in made.categorical
     assert config.load(str(tmp_path / "b.yaml")) == config.load(str(tmp_path / "none.yaml")) == config.load() == config.DEFAULTS
