@@ -138,28 +138,28 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = SAMP
     """
     rated = ratings.count()
     picked = ratings.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(min(1.0, sample / max(1, rated)) * (1 << 30)))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    chosen = docs.select("doc_id", "text", F.xxhash64("text").alias("row")).join(F.broadcast(picked), "doc_id")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [{bucket(name): value for name, value in features(text).items()} for text in batch["text"]]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "grade": batch["grade"], "at": [np.array(list(f), dtype=np.int32) for f in found], "value": [np.array(list(f.values()), dtype=np.float32) for f in found]
+                "doc_id": batch["doc_id"], "row": batch["row"], "grade": batch["grade"], "at": [np.array(list(f), dtype=np.int32) for f in found], "value": [np.array(list(f.values()), dtype=np.float32) for f in found]
             })
 
     blocks = max(1, round(min(rated, sample) / BLOCK))
-    every = table(chosen.mapInPandas(hashed, "doc_id long, grade int, at array<int>, value array<float>"))
+    every = table(chosen.mapInPandas(hashed, "doc_id long, row long, grade int, at array<int>, value array<float>"))
     n, low = every.agg(F.count("*"), F.sum((F.col("grade") < grades - 1).cast("long"))).first()
     if not n:
         return None
     # screening: what isn't tied to low or high grades gets no weight
     usual = min(max((low or 0) / n, 1 / n), 1 - 1 / n) if n > 1 else 0.5
-    cells = every.select("doc_id", "grade", F.explode(F.arrays_zip("at", "value")).alias("c")).select("doc_id", "grade", "c.at", "c.value")
+    cells = every.select("doc_id", "row", "grade", F.explode(F.arrays_zip("at", "value")).alias("c")).select("doc_id", "row", "grade", "c.at", "c.value")
     per = cells.groupBy("at").agg(F.count("*").alias("n"), F.sum((F.col("grade") < grades - 1).cast("long")).alias("k"))
     z = F.abs(F.col("k") - F.col("n") * usual) / F.sqrt(F.col("n") * usual * (1 - usual))
     shapes = sorted({bucket(shape_name(shape, i)) for shape in ("upper", "repeat", "sign", "short") for i in range(11)})
     tied = per.where(F.col("at").isin(shapes) | ((F.col("n") >= LEAST_DOCS) & (z > LEAST_Z))).select("at")
-    screened = cells.join(tied, "at").groupBy("doc_id", "grade").agg(F.collect_list("at").alias("at"), F.collect_list("value").alias("value"))
+    screened = cells.join(tied, "at").groupBy("doc_id", "row", "grade").agg(F.collect_list("at").alias("at"), F.collect_list("value").alias("value"))
     rows = table(screened.withColumn("block", F.pmod(F.hash("doc_id"), F.lit(blocks))))
     spark = docs.sparkSession
     model = Model(np.zeros(0, dtype=np.int64), np.zeros(0), np.linspace(-0.5, 0.5, grades - 1))
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = SAMP
         shared = spark.sparkContext.broadcast(model)
 
         def train(block: pd.DataFrame) -> pd.DataFrame:
-            block = block.sort_values(["doc_id", "grade"], kind="stable")
+            block = block.sort_values(["doc_id", "row"], kind="stable")
             own = [dict(zip(a.tolist(), v.tolist())) for a, v in zip(block["at"], block["value"])]
             made = descend(own, block["grade"].to_numpy(), shared.value)
             at = np.concatenate([-1 - np.arange(len(made.thresholds)), made.buckets])

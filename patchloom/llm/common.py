@@ -51,6 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         named = tempfile.mkdtemp(prefix="spark-checkpoints-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)

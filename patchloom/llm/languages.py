@@ -8,6 +8,7 @@ and the language with the largest proportion in it is the prediction.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +24,8 @@ from .common import cut
 BUCKETS = 1 << 15
 #: Documents a language that the model is fitted on, about, picked by hash.
 SAMPLE = 5000
-#: Languages that a model may have; more are an error.
-MOST_LANGUAGES = 2000
+#: Cells of a model: beyond CELLS / BUCKETS languages, buckets are joined in twos, fours and so on, so that any number of languages fits a worker.
+CELLS = 1 << 24
 SMOOTHING = 0.05
 #: Characters that are counted at a time.
 CHUNK = 1 << 20
@@ -47,23 +48,22 @@ def letters() -> np.ndarray:
 
 def trigrams(text: str | None) -> np.ndarray | None:
     """Counts by bucket of the trigrams of a whole lower-cased text, other characters than letters being one space each run; None without letters."""
-    counts, tail, any_letter = None, "", False
+    counts, any_letter = np.zeros(BUCKETS, dtype=np.int64), False
     text = text or ""
+    carry, before = np.array([SPACE], dtype=np.uint64), True  # what a part's first trigrams begin with, and whether its first character is kept in any case
     for at in range(0, len(text), CHUNK):
-        part = (tail + text[at : at + CHUNK]).lower()
-        codes = np.frombuffer(part.encode("utf-32-le"), dtype=np.uint32)
+        codes = np.frombuffer(text[at : at + CHUNK].lower().encode("utf-32-le"), dtype=np.uint32)
         is_letter = letters()[codes]
         any_letter |= bool(is_letter.any())
-        codes = np.where(is_letter, codes, SPACE)
-        keep = np.ones(len(codes), dtype=bool)
-        keep[1:] = is_letter[1:] | is_letter[:-1]
-        codes = np.concatenate([[SPACE], codes[keep], [SPACE]]).astype(np.uint64)
+        keep = np.concatenate([[before or is_letter[0]], is_letter[1:] | is_letter[:-1]])
+        before = bool(is_letter[-1])
+        end = [SPACE] if at + CHUNK >= len(text) else []
+        codes = np.concatenate([carry, np.where(is_letter, codes, SPACE)[keep], end]).astype(np.uint64)
         if len(codes) >= 3:
             h = (codes[:-2] * np.uint64(0x9E3779B1) + codes[1:-1]) * np.uint64(0x85EBCA77) + codes[2:]
             h = (h ^ h >> np.uint64(15)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - BUCKETS.bit_length() + 1)
-            own = np.bincount(h.astype(np.int64), minlength=BUCKETS)
-            counts = own if counts is None else counts + own
-        tail = text[max(0, at + CHUNK - 2) : at + CHUNK]
+            counts += np.bincount(h.astype(np.int64), minlength=BUCKETS)
+        carry = codes[-2:]
     return counts if any_letter else None
 
 
@@ -75,6 +75,11 @@ class Model:
     logs: np.ndarray
 
 
+def _joined(counts: np.ndarray, buckets: int) -> np.ndarray:
+    """Counts by fewer buckets: neighbours are added up."""
+    return counts if buckets == len(counts) else counts.reshape(buckets, -1).sum(axis=1)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -88,10 +93,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """
     known = docs.where(F.col("lang").isNotNull() & ~held_out()).select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("u"))
     shares = cut(known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share")))
-    if shares.count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages: the model wouldn't fit a worker")
-    # a row a language, at most MOST_LANGUAGES: texts aren't dealt out by language
-    picked = known.join(F.broadcast(shares), "lang").where(F.col("u") < F.col("share") * (1 << 30)).select("lang", "text")
+    n = shares.count()
+    buckets = BUCKETS >> max(0, math.ceil(math.log2(max(1, n) * BUCKETS / CELLS)))
+    if buckets < 1:
+        raise ValueError(f"{n} values of lang are no languages")
+    # a row a language, and few of these: texts aren't dealt out by language, unless Spark finds shares too large
+    picked = known.join(F.broadcast(shares) if n <= CELLS // BUCKETS else shares, "lang").where(F.col("u") < F.col("share") * (1 << 30)).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -99,6 +106,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             for lang, text in zip(batch["lang"], batch["text"]):
                 found = trigrams(text)
                 if found is not None:
+                    found = _joined(found, buckets)
                     sums[lang] = sums[lang] + found if lang in sums else found
         for lang, total in sums.items():
             at = np.flatnonzero(total)
@@ -106,7 +114,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     counted = picked.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = tuple(sorted(counted["lang"].unique(), key=lambda x: x.encode()))
-    table = np.full((len(names), BUCKETS), SMOOTHING)
+    table = np.full((len(names), buckets), SMOOTHING)
     for i, name in enumerate(names):
         own = counted[counted["lang"] == name]
         table[i, own["bucket"]] += own["n"]
@@ -132,6 +140,7 @@ def em(weights: np.ndarray, p: np.ndarray, start: np.ndarray, gain: float = GAIN
 
 def infer(counts: np.ndarray, model: Model) -> tuple[str, float]:
     """(language, its proportion in the selected set) of one document."""
+    counts = _joined(counts, model.logs.shape[1])
     at = np.flatnonzero(counts)
     weights, logs = counts[at].astype(np.float64), model.logs[:, at].astype(np.float64)
     singles = logs @ weights
