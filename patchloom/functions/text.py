@@ -51,6 +51,12 @@ def to_number(x: Column) -> Column:
     return F.coalesce(x.try_cast("double"), F.when(s == "true", 1.0).when(s == "false", 0.0), F.lit(0.0))
 
 
+def share(x: Column) -> Column:
+    """A share from text: 20, 20% and 0.2 all mean a fifth."""
+    n = F.regexp_replace(strip(x), "%$", "").cast("double")
+    return F.when(n >= 1, n / 100).otherwise(n)
+
+
 def normalize_ws(x: Column) -> Column:
     return strip(F.regexp_replace(x, r"(?U)\s+", " "))
 

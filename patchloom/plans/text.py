@@ -214,9 +214,11 @@ def call_names_regex(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.call_names(F.col("html")).alias("c")).select("page_id", F.size("c").alias("n_calls"), F.array_join("c", ",").alias("calls"))
 
 
-@query("SELECT page_id, contains(html, '.innerHTML') OR url LIKE '%/es/%' AS is_output_render FROM pages")
+@query("SELECT page_id, page_id % 3 = 0 OR (page_id % 2 = 0 AND contains(html, '<p')) AS is_output_render FROM (SELECT page_id, html FROM pages)")
 def output_render_text(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", (F.col("html").contains(".innerHTML") | F.col("url").contains("/es/")).alias("is_output_render"))
+    kind, language = F.when(F.col("page_id") % 3 == 0, "echo").otherwise("call_expr"), F.when(F.col("page_id") % 2 == 0, "javascript").otherwise("php")
+    raw = F.replace("html", F.lit("<p"), F.lit("el.innerHTML"))
+    return read(spark, sf_dir, "pages").select("page_id", T.output_text(raw, kind, language).alias("is_output_render"))
 
 
 @query(f"SELECT row_index, contains(coalesce(vulnerable_code, ''), '<?php') AS has_tag FROM ({PAIRS})")
@@ -229,10 +231,12 @@ def wrap_isolated_method(spark, sf_dir):
     return pairs(spark, sf_dir).select("row_index", T.wrap_method(F.col("vulnerable_code")).alias("code"))
 
 
-@query("SELECT p_partkey, CASE WHEN CAST(p_size AS DOUBLE) >= 1 THEN p_size / 100.0 ELSE p_size END AS test_size FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN p_size / 100.0 WHEN p_size >= 1 THEN p_size / 100.0 ELSE p_size END AS test_size FROM part")
 def parse_test_size(spark, sf_dir):
-    n = F.col("p_size").cast("double")
-    return read(spark, sf_dir, "part").select("p_partkey", F.when(n >= 1, n / 100).otherwise(n).alias("test_size"))
+    """20, 20% and 0.2 alike."""
+    size = F.col("p_size").cast("string")
+    given = F.when(F.col("p_partkey") % 3 == 0, size).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit(" "), size, F.lit("% "))).otherwise((F.col("p_size") / 100).cast("string"))
+    return read(spark, sf_dir, "part").select("p_partkey", T.share(given).alias("test_size"))
 
 
 _KIND = "CASE p_partkey % 6 WHEN 0 THEN 'assign' WHEN 1 THEN 'call_expr' WHEN 2 THEN 'break' WHEN 3 THEN 'echo' WHEN 4 THEN 'import' ELSE 'goto' END"
@@ -243,10 +247,12 @@ def only_literals(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", T.only_literals(F.col("p_size") % 3, F.col("p_size") % 2, F.expr(_KIND)).alias("uses_only_literals"))
 
 
-@query("""WITH l AS (SELECT conv_id, turn, trim(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g')) AS line FROM conversations)
+@query("""WITH t AS (SELECT o_custkey AS conv_id, o_orderkey % 3 AS turn, o_orderstatus || chr(10) || '  ' || o_orderpriority AS text FROM orders),
+  l AS (SELECT conv_id, turn, trim(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g')) AS line FROM t)
   SELECT DISTINCT a.conv_id, a.line FROM l a WHERE a.turn = 0 AND a.line <> '' AND EXISTS (SELECT 1 FROM l b WHERE b.conv_id = a.conv_id AND b.turn > 0 AND b.line = a.line)""")
 def moved_lines(spark, sf_dir):
-    return P.moved_lines(read(spark, sf_dir, "conversations"))
+    text = F.concat("o_orderstatus", F.lit("\n  "), "o_orderpriority")
+    return P.moved_lines(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("conv_id"), (F.col("o_orderkey") % 3).alias("turn"), text.alias("text")))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS id, l_linenumber AS line, CAST(l_partkey % 50 AS INTEGER) AS a, CAST(l_partkey % 50 + l_quantity AS INTEGER) AS b FROM lineitem),
