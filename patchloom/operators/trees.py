@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.functions import text as T
+from patchloom.sources.tables import stored
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
@@ -20,15 +21,16 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     step = nodes.where("parent is not null").select("tree", "id", F.col("parent").alias("ancestor"))
     found = step.withColumn("distance", F.lit(1))
     while True:
+        # kept, so that no round computes the earlier ones again
+        found = stored(found)
         span = found.agg(F.max("distance")).first()[0]
         if span is None:
             return found
         further = found.alias("a").join(found.where(F.col("distance") == span).alias("b"), (F.col("a.tree") == F.col("b.tree")) & (F.col("a.ancestor") == F.col("b.id")))
         further = further.where("a.distance <= b.distance").select("a.tree", "a.id", "b.ancestor", (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        grown = found.union(further).distinct()
-        if grown.agg(F.max("distance")).first()[0] == span:
+        if further.isEmpty():
             return found
-        found = grown.checkpoint() if found.sparkSession.sparkContext.getCheckpointDir() else grown
+        found = found.union(further).distinct()
 
 
 def children(nodes: DataFrame) -> DataFrame:
