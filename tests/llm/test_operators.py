@@ -5,6 +5,7 @@ import json
 import random
 import zlib
 
+import brute
 import numpy as np
 import pytest
 
@@ -476,56 +477,12 @@ def test_quality_ratio_keeps_what_looks_trusted(spark, odd, empty):
 
 def test_quality_ratio_against_brute_force(spark):
     """Score, threshold and kept from their definitions, in plain Python."""
-    import math
-    from collections import Counter
-
-    import xxhash
-
     r = random.Random(11)
     rows = [(i, " ".join(r.choice(WORDS[: 40 + 10 * (i % 5)]) for _ in range(r.choice([3, 60, 80, 120])))) for i in range(60)]
     rows += [(100 + i, " ".join(f"zz{r.randrange(500)}" for _ in range(90))) for i in range(12)] + [(200, None), (201, ""), (None, rows[3][1]), (5, rows[5][1])]
     trusted = set(range(0, 60, 2))
 
-    def signed(x):
-        return x - (1 << 64) if x >> 63 else x
-
-    def hash_of(value, seed=42):
-        return xxhash.xxh64_intdigest(value if isinstance(value, bytes) else (value & (1 << 64) - 1).to_bytes(8, "little"), seed & (1 << 64) - 1)
-
-    def buckets(text, half):
-        hashed = [hash_of(w.encode()) for w in (text or "").split()]
-        paired = [hash_of(b, hash_of(a)) for a, b in zip(hashed, hashed[1:])] + ([hash_of(hashed[-1])] if hashed else [])
-        return [h % half for h in hashed] + [h % half + half for h in paired]
-
-    def fold(doc_id):
-        return 42 & 1 if doc_id is None else hash_of(doc_id) & 1
-
-    half = quality_rules.n_buckets(sum(len(t or "") for _, t in rows)) // 2
-    n, own = Counter(), [Counter(), Counter()]
-    for doc_id, text in rows:
-        n.update(buckets(text, half))
-        if doc_id in trusted:
-            own[1 - fold(doc_id)].update(buckets(text, half))
-
-    def score(doc_id, text):
-        target, found = own[fold(doc_id)], buckets(text, half)
-        total = 0
-        for b in found:
-            x = 32 * math.log(0.9 * target[b] / n[b] * sum(n.values()) / sum(target.values()) + 0.1)
-            total += min(127, math.floor(abs(x) + 0.5) * (1 if x > 0 else -1))
-        return total / 32 / len(found) if found else None
-
-    trusted_scores = sorted(score(i, t) for i, t in rows if i in trusted and len(t.split()) >= 50)
-    bins = Counter(math.floor(s / quality_rules.BIN) for s in trusted_scores)
-
-    def quantile(q):
-        seen = 0
-        for at in sorted(bins):
-            seen += bins[at]
-            if seen >= q * len(trusted_scores):
-                return (at + 0.5) * quality_rules.BIN
-
-    threshold = quantile(0.5) - 2 * max(quantile(0.5) - quantile(0.05), quality_rules.BIN)
+    score, threshold = brute.quality(rows, trusted)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = quality_rules.fit(docs, spark.createDataFrame([(i,) for i in sorted(trusted)], "doc_id long"))
     assert model.threshold == pytest.approx(threshold)
