@@ -44,7 +44,7 @@ STAGES = [
     ("source mixing", mix),
     ("BPE encoding", encode),
 ]
-#: SQL expresses neither chaining nor dependent rounding; tests hold run() against brute force.
+#: SQL expresses neither chaining nor dependent rounding; tests/llm/test_pipeline.py holds run() against a plain Python version.
 ORACLE_SQL = None
 
 
