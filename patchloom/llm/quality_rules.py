@@ -173,7 +173,8 @@ def judge(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
 
     # whole rows travel as one column, so that no column of theirs clashes with this one's
     out = docs.select(F.struct("*").alias("_doc"), F.col(text).alias("_text"), *([F.col("doc_id").alias("_id"), *_with_ratios(model)] if rated else []))
-    out = out.select("_doc", bind(words(F.col("_text")), of_words).alias("_w"), F.regexp_count(whole, F.lit(f"[{SYMBOLS}]")).alias("_symbols"), bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("_lines"))
+    # a generator of one row: a filter above it, as on kept, would otherwise be put below and work it all out again for each of its terms
+    out = out.select("_doc", F.explode(F.array(bind(words(F.col("_text")), of_words))).alias("_w"), F.regexp_count(whole, F.lit(f"[{SYMBOLS}]")).alias("_symbols"), bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("_lines"))
     failed = (F.col("_w.n") < MIN_WORDS) | (100 * F.col("_w.r") > 50 * F.col("_w.n"))
     passed = F.lit(True) if not rated or model.threshold is None else F.coalesce(F.col("_w.s") >= model.threshold, F.lit(False))
     new = {
