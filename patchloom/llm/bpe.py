@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks of text and pairs of tokens that a task remembers, in each of two generations: full, the younger becomes the older, and what is used again comes back.
-CACHE = 150_000
+CACHE = 400_000
 #: Characters that Unicode calls white space, as the vocabulary's own pattern sees them.
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 # Fixed value: the word pattern of this kind of vocabulary.
