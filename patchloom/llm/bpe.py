@@ -7,7 +7,7 @@ into a trie, a depth-first walk hands each node the last tokens of the prefixes
 prefix that many words share is worked out once. A word's ids are read back along its last tokens.
 
 Spark deals out the documents; each task handles its own batches, with no shuffle. Words are kept
-in a bounded cache, which ends with the task.
+in a bounded cache of the worker, half of which ends with the task.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks of text and pairs of tokens that a task remembers, in each of two generations: full, the younger becomes the older, and what is used again comes back.
+#: Chunks of text and pairs of tokens that a worker remembers, in each of two generations: full, the younger becomes the older, and what is used again comes back.
 CACHE = 400_000
 #: Characters that Unicode calls white space, as the vocabulary's own pattern sees them.
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
@@ -58,13 +58,13 @@ class Vocabulary:
         #: every ending of every token: a suffix scan stops where none goes on
         self.endings = {t[i:] for t in self.ids for i in range(len(t))}
         self.letters = byte_letters()
+        self.apart: dict[tuple[str, str], bool] = {}
+        self.chunks: dict[str, tuple[str, str]] = {}
         self.forget()
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def forget(self) -> None:
-        """Drop what is remembered, so that an idle worker holds the vocabulary alone."""
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.chunks: dict[str, tuple[str, str]] = {}
+        """Drop the older generation, so that an idle worker holds the vocabulary and the words of late alone."""
         self.older: dict[str, tuple[str, str]] = {}
 
     def stands(self, left: str, token: str) -> bool:
