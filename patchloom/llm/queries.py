@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, fingerprints, languages, licenses, mixing, quality_rules, simhash, substrings, url_filters
+from . import bpe, classifier, conversations, fingerprints, languages, licenses, merkle, mixing, packed_ids, quality_rules, simhash, substrings, url_filters
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "end", "n_words", "other_doc_id", "other_start", "n_equal")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damage(rows), rows)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    checked = merkle.verify(merkle.manifest(docs, {"tampered": merkle.without_newlines(docs)}), "tampered")
+    return checked.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+#: The id that ends a document in op13's files.
+END_ID = 2
+
+
+def op13_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = packed_ids.save(read(spark, sf_dir, "documents"), vocabulary_path(), END_ID)
+    return packed_ids.digests(packed_ids.read(spark, folder))
+
+
 QUERIES: dict[str, Query] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_url_filters": op2_url_filters,
@@ -99,6 +119,9 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_token_id_output": op13_token_id_output,
 }
 
 #: DuckDB SQL for those that SQL can express.
