@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import re
+import sys
 from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -43,21 +44,35 @@ RESERVED = {
     "c": "break case continue default do else for goto if return sizeof switch while",
     "rust": "as break const continue else fn for if impl in let loop match mut return struct while",
 }
+#: Java, Rust and C: what ends with a brace is a statement of its own if it begins with one of these, so that no semicolon follows.
+BLOCKS = {"java": {"synchronized", "class", "interface", "enum", "record", "static"}, "c": set(), "rust": {"loop", "unsafe", "match", "if", "while", "for", "fn", "struct", "enum", "impl", "trait", "mod", "async", "union"}}
+#: What goes on with a statement that ended with a brace.
+TAILS = {"java": {"catch", "finally", "else"}, "c": {"else"}, "rust": {"else"}}
 RESERVED = {language: frozenset(words.split()) for language, words in RESERVED.items()}
 for table in (WORDS, LEAVES, RESERVED):
     table["typescript"] = table["javascript"]
 #: Reserved, but a call all the same.
 CALLED = {"javascript": {"super", "import"}, "typescript": {"super", "import"}, "php": {"empty"}}
 
-_STRING = r"|(?P<string>%s`[^`]*`|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*')|(?P<tag><\?php|<\?=|\?>)|(?P<name>%s)|(?P<number>\d[\w.]*)|(?P<line>\n)|(?P<space>\s+)"
+_STRING = r"|(?P<string>%s`[^`]*`|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*')|(?P<name>%s)|(?P<number>\d[\w.]*)|(?P<line>\n)|(?P<space>\s+)"
 _SIGNS = r"|(?P<sign>\?->|->|::|:=|<-|===|!==|=>|\*\*=?|==|!=|<=|>=|\+\+|--|&&=?|\|\|=?|\?\?=?|\.\.\.|<<=?|>>=?|\?\.|[-+*/%.&|^]=|.)"
 _BLOCK = r"(?P<comment>//[^\n]*|/\*.*?\*/)"
 _PYTHON = r"(?i:[rbuf]{1,2}(?=[\"']))?(?:\"\"\".*?\"\"\"|'''.*?'''|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')|"
 _LEXERS = {
     "python": re.compile(r"(?P<comment>#[^\n]*)" + _STRING % (_PYTHON, r"[^\W\d]\w*") + _SIGNS, re.S),
-    "php": re.compile(r"(?P<comment>#(?!\[)[^\n]*|//[^\n]*|/\*.*?\*/)" + _STRING % ("", r"\$?\\?[A-Za-z_\x80-\U0010ffff][\w\\]*") + _SIGNS, re.S),
+    # a one-line comment ends before ?>; after it comes a template's text, up to the next tag
+    "php": re.compile(
+        r"(?P<comment>#(?!\[)(?:(?!\?>)[^\n])*|//(?:(?!\?>)[^\n])*|/\*.*?\*/)|(?P<tag><\?(?:php\b|=)|\?>.*?(?:<\?(?:php\b|=)|\Z))|(?P<heredoc><<<[ \t]*(?P<quote>[\"']?)(?P<mark>\w+)(?P=quote)\n.*?^[ \t]*(?P=mark)\b)"
+        + _STRING % ("", r"\$?\\?[A-Za-z_\x80-\U0010ffff][\w\\]*") + _SIGNS, re.S | re.M,
+    ),
+    "java": re.compile(_BLOCK + _STRING % ('\"\"\".*?\"\"\"|', r"[^\W\d]\w*|\$[\w$]*") + _SIGNS, re.S),
+    # a quote that closes no character opens a lifetime's name
+    "rust": re.compile(_BLOCK + r"|(?P<string>b?r(?P<hashes>#*)\".*?\"(?P=hashes)|b?\"(?:\\.|[^\"\\])*\"|b?'(?:\\(?:x\w\w|u\{\w+\}|.)|[^'\\\n])')|(?P<name>'?[^\W\d]\w*)|(?P<number>\d[\w.]*)|(?P<line>\n)|(?P<space>\s+)" + _SIGNS, re.S),
     "other": re.compile(_BLOCK + _STRING % ("", r"[^\W\d][\w]*|\$[\w$]*") + _SIGNS, re.S),
 }
+#: A literal regular expression of JavaScript: a slash opens one where no operand ends.
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/(?P<flags>[A-Za-z]*)")
+_BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "yield", "await", "instanceof"}
 OPEN, CLOSE = {"(", "[", "{", "${"}, {")", "]", "}"}
 ASSIGNS = {"=", ":=", "+=", "-=", "*=", "/=", "%=", ".=", "&=", "|=", "^=", "**=", "??=", "||=", "&&=", "<<=", ">>="}
 #: A line that ends so goes on; one that begins so, too.
@@ -137,15 +152,62 @@ def _string(text: str, at: int, language: str) -> Iterator[Token]:
         i = shown = j
 
 
+def _heredoc(m: re.Match) -> Iterator[Token]:
+    """A heredoc's tokens: its marks and text, and the variables in it; one whose mark is in single quotes has none."""
+    text, at = m.group(), m.start()
+    first, last = text.index("\n") + 1, text.rindex("\n")
+    quoted, shown = m["quote"] == "'", 0
+    for hole in [] if quoted else re.finditer(r"\$[A-Za-z_]\w*", text[first:last]):
+        yield Token("string", text[shown : first + hole.start()], at + shown, at + first + hole.start(), (0 if shown else 2) + (hole.start() > (shown and shown - first)))
+        shown = first + hole.end()
+        yield Token("name", hole.group(), at + first + hole.start(), at + shown, 2)
+    yield Token("string", text[shown:], at + shown, m.end(), (1 if shown else 3 + 2 * quoted) + (last > max(shown, first)))
+
+
+def _scripted(code: str, language: str) -> Iterator[tuple[str, re.Match]]:
+    """(kind, match) of JavaScript's tokens; whether a slash divides is told by what stands before it."""
+    pattern, at, last, of, opened, condition = _LEXERS["other"], 0, None, "", [], False
+    while m := pattern.match(code, at):
+        kind, text = m.lastgroup, m.group()
+        if kind == "sign" and text in ("/", "/="):
+            operand = of in ("number", "string", "regex")
+            if of == "sign":
+                # a bracket ends an operand, but not that of an if or a loop; a brace ends one where its line goes on
+                operand = last.group() in ("]", "++", "--") or last.group() == ")" and not condition or last.group() == "}" and "\n" not in code[last.end() : at]
+            elif of == "name":
+                operand = last.group() not in _BEFORE_REGEX
+            if not operand and (found := _REGEX.match(code, at)):
+                kind, m = "regex", found
+        if kind not in ("line", "space", "comment"):
+            if text == "(" and kind == "sign":
+                opened.append(last is not None and last.group() in ("if", "while", "for", "with"))
+            elif text == ")" and kind == "sign":
+                condition = opened.pop() if opened else False
+            last, of = m, kind
+        yield kind, m
+        at = m.end()
+
+
 def lex(code: str, language: str) -> list[Token]:
     """Tokens without white space; line ends and comments are kept."""
-    out = []
-    for m in _LEXERS.get(language, _LEXERS["other"]).finditer(code):
-        kind = m.lastgroup
+    out: list[Token] = []
+    if language in ("javascript", "typescript"):
+        found = _scripted(code, language)
+    else:
+        start = max(0, min((i for i in (code.find("<?php"), code.find("<?=")) if i >= 0), default=0)) if language == "php" else 0
+        found = ((m.lastgroup, m) for m in _LEXERS.get(language, _LEXERS["other"]).finditer(code, start))
+    for kind, m in found:
+        text = m.group()
         if kind == "string":
-            out.extend(_string(m.group(), m.start(), language))
-        elif kind not in ("space", "tag"):
-            text = m.group()
+            out.extend(_string(text, m.start(), language))
+        elif kind == "heredoc":
+            out.extend(_heredoc(m))
+        elif kind == "regex":
+            out.append(Token("regex", text, m.start(), m.end(), 3 + bool(m["flags"])))
+        elif kind == "tag":
+            if text.startswith("?>") and out:  # ends a statement, as a semicolon does that takes no room
+                out.append(Token("sign", ";", out[-1].end, out[-1].end, 0))
+        elif kind != "space":
             out.append(Token(kind, text, m.start(), m.end(), 0 if kind == "line" else 2 if kind == "name" and text[0] == "$" and language == "php" else 1))
     return out
 
@@ -217,6 +279,38 @@ class Skeleton:
         if node.kind == "if" and start < self.at:
             node.test = (self.tokens[start].start, self.tokens[self.at - 1].end)
 
+    def colon(self, *ends: str) -> bool:
+        """Go past PHP's body between a colon and one of these words, which stays; whether there is one."""
+        self.skip("\n")
+        if self.language != "php" or self.text() != ":":
+            return False
+        self.at += 1
+        depth = 0
+        while self.at < len(self.tokens):
+            word = self.text().lower()
+            if depth == 0 and word in ends:
+                break
+            depth += self.opens(word) - (word in ("endif", "endfor", "endforeach", "endwhile", "endswitch"))
+            self.past()
+        return True
+
+    def opens(self, word: str) -> bool:
+        """Whether this word opens a body between a colon and its end."""
+        if word not in ("if", "for", "foreach", "while", "switch") or self.text(1) != "(":
+            return False
+        mark = self.at
+        self.at += 1
+        self.past()
+        self.skip("\n")
+        found, self.at = self.text() == ":", mark
+        return found
+
+    def ended(self, word: str) -> None:
+        """Go past the word that ends such a body, and its semicolon."""
+        if self.text().lower() == word:
+            self.at += 1
+            self.at += self.text() == ";"
+
     def body(self, block: str) -> list[Node]:
         """The statements of a braced body, or the one statement that stands for it."""
         self.skip("\n")
@@ -251,6 +345,8 @@ class Skeleton:
         first = self.tokens[self.at]
         word = first.text.lower() if self.language == "php" else first.text
         after = self.text(1)
+        if self.language in BLOCKS and (own := self.braced(block, word)) is not None:
+            return [own]
         if word == "{":
             return self.body(block)
         if word in ("case", "default") and (block == "switch_case" or after == ":"):
@@ -278,10 +374,15 @@ class Skeleton:
             node = Node("function_def", block, first.start, first.end)
             starred = any(self.text(i) == "*" for i in range(3))
             while self.at < len(self.tokens) and self.text() != "{":
+                typed = self.language == "typescript" and self.text() in (":", "|", "&") and self.text(1) == "{"
+                self.at += typed
                 self.past()
             node.children = self.body("function_body")
             if starred:
                 return []
+        elif self.language == "typescript" and word == "type" and self.at + 1 < len(self.tokens) and self.tokens[self.at + 1].kind == "name":
+            self.simple(block, word)
+            return []
         elif word in self.leaves and not (word == "static" and after == "::") and not (scripted and after in ("=", ".", "(")):
             while self.at < len(self.tokens) and self.text() not in (";", "}"):
                 brace = self.text() == "{"
@@ -294,6 +395,57 @@ class Skeleton:
         node.end = self.last_end()
         return [node]
 
+    def braced(self, block: str, word: str) -> Node | None:
+        """A statement of Java, C or Rust that a brace ends, with what belongs to it, or a directive of C's preprocessor."""
+        first, tails = self.tokens[self.at], TAILS[self.language]
+        if self.language == "c" and word == "#" and (self.at == 0 or self.tokens[self.at - 1].kind == "line" or first.start == 0):
+            self.directive()
+            return Node("expr_stmt", block, first.start, self.last_end())
+        if self.language == "rust" and first.text[0] == "'" and self.text(1) == ":":
+            self.at += 2
+            word = self.text()
+        if self.language == "rust" and word == "#" and self.text(1) == "[":  # an attribute
+            self.at += 1
+            self.past()
+            return Node("expr_stmt", block, first.start, self.last_end())
+        if word != "{" and word not in BLOCKS[self.language] or word == "static" and self.text(1) != "{":
+            return None
+        mark = self.at
+        while True:
+            while self.at < len(self.tokens) and self.text() not in ("{", ";", "}"):
+                self.past()
+            if self.text() != "{":  # no body after all
+                self.at = mark
+                return None
+            self.past()
+            end = self.at
+            self.skip("\n")
+            if self.text() not in tails:
+                break
+        if self.language == "rust" and self.text() in (".", "?"):  # a value that the expression goes on with
+            self.at = mark
+            return None
+        self.at = end
+        return Node("expr_stmt", block, first.start, self.last_end())
+
+    def directive(self) -> None:
+        """Go past a line of the preprocessor, and what it goes on with; past all up to its end, if it opens a condition."""
+        depth = 0
+        while self.at < len(self.tokens):
+            if self.text() == "#":
+                word = self.text(1)
+                depth += word in ("if", "ifdef", "ifndef")
+                depth -= word == "endif"
+            while self.at < len(self.tokens) and self.text() != "\n":
+                self.at += 1 + (self.text() == "\\" and self.text(1) == "\n")
+            if depth <= 0:
+                return
+            self.skip("\n")
+            while self.at < len(self.tokens) and self.text() != "#":
+                while self.at < len(self.tokens) and self.text() != "\n":
+                    self.at += 1
+                self.skip("\n")
+
     def is_function(self) -> bool:
         i = 1 if self.text() in ("async", "static") else 0
         name = i + 1 + (self.text(i + 1) in ("*", "&"))
@@ -301,7 +453,11 @@ class Skeleton:
 
     def _if(self, node: Node) -> None:
         self.header(node)
-        node.children += self.body("if_true_branch")
+        ends = ("elseif", "else", "endif")
+        # statements between colons have no rows
+        colons = self.colon(*ends)
+        if not colons:
+            node.children += self.body("if_true_branch")
         while True:
             mark = self.at
             self.skip("\n")
@@ -311,10 +467,18 @@ class Skeleton:
                 inner = Node("if", "if_false_branch", self.tokens[self.at].start, 0)
                 self.at += 1
                 self.header(inner)
-                inner.children += self.body("if_true_branch")
+                if not self.colon(*ends):
+                    inner.children += self.body("if_true_branch")
                 inner.end = self.last_end()
                 node.children.append(inner)
                 continue
+            if word == "else" and colons:
+                self.at += 1
+                self.colon("endif")
+                continue
+            if word == "endif" and colons:
+                self.ended("endif")
+                return
             if word == "else":
                 self.at += 1
                 self.skip("\n")
@@ -324,8 +488,23 @@ class Skeleton:
             return
 
     def _for(self, node: Node) -> None:
+        word = self.tokens[self.at - 1].text.lower()
         self.header(node)
-        node.children += self.body("loop_body")
+        self.skip("\n")
+        if word == "for" and self.language == "php" and self.text() == ":":
+            # here alone the statements stand in the loop itself
+            self.at += 1
+            while self.at < len(self.tokens) and self.text().lower() != "endfor":
+                before = self.at
+                self.skip("\n", ";")
+                if self.text().lower() != "endfor":
+                    node.children += self.statement("loop_body")
+                    self.at += self.at == before
+            self.ended("endfor")
+        elif self.colon(f"end{word}"):
+            self.ended(f"end{word}")
+        else:
+            node.children += self.body("loop_body")
 
     _while = _for
 
@@ -339,9 +518,22 @@ class Skeleton:
 
     def _switch(self, node: Node) -> None:
         self.header(node)
-        node.children += self.body("switch_case")
+        self.skip("\n")
+        if self.language == "php" and self.text() == ":":
+            self.at += 1
+            while self.at < len(self.tokens) and self.text().lower() != "endswitch":
+                before = self.at
+                self.skip("\n", ";")
+                if self.text().lower() != "endswitch":
+                    node.children += self.statement("switch_case")
+                    self.at += self.at == before
+            self.ended("endswitch")
+        else:
+            node.children += self.body("switch_case")
 
     def _try_catch(self, node: Node) -> None:
+        if self.text() == "(":  # resources
+            self.past()
         node.children = self.body("try_body")
         while True:
             mark = self.at
@@ -396,6 +588,25 @@ class Skeleton:
         return "call_expr" if whole else "expr_stmt"
 
 
+def _angle(tokens: list[Token], i: int) -> int | None:
+    """The token that opens the list of types that ends at i, after a name; None where there is no such list."""
+    if i < 2 or tokens[i].text not in (">", ">>"):
+        return None
+    depth = 0
+    while i > 0:
+        t = tokens[i]
+        if t.text in (">", ">>"):
+            depth += len(t.text)
+        elif t.text == "<":
+            depth -= 1
+            if depth <= 0:
+                return i if depth == 0 and tokens[i - 1].kind == "name" else None
+        elif t.text in (";", "(", ")", "&&", "||", "+", "-", "*", "/", "=="):
+            return None
+        i -= 1
+    return None
+
+
 def calls(own: list[Token], language: str, text_of) -> list[tuple[int, int, str, bool]]:
     """(start, end, name, made by new) of each call among a statement's tokens; the name is the called expression's text, by text_of (start, end) or the tokens joined."""
     pairs, reserved, called = brackets(own), RESERVED[language], CALLED.get(language, ())
@@ -438,6 +649,10 @@ def calls(own: list[Token], language: str, text_of) -> list[tuple[int, int, str,
             continue
         if t.text != "(" or i == 0 or t.kind == "string":
             continue
+        opening = i
+        typed = _angle(own, i - 1) if language == "typescript" else None
+        if typed:
+            i = typed  # as if the call had no types
         last = own[i - 1]
         if not (last.kind in ("name", "string") and (last.text not in reserved or last.text in called or i > 1 and own[i - 2].text in (".", "->", "?.", "::")) or last.text in (")", "]", "}") and last.kind == "sign"):
             continue
@@ -451,7 +666,7 @@ def calls(own: list[Token], language: str, text_of) -> list[tuple[int, int, str,
             continue
         if language == "go" and (ahead == "]" and own[j - 2].text == "[" or own[j].text == "[" and j + 1 in (pairs.get(j), i)):
             continue
-        close = pairs.get(i, len(own) - 1)
+        close = pairs.get(opening, len(own) - 1)
         if scripted and close + 1 < len(own) and own[close + 1].text == "{" and last.kind == "name" and not ahead:
             continue
         if language == "php" and i > 1 and own[i - 2].text == "?->":
@@ -461,6 +676,10 @@ def calls(own: list[Token], language: str, text_of) -> list[tuple[int, int, str,
     return found
 
 
+#: Calls within calls at most; code that nests deeper can't be worked on.
+DEEPEST = 50_000
+
+
 class Side:
     """One version of a method: its tokens, read once, and its statements."""
 
@@ -474,6 +693,10 @@ class Side:
         for t in counted:
             self.leaves.append(self.leaves[-1] + t.leaves)
         self.lines = [m.start() for m in re.finditer("\n", code)]
+        # as deep as braces and bodies without them can nest
+        deep = 1000 + 8 * sum(t.text in ("{", "if", "for", "while", "else", "do") for t in self.tokens)
+        if deep > sys.getrecursionlimit():
+            sys.setrecursionlimit(min(deep, DEEPEST))
         self.roots = python_nodes(code) if language == "python" else _first_body(every, self.tokens, language)
 
     def line(self, at: int) -> int:
@@ -608,13 +831,38 @@ def _target(x: ast.expr) -> int:
     return 0
 
 
-def _python_tree(code: str) -> tuple[ast.Module, int] | None:
-    """The tree of a snippet, which may be indented, and how many lines stand before it."""
+#: Headers that keep a block together where its own can't be read, by their first word.
+HEADERS = {
+    "if": "if 1:", "elif": "elif 1:", "else": "else:", "for": "for _ in _:", "while": "while 1:", "try": "try:", "except": "except:", "finally": "finally:", "with": "with _:", "def": "def _():", "class": "class _:",
+}
+#: Lines that are given up at most, in code with errors.
+ERRORS = 100
+
+
+def _python_tree(code: str) -> tuple[ast.Module, int, frozenset[int]] | None:
+    """The tree of a snippet, which may be indented, how many lines stand before it, and the lines (from 0) that were left out as errors."""
     for before in ("", "if 1:\n"):
         try:
-            return ast.parse(before + code), before.count("\n")
-        except (SyntaxError, ValueError, RecursionError):
+            return ast.parse(before + code), before.count("\n"), frozenset()
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
             continue
+    lines, lost = code.split("\n"), set()
+    before = "if 1:\n" if next((x for x in lines if x.strip()), "")[:1].isspace() else ""
+    skipped = before.count("\n")
+    for _ in range(ERRORS):
+        try:
+            return ast.parse(before + "\n".join(lines)), skipped, frozenset(lost)
+        except SyntaxError as e:
+            at = min((e.lineno or 1) - 1 - skipped, len(lines) - 1)
+            while at >= 0 and (at in lost or not lines[at].strip()):
+                at -= 1  # the line before is what lacks its end
+            if at < 0:
+                return None
+            text = lines[at].strip()
+            lines[at] = lines[at][: len(lines[at]) - len(lines[at].lstrip())] + HEADERS.get(re.match(r"\w*", text).group(), "pass")
+            lost.add(at)
+        except (ValueError, RecursionError, MemoryError):
+            return None
     return None
 
 
@@ -623,13 +871,15 @@ def python_nodes(code: str) -> list[Node]:
     parsed = _python_tree(code)
     if parsed is None:
         return [Node(_line_kind(m.group(1)), "function_body", m.start(1), m.end(1)) for m in re.finditer(r"^[ \t]*([^\s#].*?)[ \t]*$", code, re.M)]
-    tree, skipped = parsed
+    tree, skipped, lost = parsed
     lines, starts = code.splitlines(keepends=True), [0]
     for line in lines:
         starts.append(starts[-1] + len(line))
 
-    def place(line: int, col: int) -> int:
+    def place(line: int, col: int, ends: bool = False) -> int:
         line -= skipped + 1
+        if ends and line in lost:
+            return starts[line] + len(lines[line].rstrip())
         if line >= len(lines):
             return len(code)
         text = lines[line]
@@ -639,13 +889,15 @@ def python_nodes(code: str) -> list[Node]:
         found = []
         for s in body:
             name = type(s).__name__
+            if name == "Pass" and s.lineno - skipped - 1 in lost:
+                continue
             kind = PYTHON_KINDS.get(name)
             if name == "Expr":
                 bare = isinstance(s.value, ast.Tuple) and s.value.col_offset == s.value.elts[0].col_offset if isinstance(s.value, ast.Tuple) and s.value.elts else False
                 kind = "call_expr" if isinstance(s.value, ast.Call) else "expression_statement" if bare else "expr_stmt"
             if kind is None or kind == "function_def" and s.decorator_list:
                 continue  # classes, matches and decorated functions have no rows
-            node = Node(kind, block, place(s.lineno, s.col_offset), place(s.end_lineno, s.end_col_offset))
+            node = Node(kind, block, place(s.lineno, s.col_offset), place(s.end_lineno, s.end_col_offset, True))
             if kind == "assign":
                 node.defined = _target(s.targets[0] if name == "Assign" else s.target)
             elif kind == "if":
@@ -654,7 +906,7 @@ def python_nodes(code: str) -> list[Node]:
                 while len(rest) == 1 and isinstance(rest[0], ast.If) and code.startswith("elif", place(rest[0].lineno, rest[0].col_offset)):
                     # a clause of the same if: the further ones, and else, aren't its own
                     clause = rest[0]
-                    inner = Node("if", "if_false_branch", place(clause.lineno, clause.col_offset), place(clause.body[-1].end_lineno, clause.body[-1].end_col_offset))
+                    inner = Node("if", "if_false_branch", place(clause.lineno, clause.col_offset), place(clause.body[-1].end_lineno, clause.body[-1].end_col_offset, True))
                     inner.children = walk(clause.body, "if_true_branch")
                     node.children.append(inner)
                     rest = clause.orelse
@@ -710,7 +962,7 @@ def functions(tokens: list[Token], language: str) -> list[tuple[int, int, int]]:
     pairs, out = brackets(tokens), []
     for i, t in enumerate(tokens):
         if t.text == "{" and t.kind == "sign" and i in pairs:
-            head = _head(tokens, i, language)
+            head = _head(tokens, i, language, pairs)
             if head is not None:
                 out.append((head, i, pairs[i]))
     return out
@@ -722,7 +974,7 @@ def method_spans(code: str, language: str) -> list[tuple[int, int]]:
         parsed = _python_tree(code)
         if parsed is None:
             return []
-        (tree, skipped), lines = parsed, [0]
+        (tree, skipped, _), lines = parsed, [0]
         for line in code.splitlines(keepends=True):
             lines.append(lines[-1] + len(line))
         top, stack = [], list(tree.body[0].body if skipped else tree.body)
@@ -745,12 +997,17 @@ def method_spans(code: str, language: str) -> list[tuple[int, int]]:
     return outer
 
 
-def _head(tokens: list[Token], brace: int, language: str) -> int | None:
+def _head(tokens: list[Token], brace: int, language: str, pairs: dict[int, int]) -> int | None:
     """The token at which the function whose body opens at brace starts, None if it is no function's."""
+    if language == "typescript" and brace and tokens[brace - 1].text in (":", "|", "&"):
+        return None  # a type
     i, keyword = brace - 1, {"go": "func", "php": "function", "rust": "fn"}.get(language)
     depth, bracket = 0, None
     while i >= 0:
         text = tokens[i].text
+        if depth == 0 and text == "}" and language == "typescript" and pairs.get(i, 0) > 1 and tokens[pairs[i] - 1].text in (":", "|", "&", "<", ","):
+            i = pairs[i] - 1  # a type
+            continue
         if depth == 0 and text in (";", "}"):
             break
         if text in CLOSE:
@@ -771,10 +1028,17 @@ def _head(tokens: list[Token], brace: int, language: str) -> int | None:
         if depth == 0 and language in ("javascript", "typescript") and text == "function":
             return _with_modifiers(tokens, i)
         i -= 1
-    if keyword or bracket is None or bracket == 0:
+    arrow = language in ("javascript", "typescript") and tokens[brace - 1].text == "=>"
+    if arrow and bracket is None and tokens[brace - 2].kind == "name":
+        bracket = brace - 2  # one parameter without brackets
+    if keyword or bracket is None or bracket == 0 and not arrow:
         return None
-    if tokens[brace - 1].text == "=>":
-        return bracket
+    generic = _types(tokens, bracket - 1) if language in ("java", "typescript") else None
+    if arrow:
+        first = bracket if generic is None else generic
+        return first - (first > 0 and tokens[first - 1].text == "async")
+    if generic is not None and language == "typescript":
+        bracket = generic
     name = tokens[bracket - 1]
     if name.kind != "name" or name.text in RESERVED[language] or name.text == "new":
         return None
@@ -783,6 +1047,21 @@ def _head(tokens: list[Token], brace: int, language: str) -> int | None:
     return _with_modifiers(tokens, bracket - 1)
 
 
+def _types(tokens: list[Token], i: int) -> int | None:
+    """The token that opens the type parameters that end at i, if there are any."""
+    if i < 1 or tokens[i].text not in (">", ">>"):
+        return None
+    depth = 0
+    while i >= 0:
+        depth += len(tokens[i].text) if tokens[i].text in (">", ">>") else -(tokens[i].text == "<")
+        if depth == 0:
+            return i
+        if tokens[i].text in (";", "=>") or depth < 0:
+            return None
+        i -= 1
+    return None
+
+
 def _with_modifiers(tokens: list[Token], i: int) -> int:
     """Back over modifiers and the return type."""
     while i > 0 and (tokens[i - 1].kind == "name" and tokens[i - 1].text not in ("return", "else", "new", "default") or tokens[i - 1].text in ("*", "]", "[", ">", "<", "&", "@")):
