@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import RDD
@@ -24,7 +24,7 @@ from .common import shared_dir, table
 #: Children of a node.
 FAN = 3
 #: Nodes of a partition, about.
-PART = 50_000
+PART = 10_000
 #: Fields of a leaf, in order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -69,16 +69,20 @@ def stored(rdd: RDD) -> RDD:
 
 def _to_parent(node: tuple) -> tuple:
     (tree, i), (width, digest, _) = node
-    return (tree, i // FAN), [(i % FAN, width, digest)]
+    return (tree, i // FAN), (i % FAN, width, digest)
 
 
-def _parent(heard: tuple) -> tuple:
-    key, messages = heard
-    children = [digest for _, _, digest in sorted(messages)]
-    width = messages[0][1]
-    if len(children) != min(FAN, width - FAN * key[1]):
-        raise ValueError(f"node {key} heard from {len(children)} children only")
-    return key, (-(-width // FAN), together(children), children)
+def _parents(messages: Iterator[tuple]) -> Iterator[tuple]:
+    """The nodes that have heard from their children, each hashing them."""
+    heard: dict[tuple, list] = {}
+    for key, message in messages:
+        heard.setdefault(key, []).append(message)
+    for key, own in heard.items():
+        children = [digest for _, _, digest in sorted(own)]
+        width = own[0][1]
+        if len(children) != min(FAN, width - FAN * key[1]):
+            raise ValueError(f"node {key} heard from {len(children)} children only")
+        yield key, (-(-width // FAN), together(children), children)
 
 
 def _is_root(node: tuple) -> bool:
@@ -93,28 +97,41 @@ def _parts(nodes: int) -> int:
     return max(1, -(-nodes // PART))
 
 
+def superstep(messages: RDD, receive: Callable[[Iterator[tuple]], Iterator[tuple]], parts: int) -> RDD:
+    """Deliver messages to the nodes that they name, let each partition of nodes receive its own, and keep what these give."""
+    return stored(messages.partitionBy(parts).coalesce(parts).mapPartitions(receive))
+
+
 def climb(leaves: RDD, widest: int, nodes: int) -> list[RDD]:
     """Supersteps upward: the nodes of each level, leaves first. widest is the size of the largest tree, nodes that of all."""
     levels = [leaves]
     while widest > 1:
         widest, nodes = -(-widest // FAN), -(-nodes // 2)
-        messages = levels[-1].filter(_goes_on).map(_to_parent)
-        levels.append(stored(messages.reduceByKey(_joined, _parts(nodes)).map(_parent)))
+        levels.append(superstep(levels[-1].filter(_goes_on).map(_to_parent), _parents, _parts(nodes)))
     return levels
 
 
-def _joined(a: list, b: list) -> list:
-    return a + b
+# a path is one step a level, leaf first: a byte with the digests to the left times FAN plus those to the right, then these digests
 
 
-# a path is one step a level, leaf first: a byte with the digests to the left times FAN plus those to the right, then these digests
+def _children(messages: Iterator[tuple]) -> Iterator[tuple]:
+    """For each node that has its own path, those of its children, which it knows."""
+    known: dict[tuple, list] = {}
+    paths: dict[tuple, bytes] = {}
+    for key, message in messages:
+        if isinstance(message, bytes):
+            paths[key] = message
+        else:
+            known[key] = message
+    for (tree, i), path in paths.items():
+        children = known[tree, i]
+        for at in range(len(children)):
+            others = children[:at] + children[at + 1 :]
+            yield (tree, FAN * i + at), b"".join([bytes([at * FAN + len(others) - at]), *others, path])
 
 
-def _to_children(met: tuple) -> Iterator[tuple]:
-    (tree, i), ((_, _, children), path) = met
-    for at in range(len(children)):
-        others = children[:at] + children[at + 1 :]
-        yield (tree, FAN * i + at), b"".join([bytes([at * FAN + len(others) - at]), *others, path])
+def _with_children(node: tuple) -> tuple:
+    return node[0], node[1][2]
 
 
 def _with_empty_path(node: tuple) -> tuple:
@@ -128,8 +145,8 @@ def descend(levels: list[RDD], nodes: int) -> RDD:
         sizes.append(-(-sizes[-1] // 2))
     paths = levels[-1].filter(_is_root).map(_with_empty_path)
     for level in range(len(levels) - 1, 0, -1):
-        sent = levels[level].join(paths, _parts(sizes[level])).flatMap(_to_children)
-        paths = stored(sent.union(levels[level - 1].filter(_is_root).map(_with_empty_path)))
+        sent = superstep(levels[level].map(_with_children).union(paths), _children, _parts(sizes[level]))
+        paths = sent.union(levels[level - 1].filter(_is_root).map(_with_empty_path))
     return paths
 
 
@@ -150,10 +167,6 @@ def fold(digest: bytes, path: bytes) -> bytes:
     return digest
 
 
-def _pair(row) -> tuple:
-    return (row[0], row[1]), tuple(row[2:])
-
-
 def _leaf(row) -> tuple:
     return (row[0], row[1]), (row[2], bytes(row[3]), [])
 
@@ -175,12 +188,13 @@ def manifest(docs: DataFrame, also: dict[str, Column] | None = None, fields: tup
     if not n_groups:
         nothing = F.lit(None).cast("string")
         return leaves.select("*", F.col("_leaf").alias("leaf"), nothing.alias("subroot"), nothing.alias("root"), F.lit(None).cast("binary").alias("path")).select(*_outputs(also, key, group))
-    trees = climb(leaves.select("_tree", "_number", "_width", F.unhex("_leaf")).rdd.map(_leaf), widest, nodes)
+    own = leaves.select("_tree", "_number", "_width", F.unhex("_leaf")).coalesce(_parts(nodes))
+    trees = climb(stored(own.rdd.map(_leaf)), widest, nodes)
     roots = trees[0].filter(_is_root)
     for level in trees[1:]:
         roots = roots.union(level.filter(_is_root))
     # the same over the subroots, as leaves of a tree with number 0
-    tops = climb(stored(roots.map(_as_leaf(n_groups))), n_groups, n_groups)
+    tops = climb(stored(roots.map(_as_leaf(n_groups)).coalesce(_parts(n_groups))), n_groups, n_groups)
     root = tops[-1].first()[1][1].hex()
     above = spark.createDataFrame(descend(tops, n_groups).map(_flat), "_of_tree2 long, _subtree long, _above binary", verifySchema=False)
     subroots = spark.createDataFrame(tops[0].map(_digest), "_subtree2 long, subroot binary", verifySchema=False)
