@@ -1,20 +1,22 @@
 """Token ids in binary files: ranks by frequency, byte-aligned variable length, control bytes apart from data bytes.
 
-The corpus is tokenized once and its ids are counted; frequent ids get small ranks. A rank takes one
-to four bytes, least significant first; how many is told by two bits, four to a control byte. A block
-holds the control bytes of all its ids, then their data bytes, so numpy decodes it by looking up each
-control byte's four lengths and adding up where every rank begins.
+Frequent ids get small ranks. A rank takes one to four bytes, least significant first; how many is
+told by two bits, four to a control byte. A block holds the control bytes of all its ids, then their
+data bytes, so numpy decodes it by looking up each control byte's four lengths and adding up where
+every rank begins.
 
 A dataset is a folder in the shared file system:
 
-    ids-*.bin     "IDS1", then blocks: n documents, n ids, n data bytes (32 bits each), doc_id (64 bits) of
-                  each document, one byte each that tells whether it is null, its number of ids (64 bits),
-                  control bytes, data bytes; all little-endian
-    ranks.bin     the ids by rank, 32 bits each
-    files         Parquet: file name, order, documents and ids of each file, the dataset's table of contents
+    ids-*.bin     "IDS1", number of ranks (32 bits) and the ids by rank (32 bits each), then blocks:
+                  n documents, n ids, n data bytes (32 bits each), doc_id (64 bits) of each document,
+                  one byte each that tells whether it is null, its number of ids (64 bits), control
+                  bytes, data bytes; all little-endian
+    files         Parquet: name, place, documents and ids of each file, the dataset's table of contents
 
-Spark deals documents into files by ranges of doc_id, one task a file. A task that is run again writes
-another file; only files named in the table of contents count.
+Spark deals documents into ranges of doc_id; a task tokenizes its range in order and closes a file
+at FILE_IDS ids, ranked by their frequency in it, so a file is read without any other and what a
+task holds doesn't grow. A task that is run again writes other files; only those named in the table
+of contents count.
 """
 
 from __future__ import annotations
@@ -31,20 +33,21 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir
 
 MAGIC = b"IDS1"
 #: A block takes whole documents until it has so many ids.
 BLOCK = 1 << 16
-#: Ids of a file, about, where there are enough for many files; fewer while there would be less than FILES of them.
-FILE_IDS = 1 << 26
-FILES = 24
+#: A file takes whole documents until it has so many ids.
+FILE_IDS = 1 << 24
 #: A worker remembers the ids of pieces of text up to so many bytes, in each of two generations.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 48 << 20
 #: What a remembered piece takes besides its characters and ids.
 ENTRY_BYTES = 200
 #: Texts are worked on in groups of about so many characters.
 GROUP = 1 << 19
+#: Pieces that the tokenizer gets at once.
+SIDE_BY_SIDE = 2000
 #: A piece is what stands between ASCII white space, which the vocabulary's own pattern drops as well.
 PIECES = re.compile(r"[^\x20\x09-\x0D]+").findall
 
@@ -89,6 +92,9 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # a special token that no piece without its first letter can hold
+        special = (t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special and t[1].content.startswith("<"))
+        self.mark_id, self.mark = next(((i, t.content) for i, t in special), (None, None))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.size = 0
@@ -102,6 +108,18 @@ class Pieces:
             new = set().union(*own)
         found = {x: self.older[x] for x in new if x in self.older}
         new = [x for x in new if x not in found]
+        if self.mark is not None:
+            # side by side, with a special token between them to tell where each ends
+            plain = [x for x in new if "<" not in x]
+            new = [x for x in new if "<" in x]
+            for at in range(0, len(plain), SIDE_BY_SIDE):
+                some = plain[at : at + SIDE_BY_SIDE]
+                (encoded,) = self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)
+                ids = np.array(encoded.ids, "<u4")
+                data, begin = ids.tobytes(), 0
+                for x, end in zip(some, [*(4 * np.flatnonzero(ids == self.mark_id)).tolist(), len(data)], strict=True):
+                    found[x] = data[begin:end]
+                    begin = end + 4
         if new:
             encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
             found.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(new, encoded))
@@ -113,116 +131,111 @@ class Pieces:
 _pieces: dict[str, Pieces] = {}
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, n_ids and ids (binary, 32 bits each) of every whole text and end_id after it; null is empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _pieces:
-            _pieces[path] = Pieces(path)
-        pieces, end = _pieces[path], struct.pack("<I", end_id)
-        for batch in batches:
-            column, at = batch["text"], 0
-            while at < len(column):
-                texts, size, first = [], 0, at
-                while at < len(column) and (not texts or size < GROUP):
-                    texts.append(column[at].as_py() or "")
-                    size += len(texts[-1])
-                    at += 1
-                ids = [x + end for x in pieces.encode(texts)]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, at - first), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_ids", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_ids long, ids binary")
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, n of a task's ids: a row an id of the vocabulary at most."""
-    total = np.zeros(1, np.int64)
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of batches with their texts, null being empty; of a batch only one slice is Python strings."""
     for batch in batches:
-        for ids in batch["ids"]:
-            own = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
-            if len(own) > len(total):
-                own[: len(total)] += total
-                total = own
-            else:
-                total[: len(own)] += own
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
-
-
-def frequent_first(tokens: DataFrame) -> list[int]:
-    """All ids that occur, by falling number, ties by id: as many as the vocabulary has at most."""
-    counted = tokens.select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    return [r["id"] for r in counted.orderBy(F.desc("n"), "id").collect()]
+        column, at = batch["text"], 0
+        while at < len(column):
+            texts, size, first = [], 0, at
+            while at < len(column) and (not texts or size < GROUP):
+                texts.append(column[at].as_py() or "")
+                size += len(texts[-1])
+                at += 1
+            yield batch.slice(first, at - first), texts
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
-def write(tokens: DataFrame, folder: str) -> None:
-    """Write tokens (doc_id, n_ids, ids) as a dataset, documents ascending, null ids first, ties by their ids."""
-    spark = tokens.sparkSession
+def _file(docs: list[int | None], ids: list[np.ndarray]) -> Iterator[bytes]:
+    """The bytes of a file of these documents, piece by piece."""
+    starts = list(range(0, len(docs), 256))
+    seen = np.zeros(0, np.int64)
+    for i in starts:
+        own = np.bincount(np.concatenate(ids[i : i + 256]), minlength=len(seen))
+        own[: len(seen)] += seen
+        seen = own
+    # by falling number, ties by id
+    order = np.lexsort((np.arange(len(seen)), -seen))[: np.count_nonzero(seen)].astype("<u4")
+    rank_of = np.zeros(len(seen), np.uint32)
+    rank_of[order] = np.arange(len(order), dtype=np.uint32)
+    yield MAGIC + struct.pack("<I", len(order)) + order.tobytes()
+    first = 0
+    while first < len(docs):
+        last, total = first, 0
+        while last < len(docs) and total < BLOCK:
+            total += len(ids[last])
+            last += 1
+        control, data = pack(rank_of[np.concatenate(ids[first:last])])
+        keys = np.array([d or 0 for d in docs[first:last]], "<i8").tobytes() + bytes(d is None for d in docs[first:last])
+        lengths = np.array([len(x) for x in ids[first:last]], "<i8").tobytes()
+        yield struct.pack("<III", last - first, total, len(data)) + keys + lengths + control + data
+        first = last
+
+
+CONTENTS = "file string, part int, k int, n_docs long, n_ids long"
+
+
+def save(docs: DataFrame, path: str, end_id: int, folder: str | None = None, file_ids: int = FILE_IDS) -> str:
+    """Write the ids of docs (doc_id, text) by the tokenizer file at path, end_id after each, as a dataset; returns its folder.
+
+    Documents ascend by doc_id, null first, ties by a hash of their texts. Null and empty texts have
+    end_id alone. Repeated rows and null ids each keep their entry. Other columns are left out. An
+    empty table gives a dataset without files of ids.
+    """
+    folder = folder or f"{shared_dir(docs.sparkSession).rstrip('/')}/ids-{uuid.uuid4().hex}"
     files, root = _open(folder)
     files.create_dir(root, recursive=True)
-    order = frequent_first(tokens)
-    with files.open_output_stream(f"{root}/ranks.bin") as f:
-        f.write(np.array(order, "<u4").tobytes())
-    rank_of = np.zeros(max(order, default=0) + 1, np.uint32)
-    rank_of[order] = np.arange(len(order), dtype=np.uint32)
-    ranks = spark.sparkContext.broadcast(rank_of)  # a number an id of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if path not in _pieces:
+            _pieces[path] = Pieces(path)
+        pieces, end = _pieces[path], struct.pack("<I", end_id)
         files, root = _open(folder)
-        name, at, n_docs, n_ids, first = f"ids-{uuid.uuid4().hex}.bin", -1, 0, 0, True
-        docs: list[int | None] = []
+        own: list[int | None] = []
         ids: list[np.ndarray] = []
-
-        def block() -> bytes:
-            lengths = np.array([len(x) for x in ids], "<i8")
-            control, data = pack(ranks.value[np.concatenate(ids)])
-            head = struct.pack("<III", len(docs), int(lengths.sum()), len(data))
-            keys = np.array([d or 0 for d in docs], "<i8").tobytes() + bytes(d is None for d in docs)
-            docs.clear()
+        part, k, total = 0, 0, 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal k, total
+            name = f"ids-{uuid.uuid4().hex}.bin"
+            with files.open_output_stream(f"{root}/{name}") as out:
+                for piece in _file(own, ids):
+                    out.write(piece)
+            row = {"file": [name], "part": pa.array([part], pa.int32()), "k": pa.array([k], pa.int32()), "n_docs": [len(own)], "n_ids": [total]}
+            own.clear()
             ids.clear()
-            return head + keys + lengths.tobytes() + control + data
-
-        out, waiting = None, 0
-        try:
-            for batch in batches:
-                for doc_id, part, own in zip(batch["doc_id"].to_pylist(), batch["part"].to_pylist(), batch["ids"]):
-                    if out is None:
-                        out, at = files.open_output_stream(f"{root}/{name}"), part
-                        out.write(MAGIC)
-                    docs.append(doc_id)
-                    ids.append(np.frombuffer(own.as_buffer(), "<u4"))
-                    n_docs, n_ids, waiting = n_docs + 1, n_ids + len(ids[-1]), waiting + len(ids[-1])
-                    if waiting >= BLOCK:
-                        out.write(block())
-                        waiting = 0
-            if docs:
-                out.write(block())
-        finally:
-            if out is not None:
-                out.close()
-        if out is not None:
-            yield pa.RecordBatch.from_pydict({"file": [name], "at": pa.array([at], pa.int32()), "n_docs": [n_docs], "n_ids": [n_ids]})
-
-    total = tokens.agg(F.sum("n_ids")).first()[0] or 0
-    parts = max(-(-total // FILE_IDS), min(FILES, -(-total // BLOCK)), 1)
-    dealt = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
-    written = dealt.select("doc_id", F.spark_partition_id().alias("part"), "ids").mapInArrow(run, "file string, at int, n_docs long, n_ids long")
-    written.write.parquet(f"{folder}/files")
+            k, total = k + 1, 0
+            return pa.RecordBatch.from_pydict(row)
+
+        for batch, texts in _texts(batches):
+            part = batch["part"][0].as_py()
+            for doc_id, found in zip(batch["doc_id"].to_pylist(), pieces.encode(texts)):
+                own.append(doc_id)
+                ids.append(np.frombuffer(found + end, "<u4"))
+                total += len(ids[-1])
+                if total >= file_ids:
+                    yield close()
+        if own:
+            yield close()
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
+    dealt = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    dealt.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, CONTENTS).write.parquet(f"{folder}/files")
+    return folder
 
 
 def blocks(raw) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc ids, whether null, numbers of ids, ranks) of each block of an open file."""
+    """(doc ids, whether null, numbers of ids, ids of all of them) of each block of an open file."""
     if raw.read(4) != MAGIC:
         raise ValueError("not a file of ids")
+    order = np.frombuffer(raw.read(4 * int.from_bytes(raw.read(4), "little")), "<u4")
     while head := raw.read(12):
         n_docs, n_ids, n_data = struct.unpack("<III", head)
         docs, null = np.frombuffer(raw.read(8 * n_docs), "<i8"), np.frombuffer(raw.read(n_docs), np.uint8)
         lengths = np.frombuffer(raw.read(8 * n_docs), "<i8")
-        yield docs, null.astype(bool), lengths, unpack(raw.read(-(-n_ids // 4)), raw.read(n_data), n_ids)
+        yield docs, null.astype(bool), lengths, order[unpack(raw.read(-(-n_ids // 4)), raw.read(n_data), n_ids)]
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -231,21 +244,19 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     start is the number of ids of all documents before it. Files are read where Spark deals them,
     a block at a time. A dataset without documents has no rows.
     """
-    contents = spark.read.schema("file string, at int, n_docs long, n_ids long").parquet(f"{folder}/files")
+    contents = spark.read.schema(CONTENTS).parquet(f"{folder}/files")
     # a row a file
-    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1)
     contents = contents.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"), "n_docs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _open(folder)
-        with files.open_input_stream(f"{root}/ranks.bin") as f:
-            order = np.frombuffer(f.read(), "<u4")
         for batch in batches:
             for name, base, n_docs in zip(*(batch[c].to_pylist() for c in ("file", "base", "n_docs"))):
                 with files.open_input_stream(f"{root}/{name}") as f:
-                    for docs, null, lengths, ranks in blocks(f):
+                    for docs, null, lengths, ids in blocks(f):
                         n_docs -= len(docs)
-                        ids, ends = order[ranks], np.cumsum(lengths)
+                        ends = np.cumsum(lengths)
                         binary = [x.tobytes() for x in np.split(ids, ends[:-1])]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(docs, pa.int64(), mask=null), pa.array(base + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(binary, pa.binary())],
@@ -262,18 +273,3 @@ def digests(read_back: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32, the CRC-32 of a document's ids as 32-bit integers."""
     return read_back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
-
-def new_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/ids-{uuid.uuid4().hex}"
-
-
-def save(docs: DataFrame, path: str, end_id: int, folder: str | None = None) -> str:
-    """Tokenize docs (doc_id, text) by the tokenizer file at path and write the dataset; returns its folder.
-
-    Null and empty texts have end_id alone. Repeated rows and null ids each keep their entry. Other
-    columns are left out. An empty table gives a dataset without files of ids.
-    """
-    folder = folder or new_folder(docs.sparkSession)
-    write(table(tokenize(docs, path, end_id)), folder)
-    return folder
-

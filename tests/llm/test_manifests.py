@@ -284,13 +284,13 @@ PIECES = ["Hello", "it's", "naïve", "é", " ", "\n", "\x1c", "\x1f", "\x85", "
 
 
 def test_files_of_ids_against_the_library(spark, monkeypatch):
-    monkeypatch.setattr(packed_ids, "BLOCK", 64)
     r = random.Random(9)
     rows = [(i, "".join(r.choice(PIECES) + r.choice(["", " "]) for _ in range(r.randint(0, 40)))) for i in range(300)]
     rows += [(None, None), (None, "null id"), (400, None), (401, ""), (402, " \t"), (403, LONG), (5, rows[5][1]), (5, "another five"), (-3, "first"), (2**62, "last")]
     r.shuffle(rows)
     df = spark.createDataFrame([(*row, 7, "x") for row in rows], "doc_id long, text string, ids long, start string").repartition(5)
-    folder = packed_ids.save(df, vocabulary_path(), 2)
+    folder = packed_ids.save(df, vocabulary_path(), 2, file_ids=900)
+    assert spark.read.parquet(f"{folder}/files").groupBy("part").count().where("count > 3").count() > 0
     found = packed_ids.read(spark, folder).collect()
     ids = [[*own, 2] for own in plain_ids([t or "" for _, t in rows])]
     key = lambda d, own: (d is not None, d or 0, own)
@@ -314,6 +314,22 @@ def test_frequent_ids_take_a_byte(spark, tmp_path):
     assert packed_ids.read(spark, folder).agg(F.sum("n_tokens")).first()[0] == n
 
 
+def test_files_and_blocks_of_a_few_ids(monkeypatch):
+    monkeypatch.setattr(packed_ids, "BLOCK", 64)
+    r = np.random.default_rng(4)
+    docs = [None, *range(999)]
+    ids = [r.zipf(1.3, n).clip(0, 49_000).astype("<u4") for n in r.integers(1, 90, 1000)]
+    data = b"".join(packed_ids._file(docs, ids))
+    import io
+
+    raw = io.BytesIO(data)
+    read = [(None if null else int(d), x.tolist()) for own, nulls, lengths, found in packed_ids.blocks(raw) for d, null, x in zip(own, nulls, np.split(found, np.cumsum(lengths)[:-1]))]
+    assert read == list(zip(docs, (x.tolist() for x in ids)))
+    ranks = np.frombuffer(data, "<u4", int.from_bytes(data[4:8], "little"), 8).tolist()
+    counts = np.bincount(np.concatenate(ids))
+    assert ranks == sorted(np.flatnonzero(counts).tolist(), key=lambda i: (-counts[i], i))
+
+
 def test_files_of_nothing(spark):
     folder = packed_ids.save(spark.createDataFrame([], "doc_id long, text string"), vocabulary_path(), 2)
     assert packed_ids.read(spark, folder).collect() == []
@@ -325,7 +341,7 @@ def test_unnamed_and_broken_files(spark, tmp_path):
     (tmp_path / "set" / "ids-left-by-a-lost-task.bin").write_bytes(b"IDS1")
     assert packed_ids.read(spark, folder).count() == 50
     own = next(f for f in (tmp_path / "set").glob("ids-*.bin") if f.stat().st_size > 10)
-    own.write_bytes(own.read_bytes()[:4])
+    own.write_bytes(b"IDS1\0\0\0\0")
     with pytest.raises(Exception, match="lacks"):
         packed_ids.read(spark, folder).collect()
 
