@@ -25,7 +25,9 @@ import os
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import shared_dir
 
 MAGIC = b"IDS1"
@@ -46,10 +49,13 @@ CACHE_BYTES = 48 << 20
 ENTRY_BYTES = 200
 #: Texts are worked on in groups of about so many characters.
 GROUP = 1 << 19
-#: Pieces that the tokenizer gets at once.
-SIDE_BY_SIDE = 2000
-#: A piece is what stands between ASCII white space, which the vocabulary's own pattern drops as well.
+#: A piece is what stands between white space, which the vocabulary's own pattern drops as well; four control characters divide pieces for Python alone.
 PIECES = re.compile(r"[^\x20\x09-\x0D]+").findall
+ODD = re.compile(r"[\x1C-\x1F]").search
+#: Letters that are composed already, each of which lower-cases to one, and after them ASCII marks (no quote, which may begin a contraction, and none that opens a special token).
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)").fullmatch
+#: Runs of marks that a worker remembers.
+MARKS = 1000
 
 # how many bytes each of a control byte's four ranks takes
 LENGTHS = np.array([[1 + (c >> 2 * i & 3) for i in range(4)] for c in range(256)], np.uint8)
@@ -83,7 +89,11 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class Pieces:
-    """Ids of texts by a tokenizer file, each distinct piece between white space worked out once while it is remembered."""
+    """Ids of texts by a tokenizer file of word-end BPE, each distinct piece between white space worked out once while it is remembered.
+
+    Words of Latin letters with punctuation after them are lower-cased, and go to the library's BPE model
+    straight, as its normaliser and pre-tokenizer leave them; all other pieces go through its whole encoder.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task a core already
@@ -92,40 +102,53 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        # a special token that no piece without its first letter can hold
-        special = (t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special and t[1].content.startswith("<"))
-        self.mark_id, self.mark = next(((i, t.content) for i, t in special), (None, None))
+        self.model = self.tokenizer.model
+        self.letters = [letter for _, letter in sorted(byte_letters().items())]
+        self.marks: dict[str, bytes] = {"": b""}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.size = 0
 
+    def word(self, word: str) -> bytes:
+        """Ids of what the pre-tokenizer leaves whole."""
+        if not word.isascii():
+            word = "".join([self.letters[b] for b in word.encode()])
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        found, rest = {}, []
+        marks, word = self.marks, self.word
+        for x in new:
+            plain = PLAIN(x)
+            if plain is None:
+                rest.append(x)
+                continue
+            own, mark = plain.groups()
+            if mark not in marks:
+                if len(marks) > MARKS:
+                    marks.clear()
+                marks[mark] = word(mark) if mark else b""
+            found[x] = word(own.lower()) + marks[mark]
+        if rest:
+            encoded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+            found.update((x, array("I", e.ids).tobytes()) for x, e in zip(rest, encoded))
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        own = [PIECES(t) for t in texts]
-        new = set().union(*own).difference(self.known)
+        """32-bit ids of each text."""
+        own = [PIECES(t) if ODD(t) else t.split() for t in texts]
         if self.size > CACHE_BYTES:
             self.known, self.older, self.size = {}, self.known, 0
-            new = set().union(*own)
-        found = {x: self.older[x] for x in new if x in self.older}
-        new = [x for x in new if x not in found]
-        if self.mark is not None:
-            # side by side, with a special token between them to tell where each ends
-            plain = [x for x in new if "<" not in x]
-            new = [x for x in new if "<" in x]
-            for at in range(0, len(plain), SIDE_BY_SIDE):
-                some = plain[at : at + SIDE_BY_SIDE]
-                (encoded,) = self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)
-                ids = np.array(encoded.ids, "<u4")
-                data, begin = ids.tobytes(), 0
-                for x, end in zip(some, [*(4 * np.flatnonzero(ids == self.mark_id)).tolist(), len(data)], strict=True):
-                    found[x] = data[begin:end]
-                    begin = end + 4
-        if new:
-            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            found.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(new, encoded))
-        self.known.update(found)
-        self.size += sum(len(x) + len(ids) for x, ids in found.items()) + ENTRY_BYTES * len(found)
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in own]
+        known, older = self.known, self.older
+        new = set()
+        for pieces in own:
+            new.update(filterfalse(known.__contains__, pieces))
+        found = {x: older[x] for x in new if x in older} if older else {}
+        new.difference_update(found)
+        found.update(self.learn(new))
+        known.update(found)
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in own]
 
 
 _pieces: dict[str, Pieces] = {}

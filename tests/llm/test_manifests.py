@@ -280,12 +280,12 @@ def plain_ids(texts):
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-PIECES = ["Hello", "it's", "naïve", "é", " ", "\n", "\x1c", "\x1f", "\x85", " ", " ", "　", "​", "漢字", "😀", "ΑΣ", "ς", "İ", "ǅ", "<|endoftext|>", "<|startoftext|>", "<|", "́", "123", "½", "...", "\x00", "﻿", "ﬁ", "'S", "a" * 300]
+PIECES = ["Hello", "it's", "naïve", "é", " ", "\n", "\x1c", "\x1f", "\x85", " ", " ", "　", "​", "漢字", "😀", "ΑΣ", "ς", "İ", "ǅ", "<|endoftext|>", "<|startoftext|>", "<|", "́", "123", "½", "...", "\x00", "﻿", "ﬁ", "'S", "a" * 300, "word,", "Größe.***", "x_y", "a1b", "say\"", "ÿ~", "Ÿ", "it'S.", "end<|", "ß!<"]
 
 
 def test_files_of_ids_against_the_library(spark, monkeypatch):
     r = random.Random(9)
-    rows = [(i, "".join(r.choice(PIECES) + r.choice(["", " "]) for _ in range(r.randint(0, 40)))) for i in range(300)]
+    rows = [(i, "".join(r.choice(PIECES) + r.choice(["", " "]) for _ in range(r.randint(0, 40)))) for i in range(600)]
     rows += [(None, None), (None, "null id"), (400, None), (401, ""), (402, " \t"), (403, LONG), (5, rows[5][1]), (5, "another five"), (-3, "first"), (2**62, "last")]
     r.shuffle(rows)
     df = spark.createDataFrame([(*row, 7, "x") for row in rows], "doc_id long, text string, ids long, start string").repartition(5)
