@@ -43,15 +43,22 @@ FOLDER = Path(__file__).parent / "license_texts"
 END_OF_TERMS = "END OF TERMS AND CONDITIONS"
 #: Spellings that count as one.
 SPELLINGS = [("licence", "license"), ("organisation", "organization"), ("favour", "favor"), ("acknowledgement", "acknowledgment"), ("sub license", "sublicense"), ("per cent", "percent")]
-#: A line that names a copyright holder.
-COPYRIGHT = r"(?:^|\n)[^\p{L}\p{N}\n]*(?:[cC][oO][pP][yY][rR][iI][gG][hH][tT]|\([cC]\)|©|[aA][lL][lL] [rR][iI][gG][hH][tT][sS] [rR][eE][sS][eE][rR][vV][eE][dD])[^\n]*"
+#: Words of a copyright holder's name and address at most.
+HOLDER = 40
+#: A copyright statement: the word with its sign, or either with a year, and the holder up to the end of the paragraph or to where terms begin, which stays. Line breaks don't matter.
+COPYRIGHT = (
+    r"(?i)(?:copyright\s*(?:\(c\)|©)|(?:copyright|\(c\)|©)\s*,?\s*[<\[{]?(?:[12][0-9]{3}|year|yyyy|4-digit))\S*(?:(?:[ \t\r]+|[ \t\r]*\n[ \t\r]*)\S+){0,%d}?"
+    r"(\s*\n[ \t\r]*\n|\s*\z|\s+(?:permission|redistribution|everyone|licensed|this\s+(?:program|library|software|file|work))\b)" % HOLDER
+)
+RESERVED = r"(?i)all\s+rights\s+reserved"
 #: Runs of anything but letters and digits.
 GAPS = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case (A-Z), no copyright lines, one space for each run of punctuation and space, one spelling."""
-    out = F.trim(F.regexp_replace(ascii_lower(F.regexp_replace(text, COPYRIGHT, "\n")), GAPS, " "))
+    """Lower case (A-Z), no copyright statements, one space for each run of punctuation and space, one spelling."""
+    out = F.regexp_replace(F.regexp_replace(text, COPYRIGHT, " $1 "), RESERVED, " ")
+    out = F.trim(F.regexp_replace(ascii_lower(out), GAPS, " "))
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
@@ -59,7 +66,8 @@ def canonical(text: Column) -> Column:
 
 def canonical_sql(text: str) -> str:
     """canonical() as DuckDB SQL."""
-    out = f"trim(regexp_replace(translate(regexp_replace({text}, '{COPYRIGHT}', chr(10), 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{GAPS}', ' ', 'g'))"
+    out = f"regexp_replace(regexp_replace({text}, '{COPYRIGHT}', ' \\1 ', 'g'), '{RESERVED}', ' ', 'g')"
+    out = f"trim(regexp_replace(translate({out}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{GAPS}', ' ', 'g'))"
     for a, b in SPELLINGS:
         out = f"replace({out}, '{a}', '{b}')"
     return out
@@ -70,9 +78,9 @@ def digest(text: Column) -> Column:
 
 
 def _known(text: str) -> str:
-    """canonical() of a known text, which has only ASCII characters."""
-    lines = [x for x in text.split("\n") if not re.match(r"[^A-Za-z0-9]*(copyright|\(c\)|all rights reserved)", x, re.I)]
-    out = re.sub(r"[^a-z0-9]+", " ", "\n".join(lines).lower()).strip(" ")
+    """digest() of a known text, which has only ASCII characters."""
+    out = re.sub(RESERVED, " ", re.sub(COPYRIGHT.replace(r"\z", r"\Z"), r" \1 ", text, flags=re.ASCII))
+    out = re.sub(r"[^a-z0-9]+", " ", out.lower()).strip(" ")
     for a, b in SPELLINGS:
         out = out.replace(a, b)
     return hashlib.sha256(out.encode()).hexdigest()
@@ -84,10 +92,14 @@ def known(spark: SparkSession, *kinds: dict) -> DataFrame:
     return spark.createDataFrame(sorted(rows.items()), "digest string, license string")
 
 
-def bundled(spark: SparkSession) -> DataFrame:
-    """(license, text) of the bundled whole texts: MIT, ISC and those in FOLDER."""
+def bundled_texts() -> list[tuple[str, str]]:
+    """(license, text) of the bundled whole texts: MIT, ISC, which stands for its author's name as well, and those in FOLDER."""
     files = [(re.sub(r"(\.university)?\.txt$", "", f.name), f.read_text("utf-8")) for f in sorted(FOLDER.glob("*.txt"))]
-    return spark.createDataFrame([*TEXTS.items(), *files], "license string, text string")
+    return [*TEXTS.items(), ("ISC", TEXTS["ISC"].replace("THE AUTHOR", "ISC")), *files]
+
+
+def bundled(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(bundled_texts(), "license string, text string")
 
 
 def known_texts(texts: DataFrame) -> DataFrame:
@@ -126,8 +138,20 @@ def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     return out.select("doc_id", "digest", "license", F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"), F.size("found").cast("long").alias("n_notices"))
 
 
+def _forms(text: str) -> list[str]:
+    """The forms of known_texts() of one bundled text."""
+    out = [text.lstrip()]
+    if END_OF_TERMS in out[0]:
+        terms = out[0].split(END_OF_TERMS)[0]
+        out += [terms + END_OF_TERMS, terms]
+    return out + [re.split(r"\n[ \t\r]*\n", form, maxsplit=1)[1] for form in out if re.search(r"\n[ \t\r]*\n", form)]
+
+
 def oracle_sql() -> str:
-    whole = {_known(t): name for kind in (TEXTS, NOTICES) for name, texts in kind.items() for t in ([texts] if isinstance(texts, str) else texts)}
+    whole: dict[str, str] = {}
+    for name, text in [*((name, form) for name, text in bundled_texts() for form in _forms(text)), *((name, t) for name, texts in NOTICES.items() for t in texts)]:
+        whole[_known(text)] = min(name, whole.get(_known(text), name))
+    whole.pop(hashlib.sha256(b"").hexdigest(), None)
     rows = ", ".join(f"('{d}', '{n}')" for d, n in sorted(whole.items()))
     lines = ", ".join(f"('{d}', '{n}')" for d, n in sorted(notice_map().items()))
     return f"""

@@ -667,3 +667,73 @@ def test_queries_are_registered():
     names = entry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11)) and "pipeline" in names
     assert json.dumps(sorted(entry.oracle_sql()))
+
+
+# licences however they are laid out
+
+
+def laid_out():
+    """(license, text) of every bundled text by width, copyright statement and case."""
+    import re
+    import textwrap
+
+    out = []
+    for name, text in licenses.bundled_texts():
+        for width in (60, 72, 80, 100):
+            paragraphs = ["\n".join(textwrap.wrap(p, width)) for p in re.split(r"\n[ \t\r]*\n", text)]
+            holder = "Copyright (c) 2019-2021 The Very Long Company of Jane Doe and Sons,\nInc. <jane@example.org>. All rights reserved."
+            for own in (paragraphs, [paragraphs[0], holder, *paragraphs[1:]], ["Copyright © 2020 Jane Doe", *paragraphs]):
+                out += [(name, "\n\n".join(own)), (name, "\n\n".join(own).upper())]
+    return out
+
+
+def test_licenses_are_known_in_any_layout(spark):
+    known = laid_out()
+    isc = licenses.TEXTS["ISC"].replace("THE AUTHOR", "ISC").split("\n\n")
+    published = ['Copyright (c) 2004-2010 by Internet Systems Consortium, Inc. ("ISC")\nCopyright (c) 1995-2003 by Internet Software Consortium', *isc[1:]]
+    known.append(("ISC", "\n\n".join(published)))
+    apache, mit = dict(licenses.bundled_texts())["Apache-2.0"], licenses.TEXTS["MIT"]
+    changed = [apache.replace("(c) You must retain", "(c) You must pay the author a million. You must retain"), mit.replace("free of charge", "for a charge"), mit + "\nAnd pay.", "Copyright (c) 2020 Jane Doe"]
+    assert all(x not in (apache, mit) for x in changed)
+    cases = known + [(None, x) for x in changed]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    assert {r["doc_id"]: r["license"] for r in licenses.scan(df).collect()} == {i: name for i, (name, _) in enumerate(cases)}
+
+
+def test_license_sql_reads_the_same_texts(spark, odd):
+    import duckdb
+    import pandas as pd
+
+    data = [(100 + i, t) for i, (_, t) in enumerate(laid_out()[::7])] + [(i, t) for i, t, *_ in ODD] + [(90, "Text.\nCopyright 2020 A. Licensed under the MIT License.\nLicensed under CC BY 4.0.\n")]
+    names = "doc_id", "digest", "license", "notices", "n_notices"
+    con = duckdb.connect()
+    con.register("frame", pd.DataFrame({"doc_id": pd.array([d for d, _ in data], "Int64"), "text": [t for _, t in data]}))
+    con.sql("CREATE VIEW documents AS SELECT * FROM frame")
+    want = sorted(con.sql(f"SELECT {', '.join(names)} FROM ({licenses.oracle_sql()})").fetchall(), key=repr)
+    # null ids can't be joined there
+    found = rows(licenses.scan(spark.createDataFrame(data, "doc_id long, text string")), *names)
+    assert [r for r in found if r[0] is not None] == [r for r in want if r[0] is not None] and sum(r[2] is not None for r in found) > 30
+    clashing = odd.withColumns({"digest": F.lit("x"), "license": F.lit("y"), "found": F.lit(1)})
+    assert licenses.scan(clashing).count() == len(ODD) and {r["license"] for r in licenses.scan(clashing).collect()} == {None}
+
+
+# fuzzy passages whose short windows other documents had first
+
+
+@pytest.mark.parametrize("planted", [0, 1])
+def test_passages_whose_windows_occurred_elsewhere_first(spark, planted):
+    r, docs, want = random.Random(71 + planted), [], {}
+    for key, (n, like) in enumerate([(n, like) for n in (50, 60, 100) for like in (1.0, 0.9, 0.85, 0.8) for _ in range(12)]):
+        passage = [r.choice(WORDS) + str(r.randint(0, 99)) for _ in range(n)]
+        copy = list(passage)
+        for k in r.sample(range(n), round(n * (1 - like))):
+            copy[k] = f"c{key}x{k}"
+        if planted:
+            windows = [passage[j : j + 4] for j in range(n - 3)]
+            r.shuffle(windows)
+            docs += [(1000 * key + j, " ".join(x for w in windows[j : j + 10] for x in [*prose(12, 9 * key + j).split(), *w])) for j in range(0, len(windows), 10)]
+        docs += [(10**6 + key, f"{prose(40, 20_000 + key)} {' '.join(passage)} {prose(40, 30_000 + key)}"), (2 * 10**6 + key, f"{prose(30, 40_000 + key)} {' '.join(copy)} {prose(40, 50_000 + key)}")]
+        want[2 * 10**6 + key] = n
+    got = substrings.passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    found = {x["doc_id"] for x in got if x["start"] < 30 + want.get(x["doc_id"], 0) - 10 and x["end"] > 40}
+    assert {x["doc_id"] for x in got} <= set(want) and len(found) >= 0.9 * len(want)
