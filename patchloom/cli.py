@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from patchloom import config
+from patchloom import config, plugins
 from patchloom.operators import classify, datasets, features, pairs
 from patchloom.sources import tables
 
@@ -18,7 +17,8 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("-o", "--output", required=True)
     p.add_argument("-m", "--mode", choices=("pairs", "features", "classify"), default="pairs")
     p.add_argument("-g", "--granularity", choices=("statement", "method"))
-    p.add_argument("-s", "--strategy", choices=("aligned", "strict"))
+    p.add_argument("-s", "--strategy", help="aligned, strict or one of a plug-in")
+    p.add_argument("--plugins", help="modules that register languages or strategies, separated by commas")
     p.add_argument("--config", help="a YAML file of settings; what is given here comes first")
     p.add_argument("--split-input", help="the statement table's path: read if it is there, else made and written to it")
     p.add_argument("--models", help="names, separated by commas")
@@ -32,6 +32,7 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parse(argv)
+    plugins.load(args.plugins.split(",") if args.plugins else [])
     spark = spark or SparkSession.builder.appName("patchloom").getOrCreate()
     spark.sparkContext.setLogLevel("INFO" if args.verbose else "WARN")
     source, found = tables.read_pairs(spark, args.input), config.load(args.config)
@@ -56,10 +57,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
 
 
 def features_to(source: DataFrame, path: str) -> DataFrame:
-    """The statement table of source, written to path; its counters. Code is parsed once."""
-    done = features.parsed(source).persist(StorageLevel.DISK_ONLY)
-    tables.write_csv(features.table_of(done), path)
-    return features.counters(source, done)
+    """The statement table of source, written to path; its counters, observed while it is written. Code is parsed once and nothing is kept."""
+    counted = features.Counted(source)
+    tables.write_csv(features.table_of(counted.parsed), path)
+    return counted.row()
 
 
 if __name__ == "__main__":

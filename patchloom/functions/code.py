@@ -11,7 +11,7 @@ import ast
 import re
 import sys
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 # Words that open a statement, by the type that they make.
@@ -683,7 +683,7 @@ DEEPEST = 50_000
 class Side:
     """One version of a method: its tokens, read once, and its statements."""
 
-    def __init__(self, code: str, language: str):
+    def __init__(self, code: str, language: str, parse: Callable[[str], list[Node]] | None = None):
         self.code, self.language = code, language
         every = lex(code, language)
         self.tokens = [t for t in every if t.kind not in ("line", "comment")]
@@ -697,7 +697,7 @@ class Side:
         deep = 1000 + 8 * sum(t.text in ("{", "if", "for", "while", "else", "do") for t in self.tokens)
         if deep > sys.getrecursionlimit():
             sys.setrecursionlimit(min(deep, DEEPEST))
-        self.roots = python_nodes(code) if language == "python" else _first_body(every, self.tokens, language)
+        self.roots = parse(code) if parse else python_nodes(code) if language == "python" else _first_body(every, self.tokens, language)
 
     def line(self, at: int) -> int:
         return bisect_left(self.lines, at) + 1

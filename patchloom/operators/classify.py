@@ -17,7 +17,7 @@ from patchloom import config as settings
 from patchloom.functions import text as T
 from patchloom.operators import datasets as D
 from patchloom.operators import metrics as M
-from patchloom.operators import models, textfeat
+from patchloom.operators import forests, models, textfeat
 from patchloom.sources.tables import stored
 
 # Titles of the comparison's columns by approach and evaluation level, and of the difference of the first two.
@@ -121,20 +121,27 @@ def statement_vectors(rows: DataFrame, config: Config) -> tuple[DataFrame, list[
 def explain(fitted: models.Fitted, train: DataFrame, scored: DataFrame, names: list[str], config: Config) -> tuple[DataFrame, DataFrame | None, list[str]]:
     """(importance by feature, local explanations, notes) of a model.
 
-    scored are the test rows with sample_id, y_true, y_score and features. Linear models have exact
-    Shapley values of independent features; for others there are none, which a note says.
+    scored are the test rows with sample_id, y_true, y_score and features. Models of trees have exact
+    Shapley values by the shares of training rows along their ways, linear ones those of independent
+    features; for others there are none, which a note says.
     """
     spark, notes = train.sparkSession, []
     table = spark.createDataFrame([(n,) for n in names], "feature string")
     native = models.native_importance(fitted, names)
     table = table.join(F.broadcast(spark.createDataFrame(native, "feature string, native_importance double")), "feature", "left") if native else table.withColumn("native_importance", F.lit(None).cast("double"))
-    linear = models.linear_parts(fitted, train) if config.shap else None
+    forest = forests.of_model(spark, fitted.model) if config.shap else None
+    linear = models.linear_parts(fitted, train) if config.shap and forest is None else None
     local = None
-    if linear:
-        weights, means, base = linear
+    if forest or linear:
         sample = M.explain_sample(scored.select("sample_id", "y_true", "y_score", "features"), config.local, config.explained, config.seed)
         sample = stored(sample)
-        parts = models.contributions(sample, weights, means, names)
+        if forest:
+            base, parts = forests.base_value(forest), stored(forests.shapley(fitted.scaled(sample), forest, names))
+            notes.append("Shapley values of trees by the shares of training rows along their ways, in units of " + ("probability" if forest.link is None else "log odds"))
+        else:
+            weights, means, base = linear
+            parts = models.contributions(sample, weights, means, names)
+            notes.append("Shapley values of a linear model of independent features, in units of its margin")
         of_feature = parts.groupBy("feature").agg(F.avg(F.abs("value")).alias("shap_mean_abs"), F.avg("value").alias("shap_mean"), M.correlation("x", "value").alias("shap_value_corr"))
         table = table.join(of_feature, "feature", "left")
         best = M.top_contributions(parts.join(F.broadcast(sample.where("sample_rank is not null").select("sample_id")), "sample_id"), config.top_k)
@@ -142,7 +149,6 @@ def explain(fitted: models.Fitted, train: DataFrame, scored: DataFrame, names: l
             "sample_rank", "sample_id", "y_true", "y_score", (F.col("y_score") >= config.threshold).cast("int").alias("y_pred"), F.lit(base).alias("base_value"), "contribution_rank", "feature",
             F.col("x").alias("feature_value"), F.col("value").alias("shap_value"), F.when(F.col("value") > 0, "-> vulnerable").otherwise("-> aman").alias("direction"),
         )
-        notes.append("Shapley values of a linear model of independent features, in units of its margin")
     else:
         table = table.withColumns({c: F.lit(None).cast("double") for c in ("shap_mean_abs", "shap_mean", "shap_value_corr")})
         notes.append("no Shapley values for this kind of model" if config.shap else "Shapley values are turned off")
@@ -153,7 +159,7 @@ def explain(fitted: models.Fitted, train: DataFrame, scored: DataFrame, names: l
     elif config.permutation:
         candidates = names
         if len(names) > config.permuted:
-            by = "shap_mean_abs" if linear else "native_importance" if native else None
+            by = "shap_mean_abs" if forest or linear else "native_importance" if native else None
             order = table if by else variances(scored, names)
             candidates = [r["feature"] for r in order.orderBy(F.desc_nulls_last(by or "variance"), "feature").limit(config.permuted).collect()]  # a setting bounds them
             notes.append(f"permutation importance of the {config.permuted} first of {len(names)} features alone")
@@ -269,7 +275,7 @@ README = [
     ("folds", "groups of rows (of one method, unless set otherwise) stand on one side, the same for both approaches"),
     ("comparison", "means over folds: a row a model and metric, a column an approach and level"),
     ("summary, metrics", "metrics, averaged over folds and of each fold"),
-    ("importance", "native importance, drop of a metric when a feature is dealt out anew, and Shapley values of linear models"),
+    ("importance", "native importance, drop of a metric when a feature is dealt out anew, and Shapley values of trees and linear models"),
     ("local_explanations", "contributions to the scores of the test rows of greatest score"),
     ("predictions, dataset_info, xai_notes, config", "scores of all test rows, sizes of each fold, remarks, and the settings used"),
 ]

@@ -11,10 +11,12 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from patchloom import plugins
 from patchloom.functions import code as C
 from patchloom.functions import text as T
 from patchloom.functions.dictionaries import FORMATS, SANITIZERS, SINKS
@@ -36,10 +38,18 @@ STATEMENT = (
     "defined int, used int, guard boolean, children int, label int"
 )
 NAMES = [x.split(" ")[0] for x in STATEMENT.split(", ")]
+STATEMENTS = f"array<struct<{','.join(x.replace(' ', ':', 1) for x in STATEMENT.split(', '))}>>"
+#: Pairs that a worker turns into statements at a time.
+GROUP = 512
 # Fixed value: the left side of Go's error check.
 ERROR_CHECK = re.compile(r"(?:[^&|=!<>]*\b)?err\w*\s*!=\s*nil", re.I)
 
 
+def languages() -> tuple[str, ...]:
+    """Languages with a statement table, those of plug-ins among them."""
+    return (*LANGUAGES, *(name for name, own in plugins.LANGUAGES.items() if own.nodes))
+
+
 def _squeeze(x: str) -> str:
     return re.sub(r"\s+", " ", x).strip()
 
@@ -105,15 +115,20 @@ def _rows(side: C.Side, origin: str, first: int, labelled: bool) -> Iterator[tup
         yield from walk(root, [])
 
 
-def statements_of(vulnerable: str, fixed: str | None, language: str) -> list[tuple]:
-    """Rows of both versions of one method; of the vulnerable one alone, as unchanged, if the two are the same."""
-    v = C.Side(vulnerable, language)
+def _side(code: str, language: str, own: plugins.Language | None) -> C.Side:
+    return C.Side(code, language) if own is None else C.Side(code, own.like, own.nodes)
+
+
+def statements_of(vulnerable: str, fixed: str | None, language: str, own: plugins.Language | None = None) -> list[tuple]:
+    """Rows of both versions of one method; of the vulnerable one alone, as unchanged, if the two are the same. own: the plug-in of its language, if it is one's."""
+    own = own or plugins.LANGUAGES.get(language)
+    v = _side(vulnerable, language, own)
     if not (fixed and fixed.strip()):
         _mark(v.roots)
         return list(_rows(v, "vulnerable", 0, True))
     if vulnerable.strip() == fixed.strip():
         return list(_rows(v, "unchanged", 0, False))
-    f = C.Side(fixed, language)
+    f = _side(fixed, language, own)
     label(v.roots, f.roots, v, f)
     rows = list(_rows(v, "vulnerable", 0, True))
     return rows + list(_rows(f, "fixed", len(rows), False))
@@ -121,27 +136,34 @@ def statements_of(vulnerable: str, fixed: str | None, language: str) -> list[tup
 
 def parsed(pairs: DataFrame) -> DataFrame:
     """pairs with _language and _s, a struct for each statement; null where the code can't be worked on."""
+    known = pairs.withColumn("_language", T.resolve_language(F.col("language")))
+    known = known.where(F.col("_language").isin(*languages()) & T.has_code(F.col("vulnerable_code")))
+    added = dict(plugins.LANGUAGES)  # they travel with the plan
+    names, schema = known.columns, known.withColumn("_s", F.lit(None).cast(STATEMENTS)).schema
+    kind = to_arrow_type(schema["_s"].dataType)
 
-    @F.pandas_udf(f"array<struct<{','.join(x.replace(' ', ':', 1) for x in STATEMENT.split(', '))}>>")
-    def of_pair(vs: pd.Series, fs: pd.Series, languages: pd.Series) -> pd.Series:
-        def one(v: str, f: str | None, language: str) -> list[dict] | None:
-            try:
-                return [dict(zip(NAMES, row)) for row in statements_of(v, f, language)]
-            except (IndexError, ValueError, RecursionError):
-                return None
+    def one(v: str, f: str | None, language: str) -> list[tuple] | None:
+        try:
+            return statements_of(v, f, language, added.get(language))
+        except (IndexError, ValueError, RecursionError):
+            return None
 
-        return pd.Series([one(v, f, x) for v, f, x in zip(vs, fs, languages)], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # batches of whole methods are wide: some at a time
+            for at in range(0, len(batch), GROUP):
+                part = batch.slice(at, GROUP)
+                rows = [one(*row) for row in zip(*(part[c].to_pylist() for c in ("vulnerable_code", "fixed_code", "_language")))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, kind)], [*names, "_s"])
 
-    known = pairs.withColumn("_language", T.resolve_language(F.col("language")))
-    known = known.where(F.col("_language").isin(*LANGUAGES) & T.has_code(F.col("vulnerable_code")))
-    return known.withColumn("_s", of_pair("vulnerable_code", "fixed_code", "_language"))
+    return known.mapInArrow(run, schema)
 
 
 def _by_language(language: Column, of) -> Column:
     """of(dictionary) by the row's language."""
     out = of("javascript")
     for name in ("go", "python", "php"):
-        out = F.when(language == name, of(name)).otherwise(out)
+        out = F.when(language.isin(name, *(x for x in plugins.LANGUAGES if plugins.like(x) == name)), of(name)).otherwise(out)
     return out
 
 
@@ -223,23 +245,44 @@ def table_of(parsed_pairs: DataFrame) -> DataFrame:
     return rows.select(*[made.get(c, F.col(c)).alias(c) for c in COLUMNS])
 
 
-def counters(pairs: DataFrame, parsed_pairs: DataFrame | None = None) -> DataFrame:
-    """One row of the nine counters: rows in and out, positive labels, rows of each origin, and rows skipped for their language, for missing code, or because they couldn't be parsed.
+#: Counters of the features pipeline, in order.
+COUNTERS = (
+    "total_input_rows", "total_output_rows", "total_positive_labels", "total_from_vulnerable_side", "total_from_fixed_side", "total_from_unchanged_rows",
+    "skipped_unsupported_language", "skipped_no_code", "skipped_extraction_failure",
+)
 
-    parsed_pairs, if parsed() has gone over pairs already (and is kept), saves a second parse.
-    """
-    language = T.resolve_language(F.col("language"))
-    known = F.coalesce(language.isin(*LANGUAGES), F.lit(False))
-    seen = pairs.agg(F.count("*").alias("total_input_rows"), F.count_if(~known).alias("skipped_unsupported_language"), F.count_if(known & ~T.has_code(F.col("vulnerable_code"))).alias("skipped_no_code"))
-
-    def of(test) -> Column:
-        return F.coalesce(F.sum(F.size(F.filter(F.coalesce("_s", F.array().cast(kind)), test)).cast("long")), F.lit(0).cast("long"))
-
-    own = parsed(pairs) if parsed_pairs is None else parsed_pairs
-    kind = own.schema["_s"].dataType
-    found = own.agg(
-        of(lambda x: F.lit(True)).alias("total_output_rows"), of(lambda x: x["label"] == 1).alias("total_positive_labels"), of(lambda x: x["origin"] == "vulnerable").alias("total_from_vulnerable_side"),
-        of(lambda x: x["origin"] == "fixed").alias("total_from_fixed_side"), of(lambda x: x["origin"] == "unchanged").alias("total_from_unchanged_rows"), F.count_if(F.col("_s").isNull()).alias("skipped_extraction_failure"),
-    )
-    names = ("total_input_rows", "total_output_rows", "total_positive_labels", "total_from_vulnerable_side", "total_from_fixed_side", "total_from_unchanged_rows", "skipped_unsupported_language", "skipped_no_code", "skipped_extraction_failure")
-    return seen.crossJoin(found).select(*names)  # one row each
+
+def _seen() -> list[Column]:
+    """Counters over the input."""
+    known = F.coalesce(T.resolve_language(F.col("language")).isin(*languages()), F.lit(False))
+    return [F.count("*").alias(COUNTERS[0]), F.count_if(~known).alias(COUNTERS[6]), F.count_if(known & ~T.has_code(F.col("vulnerable_code"))).alias(COUNTERS[7])]
+
+
+def _found() -> list[Column]:
+    """Counters over parsed pairs."""
+    tests = [lambda x: F.lit(True), lambda x: x["label"] == 1, lambda x: x["origin"] == "vulnerable", lambda x: x["origin"] == "fixed", lambda x: x["origin"] == "unchanged"]
+    sums = [F.coalesce(F.sum(F.when(F.col("_s").isNotNull(), F.size(F.filter("_s", test)).cast("long"))), F.lit(0).cast("long")) for test in tests]
+    return [*(c.alias(name) for c, name in zip(sums, COUNTERS[1:6])), F.count_if(F.col("_s").isNull()).alias(COUNTERS[8])]
+
+
+class Counted:
+    """Parsed pairs whose counters are observed by whatever writes them: parsed, a table to work on, and row(), one row of the counters after that."""
+
+    def __init__(self, pairs: DataFrame):
+        self.spark = pairs.sparkSession
+        self.seen, self.found = Observation(), Observation()
+        self.parsed = parsed(pairs.observe(self.seen, *_seen())).observe(self.found, *_found())
+
+    def row(self) -> DataFrame:
+        got = self.seen.get | self.found.get
+        return self.spark.createDataFrame([tuple(got[c] for c in COUNTERS)], ", ".join(f"{c} long" for c in COUNTERS))
+
+
+def counters(pairs: DataFrame) -> DataFrame:
+    """One row of the nine counters: rows in and out, positive labels, rows of each origin, and rows skipped for their language, for missing code, or because they couldn't be parsed."""
+    return pairs.agg(*_seen()).crossJoin(parsed(pairs).agg(*_found())).select(*COUNTERS)  # one row each
+
+
+def rejects(parsed_pairs: DataFrame) -> DataFrame:
+    """Parsed pairs whose code couldn't be worked on, with the reason."""
+    return parsed_pairs.where("_s is null").drop("_s", "_language").withColumn("reason", F.lit("extraction_failure"))

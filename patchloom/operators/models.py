@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.operators import metrics as M
+from patchloom.operators.forests import ExtraTrees, HistBoosting
 
 
 class AdaBoost:
@@ -164,10 +165,10 @@ class Nearest:
 # Aliases, the class behind each, its default parameters, whether features are scaled first, whether classes are weighed alike.
 MODELS: dict[str, tuple[str, dict[str, Any], bool, bool]] = {
     "random_forest": ("RandomForestClassifier", {"numTrees": 300, "maxDepth": 30}, False, True),
-    "extra_trees": ("RandomForestClassifier", {"numTrees": 300, "maxDepth": 30, "bootstrap": False}, False, True),
+    "extra_trees": ("ExtraTrees", {"numTrees": 300, "maxDepth": 30}, False, True),
     "decision_tree": ("DecisionTreeClassifier", {"maxDepth": 30}, False, True),
     "gradient_boosting": ("GBTClassifier", {"maxIter": 100, "maxDepth": 3}, False, False),
-    "hist_gradient_boosting": ("GBTClassifier", {"maxIter": 100, "maxDepth": 5}, False, True),
+    "hist_gradient_boosting": ("HistBoosting", {"maxIter": 100, "maxLeaves": 31}, False, True),
     "adaboost": ("AdaBoost", {"rounds": 50}, False, False),
     "logistic_regression": ("LogisticRegression", {"maxIter": 5000}, True, True),
     "svm": ("KernelSvm", {}, True, True),
@@ -178,7 +179,7 @@ MODELS: dict[str, tuple[str, dict[str, Any], bool, bool]] = {
 }
 #: Aliases that need packages Spark doesn't bring.
 OUTSIDE = {"xgboost": "xgboost", "lightgbm": "lightgbm"}
-OWN = {c.__name__: c for c in (AdaBoost, KernelSvm, Nearest)}
+OWN = {c.__name__: c for c in (AdaBoost, ExtraTrees, HistBoosting, KernelSvm, Nearest)}
 
 
 @dataclass(frozen=True)

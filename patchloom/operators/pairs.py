@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patchloom import plugins
 from patchloom.functions import code as C
 from patchloom.functions import text as T
 
@@ -61,9 +63,22 @@ def outermost(spans: DataFrame) -> DataFrame:
     return spans.withColumn("_reach", F.max("b").over(order)).where("_reach is null or b > _reach").drop("_reach")
 
 
+def splitter(granularity: str) -> Callable[[str, str], list[str]]:
+    """What splits code of a language into statements or methods, those of plug-ins among them."""
+    known, added = C.methods if granularity == "method" else C.statements, dict(plugins.LANGUAGES)
+
+    def split(code: str, language: str) -> list[str]:
+        own = added.get(language)
+        if own is None:
+            return known(code, language)
+        return (own.methods if granularity == "method" else own.statements)(code)
+
+    return split
+
+
 def split_code(code: F.Column, language: F.Column, granularity: str) -> F.Column:
     """array<string>: the statements or methods of a snippet."""
-    split = C.methods if granularity == "method" else C.statements
+    split = splitter(granularity)
 
     @F.pandas_udf("array<string>")
     def pieces(codes: pd.Series, languages: pd.Series) -> pd.Series:
@@ -95,6 +110,23 @@ def pair_aligned(v: F.Column, f: F.Column) -> tuple[F.Column, F.Column]:
     return F.when(F.size(v) == 0, "no_vulnerable_code").otherwise("success"), pairs_of(v, f)
 
 
+def pair_by(v: F.Column, f: F.Column, strategy: str) -> tuple[F.Column, F.Column]:
+    """(status, pairs) by a strategy's name: strict, aligned or one of a plug-in."""
+    if strategy in ("strict", "aligned"):
+        return (T.pair_strict if strategy == "strict" else pair_aligned)(v, f)
+    if strategy not in plugins.STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}; known: {', '.join(['aligned', 'strict', *sorted(plugins.STRATEGIES)])}")
+    own = plugins.STRATEGIES[strategy]
+
+    @F.pandas_udf(PAIR)
+    def pairs_of(vs: pd.Series, fs: pd.Series) -> pd.Series:
+        made = [own(list(x), list(y)) if x is not None and len(x) else [] for x, y in zip(vs, fs)]
+        return pd.Series([None if m is None else [{"vulnerable_code": a, "fixed_code": b} for a, b in m] for m in made], dtype=object)
+
+    made = pairs_of(v, f)
+    return F.when(F.size(v) == 0, "no_vulnerable_code").when(made.isNull(), "mismatch").otherwise("success"), F.coalesce(made, F.array().cast(PAIR))
+
+
 def pair(pairs: DataFrame, granularity: str = "statement", strategy: str = "aligned") -> tuple[DataFrame, DataFrame]:
     """(one row for each aligned pair, counters).
 
@@ -104,7 +136,7 @@ def pair(pairs: DataFrame, granularity: str = "statement", strategy: str = "alig
     known = pairs.withColumn("_language", T.resolve_language(F.col("language")))
     rows = known.where("_language is not null")
     rows = rows.withColumns({f"_{side}": split_code(F.col(f"{side}_code"), F.col("_language"), granularity) for side in ("vulnerable", "fixed")})
-    status, made = (T.pair_strict if strategy == "strict" else pair_aligned)(F.col("_vulnerable"), F.col("_fixed"))
+    status, made = pair_by(F.col("_vulnerable"), F.col("_fixed"), strategy)
     paired = rows.withColumns({"status": status, "_pairs": made})
     counted = stats(paired.select("status", F.size("_pairs").cast("long").alias("n_pairs")))
     counted = counted.crossJoin(known.agg(F.count_if(F.col("_language").isNull()).alias("skipped_unsupported")))  # one row each

@@ -176,7 +176,8 @@ _TABLE_ROWS = " UNION ALL ".join(
   children > 0 OR kind IN ('if', 'for', 'switch', 'try_catch', 'with') AS is_compound, CAST(children AS INTEGER) AS num_direct_children, CAST(CASE WHEN kind IN ('if', 'for', 'try_catch') THEN 1 ELSE 0 END AS INTEGER) AS cyclomatic_contribution, CAST(label AS INTEGER) AS label FROM x""")
 def features_end_to_end(spark, sf_dir):
     """All columns of the statement table over templates of each language."""
-    read(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    # keys and dates, dealt out before code is made of them: parsing wants all cores, however few parts the file has
+    read(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism).createOrReplaceTempView("orders")
     return X.features(spark.sql(TABLE_CODE.replace("chr(", "char(")))
 
 
