@@ -103,3 +103,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         seen = now
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select(F.col("b"), F.col("b")).distinct())
+
+
+#: A common table of DuckDB SQL with the 256 remainders that crc32_sql() needs, in a list named crcs.
+CRC_TABLE = "crc_table AS (SELECT list(t ORDER BY n) AS crcs FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t FROM range(256) r(n)))"
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text as DuckDB SQL over crc_table."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"

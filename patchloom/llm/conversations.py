@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import CRC_TABLE, crc32_sql, table
 
 #: ASCII white space, as trim() takes it.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -437,3 +437,40 @@ def report(conversations: DataFrame, ids: DataFrame) -> DataFrame:
     every = ids.select("conv_id").distinct().join(counts, F.col("conv_id").eqNullSafe(F.col("_counted")), "left").join(told, F.col("conv_id").eqNullSafe(F.col("_told")), "left")
     nothing: Column = F.sha2(F.lit("").cast("binary"), 256)
     return every.select("conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in FAULTS], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+def oracle_sql() -> str:
+    """report() of damaged conversations as DuckDB SQL: row by row, the least (cost, letters) of each state, by recursion."""
+    inserts = []
+    for q in range(4):
+        at, said = q, "''"
+        for j in range(4):
+            inserts.append(f"({q}, {j}, {at}, '{'I' * j}', {said})")
+            at = NEXT[at]
+            said += f" || chr(10) || '{ROLES[at]}:'"
+    hashed = crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")
+    stays, space = "coalesce(e.fault, '') IN ('blank', 'duplicate')", r"[\x20\x09-\x0D]"
+    return f"""WITH RECURSIVE {CRC_TABLE},
+    c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {hashed} % 20 AS h FROM conversations, crc_table),
+    d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS again FROM c WHERE h <> 0),
+    n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), again) AS i FROM d),
+    e AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^{space[1:]}') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?]{space}*$') THEN 'truncated' END AS fault,
+      left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM n),
+    k AS (SELECT conv_id, CASE WHEN count(turn) > 0 THEN max(turn) - min(turn) + 1 - count(DISTINCT turn) ELSE 0 END AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+      count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM e GROUP BY conv_id),
+    ins(q, j, q2, letters, said) AS (VALUES {", ".join(inserts)}),
+    f AS (SELECT conv_id, 0 AS i, q2 AS q, lpad(CAST({INSERT} * j AS VARCHAR), 9, '0') || letters AS key, said FROM k, ins WHERE q = 0
+      UNION ALL SELECT conv_id, i, q2, min(key), arg_min(said, key) FROM (
+        SELECT o.conv_id, o.i, ins.q2, lpad(CAST(o.cost + {INSERT} * j AS VARCHAR), 9, '0') || o.audit || o.letter || ins.letters AS key, o.said || ins.said AS said FROM (
+          SELECT f.conv_id, e.i, x.q2, x.letter, CAST(left(f.key, 9) AS INT) + x.cost AS cost, substr(f.key, 10) AS audit,
+            f.said || CASE x.letter WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || e.role || ':' || e.text ELSE chr(10) || CASE x.q2 WHEN 2 THEN 'user:' ELSE 'assistant:' END || e.text END AS said
+          FROM f JOIN e ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND e.i = f.i + 1 CROSS JOIN LATERAL (SELECT unnest([
+            {{'letter': 'D', 'cost': {DELETE}, 'q2': f.q}},
+            {{'letter': 'R', 'cost': {REROLE} + CASE WHEN e.fault = 'truncated' THEN {TRUNCATED} ELSE 0 END, 'q2': CASE WHEN {stays} THEN NULL WHEN f.q = 2 THEN 3 ELSE 2 END}},
+            {{'letter': 'K', 'cost': CASE WHEN e.fault = 'truncated' THEN {TRUNCATED} ELSE 0 END,
+              'q2': CASE WHEN {stays} THEN NULL WHEN e.initial = 's' AND f.q = 0 THEN 1 WHEN e.initial = 'u' AND f.q <> 2 THEN 2 WHEN e.initial = 'a' AND f.q = 2 THEN 3 END}}], recursive := true)) x
+          WHERE x.q2 IS NOT NULL) o JOIN ins ON o.q2 = ins.q) GROUP BY conv_id, i, q2),
+    z AS (SELECT f.conv_id, min(f.key) AS key, arg_min(f.said, f.key) AS said FROM f JOIN k ON f.conv_id IS NOT DISTINCT FROM k.conv_id AND f.i = k.rows WHERE q IN (0, 3) GROUP BY f.conv_id)
+    SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(left(key, 9), '0') AS BIGINT) AS cost,
+      coalesce(substr(key, 10), '') AS audit, sha256(coalesce(substr(said, 2), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN k ON a.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN z ON a.conv_id IS NOT DISTINCT FROM z.conv_id"""

@@ -19,7 +19,7 @@ from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import CRC_TABLE, crc32_sql, shared_dir, table
 
 #: Children of a node.
 FAN = 3
@@ -246,3 +246,34 @@ def without_newlines(docs: DataFrame) -> Column:
     even = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
     text = F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))
     return leaf_digest([text if c == "text" else F.col(c) for c in FIELDS])
+
+
+def _leaf_sql(text: str) -> str:
+    """leaf_digest() as DuckDB SQL."""
+    cast = [f"CAST({text if c == 'text' else c} AS VARCHAR)" for c in FIELDS]
+    return "sha256(" + " || ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE CAST(strlen({v}) AS VARCHAR) || ':' || {v} END" for v in cast) + ")"
+
+
+def oracle_sql() -> str:
+    """The manifest and its check as DuckDB SQL: trees and ways up them by recursion."""
+
+    def folded(of: str) -> str:
+        left, right = f"array_to_string(ds[1:{of}.i % 3], '')", f"array_to_string(ds[{of}.i % 3 + 2:], '')"
+        return f"sha256({left} || {of}.d || {right}), {of}.proof || {left} || {right}, ({of}.w + 2) // 3"
+
+    return f"""WITH RECURSIVE {CRC_TABLE},
+    t AS (SELECT *, CASE WHEN {crc32_sql('CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM documents, crc_table),
+    h AS (SELECT row_number() OVER () AS rid, doc_id, source, {_leaf_sql('text')} AS leaf, {_leaf_sql('other')} AS tampered FROM t),
+    s AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS w FROM h),
+    up AS (SELECT source, 0 AS l, i, leaf AS d, w FROM s
+      UNION ALL SELECT source, l + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (w + 2) // 3 FROM up WHERE w > 1 GROUP BY source, l, i // 3, w),
+    r AS (SELECT source, d AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS w FROM up WHERE w = 1),
+    top AS (SELECT 0 AS l, i, subroot AS d, w FROM r
+      UNION ALL SELECT l + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (w + 2) // 3 FROM top WHERE w > 1 GROUP BY l, i // 3, w),
+    runs AS (SELECT source, FALSE AS above, l, i // 3 AS p, list(d ORDER BY i) AS ds FROM up WHERE w > 1 GROUP BY ALL UNION ALL SELECT NULL, TRUE, l, i // 3, list(d ORDER BY i) FROM top WHERE w > 1 GROUP BY ALL),
+    f AS (SELECT rid, source, 0 AS l, i, tampered AS d, '' AS proof, w FROM s
+      UNION ALL SELECT f.rid, f.source, f.l + 1, f.i // 3, {folded('f')} FROM f JOIN runs ON NOT runs.above AND f.source IS NOT DISTINCT FROM runs.source AND f.l = runs.l AND f.i // 3 = runs.p),
+    g AS (SELECT f.rid, 0 AS l, r.i, f.d, f.proof, r.w FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source WHERE f.w = 1
+      UNION ALL SELECT g.rid, g.l + 1, g.i // 3, {folded('g')} FROM g JOIN runs ON runs.above AND g.l = runs.l AND g.i // 3 = runs.p)
+    SELECT s.doc_id, s.leaf, r.subroot, top.d AS root, sha256(g.proof) AS proof_sha256, g.d AS folded_root, g.d = top.d AS verified
+    FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source JOIN g ON s.rid = g.rid AND g.w = 1 JOIN top ON top.w = 1"""

@@ -128,4 +128,6 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filters": OP2_SQL,
     "op4_license_scans": licenses.oracle_sql(),
+    "op11_conversation_repair": conversations.oracle_sql(),
+    "op12_merkle_manifest": merkle.oracle_sql(),
 }

@@ -177,6 +177,30 @@ def test_repair_of_nothing_and_edits_of_messages(spark):
     assert faults.first().asDict() == {"conv_id": 1, "gaps": 0, "blank": 0, "duplicate": 1, "truncated": 1, "illegal": 1, "cost": 10}
 
 
+def test_repair_sql_against_trying_every_way():
+    import duckdb
+    import pandas as pd
+
+    r = random.Random(21)
+    rows = [row for conv in range(150) for row in talk(r, conv, r.randint(1, 8))] + [(None, t, role, text) for _, t, role, text in talk(r, 0, 5)]
+    con = duckdb.connect()
+    con.register("frame", pd.DataFrame({"conv_id": pd.array([x[0] for x in rows], "Int64"), "turn": pd.array([x[1] for x in rows], "Int64"), "role": [x[2] for x in rows], "text": [x[3] for x in rows]}))
+    con.sql("CREATE VIEW conversations AS SELECT * FROM frame")
+    assert {row[0]: tuple(row[1:]) for row in con.sql(conversations.oracle_sql()).fetchall()} == expected(rows)
+
+
+def test_manifest_sql_against_plain_trees():
+    import duckdb
+    import pandas as pd
+
+    r = random.Random(23)
+    rows = [(None if i == 9 else i, r.choice([None, "", "a\nb", f"text {i}\n", "ü…漢"]), r.choice(["en", None]), r.choice(["a", "b", None, "ü", ""]) if i % 3 else "hot", i) for i in range(300)]
+    con = duckdb.connect()
+    con.register("frame", pd.DataFrame({"doc_id": pd.array([x[0] for x in rows], "Int64"), "text": [x[1] for x in rows], "lang": [x[2] for x in rows], "source": [x[3] for x in rows], "n_chars": [x[4] for x in rows]}))
+    con.sql("CREATE VIEW documents AS SELECT * FROM frame")
+    assert sorted(con.sql(merkle.oracle_sql()).fetchall(), key=repr) == manifested(rows)
+
+
 # Merkle trees
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, leaf string, root string, path string, _key long, tampered int"
