@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import zlib
 
@@ -737,3 +738,57 @@ def test_passages_whose_windows_occurred_elsewhere_first(spark, planted):
     got = substrings.passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
     found = {x["doc_id"] for x in got if x["start"] < 30 + want.get(x["doc_id"], 0) - 10 and x["end"] > 40}
     assert {x["doc_id"] for x in got} <= set(want) and len(found) >= 0.9 * len(want)
+
+
+# the quality classifier by brute force
+
+
+def plain_grades(z, thresholds):
+    """(expected grade, tail) of a score."""
+    above = [1 / (1 + math.exp(-(z - t))) for t in thresholds]
+    return sum(above), above[-1]
+
+
+def test_ratings_against_the_formula(spark, odd):
+    buckets = sorted({classifier.bucket(n) for n in ("one", "two", "^ünïcö", *(classifier.shape_name("short", i) for i in range(11)))})
+    model = classifier.Model(np.array(buckets), np.linspace(-1.5, 2, len(buckets)), np.array([-0.3, 0.9]))
+    weights = dict(zip(buckets, model.weights))
+    repeated = odd.union(odd.where("doc_id = 4"))
+    for r in classifier.rate(repeated, model).join(repeated.select("doc_id", "text").distinct(), "doc_id").collect():
+        found = classifier.features(r["text"])
+        z = sum(weights.get(classifier.bucket(n), 0.0) * v for n, v in found.items())
+        grade, tail = plain_grades(z, model.thresholds) if found else (0.0, 0.0)
+        assert r["expected_grade"] == pytest.approx(grade) and r["tail"] == pytest.approx(tail) and r["kept"] == (tail >= classifier.KEEP)
+
+
+def test_descent_reaches_the_greatest_likelihood():
+    """Against plain ascent by differences of the penalised likelihood of cumulative links."""
+    r = np.random.default_rng(6)
+    x = (r.random((60, 3)) < 0.5).astype(float)
+    grades = np.clip(np.digitize(x @ [2.0, -1.0, 0.3] + r.logistic(0, 1, 60), [-0.5, 1.0]), 0, 2)
+
+    def likelihood(p):
+        w, theta = p[:3], p[3:]
+        above = np.concatenate([np.ones((60, 1)), 1 / (1 + np.exp(-((x @ w)[:, None] - theta))), np.zeros((60, 1))], 1)
+        i = np.arange(60)
+        return np.log(np.maximum(above[i, grades] - above[i, grades + 1], 1e-12)).mean() - classifier.RIDGE / 2 * (w @ w)
+
+    p, step = np.array([0, 0, 0, -0.5, 0.5]), 1e-5
+    for _ in range(3000):
+        p = p + 1.0 * np.array([(likelihood(p + step * e) - likelihood(p - step * e)) / (2 * step) for e in np.eye(5)])
+    rows_ = [{7 + j: v for j, v in enumerate(row) if v} for row in x]
+    start = classifier.Model(np.zeros(0, np.int64), np.zeros(0), np.array([-0.5, 0.5]))
+    got = classifier.descend(rows_, grades, start, 4000)
+    mine = np.concatenate([got.weights, got.thresholds])
+    assert likelihood(mine) == pytest.approx(likelihood(p), abs=1e-5) and np.allclose(mine, p, atol=0.05)
+    assert (np.diff(got.thresholds) > 0).all()
+
+
+def test_repeated_rated_rows_fit_as_before(spark):
+    r = random.Random(15)
+    texts = [(i, f"{'good' if i % 3 == 2 else 'bad'} {prose(30, 900 + i)}" if r.random() < 0.95 else prose(30, 900 + i)) for i in range(120)]
+    rated = spark.createDataFrame([(i, i % 3) for i in range(120)], "doc_id long, grade int")
+    model = classifier.fit(spark.createDataFrame(texts + texts[:40] + [(5, "another text of one id")], "doc_id long, text string"), rated)
+    got = {x["doc_id"]: x["expected_grade"] for x in classifier.rate(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    best, rest = [got[i] for i in range(120) if i % 3 == 2], [got[i] for i in range(120) if i % 3 < 2]
+    assert sum(best) / len(best) > sum(rest) / len(rest) + 0.3
