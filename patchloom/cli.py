@@ -47,13 +47,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         if path and not tables.exists(spark, path):
             features_to(source, path).show(truncate=False)
         table = tables.read_csv(spark, path) if path else features.features(source)
-        set_here = {"models": args.models.split(",") if args.models else None, "test_size": datasets.parse_test_size(args.test_size) if args.test_size else None, "cv_folds": args.cv_folds, "importance": False if args.no_xai else None}
+        set_here = {"models": named(args.models.split(","), found["classification"]["models"]) if args.models else None, "test_size": datasets.parse_test_size(args.test_size) if args.test_size else None, "cv_folds": args.cv_folds, "importance": False if args.no_xai else None}
         report = classify.compare(source, table, classify.Config.of(found, **set_here))
         report |= {"README": spark.createDataFrame(classify.README, "item string, text string"), "config": config.table(spark, found)}
         formats = args.formats.split(",") if args.formats else found["classification"]["output_formats"]
         for path in tables.write_report(report, tables.run_folder(args.output), tuple(formats)):
             print(path)
         report["summary"].show(truncate=False)
+        tables.discard(spark)
+
+
+def named(names: list[str], known: list) -> list:
+    """Models by name: where the settings file has one of this label or name, whatever the case, with its parameters."""
+
+    def called(model: str | dict) -> set[str]:
+        return {str(x).lower() for x in ((model.get("label"), model.get("name")) if isinstance(model, dict) else (model,)) if x}
+
+    return [next((m for m in known if name.lower() in called(m)), name) for name in (n.strip() for n in names) if name]
 
 
 def features_to(source: DataFrame, path: str) -> DataFrame:

@@ -271,7 +271,7 @@ class Skeleton:
                 inits.append((start, self.at))
                 start = self.at + 1
             self.past()
-            if self.text() == "{" and self.at > first and self.tokens[self.at - 1].text in ("=", ":=", "range", "[", "]", "struct", "interface") and self.language == "go":
+            while self.language == "go" and self.text() == "{" and self.at > first and self.literal(first):
                 self.past()
         if node.kind in ("if", "switch") and inits and inits[0][0] < inits[0][1]:
             own = self.tokens[inits[0][0] : inits[0][1]]
@@ -311,6 +311,23 @@ class Skeleton:
             self.at += 1
             self.at += self.text() == ";"
 
+    def literal(self, first: int) -> bool:
+        """Whether the brace ahead, in a header of Go that begins at `first`, belongs to a type or to a literal of a slice, array or map."""
+        i = self.at - 1
+        if self.tokens[i].text in ("=", ":=", "range", "struct", "interface"):
+            return True
+        if self.tokens[i].text == "}":  # of a struct's type
+            depth = 0
+            while i > first:
+                depth += (self.tokens[i].text == "}") - (self.tokens[i].text == "{")
+                if depth == 0:
+                    return self.tokens[i - 1].text in ("struct", "interface")
+                i -= 1
+            return False
+        while i - 2 > first and self.tokens[i].kind == "name" and self.tokens[i - 1].text == ".":
+            i -= 2
+        return self.tokens[i].kind == "name" and i > first and self.tokens[i - 1].text == "]"
+
     def body(self, block: str) -> list[Node]:
         """The statements of a braced body, or the one statement that stands for it."""
         self.skip("\n")

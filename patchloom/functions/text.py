@@ -41,6 +41,21 @@ def or_empty(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit(""))
 
 
+def line_span(first: Column, last: Column) -> Column:
+    """Lines of a statement."""
+    return last - first + 1
+
+
+def statement_id(prefix: Column, first: Column, last: Column, seq: Column) -> Column:
+    """prefix:first-last#seq, the lines and the number of a statement after what its pair and side are called."""
+    return F.concat(prefix, F.lit(":"), first, F.lit("-"), last, F.lit("#"), seq)
+
+
+def has_php_tag(x: Column) -> Column:
+    """Whether code has text around it, as a template's has."""
+    return F.contains(or_empty(x), F.lit("<?php"))
+
+
 def preview(x: Column, n: int = 300) -> Column:
     return F.substring(F.coalesce(x, F.lit("")), 1, n)
 

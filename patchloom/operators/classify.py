@@ -17,7 +17,7 @@ from patchloom import config as settings
 from patchloom.functions import text as T
 from patchloom.operators import datasets as D
 from patchloom.operators import metrics as M
-from patchloom.operators import forests, models, textfeat
+from patchloom.operators import forests, kernel, models, textfeat
 from patchloom.sources.tables import stored
 
 # Titles of the comparison's columns by approach and evaluation level, and of the difference of the first two.
@@ -44,6 +44,8 @@ class Config:
     shap: bool = True
     explained: int = 300
     local: int = 10
+    align: bool = True
+    kernel: bool = False
     top_k: int = 20
     permutation: bool = True
     repeats: int = 5
@@ -59,7 +61,7 @@ class Config:
             "models": list(c["models"]), "group_by": split["group_by"], "test_size": D.parse_test_size(split["test_size"]), "cv_folds": int(split["cv_folds"] or 0), "seed": int(split["random_state"]),
             "threshold": float(c["threshold"]), "rollup": c["method_aggregation"], "max_terms": int(raw["max_features"]), "min_df": int(raw["min_df"]), "numeric": tuple(rows["numeric"]), "categorical": tuple(rows["categorical"]),
             "statement_terms": int(rows["tfidf_max_features"]) if rows["raw_text_tfidf"] else 0, "importance": bool(xai["enabled"]), "shap": bool(xai["shap"]), "explained": int(xai["shap_max_samples"]),
-            "local": int(xai["local_explanations"]), "top_k": int(xai["top_k"]), "permutation": bool(xai["permutation"]), "repeats": int(xai["permutation_repeats"]), "scoring": xai["permutation_scoring"], "permuted": int(xai["permutation_max_features"]),
+            "local": int(xai["local_explanations"]), "top_k": int(xai["top_k"]), "permutation": bool(xai["permutation"]), "repeats": int(xai["permutation_repeats"]), "scoring": xai["permutation_scoring"], "permuted": int(xai["permutation_max_features"]), "align": bool(c.get("align_samples", True)), "kernel": bool(xai.get("shap_kernel_fallback", False)),
         }
         return cls(**(given | {k: v for k, v in over.items() if v is not None}))
 
@@ -103,15 +105,18 @@ def statement_vectors(rows: DataFrame, config: Config) -> tuple[DataFrame, list[
     """rows with features and their names: numbers, a column for each category seen in training, and, if asked for, terms of the text."""
     numeric, categorical = D.feature_columns(list(config.numeric)), D.feature_columns(list(config.categorical))
     D.check_columns(rows, numeric + categorical)
-    seen = D.one_hot(rows.where("not is_test"), "statement_id", categorical).select("feature").distinct() if categorical else None
-    found = sorted(r["feature"] for r in seen.collect()) if categorical else []  # categories of code, not of data
     made: dict[str, Column] = {f"_f{i}": T.to_number(F.col(c)) for i, c in enumerate(numeric)}
-    for one in found:
-        column, _, value = one.partition("=")
-        made[f"_f{len(made)}"] = (F.coalesce(F.col(column).cast("string"), F.lit("none")) == value).cast("double")
-    names = numeric + found
-    rows = rows.withColumns(made)
-    inputs = list(made)
+    rows, inputs, names = rows.withColumns(made), list(made), list(numeric)
+    if categorical:
+        # one sparse column, however many categories there are; the report names each
+        cells = D.one_hot(rows, "statement_id", categorical, rows.where("not is_test"))
+        places = stored(D.numbered(D.one_hot(rows.where("not is_test"), "statement_id", categorical).select("feature").distinct(), "feature"))
+        found = [r["feature"] for r in places.orderBy("i").collect()]
+        size = max(1, len(found))
+        sparse = F.udf(lambda at: Vectors.sparse(size, [(i, 1.0) for i in sorted(at or [])]), VectorUDT())
+        per = cells.join(places, "feature").groupBy(F.col("statement_id").alias("_of")).agg(F.collect_list("i").alias("_at"))
+        rows = rows.join(per, F.col("statement_id") == F.col("_of"), "left").withColumn("_categories", sparse("_at")).drop("_of", "_at")
+        inputs, names = [*inputs, "_categories"], names + (found or ["none"])
     if config.statement_terms:
         rows, terms = term_vectors(rows, "statement_id", "raw_text", config.statement_terms)
         rows, inputs, names = rows.withColumnRenamed("features", "_terms"), [*inputs, "_terms"], [*names, *[f"term={t}" for t in terms]]
@@ -123,7 +128,7 @@ def explain(fitted: models.Fitted, train: DataFrame, scored: DataFrame, names: l
 
     scored are the test rows with sample_id, y_true, y_score and features. Models of trees have exact
     Shapley values by the shares of training rows along their ways, linear ones those of independent
-    features; for others there are none, which a note says.
+    features; others have values by coalitions, if the settings ask for them, or a note that there are none.
     """
     spark, notes = train.sparkSession, []
     table = spark.createDataFrame([(n,) for n in names], "feature string")
@@ -132,12 +137,16 @@ def explain(fitted: models.Fitted, train: DataFrame, scored: DataFrame, names: l
     forest = forests.of_model(spark, fitted.model) if config.shap else None
     linear = models.linear_parts(fitted, train) if config.shap and forest is None else None
     local = None
-    if forest or linear:
+    other = config.shap and config.kernel and not forest and not linear
+    if forest or linear or other:
         sample = M.explain_sample(scored.select("sample_id", "y_true", "y_score", "features"), config.local, config.explained, config.seed)
         sample = stored(sample)
         if forest:
             base, parts = forests.base_value(forest), stored(forests.shapley(fitted.scaled(sample), forest, names))
             notes.append("Shapley values of trees by the shares of training rows along their ways, in units of " + ("probability" if forest.link is None else "log odds"))
+        elif other:
+            parts, base = kernel.shapley(lambda rows: models.score(fitted, rows), sample, train, names, seed=config.seed)
+            notes.append(f"Shapley values by coalitions of features against {kernel.BACKGROUND} training rows, in units of the score")
         else:
             weights, means, base = linear
             parts = models.contributions(sample, weights, means, names)
@@ -147,7 +156,7 @@ def explain(fitted: models.Fitted, train: DataFrame, scored: DataFrame, names: l
         best = M.top_contributions(parts.join(F.broadcast(sample.where("sample_rank is not null").select("sample_id")), "sample_id"), config.top_k)
         local = best.join(sample.drop("features"), "sample_id").select(
             "sample_rank", "sample_id", "y_true", "y_score", (F.col("y_score") >= config.threshold).cast("int").alias("y_pred"), F.lit(base).alias("base_value"), "contribution_rank", "feature",
-            F.col("x").alias("feature_value"), F.col("value").alias("shap_value"), F.when(F.col("value") > 0, "-> vulnerable").otherwise("-> aman").alias("direction"),
+            F.col("x").alias("feature_value"), F.col("value").alias("shap_value"), "direction",
         )
     else:
         table = table.withColumns({c: F.lit(None).cast("double") for c in ("shap_mean_abs", "shap_mean", "shap_value_corr")})
@@ -159,7 +168,7 @@ def explain(fitted: models.Fitted, train: DataFrame, scored: DataFrame, names: l
     elif config.permutation:
         candidates = names
         if len(names) > config.permuted:
-            by = "shap_mean_abs" if forest or linear else "native_importance" if native else None
+            by = "shap_mean_abs" if forest or linear or other else "native_importance" if native else None
             order = table if by else variances(scored, names)
             candidates = [r["feature"] for r in order.orderBy(F.desc_nulls_last(by or "variance"), "feature").limit(config.permuted).collect()]  # a setting bounds them
             notes.append(f"permutation importance of the {config.permuted} first of {len(names)} features alone")
@@ -181,8 +190,12 @@ def compare(pairs: DataFrame, table: DataFrame, config: Config = Config()) -> di
     spark = pairs.sparkSession
     # what is read again is stored, so that plans stay short however many folds and models there are
     statements = stored(statements_of(pairs, table, config.group_by))
-    methods = stored(D.align(D.raw_methods(pairs, config.group_by), statements))
+    methods = D.raw_methods(pairs, config.group_by)
+    methods = stored(D.align(methods, statements) if config.align else methods)
     groups = D.strata(statements)
+    if not config.align:  # groups of methods without statements have no positive one
+        others = methods.select("group_id").distinct().join(groups, "group_id", "left_anti")
+        groups = stored(groups.unionByName(others.withColumn("stratum", F.lit(0).cast(groups.schema["stratum"].dataType))))
     folds = D.kfold(groups, config.cv_folds, config.seed) if config.cv_folds else D.holdout(groups, config.test_size, config.seed).select("group_id", F.when(F.col("is_test"), 0).otherwise(1).alias("fold"))
     folds = stored(folds)
     for c in ("cve_id", "vulnerability_type", "language", "method"):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions import text as T
+from patchloom.sources.tables import stored
 
 SIDE_LABEL = {"vulnerable": 1, "fixed": 0, "unchanged": 0}
 # Columns that tell where a statement comes from or restate its label.
@@ -129,6 +130,16 @@ def one_hot(df: DataFrame, id_column: str, columns: list[str], train: DataFrame
     return rows.select(id_column, "feature", F.lit(1.0).alias("value"))
 
 
+def numbered(terms: DataFrame, column: str) -> DataFrame:
+    """(column, i) of distinct terms, i from 0 in their order. Terms are sorted by ranges and counted by range, so no task gets all."""
+    ranged = stored(terms.select(column).repartitionByRange(column).sortWithinPartitions(column).withColumn("_at", F.monotonically_increasing_id()))
+    per = ranged.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row a range
+    joined = ranged.join(F.broadcast(starts), F.shiftright("_at", 33) == F.col("_part"))
+    return joined.select(column, (F.col("_before") + F.col("_at") - F.col("_first")).cast("int").alias("i"))
+
+
 def standard_scale(df: DataFrame, columns: list[str], train: DataFrame | None = None) -> DataFrame:
     """df with columns less their mean in train, over their population deviation; constant columns become 0."""
     fitted = (df if train is None else train).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])

@@ -222,19 +222,16 @@ def table_of(parsed_pairs: DataFrame) -> DataFrame:
     rows = rows.select("_language", "_row", *[m for m in ("cve_id", "vulnerability_type", "commit_hash", "repo", "file", "method")], F.inline(_placed(F.col("_s"))))
     prefix = F.concat_ws(":", "repo", "file", "method", "_row", "origin")
 
-    def identity(first: Column, last: Column, seq: Column) -> Column:
-        return F.concat(prefix, F.lit(":"), first, F.lit("-"), last, F.lit("#"), seq)
-
     flags = {flag: _by_language(language, lambda name, flag=flag: T.sink_flags(F.col("calls"), name)[flag]) for flag in FLAGS}
     flags["is_output_render"] = flags["is_output_render"] | T.output_text(F.col("raw"), F.col("kind"), language)
     formats = _by_language(language, lambda name: F.exists("calls", lambda n: T.matches(n, *FORMATS[name], ())))
     made = {
         "vulnerability_type": F.when(F.col("origin") == "vulnerable", F.col("vulnerability_type")).otherwise("none"),
-        "statement_id": identity(F.col("first"), F.col("last"), F.col("seq")),
-        "parent_statement_id": F.when(F.col("above").isNotNull(), identity(F.col("above.first"), F.col("above.last"), F.col("above.seq"))),
+        "statement_id": T.statement_id(prefix, F.col("first"), F.col("last"), F.col("seq")),
+        "parent_statement_id": F.when(F.col("above").isNotNull(), T.statement_id(prefix, F.col("above.first"), F.col("above.last"), F.col("above.seq"))),
         "nesting_depth": F.col("depth"), "statement_type": F.col("kind"), "parent_block_type": F.col("block"),
         "repo_name": F.col("repo"), "file_path": F.col("file"), "function_name": F.col("method"), "language": language,
-        "line_start": F.col("first"), "line_end": F.col("last"), "num_source_lines": F.col("last") - F.col("first") + 1,
+        "line_start": F.col("first"), "line_end": F.col("last"), "num_source_lines": T.line_span(F.col("first"), F.col("last")),
         "raw_text": F.col("raw"), "token_count": F.col("tokens"), "char_length": F.char_length("raw"), "num_calls": F.col("n_calls"),
         "top_level_call_name": F.col("top"), "call_target_kind": _by_language(language, lambda name: T.call_target_kind(F.col("top"), name)),
         **flags, "uses_string_concat_or_format": F.col("joins") | formats, "num_variables_defined": F.col("defined"), "num_variables_used": F.col("used"),

@@ -156,11 +156,15 @@ def top_samples(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(F.desc("y_score"), "sample_id").limit(n)
 
 
+# Where a contribution moves a score, up and down.
+DIRECTIONS = ("-> vulnerable", "-> aman")
+
+
 def top_contributions(contributions: DataFrame, k: int) -> DataFrame:
     """Each sample's k greatest contributions by size, zeros left out, with their direction."""
     order = Window.partitionBy("sample_id").orderBy(F.desc(F.abs("value")), "feature")
     out = contributions.where("value <> 0").withColumn("contribution_rank", F.row_number().over(order)).where(F.col("contribution_rank") <= k)
-    return out.withColumn("direction", F.when(F.col("value") > 0, "raises").otherwise("lowers"))
+    return out.withColumn("direction", F.when(F.col("value") > 0, DIRECTIONS[0]).otherwise(DIRECTIONS[1]))
 
 
 def explain_sample(df: DataFrame, n_top: int, most: int, seed: int = 42) -> DataFrame:

@@ -13,13 +13,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator
 from pyspark.ml import classification as ml
-from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.operators import metrics as M
 from patchloom.operators.forests import ExtraTrees, HistBoosting
+from patchloom.sources.tables import stored
 
 
 class AdaBoost:
@@ -121,40 +122,93 @@ class Kernel:
 
 
 class Nearest:
-    """The mean label of the k nearest rows, exact: blocks of scored rows meet blocks of training rows, each pair of blocks in a task of its own."""
+    """The mean label of the k nearest rows, exact, without all pairs: training rows stand around pivots, and a scored row meets the rows of its nearest pivot first.
 
-    #: Rows of a block of scored and of training rows.
-    ASKED, KNOWN = 1024, 8192
+    The distance of the k-th of these tells, by the triangle inequality, around which further pivots
+    there may be nearer ones. Rows around a pivot, and those that ask for them, are dealt out in blocks.
+    """
+
+    #: Rows of a block of scored and of training rows; pivots at most.
+    ASKED, KNOWN, PIVOTS = 8192, 8192, 256
+    #: What rounding may add to a distance.
+    EPS = 1e-6
 
     def __init__(self, k: int = 5):
         self.k = k
 
     def fit(self, train: DataFrame) -> Nearest:
-        self.train, self.n = train.select("label", vector_to_array("features").alias("x")), train.count()
+        rows = train.select("label", vector_to_array("features").alias("x"))
+        n = rows.count()
+        picked = rows.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(max(1, min(self.PIVOTS, round(math.sqrt(n))))).collect()
+        self.pivots = np.array([r["x"] for r in picked], float)
+        at = F.col("_near")
+        self.train = stored(rows.withColumn("_near", self._near(F.col("x"))).select("label", "x", at["p"].alias("p"), at["d"].alias("d")))
+        self.around = {r["p"]: (r["n"], r["far"]) for r in self.train.groupBy("p").agg(F.count("*").alias("n"), F.max("d").alias("far")).collect()}  # a row a pivot
         return self
 
-    def scored(self, df: DataFrame) -> DataFrame:
-        """df with y_score; of rows at equal distance those of smaller label and digest come first."""
-        k, known_blocks = self.k, max(1, -(-self.n // self.KNOWN))
-        asked_blocks = max(1, -(-df.count() // self.ASKED))
+    def _near(self, x: Column) -> Column:
+        """The nearest pivot and how far it is."""
+        pivots = self.pivots
+
+        @F.pandas_udf("p int, d double")
+        def of(x: pd.Series) -> pd.DataFrame:
+            d = _apart(np.stack(x.to_numpy()), pivots) if len(x) else np.zeros((0, len(pivots)))
+            return pd.DataFrame({"p": d.argmin(1).astype(np.int32) if len(x) else [], "d": np.sqrt(d.min(1)) if len(x) else []})
+
+        return of(x)
+
+    def _meet(self, asked: DataFrame) -> DataFrame:
+        """(_id, d, label, n) of the k nearest of each block of training rows around p, for asked (_id, x, p)."""
+        k = self.k
+        blocks = F.create_map(*[F.lit(v) for p, (n, _) in sorted(self.around.items()) for v in (p, -(-n // self.KNOWN))])
+        counts = {r["p"]: r["n"] for r in asked.groupBy("p").agg(F.count("*").alias("n")).collect()}  # a row a pivot
+        if not counts:
+            return asked.select("_id", F.lit(0.0).alias("d"), F.lit(0.0).alias("label"), F.lit(0).cast("long").alias("n"))
+        groups = F.create_map(*[F.lit(v) for p, n in sorted(counts.items()) for v in (p, -(-n // self.ASKED))])
         digest = F.xxhash64("x")
-        known = self.train.withColumns({"_id": digest, "_k": F.pmod(F.xxhash64(digest, "label", F.lit(7)), F.lit(known_blocks)), "_a": F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1)))})
-        # the same features are asked for once
-        asked = df.select(vector_to_array("features").alias("x")).withColumn("_id", digest).dropDuplicates(["_id"])
-        asked = asked.withColumns({"_a": F.pmod("_id", F.lit(asked_blocks)), "_k": F.explode(F.sequence(F.lit(0), F.lit(known_blocks - 1)))})
+        mine = asked.withColumns({"_a": F.pmod("_id", groups[F.col("p")]), "_k": F.explode(F.sequence(F.lit(0), blocks[F.col("p")] - 1))})
+        theirs = self.train.where(F.col("p").isin(*counts)).withColumns({"_n": digest, "_k": F.pmod(F.xxhash64(digest, "label", F.lit(7)), blocks[F.col("p")]), "_a": F.explode(F.sequence(F.lit(0), groups[F.col("p")] - 1))})
 
         def near(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
             if not len(mine) or not len(theirs):
                 return pd.DataFrame({"_id": [], "d": [], "label": [], "n": []})
-            theirs = theirs.sort_values(["label", "_id"])
-            a, b = np.stack(mine["x"].to_numpy()), np.stack(theirs["x"].to_numpy())
-            apart = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0).round(9)
-            first = np.argsort(apart, axis=1, kind="stable")[:, :k]
-            own = np.repeat(mine["_id"].to_numpy(), first.shape[1])
-            return pd.DataFrame({"_id": own, "d": np.take_along_axis(apart, first, 1).ravel(), "label": theirs["label"].to_numpy(dtype=float)[first].ravel(), "n": theirs["_id"].to_numpy()[first].ravel()})
-
-        found = asked.groupBy("_a", "_k").cogroup(known.groupBy("_a", "_k")).applyInPandas(near, "_id long, d double, label double, n long")
-        # k rows from each block of training rows
+            theirs = theirs.sort_values(["label", "_n"])
+            b, out = np.stack(theirs["x"].to_numpy()), []
+            for at in range(0, len(mine), 512):
+                part = mine.iloc[at : at + 512]
+                apart = _apart(np.stack(part["x"].to_numpy()), b).round(9)
+                first = np.argsort(apart, axis=1, kind="stable")[:, :k]
+                own = np.repeat(part["_id"].to_numpy(), first.shape[1])
+                out.append(pd.DataFrame({"_id": own, "d": np.take_along_axis(apart, first, 1).ravel(), "label": theirs["label"].to_numpy(dtype=float)[first].ravel(), "n": theirs["_n"].to_numpy()[first].ravel()}))
+            return pd.concat(out)
+
+        keys = ("p", "_k", "_a")
+        return mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInPandas(near, "_id long, d double, label double, n long")
+
+    def scored(self, df: DataFrame) -> DataFrame:
+        """df with y_score; of rows at equal distance those of smaller label and digest come first."""
+        k, eps, pivots, around = self.k, self.EPS, self.pivots, self.around
+        # the same features are asked for once
+        asked = df.select(vector_to_array("features").alias("x")).withColumn("_id", F.xxhash64("x")).dropDuplicates(["_id"])
+        asked = stored(asked.withColumn("p", self._near(F.col("x"))["p"]))
+        first = stored(self._meet(asked))
+        # the k-th distance so far, if there are k
+        within = first.groupBy("_id").agg(F.sort_array(F.collect_list("d")).alias("ds")).select("_id", F.sqrt(F.try_element_at("ds", F.lit(k))).alias("within"))
+
+        @F.pandas_udf("array<int>")
+        def others(x: pd.Series, p: pd.Series, within: pd.Series) -> pd.Series:
+            at = np.array(sorted(around))
+            far = np.array([around[i][1] for i in at])
+            out = []
+            for i in range(0, len(x), 512):
+                d = np.sqrt(_apart(np.stack(x.iloc[i : i + 512].to_numpy()), pivots[at]))
+                bound = within.iloc[i : i + 512].fillna(np.inf).to_numpy()[:, None]
+                ask = (d - far <= bound + eps) & (at != p.iloc[i : i + 512].to_numpy()[:, None])
+                out += [at[row].tolist() for row in ask]
+            return pd.Series(out, dtype=object)
+
+        further = asked.join(within, "_id", "left").select("_id", "x", F.explode(others("x", "p", "within")).alias("p"))
+        found = first.union(self._meet(stored(further)))
         best = F.slice(F.array_sort(F.collect_list(F.struct("d", "label", "n"))), 1, k)
         mean = F.aggregate(best, F.lit(0.0), lambda s, r: s + r["label"]) / F.size(best)
         scores = found.groupBy("_id").agg(mean.alias("y_score"))
@@ -162,6 +216,11 @@ class Nearest:
         return keyed.join(scores, "_id").select(*df.columns, "y_score")
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of two small blocks."""
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
+
+
 # Aliases, the class behind each, its default parameters, whether features are scaled first, whether classes are weighed alike.
 MODELS: dict[str, tuple[str, dict[str, Any], bool, bool]] = {
     "random_forest": ("RandomForestClassifier", {"numTrees": 300, "maxDepth": 30}, False, True),
@@ -231,6 +290,20 @@ def balanced(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn("weight", weight)
 
 
+@dataclass
+class Scaler:
+    """Mean and population deviation of each feature."""
+
+    mean: np.ndarray
+    std: np.ndarray
+
+    @classmethod
+    def of(cls, train: DataFrame) -> Scaler:
+        found = train.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("features")).alias("s")).select("s.mean", "s.variance", "s.count").first()
+        n = found["count"]
+        return cls(found["mean"].toArray(), np.sqrt(found["variance"].toArray() * (n - 1) / max(n, 1)))
+
+
 @dataclass
 class Fitted:
     """A model and the scaling before it; mean and spread of the features, if they were scaled."""
@@ -243,13 +316,15 @@ class Fitted:
         if self.scaler is None:
             return df
         others = [c for c in df.columns if c != "features"]
-        return self.scaler.transform(df).select(*others, F.col("_scaled").alias("features"))
+        mean, spread = (F.array(*[F.lit(float(v)) for v in values]) for values in (self.scaler.mean, self.scaler.std))
+        scaled = F.transform(vector_to_array("features"), lambda v, i: F.when(F.get(spread, i) > 0, (v - F.get(mean, i)) / F.get(spread, i)).otherwise(0.0))
+        return df.select(*others, array_to_vector(scaled).alias("features"))
 
 
 def fit(s: Spec, train: DataFrame, width: int | None = None) -> Fitted:
     """A model of features and label, and weight, if there is one and the model is to weigh classes alike."""
     train = train if s.balance else train.drop("weight")
-    scaler = StandardScaler(inputCol="features", outputCol="_scaled", withMean=True).fit(train) if s.scale else None
+    scaler = Scaler.of(train) if s.scale else None
     out = Fitted(scaler, None, 0.0)
     rows, estimator = out.scaled(train), s.estimator
     if isinstance(estimator, Estimator):
@@ -296,7 +371,7 @@ def linear_parts(fitted: Fitted, train: DataFrame) -> tuple[list[float], list[fl
         return None
     weights, intercept = coefficients.toArray(), float(fitted.model.intercept)
     if fitted.scaler is not None:
-        mean, spread = fitted.scaler.mean.toArray(), fitted.scaler.std.toArray()
+        mean, spread = fitted.scaler.mean, fitted.scaler.std
         return [float(w / s) if s else 0.0 for w, s in zip(weights, spread)], mean.tolist(), intercept
     per = train.select(F.posexplode(vector_to_array("features"))).groupBy("pos").agg(F.avg("col").alias("m")).collect()  # a row a feature
     means = [m for _, m in sorted((r["pos"], r["m"]) for r in per)]

@@ -108,11 +108,11 @@ def comparison_pivot(spark, sf_dir):
     return out.select("model", "metric", *[r6(F.col(f"`{a}`")).alias(b) for a, b in zip([*TITLES, "delta"], ["first", "second", "delta"])])
 
 
-@query(f"WITH {P} SELECT approach, model, fold, round(f1, 6) AS f1 FROM p")
+@query(f"WITH {P} SELECT approach, model, fold, round(f1, 6) AS f1, round(recall, 6) AS recall FROM p")
 def key_metrics_projection(spark, sf_dir):
     shown = per_fold(spark, sf_dir).withColumn("f1 (std)", F.lit(0.0)).withColumn("seconds", F.lit(1.0))
     kept = [c for c in shown.columns if not c.endswith("(std)") and (c in ("approach", "model", "fold") or c in M.KEY_METRICS)]
-    return shown.select(*kept).drop("recall").withColumn("f1", r6(F.col("f1")))
+    return shown.select(*kept).withColumns({c: r6(F.col(c)) for c in kept if c in M.KEY_METRICS})
 
 
 #: Importance of four features by approach and model.
@@ -194,7 +194,7 @@ def feature_corr(spark, sf_dir):
 
 
 @query(f"""WITH {V}, r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY abs(value) DESC, feature) AS k FROM v WHERE value <> 0)
-  SELECT sample_id, feature, value, CAST(k AS INTEGER) AS contribution_rank, CASE WHEN value > 0 THEN 'raises' ELSE 'lowers' END AS direction FROM r WHERE k <= 2""")
+  SELECT sample_id, feature, value, CAST(k AS INTEGER) AS contribution_rank, CASE WHEN value > 0 THEN '-> vulnerable' ELSE '-> aman' END AS direction FROM r WHERE k <= 2""")
 def topk_contributions(spark, sf_dir):
     return M.top_contributions(contributions(spark, sf_dir).drop("x"), 2)
 

@@ -139,9 +139,14 @@ def dedup_keep_first(spark, sf_dir):
 
 
 @query("""SELECT * FROM (VALUES ('pairs.granularity', '"method"'), ('pairs.strategy', '"aligned"'), ('split.group_by', '"method"'), ('split.test_size', '0.2'), ('split.cv_folds', '5'), ('split.random_state', '42'),
-  ('raw_features.max_features', '2000'), ('raw_features.ngram_range', '[1, 2]'), ('raw_features.min_df', '1')) t(key, value)""")
+  ('raw_features.max_features', '2000'), ('raw_features.ngram_range', '[1, 2]'), ('raw_features.min_df', '1')) t(key, value)
+  UNION ALL SELECT 'places.' || r_name || '.given', 'false' FROM region UNION ALL SELECT 'places.' || r_name || '.' || n_name || '.key', CAST(n_nationkey AS VARCHAR) FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def config_flatten(spark, sf_dir):
     from patchloom import config
 
     merged = config.merge(config.DEFAULTS, {"pairs": {"granularity": "method"}, "classification": {"split": {"cv_folds": 5}}})
-    return config.table(spark, {"pairs": merged["pairs"], **{k: merged["classification"][k] for k in ("split", "raw_features")}})
+    # settings that the tables bring, merged nation by nation
+    places = {r["r_name"]: {"given": False} for r in read(spark, sf_dir, "region").collect()}
+    for r in read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).collect():
+        places = config.merge(places, {r["r_name"]: {r["n_name"]: {"key": r["n_nationkey"]}}})
+    return config.table(spark, {"pairs": merged["pairs"], **{k: merged["classification"][k] for k in ("split", "raw_features")}, "places": places})

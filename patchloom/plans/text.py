@@ -136,8 +136,8 @@ def normalize_ws(spark, sf_dir):
 
 @query("SELECT 'r' || o_custkey || ':f:m:' || o_orderkey || ':vulnerable:1-2#' || (o_orderkey % 3 + 1) AS statement_id FROM orders")
 def compose_ids(spark, sf_dir):
-    parts = [F.concat(F.lit("r"), F.col("o_custkey")), F.lit("f"), F.lit("m"), F.col("o_orderkey").cast("string"), F.lit("vulnerable"), F.concat(F.lit("1-2#"), (F.col("o_orderkey") % 3 + 1))]
-    return read(spark, sf_dir, "orders").select(F.concat_ws(":", *parts).alias("statement_id"))
+    prefix = F.concat_ws(":", F.concat(F.lit("r"), F.col("o_custkey")), F.lit("f"), F.lit("m"), F.col("o_orderkey").cast("string"), F.lit("vulnerable"))
+    return read(spark, sf_dir, "orders").select(T.statement_id(prefix, F.lit(1), F.lit(2), F.col("o_orderkey") % 3 + 1).alias("statement_id"))
 
 
 _ID = "CASE WHEN o_orderkey % 5 = 0 THEN 'no index' ELSE 'a:7:fixed:b:' || o_orderkey || ':vulnerable:1-2#1' END"
@@ -164,7 +164,7 @@ def lexical_counts(spark, sf_dir):
 @query("SELECT l_orderkey, l_linenumber, l_linenumber + 1 AS line_start, CAST(l_linenumber + l_quantity AS INTEGER) AS line_end, CAST(l_quantity AS INTEGER) AS num_source_lines FROM lineitem")
 def line_span(spark, sf_dir):
     start, end = F.col("l_linenumber") + 1, (F.col("l_linenumber") + F.col("l_quantity")).cast("int")
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", start.alias("line_start"), end.alias("line_end"), (end - start + 1).alias("num_source_lines"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", start.alias("line_start"), end.alias("line_end"), T.line_span(start, end).alias("num_source_lines"))
 
 
 #: Call names by part: some of each language's sinks, and others.
@@ -223,7 +223,7 @@ def output_render_text(spark, sf_dir):
 
 @query(f"SELECT row_index, contains(coalesce(vulnerable_code, ''), '<?php') AS has_tag FROM ({PAIRS})")
 def php_tag_detect(spark, sf_dir):
-    return pairs(spark, sf_dir).select("row_index", T.or_empty(F.col("vulnerable_code")).contains("<?php").alias("has_tag"))
+    return pairs(spark, sf_dir).select("row_index", T.has_php_tag(F.col("vulnerable_code")).alias("has_tag"))
 
 
 @query(f"""SELECT row_index, CASE WHEN regexp_matches(ltrim(vulnerable_code), '^(private|public|protected|readonly|static) ') THEN 'class _ {{' || chr(10) || vulnerable_code || chr(10) || '}}' ELSE vulnerable_code END AS code FROM ({PAIRS})""")

@@ -24,14 +24,11 @@ def is_url(value: str) -> bool:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A CSV with a header, quoted multi-line fields, all columns text; empty fields are null.
 
-    Without a schema, the names are the header's. A web address is fetched to every node first. A
-    path that doesn't exist raises FileNotFoundError.
+    Without a schema, the names are the header's. A web address is fetched into the shared folder
+    first. A path that doesn't exist raises FileNotFoundError.
     """
     if is_url(path):
-        from pyspark import SparkFiles
-
-        spark.sparkContext.addFile(path)
-        path = "file://" + SparkFiles.get(path.rsplit("/", 1)[-1])
+        path = fetched(spark, path)
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     try:
         return (reader.schema(schema) if schema else reader).csv(path)
@@ -41,6 +38,29 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
         raise
 
 
+def fetched(spark: SparkSession, address: str) -> str:
+    """Where in the shared folder the file of a web address is, after it was copied there as a stream."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    named = f"{shared_dir(spark)}/fetched-{uuid.uuid4().hex}.csv"
+    _made.append(named)
+    where = jvm.org.apache.hadoop.fs.Path(named)
+    out = where.getFileSystem(conf).create(where)
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(jvm.java.net.URL(address).openStream(), out, conf, True)
+    return named
+
+
+#: What stored() and fetched() have made in this process.
+_made: list[str] = []
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete the tables that stored() kept so far: for when no plan that starts at them is needed any more."""
+    for path in _made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, unset on a local master, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -52,6 +72,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder: later plans start there, and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -88,8 +109,10 @@ def with_row_index(df: DataFrame, order: str | None = None) -> DataFrame:
     return marked.join(F.broadcast(starts), "_part").withColumn("row_index", place.cast("long")).drop("_id", "_part", "_start")
 
 
-def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """A folder of CSV files with headers; single for one file of a small table."""
+def write_csv(df: DataFrame, path: str, single: bool = False, marked: bool = False) -> None:
+    """A folder of CSV files with headers; single for one file of a small table, marked for a byte order mark before each header, by which spreadsheets know UTF-8."""
+    if marked:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
@@ -116,7 +139,7 @@ def write_report(tables: dict[str, DataFrame], folder: str, formats: tuple[str,
     filled = {name: df for name, df in tables.items() if not df.isEmpty()}
     for name, df in filled.items():
         if "csv" in formats or "xlsx" in formats and name in PER_ROW:
-            write_csv(df, path := f"{folder}/{safe_name(name)}.csv", single=name not in PER_ROW)
+            write_csv(df, path := f"{folder}/{safe_name(name)}.csv", single=name not in PER_ROW, marked=True)
             made.append(path)
         if "parquet" in formats:
             df.write.mode("overwrite").parquet(path := f"{folder}/{safe_name(name)}.parquet")

@@ -198,3 +198,55 @@ def test_explanations_of_a_forest(spark, rows):
     for rank in (1, 2, 3):
         own = local.where(F.col("sample_rank") == rank).collect()
         assert math.isclose(own[0]["base_value"] + sum(r["shap_value"] for r in own), own[0]["y_score"], abs_tol=1e-6)
+
+
+def test_kernel_values_are_near_exact_ones(spark):
+    """Eight features, all coalitions, and drawn ones, against the definition over the same background."""
+    from patchloom.operators import kernel
+
+    r = np.random.default_rng(8)
+    train = spark.createDataFrame([([float(v) for v in r.random(8)],) for _ in range(20)], "x array<double>").select(array_to_vector("x").alias("features"))
+    x = r.random(8)
+    asked = spark.createDataFrame([(1, [float(v) for v in x])], "sample_id long, x array<double>").select("sample_id", array_to_vector("x").alias("features"))
+
+    def plain(v):
+        return 1 / (1 + np.exp(-(2 * v[..., 0] * v[..., 1] - v[..., 2] + v[..., 3] ** 2 - v[..., 7])))
+
+    def score(df):
+        from pyspark.ml.functions import vector_to_array
+
+        v = vector_to_array("features")
+        return df.withColumn("y_score", 1 / (1 + F.exp(-(2 * F.get(v, F.lit(0)) * F.get(v, F.lit(1)) - F.get(v, F.lit(2)) + F.get(v, F.lit(3)) ** 2 - F.get(v, F.lit(7))))))
+
+    names = [f"f{i}" for i in range(8)]
+    rows = np.array([row["features"].toArray() for row in train.collect()])
+
+    def worth(known):
+        return plain(np.where([i in known for i in range(8)], x, rows)).mean()
+
+    exact = []
+    for i in range(8):
+        rest, total = [j for j in range(8) if j != i], 0.0
+        for k in range(8):
+            for own in itertools.combinations(rest, k):
+                total += math.factorial(k) * math.factorial(7 - k) / math.factorial(8) * (worth({*own, i}) - worth(set(own)))
+        exact.append(total)
+    for most, near in ((None, 1e-9), (120, 0.01)):
+        found, base = kernel.shapley(score, asked, train, names, most=most)
+        got = {q["feature"]: q["value"] for q in found.collect()}
+        assert math.isclose(base, worth(set()), abs_tol=1e-9)
+        assert np.allclose([got[n] for n in names], exact, atol=near)
+        assert math.isclose(sum(got.values()) + base, worth(set(range(8))), abs_tol=1e-9)
+
+
+def test_kernel_values_in_explanations_are_off_by_default(spark, rows):
+    train = rows.select("features", "label")
+    fitted = models.fit(models.spec("naive_bayes"), train)
+    test = rows.where("sample_id < 12").withColumn("y_true", F.col("label").cast("int")).select("sample_id", "y_true", "features")
+    scored = test.join(models.score(fitted, test.select("sample_id", "features")), "sample_id")
+    names = [f"f{i}" for i in range(4)]
+    table, local, notes = classify.explain(fitted, train, scored, names, classify.Config(local=2, explained=4, permutation=False))
+    assert local is None and "no Shapley values" in notes[0]
+    table, local, notes = classify.explain(fitted, train, scored, names, classify.Config(local=2, explained=4, permutation=False, kernel=True))
+    own = local.where("sample_rank = 1").collect()
+    assert math.isclose(own[0]["base_value"] + sum(r["shap_value"] for r in own), own[0]["y_score"], abs_tol=1e-6) and "coalitions" in notes[0]

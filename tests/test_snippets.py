@@ -44,6 +44,13 @@ PHP = [
     ("$a = $b ? $c : $d; $e ?: f();", ["$a = $b ? $c : $d;", "$e ?: f();"]),
     ("# it's\n#[Attr]\ng();", ["#[Attr]\ng();"]),
 ]
+GO = [
+    ("for _, x := range m[k] {\n run(x)\n}\nreturn", ["for _, x := range m[k] {\n run(x)\n}", "return"]),
+    ("for i := range []int{1, 2} {\n run(i)\n}\nreturn", ["for i := range []int{1, 2} {\n run(i)\n}", "return"]),
+    ("for k := range map[string]a.B{\"x\": {1}} {\n run(k)\n}", ["for k := range map[string]a.B{\"x\": {1}} {\n run(k)\n}"]),
+    ("for _, c := range []struct{ a int }{{1}, {2}} {\n run(c)\n}\nb()", ["for _, c := range []struct{ a int }{{1}, {2}} {\n run(c)\n}", "b()"]),
+    ("if x, ok := y.(T); ok {\n a()\n}\nselect {\ncase <-c:\n b()\n}", ["if x, ok := y.(T); ok {\n a()\n}", "select {\ncase <-c:\n b()\n}"]),
+]
 JAVA = [
     ("try { a(); } finally { b(); } int[] a = {1, 2};", ["try { a(); } finally { b(); }", "int[] a = {1, 2};"]),
     ("try (R r = open()) { a(); } catch (A | B e) { b(); } c();", ["try (R r = open()) { a(); } catch (A | B e) { b(); }", "c();"]),
@@ -84,8 +91,8 @@ PY = [
     ("    print 'old'\n    b()", ["b()"]),
     ("    try:\n        a()\n    except E, e:\n        b()\n    c()", ["try:\n        a()\n    except E, e:\n        b()", "c()"]),
 ]
-WRAPPED = {"javascript": "function f(a) { %s }", "php": "<?php function f($a) { %s }", "java": "void f() { %s }", "rust": "fn f<'a>(x: &'a str) -> u8 { %s }", "c": "int f(int a) { %s\n}", "python": "def f(x):\n%s\n", "typescript": "%s"}
-CASES = [(lang, WRAPPED[lang] % body, want) for lang, cases in (("javascript", JS), ("typescript", TS), ("php", PHP), ("java", JAVA), ("rust", RUST), ("c", CC), ("python", PY)) for body, want in cases]
+WRAPPED = {"javascript": "function f(a) { %s }", "php": "<?php function f($a) { %s }", "java": "void f() { %s }", "rust": "fn f<'a>(x: &'a str) -> u8 { %s }", "c": "int f(int a) { %s\n}", "go": "func f() {\n%s\n}", "python": "def f(x):\n%s\n", "typescript": "%s"}
+CASES = [(lang, WRAPPED[lang] % body, want) for lang, cases in (("javascript", JS), ("typescript", TS), ("php", PHP), ("go", GO), ("java", JAVA), ("rust", RUST), ("c", CC), ("python", PY)) for body, want in cases]
 
 
 @pytest.mark.parametrize(("language", "code", "want"), CASES)
