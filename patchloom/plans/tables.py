@@ -40,7 +40,8 @@ SNIPPETS = [
 
 def _sql(template: str) -> str:
     """A template as an SQL expression over o_orderkey."""
-    return "'" + template.replace("'", "''").replace("¶", "' || chr(10) || '").replace("§", "' || CAST(o_orderkey AS VARCHAR(20)) || '") + "'"
+    # a dollar before a brace would be a variable of the other engine's
+    return "'" + template.replace("'", "''").replace("${", "$' || '{").replace("¶", "' || chr(10) || '").replace("§", "' || CAST(o_orderkey AS VARCHAR(20)) || '") + "'"
 
 
 def _separator(language: str, before: str) -> str:
