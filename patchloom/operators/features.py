@@ -8,7 +8,7 @@ sanitizers, sink flags, target kind, ids) is an expression on top.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from patchloom import plugins
 from patchloom.functions import code as C
+from patchloom.functions import shapes
 from patchloom.functions import text as T
 from patchloom.functions.dictionaries import FORMATS, SANITIZERS, SINKS
 
@@ -122,6 +123,12 @@ def _side(code: str, language: str, own: plugins.Language | None) -> C.Side:
 def statements_of(vulnerable: str, fixed: str | None, language: str, own: plugins.Language | None = None) -> list[tuple]:
     """Rows of both versions of one method; of the vulnerable one alone, as unchanged, if the two are the same. own: the plug-in of its language, if it is one's."""
     own = own or plugins.LANGUAGES.get(language)
+    if own is None:
+        return _by_shape(language, vulnerable, fixed)
+    return _statements(language, vulnerable, fixed, own)
+
+
+def _statements(language: str, vulnerable: str, fixed: str | None, own: plugins.Language | None = None) -> list[tuple]:
     v = _side(vulnerable, language, own)
     if not (fixed and fixed.strip()):
         _mark(v.roots)
@@ -134,6 +141,14 @@ def statements_of(vulnerable: str, fixed: str | None, language: str, own: plugin
     return rows + list(_rows(f, "fixed", len(rows), False))
 
 
+def _restored(row: tuple, put: Callable[[str], str]) -> tuple:
+    """A row of NAMES with put() applied to raw, calls and top."""
+    return (*row[:7], put(row[7]), row[8], [put(c) for c in row[9]], row[10], put(row[11]), *row[12:])
+
+
+_by_shape = shapes.remembered(_statements, _restored)
+
+
 def parsed(pairs: DataFrame) -> DataFrame:
     """pairs with _language and _s, a struct for each statement; null where the code can't be worked on."""
     known = pairs.withColumn("_language", T.resolve_language(F.col("language")))

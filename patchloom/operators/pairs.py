@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from patchloom import plugins
 from patchloom.functions import code as C
+from patchloom.functions import shapes
 from patchloom.functions import text as T
 
 PAIR = "array<struct<vulnerable_code:string,fixed_code:string>>"
@@ -63,9 +64,23 @@ def outermost(spans: DataFrame) -> DataFrame:
     return spans.withColumn("_reach", F.max("b").over(order)).where("_reach is null or b > _reach").drop("_reach")
 
 
+_methods = shapes.remembered(lambda language, code: C.methods(code, language), lambda text, put: put(text))
+_statements = shapes.remembered(lambda language, code: C.statements(code, language), lambda text, put: put(text))
+
+
+def methods(code: str, language: str) -> list[str]:
+    """C.methods(), by shapes."""
+    return _methods(language, code)
+
+
+def statements(code: str, language: str) -> list[str]:
+    """C.statements(), by shapes."""
+    return _statements(language, code)
+
+
 def splitter(granularity: str) -> Callable[[str, str], list[str]]:
     """What splits code of a language into statements or methods, those of plug-ins among them."""
-    known, added = C.methods if granularity == "method" else C.statements, dict(plugins.LANGUAGES)
+    known, added = methods if granularity == "method" else statements, dict(plugins.LANGUAGES)
 
     def split(code: str, language: str) -> list[str]:
         own = added.get(language)

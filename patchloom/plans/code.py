@@ -51,7 +51,8 @@ def _values(rows: list[tuple]) -> str:
 
 
 def code_pairs(spark, sf_dir):
-    read(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    # keys, dealt out before code is made of them: parsing wants all cores, however few parts the file has
+    read(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism).createOrReplaceTempView("orders")
     return spark.sql(CODE.replace("chr(", "char("))
 
 
