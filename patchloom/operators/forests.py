@@ -15,9 +15,12 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from patchloom.sources.tables import shared_dir
 
@@ -68,9 +71,9 @@ class Forest:
     def scored(self, df: DataFrame) -> DataFrame:
         model = df.sparkSession.sparkContext.broadcast(self)
 
-        @F.pandas_udf("double")
-        def of(x: pd.Series) -> pd.Series:
-            return pd.Series(np.concatenate([np.zeros(0), *(model.value.margins(np.stack(x.iloc[i : i + BLOCK].to_numpy())) for i in range(0, len(x), BLOCK))]))
+        @F.arrow_udf("double")
+        def of(x: pa.Array) -> pa.Array:
+            return pa.array(np.concatenate([np.zeros(0), *(model.value.margins(_matrix(x.slice(i, BLOCK), model.value.width)) for i in range(0, len(x), BLOCK))]))
 
         margin = of(vector_to_array("features"))
         return df.withColumn("y_score", margin if self.link is None else 1 / (1 + F.exp(-self.link * margin)))
@@ -218,20 +221,29 @@ def shapley(df: DataFrame, forest: Forest, names: list[str]) -> DataFrame:
 
 
 def _rows_of(train: DataFrame) -> DataFrame:
+    """(x, y, w, n): each different row of features and label once, with its weight and how often it stands there."""
     weight = F.col("weight") if "weight" in train.columns else F.lit(1.0)
-    return train.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"), weight.cast("double").alias("w"))
+    rows = train.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"), weight.cast("double").alias("w"))
+    return rows.groupBy("x", "y").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
 
 
-def _passed(rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """The rows that work(x, y, w) gives for each block of rows."""
+def _matrix(x: pa.Array, width: int) -> np.ndarray:
+    """Lists of equal length as rows."""
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), width)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _passed(rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """The rows that work(x, y, w, n) gives for each block of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), BLOCK):
-                part = batch.iloc[i : i + BLOCK]
-                yield pd.DataFrame(work(np.stack(part["x"].to_numpy()), part["y"].to_numpy(), part["w"].to_numpy()))
+                part = batch.slice(i, BLOCK)
+                x = _matrix(part["x"], len(part["x"][0]))
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(work(x, *(part[c].to_numpy(zero_copy_only=False) for c in "ywn"))), kinds, preserve_index=False)
 
-    return rows.mapInPandas(run, schema)
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return rows.mapInArrow(run, schema)
 
 
 class Grown:
@@ -271,7 +283,7 @@ class ExtraTrees:
         k = min(width, self.drawn or max(1, round(math.sqrt(width))))
         grown = [Grown() for _ in range(self.n)]
         gains = np.zeros(width)
-        first = rows.groupBy("y").agg(F.sum("w").alias("w"), F.count("*").alias("n")).collect()  # two classes
+        first = rows.groupBy("y").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect()  # two classes
         weight = [sum(r["w"] for r in first if r["y"] == y) for y in (0.0, 1.0)]
         open_ = {(t, 0): (*weight, sum(r["n"] for r in first)) for t in range(self.n)}
         for t, g in enumerate(grown):
@@ -311,7 +323,7 @@ class ExtraTrees:
 
         trees_ = spark.sparkContext.broadcast((trees, drawn))
 
-        def ranges(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict[str, np.ndarray]:
+        def ranges(x: np.ndarray, y: np.ndarray, w: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
             out: dict[str, list] = {c: [np.zeros(0)] for c in ("t", "node", "f", "low", "high")}
             for t, node, own in blocks(x):
                 f = trees_.value[1][t, node]
@@ -331,7 +343,7 @@ class ExtraTrees:
             cuts[key] = ([f for f, _ in found], [min(c, math.nextafter(own[f][1], -math.inf)) for f, c in found])
         cuts_ = spark.sparkContext.broadcast({key: (np.array(f), np.array(c)) for key, (f, c) in cuts.items()})
 
-        def sides(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict[str, np.ndarray]:
+        def sides(x: np.ndarray, y: np.ndarray, w: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
             out: dict[str, list] = {c: [np.zeros(0)] for c in ("t", "node", "f", "zeros", "ones", "n")}
             for t, node, own in blocks(x):
                 if (t, node) not in cuts_.value:
@@ -339,7 +351,7 @@ class ExtraTrees:
                 f, cut = cuts_.value[t, node]
                 left = x[np.ix_(own, f)] <= cut
                 weight, one = w[own][:, None] * left, (y[own] == 1)[:, None]
-                for c, v in zip(out, (np.full(len(f), t), np.full(len(f), node), f, (weight * ~one).sum(0), (weight * one).sum(0), left.sum(0))):
+                for c, v in zip(out, (np.full(len(f), t), np.full(len(f), node), f, (weight * ~one).sum(0), (weight * one).sum(0), (n[own][:, None] * left).sum(0))):
                     out[c].append(v)
             return {c: np.concatenate(v) for c, v in out.items()}
 
@@ -373,7 +385,8 @@ def _impurity(zeros: float, ones: float) -> float:
 class HistBoosting:
     """Boosting of log loss over histograms: each tree grows at the leaf of greatest gain first, up to a number of leaves.
 
-    Features are cut into bins at quantiles of at most SAMPLE rows, picked by hash. A pass sums
+    Rows equal in features and label are one, with their number. Features are cut into bins between
+    their values, or at quantiles of all rows. A pass sums
     gradients and hessians of each open leaf, feature and bin; cumulative sums and the best cut of a
     leaf are window functions. A pass takes all leaves that the order by gain may reach next, so a
     tree takes about as many passes as it is deep, with the same result as one leaf at a time. With
@@ -381,6 +394,7 @@ class HistBoosting:
     """
 
     SAMPLE = 20_000
+    ACCURACY = 10_000
     EARLY = 10_000
 
     def __init__(self, maxIter: int = 100, maxLeaves: int = 31, learningRate: float = 0.1, minLeaf: int = 20, maxBins: int = 255, l2: float = 0.0, patience: int = 10, earlyStopping: bool | None = None, seed: int = 42):
@@ -388,12 +402,9 @@ class HistBoosting:
 
     def fit(self, train: DataFrame) -> Forest:
         rows = _rows_of(train).persist()
-        spark, n = rows.sparkSession, rows.count()
-        digest = F.xxhash64("x", "y", F.lit(self.seed))
-        every = max(1, n // self.SAMPLE)
-        sample = np.stack([r["x"] for r in rows.where(F.pmod(digest, F.lit(every)) == 0).select("x").limit(2 * self.SAMPLE).collect()] or [rows.first()["x"]])
-        width = sample.shape[1]
-        edges = [_edges(sample[:, f], self.bins) for f in range(width)]
+        spark, n = rows.sparkSession, rows.agg(F.sum("n")).first()[0]
+        edges = self._bins(rows)
+        width = len(edges)
         held = F.pmod(F.xxhash64("x", "y", F.lit(self.seed + 1)), F.lit(10)) == 0
         stops = n > self.EARLY if self.early is None else self.early
         fitted, kept = (rows.where(~held), rows.where(held)) if stops else (rows, None)
@@ -414,10 +425,40 @@ class HistBoosting:
         rows.unpersist()
         return forest
 
+    def _bins(self, rows: DataFrame) -> list[np.ndarray]:
+        """Upper ends of each feature's bins, from all rows.
+
+        Values are counted by feature, in each block and then over all. A feature of at most bins
+        values has a cut between any two; the others' are midway between neighbours of quantiles,
+        exact up to ACCURACY rows and near that of their rank beyond.
+        """
+        def values(x: np.ndarray, y: np.ndarray, w: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+            found = [np.unique(x[:, f], return_inverse=True) for f in range(x.shape[1])]
+            counts = [np.bincount(at.ravel(), n, len(own)) for own, at in found]
+            return {"f": np.repeat(np.arange(x.shape[1]), [len(own) for own, _ in found]), "v": np.concatenate([own for own, _ in found]), "n": np.concatenate(counts)}
+
+        counted = _passed(rows, values, "f int, v double, n double").groupBy("f", "v").agg(F.sum("n").cast("long").alias("n")).persist()
+        per = counted.groupBy("f").agg(F.count("*").alias("values"), F.sum("n").alias("rows")).collect()  # a row a feature
+        edges = [np.zeros(0)] * len(per)
+        whole = {r["f"] for r in per if r["values"] <= self.bins or r["rows"] <= self.SAMPLE}
+        own: dict[int, list[tuple[float, int]]] = {}
+        for r in counted.where(F.col("f").isin(whole)).collect() if whole else []:  # bins or SAMPLE values of a feature at most
+            own.setdefault(r["f"], []).append((r["v"], r["n"]))
+        for f, found in own.items():
+            v, n = (np.array(c) for c in zip(*sorted(found)))
+            edges[f] = (v[:-1] + v[1:]) / 2 if len(v) <= self.bins else _edges(np.repeat(v, n), self.bins)
+        if len(whole) < len(per):
+            shares = [i / self.bins for i in range(1, self.bins)]
+            each = counted.where(~F.col("f").isin(whole)).select("f", "v", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+            for r in each.groupBy("f").agg(F.percentile_approx("v", shares, self.ACCURACY).alias("q")).collect():
+                edges[r["f"]] = np.unique(r["q"])
+        counted.unpersist()
+        return edges
+
     def _loss(self, spark: SparkSession, kept: DataFrame, forest: Forest) -> float:
         model = spark.sparkContext.broadcast(forest)
 
-        def work(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict[str, np.ndarray]:
+        def work(x: np.ndarray, y: np.ndarray, w: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
             return {"loss": [float((w * np.logaddexp(0, np.where(y == 1, -1, 1) * model.value.margins(x))).sum())], "w": [float(w.sum())]}
 
         lost, weight = _passed(kept, work, "loss double, w double").agg(F.sum("loss"), F.sum("w")).first()
@@ -471,7 +512,7 @@ class HistBoosting:
         model = spark.sparkContext.broadcast((forest, tree, edges))
         size = max(len(e) for e in edges) + 1
 
-        def cells(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict[str, np.ndarray]:
+        def cells(x: np.ndarray, y: np.ndarray, w: np.ndarray, times: np.ndarray) -> dict[str, np.ndarray]:
             before, grown, edges = model.value
             p = 1 / (1 + np.exp(-before.margins(x)))
             g, h, at = w * (p - y), w * p * (1 - p), grown.leaf_of(x)
@@ -480,7 +521,7 @@ class HistBoosting:
             for node in nodes:
                 own = np.flatnonzero(at == node)
                 flat, repeated = bins[own].ravel(), np.repeat(own, x.shape[1])
-                n = np.bincount(flat, minlength=1)
+                n = np.bincount(flat, times[repeated], 1)
                 seen = np.flatnonzero(n)
                 for c, v in zip(out, (np.full(len(seen), node), seen // size, seen % size, np.bincount(flat, g[repeated])[seen] if len(own) else seen, np.bincount(flat, h[repeated])[seen] if len(own) else seen, n[seen])):
                     out[c].append(v)

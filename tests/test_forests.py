@@ -250,3 +250,20 @@ def test_kernel_values_in_explanations_are_off_by_default(spark, rows):
     table, local, notes = classify.explain(fitted, train, scored, names, classify.Config(local=2, explained=4, permutation=False, kernel=True))
     own = local.where("sample_rank = 1").collect()
     assert math.isclose(own[0]["base_value"] + sum(r["shap_value"] for r in own), own[0]["y_score"], abs_tol=1e-6) and "coalitions" in notes[0]
+
+
+def test_bins_have_every_value_however_often_rows_repeat(spark):
+    """Forty different rows, a thousand times each: a sample picked by their digest would miss most values."""
+    df = spark.range(40_000).select(array_to_vector(F.array((F.col("id") % 40).cast("double"), (F.col("id") % 7).cast("double"))).alias("features"), (F.col("id") % 40 >= 23).cast("double").alias("label"))
+    (tree,) = forests.HistBoosting(maxIter=1, maxLeaves=2, earlyStopping=False).fit(df).trees
+    assert (tree.feature[0], tree.threshold[0]) == (0, 22.5)
+    one = forests._rows_of(df).agg(F.count("*"), F.sum("n"), F.sum("w")).first()
+    assert tuple(one) == (280, 40_000, 40_000.0)
+    edges = forests.HistBoosting()._bins(forests._rows_of(df).persist())
+    assert np.array_equal(edges[0], np.arange(39) + 0.5) and np.array_equal(edges[1], np.arange(6) + 0.5)
+
+
+def test_bins_of_many_values_are_at_quantiles_of_all_rows(spark):
+    rows = forests._rows_of(spark.range(30_000).select(array_to_vector(F.array(F.col("id").cast("double"))).alias("features"), F.lit(1.0).alias("label"))).persist()
+    (edges,) = forests.HistBoosting(maxBins=10)._bins(rows)
+    assert len(edges) == 9 and np.allclose(edges, 3000 * np.arange(1, 10), atol=10)
