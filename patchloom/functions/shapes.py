@@ -9,11 +9,17 @@ has its numbers put back. Shorter numbers, and those that begin with a zero, sta
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Container, Iterable
 from functools import lru_cache
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 _NUMBER = re.compile(r"(?<![0-9])[1-9][0-9]{2,}")
+#: Cuts a text so that numbers stand at odd places.
+_PARTS = re.compile(f"({_NUMBER.pattern})")
 #: Where digits mean more than a number: literals of other bases, characters by number or by name.
 _OTHERWISE = re.compile(r"0[bBoO]|\\[NuUx0-7]")
 #: Characters of a shape that is remembered at most, and shapes of each kind.
@@ -22,24 +28,27 @@ LONGEST, SHAPES = 4096, 2048
 
 def shape(*texts: str | None) -> tuple[tuple[str | None, ...], dict[str, str]]:
     """The texts with stand-ins, and the number that each stands for; themselves where there is nothing to replace, or too much."""
-    if any(x and _OTHERWISE.search(x) for x in texts):
-        return texts, {}
+    for x in texts:
+        if x and ("0" in x or "\\" in x) and _OTHERWISE.search(x):
+            return texts, {}
     found: dict[str, str] = {}
     used: dict[int, int] = {}
 
-    def put(m: re.Match) -> str:
-        number = m.group()
-        got = found.get(number)
-        if got is None:
-            n = len(number)
-            got = found[number] = str(10 ** (n - 1) + used.get(n, 0))
-            used[n] = used.get(n, 0) + 1
-        return got
-
-    made = tuple(x and _NUMBER.sub(put, x) for x in texts)
+    made = []
+    for x in texts:
+        cut = _PARTS.split(x) if x else ()
+        for i in range(1, len(cut), 2):
+            number = cut[i]
+            got = found.get(number)
+            if got is None:
+                n = len(number)
+                got = found[number] = str(10 ** (n - 1) + used.get(n, 0))
+                used[n] = used.get(n, 0) + 1
+            cut[i] = got
+        made.append("".join(cut) if cut else x)
     if any(count > 9 * 10 ** (n - 1) for n, count in used.items()):
         return texts, {}
-    return made, {stand_in: number for number, stand_in in found.items()}
+    return tuple(made), {stand_in: number for number, stand_in in found.items()}
 
 
 def back(text: str, numbers: dict[str, str]) -> str:
@@ -72,3 +81,59 @@ def remembered(parse: Callable[..., list], restore: Callable[[Any, Callable[[str
         return [restore(one, put) if numbers and numbered else one for one, numbered in known(language, *made)]
 
     return of
+
+
+def parts(text: str) -> list[str] | None:
+    """A text cut at its numbers, which stand at odd places; None if it has none."""
+    found = _PARTS.split(text)
+    return found if len(found) > 1 else None
+
+
+class Rows:
+    """Results of many rows (language, *texts): each distinct shape's result once, and where each row's is.
+
+    known(language, *texts) is remembered by its caller and gives a result whose texts nobody changes;
+    alone(language, *texts) parses what is too long to be remembered, or in one of the languages whole.
+    What they raise of errors makes None.
+    """
+
+    def __init__(self, rows: Iterable[tuple], known: Callable[..., Any], alone: Callable[..., Any], whole: Container[str] = (), errors: tuple[type[Exception], ...] = ()):
+        self.results: list[Any] = []
+        self.numbers: list[dict[str, str]] = []
+        at: list[int] = []
+        places: dict[tuple, int] = {}
+
+        def result(of: Callable[..., Any], row: tuple) -> int:
+            try:
+                self.results.append(of(*row))
+            except errors:
+                self.results.append(None)
+            return len(self.results) - 1
+
+        for language, *texts in rows:
+            if language in whole or sum(len(x) for x in texts if x) > LONGEST:
+                at.append(result(alone, (language, *texts)))
+                self.numbers.append({})
+                continue
+            made, numbers = shape(*texts)
+            place = places.get(key := (language, *made))
+            if place is None:
+                place = places[key] = result(known, key)
+            at.append(place)
+            self.numbers.append(numbers)
+        self.at = np.array(at, dtype=np.int64)
+
+    def put_back(self, texts: pa.Array, sizes: list[int], cells: list[list[tuple[int, list[str]]]]) -> pa.Array:
+        """texts, all rows' end to end, with each row's numbers; by result: sizes, how many texts it has, and cells, (place, parts()) of those with numbers."""
+        starts = np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64)[self.at])]) if len(self.at) else [0]
+        where, what = [], []
+        for place, numbers, start in zip(self.at.tolist(), self.numbers, starts):
+            if numbers:
+                for i, cut in cells[place]:
+                    where.append(start + i)
+                    what.append("".join([numbers[x] if k & 1 else x for k, x in enumerate(cut)]))
+        if not where:
+            return texts
+        mask = np.zeros(len(texts), dtype=bool)
+        mask[where] = True
+        return pc.replace_with_mask(texts, pa.array(mask), pa.array(what, texts.type))

@@ -30,7 +30,7 @@ def resolve_language(x: Column) -> Column:
 
 
 def has_code(x: Column) -> Column:
-    return F.coalesce(strip(x) != "", F.lit(False))
+    return F.coalesce(x.rlike(r"(?U)\S"), F.lit(False))
 
 
 def unchanged(v: Column, f: Column) -> Column:

@@ -8,9 +8,11 @@ sanitizers, sink flags, target kind, ids) is an expression on top.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -39,7 +41,25 @@ STATEMENT = (
     "defined int, used int, guard boolean, children int, label int"
 )
 NAMES = [x.split(" ")[0] for x in STATEMENT.split(", ")]
-STATEMENTS = f"array<struct<{','.join(x.replace(' ', ':', 1) for x in STATEMENT.split(', '))}>>"
+#: What ancestors tell of a statement, and what that is told by.
+ABOVE = {"depth": "path", "above": "path first last seq", "guards": "path kind", "in_handler": "path block guard", "handles": "path kind block", "sanitized": "path calls"}
+# Fixed value: what each column that isn't the pair's own is made of.
+MADE_OF = {
+    "vulnerability_type": "origin", "origin": "origin", "statement_id": "origin first last seq", "parent_statement_id": "origin above", "nesting_depth": "depth", "statement_type": "kind", "parent_block_type": "block",
+    "line_start": "first", "line_end": "last", "num_source_lines": "first last", "raw_text": "raw", "token_count": "tokens", "char_length": "raw", "num_calls": "n_calls", "top_level_call_name": "top", "call_target_kind": "top",
+    **dict.fromkeys(FLAGS, "calls"), "is_output_render": "calls raw kind", "uses_string_concat_or_format": "joins calls", "num_variables_defined": "defined", "num_variables_used": "used", "uses_only_literals": "used n_calls kind",
+    "guard_count": "guards", "inside_error_handler": "in_handler", "is_error_handling_statement": "handles", "sanitization_call_detected": "sanitized", "is_compound": "children kind", "num_direct_children": "children",
+    "cyclomatic_contribution": "kind", "label": "label",
+}
+# Fixed value: the pair's columns that others are made of.
+OF_PAIR = {"repo_name": "repo", "file_path": "file", "function_name": "method", **dict.fromkeys(("statement_id", "parent_statement_id"), "repo file method row_index")}
+
+
+def statements_type(names: Sequence[str] = NAMES) -> str:
+    """The type of a pair's statements with these of NAMES."""
+    return f"array<struct<{','.join(x.replace(' ', ':', 1) for x in STATEMENT.split(', ') if x.split(' ')[0] in names)}>>"
+
+
 #: Pairs that a worker turns into statements at a time.
 GROUP = 512
 # Fixed value: the left side of Go's error check.
@@ -149,27 +169,63 @@ def _restored(row: tuple, put: Callable[[str], str]) -> tuple:
 _by_shape = shapes.remembered(_statements, _restored)
 
 
-def parsed(pairs: DataFrame) -> DataFrame:
-    """pairs with _language and _s, a struct for each statement; null where the code can't be worked on."""
+@lru_cache(shapes.SHAPES)
+def _shape(language: str, vulnerable: str, fixed: str | None) -> list[tuple]:
+    return _statements(language, vulnerable, fixed)
+
+
+def _arrow(rows: list[tuple[str, str, str | None]], names: Sequence[str], kind: pa.DataType, added: dict[str, plugins.Language]) -> pa.Array:
+    """The statements of rows (language, vulnerable, fixed) with these of NAMES; null where the code can't be worked on.
+
+    Rows of each shape are made once and copied by Arrow; texts with numbers are put together anew.
+    """
+
+    def alone(language: str, *texts: str | None) -> list[tuple]:
+        own = added.get(language)
+        return _statements(language, *texts, own)
+
+    # what a plug-in says may depend on numbers
+    found = shapes.Rows(rows, _shape, alone, added, (IndexError, ValueError, RecursionError))
+    places = [NAMES.index(n) for n in names]
+    made = pa.array([None if own is None else [tuple(x[i] for i in places) for x in own] for own in found.results], kind).take(pa.array(found.at))
+    flat = made.flatten()
+    own = [x or [] for x in found.results]
+    columns = {n: flat.field(i) for i, n in enumerate(names)}
+    for name in ("raw", "top"):
+        if name in columns:
+            i = NAMES.index(name)
+            cells = [[(k, cut) for k, x in enumerate(rows_of) if (cut := shapes.parts(x[i]))] for rows_of in own]
+            columns[name] = found.put_back(columns[name], [len(x) for x in own], cells)
+    if "calls" in columns:
+        calls = [[c for x in rows_of for c in x[NAMES.index("calls")]] for rows_of in own]
+        cells = [[(k, cut) for k, c in enumerate(x) if (cut := shapes.parts(c))] for x in calls]
+        lists = columns["calls"]
+        columns["calls"] = pa.ListArray.from_arrays(_offsets(lists), found.put_back(lists.flatten(), [len(x) for x in calls], cells))
+    structs = pa.StructArray.from_arrays(list(columns.values()), fields=list(kind.value_type))
+    return pa.ListArray.from_arrays(_offsets(made), structs, type=kind, mask=made.is_null() if made.null_count else None)
+
+
+def _offsets(lists: pa.ListArray) -> pa.Array:
+    """Where each list begins among all of them end to end, and the last one's end."""
+    return pa.array(np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())]).astype(np.int32))
+
+
+def parsed(pairs: DataFrame, names: Sequence[str] = NAMES, code: bool = True) -> DataFrame:
+    """pairs with _language and _s, a struct of these of NAMES for each statement; null where the code can't be worked on. code: whether to keep the columns of code."""
     known = pairs.withColumn("_language", T.resolve_language(F.col("language")))
     known = known.where(F.col("_language").isin(*languages()) & T.has_code(F.col("vulnerable_code")))
     added = dict(plugins.LANGUAGES)  # they travel with the plan
-    names, schema = known.columns, known.withColumn("_s", F.lit(None).cast(STATEMENTS)).schema
+    columns = [c for c in known.columns if code or c not in ("vulnerable_code", "fixed_code", "language")]
+    schema = known.select(*columns, F.lit(None).cast(statements_type(names)).alias("_s")).schema
     kind = to_arrow_type(schema["_s"].dataType)
 
-    def one(v: str, f: str | None, language: str) -> list[tuple] | None:
-        try:
-            return statements_of(v, f, language, added.get(language))
-        except (IndexError, ValueError, RecursionError):
-            return None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # batches of whole methods are wide: some at a time
             for at in range(0, len(batch), GROUP):
                 part = batch.slice(at, GROUP)
-                rows = [one(*row) for row in zip(*(part[c].to_pylist() for c in ("vulnerable_code", "fixed_code", "_language")))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, kind)], [*names, "_s"])
+                rows = list(zip(*(part[c].to_pylist() for c in ("_language", "vulnerable_code", "fixed_code"))))
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in columns), _arrow(rows, names, kind, added)], [*columns, "_s"])
 
     return known.mapInArrow(run, schema)
 
@@ -182,8 +238,8 @@ def _by_language(language: Column, of) -> Column:
     return out
 
 
-def _placed(s: Column) -> Column:
-    """Each statement of s, a pair's, with what its ancestors tell: depth, above (the lines and number of its parent), guards, in_handler, handles and sanitized.
+def _placed(s: Column, names: Sequence[str], told: Sequence[str]) -> Column:
+    """Each statement of s, a pair's, with these of NAMES and what its ancestors tell, of these: depth, above (the lines and number of its parent), guards, in_handler, handles and sanitized.
 
     path has places in s, so each ancestor is looked up, never searched for. _clean says of each
     statement whether it calls a sanitizer.
@@ -201,40 +257,56 @@ def _placed(s: Column) -> Column:
             return (below["block"] == "exception_handler") | (below["block"] == "if_true_branch") & at(p)["guard"]
 
         parent = at(F.element_at(path, -1))
-        return F.struct(
-            *[x[name].alias(name) for name in NAMES], F.size(path).alias("depth"),
-            F.when(nested, F.struct(parent["first"].alias("first"), parent["last"].alias("last"), parent["seq"].alias("seq"))).alias("above"),
-            F.size(F.filter(path, lambda p: at(p)["kind"] == "if")).alias("guards"), F.exists(F.transform(path, handles), lambda h: h).alias("in_handler"),
-            F.when(nested, (parent["kind"] == "try_catch") & (x["block"] == "exception_handler")).otherwise(False).alias("handles"),
-            (F.get(F.col("_clean"), i) | F.exists(path, lambda p: F.get(F.col("_clean"), p - 1))).alias("sanitized"),
-        )
+        above = {
+            "depth": lambda: F.size(path),
+            "above": lambda: F.when(nested, F.struct(parent["first"].alias("first"), parent["last"].alias("last"), parent["seq"].alias("seq"))),
+            "guards": lambda: F.size(F.filter(path, lambda p: at(p)["kind"] == "if")), "in_handler": lambda: F.exists(F.transform(path, handles), lambda h: h),
+            "handles": lambda: F.when(nested, (parent["kind"] == "try_catch") & (x["block"] == "exception_handler")).otherwise(False),
+            "sanitized": lambda: F.get(F.col("_clean"), i) | F.exists(path, lambda p: F.get(F.col("_clean"), p - 1)),
+        }
+        return F.struct(*[x[name].alias(name) for name in names], *[above[name]().alias(name) for name in told])
 
     return F.transform(s, of)
 
 
-def features(pairs: DataFrame) -> DataFrame:
-    """The statement table: COLUMNS for each statement of each pair of a language with dictionaries.
+def _parts(columns: Sequence[str]) -> tuple[list[str], list[str]]:
+    """(those of NAMES, those of ABOVE) that these columns are made of."""
+    wanted = {x for c in columns for x in MADE_OF.get(c, "").split()}
+    told = [x for x in ABOVE if x in wanted]
+    wanted |= {x for name in told for x in ABOVE[name].split()}
+    # a statement without columns of its own is still a row
+    return [x for x in NAMES if x in wanted] or ["seq"], told
+
+
+def features(pairs: DataFrame, columns: Sequence[str] = COLUMNS) -> DataFrame:
+    """The statement table: these of COLUMNS for each statement of each pair of a language with dictionaries.
 
     pairs needs row_index; other missing columns count as null. Pairs without vulnerable code, and
-    those whose code can't be parsed, give no rows.
+    those whose code can't be parsed, give no rows. Nothing is worked out for columns left out.
     """
-    return table_of(parsed(pairs))
+    names, _ = _parts(columns)
+    # what goes to Python comes back: no more columns than are asked for
+    needed = {x for c in columns for x in OF_PAIR.get(c, c).split()}
+    own = pairs.select("language", "vulnerable_code", "fixed_code", *[c for c in pairs.columns if c in needed - {"language"}])
+    return table_of(parsed(own, names, code=False), columns)
 
 
-def table_of(parsed_pairs: DataFrame) -> DataFrame:
+def table_of(parsed_pairs: DataFrame, columns: Sequence[str] = COLUMNS) -> DataFrame:
     """features() of pairs that parsed() has gone over."""
     rows = parsed_pairs
     for c in ("cve_id", "vulnerability_type", "commit_hash", "repo", "file", "method"):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
     language = F.col("_language")
+    names, told = _parts(columns)
 
     def cleans(calls: Column, name: str) -> Column:
         return F.exists(calls, lambda n: T.matches(n, SANITIZERS[name], (), ()))
 
-    meta = [T.or_empty(F.col(c)).alias(c) for c in ("cve_id", "vulnerability_type", "commit_hash", "repo", "file", "method")]
-    rows = rows.select("_s", "_language", F.col("row_index").cast("string").alias("_row"), *meta, F.transform("_s", lambda x: _by_language(language, lambda name: cleans(x["calls"], name))).alias("_clean"))
-    rows = rows.select("_language", "_row", *[m for m in ("cve_id", "vulnerability_type", "commit_hash", "repo", "file", "method")], F.inline(_placed(F.col("_s"))))
+    meta = ["cve_id", "vulnerability_type", "commit_hash", "repo", "file", "method"]
+    clean = [F.transform("_s", lambda x: _by_language(language, lambda name: cleans(x["calls"], name))).alias("_clean")] if "sanitized" in told else []
+    rows = rows.select("_s", "_language", (F.col("row_index").cast("string") if "row_index" in rows.columns else F.lit(None).cast("string")).alias("_row"), *[T.or_empty(F.col(c)).alias(c) for c in meta], *clean)
+    rows = rows.select("_language", "_row", *meta, F.inline(_placed(F.col("_s"), names, told)))
     prefix = F.concat_ws(":", "repo", "file", "method", "_row", "origin")
 
     flags = {flag: _by_language(language, lambda name, flag=flag: T.sink_flags(F.col("calls"), name)[flag]) for flag in FLAGS}
@@ -254,7 +326,7 @@ def table_of(parsed_pairs: DataFrame) -> DataFrame:
         "is_error_handling_statement": F.col("handles"), "sanitization_call_detected": F.col("sanitized"), "is_compound": T.is_compound(F.col("children"), F.col("kind")),
         "num_direct_children": F.col("children"), "cyclomatic_contribution": T.cyclomatic(F.col("kind")), "label": F.col("label"),
     }
-    return rows.select(*[made.get(c, F.col(c)).alias(c) for c in COLUMNS])
+    return rows.select(*[made.get(c, F.col(c)).alias(c) for c in columns])
 
 
 #: Counters of the features pipeline, in order.

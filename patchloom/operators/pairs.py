@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +71,16 @@ _methods = shapes.remembered(lambda language, code: C.methods(code, language), l
 _statements = shapes.remembered(lambda language, code: C.statements(code, language), lambda text, put: put(text))
 
 
+@lru_cache(shapes.SHAPES)
+def _method_shape(language: str, code: str) -> list[str]:
+    return list(C.methods(code, language))
+
+
+@lru_cache(shapes.SHAPES)
+def _statement_shape(language: str, code: str) -> list[str]:
+    return list(C.statements(code, language))
+
+
 def methods(code: str, language: str) -> list[str]:
     """C.methods(), by shapes."""
     return _methods(language, code)
@@ -94,10 +107,18 @@ def splitter(granularity: str) -> Callable[[str, str], list[str]]:
 def split_code(code: F.Column, language: F.Column, granularity: str) -> F.Column:
     """array<string>: the statements or methods of a snippet."""
     split = splitter(granularity)
-
-    @F.pandas_udf("array<string>")
-    def pieces(codes: pd.Series, languages: pd.Series) -> pd.Series:
-        return pd.Series([split(c, x) if isinstance(c, str) and c.strip() and isinstance(x, str) else [] for c, x in zip(codes, languages)])
+    added = dict(plugins.LANGUAGES)
+    known = _method_shape if granularity == "method" else _statement_shape
+
+    @F.arrow_udf("array<string>")
+    def pieces(codes: pa.Array, languages: pa.Array) -> pa.Array:
+        rows = [(x, c) if c and c.strip() and x else ("", "") for c, x in zip(codes.to_pylist(), languages.to_pylist())]
+        # what a plug-in says may depend on numbers
+        found = shapes.Rows(rows, known, lambda x, c: split(c, x) if x else [], {"", *added})
+        made = pa.array(found.results, pa.list_(pa.string())).take(pa.array(found.at))
+        cells = [[(i, cut) for i, text in enumerate(own) if (cut := shapes.parts(text))] for own in found.results]
+        offsets = np.concatenate([[0], np.cumsum(made.value_lengths().to_numpy())]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), found.put_back(made.flatten(), [len(x) for x in found.results], cells))
 
     return pieces(code, language)
 

@@ -56,8 +56,8 @@ def code_pairs(spark, sf_dir):
     return spark.sql(CODE.replace("chr(", "char("))
 
 
-def statement_table(spark, sf_dir):
-    rows = X.features(code_pairs(spark, sf_dir))
+def statement_table(spark, sf_dir, *columns):
+    rows = X.features(code_pairs(spark, sf_dir), ("statement_id", *columns))
     seq = F.element_at(F.split("statement_id", "#"), -1).cast("int")
     return rows.withColumns({"row_index": F.element_at(F.split("statement_id", ":"), 4).cast("long"), "seq": seq})
 
@@ -68,17 +68,17 @@ _J = "FROM p JOIN e ON p.template = e.template"
 
 @query(f"WITH {E} SELECT row_index, origin, CAST(seq AS INTEGER) AS seq, kind AS statement_type, block AS parent_block_type, CAST(CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS INTEGER) AS nesting_depth {_J}")
 def statement_tree(spark, sf_dir):
-    return statement_table(spark, sf_dir).select("row_index", "origin", "seq", "statement_type", "parent_block_type", "nesting_depth")
+    return statement_table(spark, sf_dir, "origin", "statement_type", "parent_block_type", "nesting_depth").select("row_index", "origin", "seq", "statement_type", "parent_block_type", "nesting_depth")
 
 
 @query(f"WITH {E} SELECT row_index, CAST(seq AS INTEGER) AS seq, CAST(label AS INTEGER) AS label {_J} WHERE origin = 'vulnerable'")
 def label_statements(spark, sf_dir):
-    return statement_table(spark, sf_dir).where("origin = 'vulnerable'").select("row_index", "seq", "label")
+    return statement_table(spark, sf_dir, "origin", "label").where("origin = 'vulnerable'").select("row_index", "seq", "label")
 
 
 @query(f"WITH {E} SELECT kind AS statement_type, count(*) AS n {_J} GROUP BY 1")
 def statement_type_counts(spark, sf_dir):
-    return statement_table(spark, sf_dir).groupBy("statement_type").agg(F.count("*").alias("n"))
+    return X.features(code_pairs(spark, sf_dir), ("statement_type",)).groupBy("statement_type").agg(F.count("*").alias("n"))
 
 
 #: (language, vulnerable, fixed) by o_orderkey % 8; 77777 stands for the key.
