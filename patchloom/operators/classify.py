@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import warnings
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import chain
 from typing import Any
 
 from pyspark.ml.feature import VectorAssembler
@@ -17,7 +20,7 @@ from patchloom import config as settings
 from patchloom.functions import text as T
 from patchloom.operators import datasets as D
 from patchloom.operators import metrics as M
-from patchloom.operators import forests, kernel, models, textfeat
+from patchloom.operators import forests, kernel, models
 from patchloom.sources.tables import stored
 
 # Titles of the comparison's columns by approach and evaluation level, and of the difference of the first two.
@@ -83,22 +86,25 @@ def statements_of(pairs: DataFrame, table: DataFrame, by: str) -> DataFrame:
     return joined.withColumns({"method_id": method, "method_label": (F.col("origin") == "vulnerable").cast("int"), "label": T.to_number(F.col("label")).cast("int")})
 
 
-def vectors(weights: DataFrame, terms: list[str], id_column: str) -> DataFrame:
-    """(id, features) from (id, term, weight): sparse, in the order of terms, which are bounded."""
-    place = weights.sparkSession.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, i int")
-    size = len(terms)
-    sparse = F.udf(lambda cells: Vectors.sparse(size, sorted((c["i"], c["weight"]) for c in cells)), VectorUDT())
-    return weights.join(F.broadcast(place), "term").groupBy(id_column).agg(sparse(F.collect_list(F.struct("i", "weight"))).alias("features"))
+def term_vectors(rows: DataFrame, id_column: str, text: str, size: int, min_df: int = 1) -> tuple[DataFrame, list[str]]:
+    """rows with features, TF-IDF fitted on those that aren't test rows, and the terms; rows without terms get zeros.
+
+    Terms are at most size, so each row's weights are worked out where it is; weights are those of D.tfidf().
+    """
+    train = rows.where("not is_test")
+    found = D.most_frequent(D.term_counts(train, text), size, min_df).orderBy("term").collect()  # at most size
+    n_docs, terms = train.count(), [r["term"] for r in found]
+    idf = {r["term"]: (i, math.log((1 + n_docs) / (1 + r["df"])) + 1) for i, r in enumerate(found)}
 
+    @F.udf(VectorUDT())
+    def weights(tokens):
+        tokens = tokens or []
+        counts = Counter(t for t in chain(tokens, map(" ".join, zip(tokens, tokens[1:]))) if t in idf)
+        cells = sorted((idf[t][0], (1 + math.log(n)) * idf[t][1]) for t, n in counts.items())
+        norm = math.sqrt(sum(w * w for _, w in cells))
+        return Vectors.sparse(len(idf), [i for i, _ in cells], [w / norm for _, w in cells])
 
-def term_vectors(rows: DataFrame, id_column: str, text: str, size: int, min_df: int = 1) -> tuple[DataFrame, list[str]]:
-    """rows with features, TF-IDF fitted on those that aren't test rows, and the terms; rows without terms get zeros."""
-    fitted = textfeat.fit(rows.where("not is_test"), id_column, text, size, min_df)
-    terms = [r["term"] for r in fitted[0].orderBy("term").collect()]  # at most size
-    made = vectors(textfeat.transform(rows, fitted, id_column, text), terms, id_column)
-    zeros = F.udf(lambda: Vectors.sparse(len(terms), []), VectorUDT())
-    joined = rows.join(made.withColumnRenamed("features", "_features"), id_column, "left")
-    return joined.withColumn("features", F.coalesce("_features", zeros())).drop("_features"), terms
+    return rows.withColumn("features", weights(T.code_tokens(F.col(text)))), terms
 
 
 def statement_vectors(rows: DataFrame, config: Config) -> tuple[DataFrame, list[str]]:
@@ -109,13 +115,15 @@ def statement_vectors(rows: DataFrame, config: Config) -> tuple[DataFrame, list[
     rows, inputs, names = rows.withColumns(made), list(made), list(numeric)
     if categorical:
         # one sparse column, however many categories there are; the report names each
-        cells = D.one_hot(rows, "statement_id", categorical, rows.where("not is_test"))
         places = stored(D.numbered(D.one_hot(rows.where("not is_test"), "statement_id", categorical).select("feature").distinct(), "feature"))
         found = [r["feature"] for r in places.orderBy("i").collect()]
         size = max(1, len(found))
-        sparse = F.udf(lambda at: Vectors.sparse(size, [(i, 1.0) for i in sorted(at or [])]), VectorUDT())
-        per = cells.join(places, "feature").groupBy(F.col("statement_id").alias("_of")).agg(F.collect_list("i").alias("_at"))
-        rows = rows.join(per, F.col("statement_id") == F.col("_of"), "left").withColumn("_categories", sparse("_at")).drop("_of", "_at")
+        sparse = F.udf(lambda at: Vectors.sparse(size, [(i, 1.0) for i in sorted(at)]), VectorUDT())
+        for n, c in enumerate(categorical):
+            # few names: a broadcast
+            rows = rows.join(places.select(F.col("feature").alias(f"_of{n}"), F.col("i").alias(f"_at{n}")), D.category(c) == F.col(f"_of{n}"), "left").drop(f"_of{n}")
+        at = [f"_at{n}" for n in range(len(categorical))]
+        rows = rows.withColumn("_categories", sparse(F.array_compact(F.array(*at)))).drop(*at)
         inputs, names = [*inputs, "_categories"], names + (found or ["none"])
     if config.statement_terms:
         rows, terms = term_vectors(rows, "statement_id", "raw_text", config.statement_terms)

@@ -118,10 +118,15 @@ def check_columns(df: DataFrame, wanted: list[str]) -> None:
         raise ValueError(f"missing feature columns: {missing}")
 
 
+def category(c: str) -> F.Column:
+    """column=category of a row; null counts as none."""
+    return F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("none")))
+
+
 def one_hot(df: DataFrame, id_column: str, columns: list[str], train: DataFrame | None = None) -> DataFrame:
     """(id, feature, value) with feature column=category for the categories seen in train; others give no row."""
     def long(x: DataFrame) -> DataFrame:
-        pairs = F.array(*[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("none"))) for c in columns])
+        pairs = F.array(*[category(c) for c in columns])
         return x.select(id_column, F.explode(pairs).alias("feature"))
 
     rows = long(df)
@@ -150,22 +155,39 @@ def standard_scale(df: DataFrame, columns: list[str], train: DataFrame | None =
     )
 
 
+def runs(tokens: F.Column, most: int = 2) -> F.Column:
+    """array<string>: the tokens and runs of up to most of them, joined by a space."""
+    def of(n: int) -> F.Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1)))
+        return F.when(F.size(tokens) >= n, F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[of(n) for n in range(1, most + 1)])
+
+
 def ngrams(df: DataFrame, id_column: str, text: str, most: int = 2) -> DataFrame:
     """(id, term, tf) of the code tokens and runs of up to most of them, joined by a space."""
     tokens = df.select(id_column, T.code_tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
+    return tokens.select(id_column, F.explode(runs(F.col("t"), most)).alias("term")).groupBy(id_column, "term").agg(F.count("*").alias("tf"))
 
-    def runs(n: int) -> F.Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size("t") - (n - 1), F.lit(1)))
-        return F.when(F.size("t") >= n, F.transform(starts, lambda i: F.array_join(F.slice("t", i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    every = F.concat(*[runs(n) for n in range(1, most + 1)])
-    return tokens.select(id_column, F.explode(every).alias("term")).groupBy(id_column, "term").agg(F.count("*").alias("tf"))
+def term_counts(df: DataFrame, text: str, most: int = 2) -> DataFrame:
+    """(term, tf, df) of ngrams() where each row is a document: added up on the map side, so only a row a term and task is shuffled."""
+    # a column each, so that lambdas don't work out tokens anew
+    terms = df.select(T.code_tokens(F.col(text)).alias("t")).where(F.size("t") > 0).select(runs(F.col("t"), most).alias("t"))
+    every = F.transform("t", lambda x: F.struct(x.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
+    distinct = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
+    return terms.select(F.inline(F.concat(every, distinct))).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
+def most_frequent(per: DataFrame, size: int | None = None, min_df: int = 1) -> DataFrame:
+    """The size most frequent of (term, tf, df), ties by name."""
+    per = per.where(F.col("df") >= min_df)
+    return per if size is None else per.orderBy(F.desc("tf"), "term").limit(size)
 
 
 def vocabulary(counts: DataFrame, id_column: str, size: int | None = None, min_df: int = 1) -> DataFrame:
     """(term, tf, df): the size most frequent terms, ties by name."""
-    per = counts.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")).where(F.col("df") >= min_df)
-    return per if size is None else per.orderBy(F.desc("tf"), "term").limit(size)
+    return most_frequent(counts.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")), size, min_df)
 
 
 def tfidf(counts: DataFrame, terms: DataFrame, n_docs: int, id_column: str) -> DataFrame:
