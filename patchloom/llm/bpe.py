@@ -55,8 +55,8 @@ class Vocabulary:
         self.names = {t: str(i) for t, i in self.ids.items()}
         #: the merge that makes a token: its rank and its two parts
         self.made = {a + b: (i, a, b) for (a, b), i in self.ranks.items()}
-        #: every ending of every token: a suffix scan stops where none goes on
-        self.endings = {t[i:] for t in self.ids for i in range(len(t))}
+        #: every ending of every token, and whether it is one itself: a suffix scan stops where none goes on
+        self.endings = dict.fromkeys((t[i:] for t in self.ids for i in range(1, len(t))), False) | dict.fromkeys(self.ids, True)
         self.letters = byte_letters()
         self.apart: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, tuple[str, str]] = {}
@@ -99,14 +99,14 @@ class Vocabulary:
 
     def last_token(self, text: str, last: list[str], end: str) -> str:
         """The last token of text's encoding, given those of its shorter prefixes."""
-        ids, endings, found = self.ids, self.endings, []
-        token, start = end, len(text)
-        while start:
-            start -= 1
-            token = text[start] + token
-            if token in ids:
+        endings, found = self.endings.get, []
+        token = end
+        for letter in reversed(text):
+            token = letter + token
+            whole = endings(token)
+            if whole:
                 found.append(token)
-            elif token not in endings:
+            elif whole is None:
                 break
         size = len(text) + len(end)
         while found:
@@ -116,41 +116,31 @@ class Vocabulary:
         raise ValueError(f"no token ends {text!r}")
 
     def encode(self, words: list[str]) -> dict[str, list[str]]:
-        """The tokens of distinct words, in byte letters."""
-        trie: dict = {}
-        for word in words:
-            node = trie
-            for letter in word:
-                child = node.get(letter)
-                if child is None:
-                    child = node[letter] = {}
-                node = child
-            node[END] = word
+        """The tokens of distinct words, in byte letters.
+
+        Sorted words are their trie depth first: what a word shares with the one before it is on the path already.
+        """
         found: dict[str, list[str]] = {}
-        last_token = self.last_token
-        # depth first; last[i] is the last token of the path's first i letters
-        last, stack = [""], [(trie, "")]
-        while stack:
-            node, prefix = stack.pop()
-            size = len(prefix)
-            if size:
-                del last[size:]
-                if END in node:
-                    tokens, at, token = [], size, last_token(prefix, last, END)
-                    tokens.append(token)
-                    at -= len(token) - len(END)
-                    while at:
-                        token = last[at]
-                        tokens.append(token)
-                        at -= len(token)
-                    tokens.reverse()
-                    found[prefix] = tokens
-                    if len(node) == 1:
-                        continue
-                last.append(last_token(prefix, last, ""))
-            for letter, child in node.items():
-                if letter != END:
-                    stack.append((child, prefix + letter))
+        last_token, end = self.last_token, len(END)
+        # last[i] is the last token of the path's first i letters; a whole word's own is left to a word that goes on from it
+        last, before = [""], ""
+        for word in sorted(words):
+            shared = 0
+            for a, b in zip(before, word):
+                if a != b:
+                    break
+                shared += 1
+            del last[shared + 1 :]
+            for size in range(len(last), len(word)):
+                last.append(last_token(word[:size], last, ""))
+            token = last_token(word, last, END)
+            tokens, at = [token], len(word) - len(token) + end
+            while at:
+                token = last[at]
+                tokens.append(token)
+                at -= len(token)
+            tokens.reverse()
+            found[word], before = tokens, word
         return found
 
     def learn(self, chunks: set[str]) -> None:
@@ -227,7 +217,7 @@ def decode(ids: list[int], path: str) -> str:
 
 
 #: Texts are worked on in groups of about so many characters, so that a batch of very long ones stays small.
-GROUP = 1 << 19
+GROUP = 1 << 21
 
 
 def encode(docs: DataFrame, path: str, add: tuple[str, ...] = ()) -> DataFrame:
