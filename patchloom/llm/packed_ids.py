@@ -48,7 +48,7 @@ CACHE_BYTES = 48 << 20
 #: What a remembered piece takes besides its characters and ids.
 ENTRY_BYTES = 200
 #: Texts are worked on in groups of about so many characters.
-GROUP = 1 << 19
+GROUP = 1 << 21
 #: A piece is what stands between white space, which the vocabulary's own pattern drops as well; four control characters divide pieces for Python alone.
 PIECES = re.compile(r"[^\x20\x09-\x0D]+").findall
 ODD = re.compile(r"[\x1C-\x1F]").search
@@ -117,7 +117,9 @@ class Pieces:
 
     def learn(self, new: set[str]) -> dict[str, bytes]:
         found, rest = {}, []
-        marks, word = self.marks, self.word
+        marks, word, known, older = self.marks, self.word, self.known, self.older
+        # lower-case words without marks, which are pieces themselves
+        words: dict[str, bytes] = {}
         for x in new:
             plain = PLAIN(x)
             if plain is None:
@@ -128,7 +130,11 @@ class Pieces:
                 if len(marks) > MARKS:
                     marks.clear()
                 marks[mark] = word(mark) if mark else b""
-            found[x] = word(own.lower()) + marks[mark]
+            own = own.lower()
+            ids = words.get(own) or known.get(own) or older.get(own)
+            if ids is None:
+                ids = words[own] = word(own)
+            found[x] = ids + marks[mark] if mark else ids
         if rest:
             encoded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
             found.update((x, array("I", e.ids).tobytes()) for x, e in zip(rest, encoded))
