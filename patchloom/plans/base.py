@@ -36,11 +36,21 @@ def r6(x: F.Column) -> F.Column:
     return F.round(x, 6)
 
 
+#: Line items of a task that joins them with orders.
+DEALT = 1 << 19
+
+
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as scored statements of methods (orders) in groups (customers)."""
+    """Line items as scored statements of methods (orders) in groups (customers).
+
+    Both tables are dealt by method over tasks of about DEALT line items, however many there are in
+    all, and what is grouped by method needs no other shuffle. The join is a merge: keys take so
+    little room in files that orders would be broadcast with millions of rows, whole to every task.
+    """
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_discount", "l_returnflag", "l_quantity", "l_extendedprice", "l_tax")
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    joined = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-items.count() // DEALT))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").hint("merge")
+    joined = items.repartition(n, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(
         F.col("l_orderkey").alias("method_id"), F.col("l_linenumber").alias("line"), F.col("o_custkey").alias("group_id"), F.col("l_linestatus").alias("model"),
         (F.col("o_orderkey") % 5).cast("int").alias("fold"), F.col("o_orderpriority").alias("approach"), F.round(F.col("l_discount") * 10, 6).alias("y_score"),
