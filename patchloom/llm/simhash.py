@@ -79,7 +79,8 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """(a, b) links between distinct fingerprints, column fp, that connect all that differ in 3 bits or fewer.
 
     Every linked pair is within 3 bits. Up to hot fingerprints a key, all pairs within reach are
-    returned; beyond, enough of them to give the same connected components.
+    returned; beyond, enough of them to give the same connected components. Exploded sides are met
+    in merge joins: they are sized by their rows before that, and would be broadcast.
     """
     turned = distinct.select("fp", F.explode(F.array(*[F.lit(s) for s in range(4)])).alias("s"))
     turned = turned.select("s", _turned(F.col("fp"), F.col("s")).alias("r"))
@@ -94,7 +95,7 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     few_exact, few_flipped = (x.join(crowded, "key", "left_anti") for x in (exact, flipped)) if some else (exact, flipped)
     apart = F.col("a.r").bitwiseXOR(F.col("b.r"))
     near = (F.bit_count(F.shiftrightunsigned(apart, 16)) <= 2) & (F.bit_count(apart) <= 3)
-    found = few_exact.alias("a").join(few_flipped.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.r") < F.col("b.r")) & near)
+    found = few_exact.alias("a").hint("merge").join(few_flipped.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.r") < F.col("b.r")) & near)
     found = found.select(F.shiftrightunsigned("a.key", 32).alias("s"), F.col("a.r").alias("a"), F.col("b.r").alias("b"))
     if some:
         found = found.union(_by_neighbours(exact.join(crowded, "key", "left_semi"), flipped.join(crowded, "key", "left_semi")))
@@ -119,7 +120,7 @@ def _by_neighbours(exact: DataFrame, flipped: DataFrame) -> DataFrame:
     rows = around(flipped.where("flip = 0"), 1, 3, True).union(around(exact, 2, 3, False))
     rows = rows.union(around(flipped.where("flip <> 0"), 1, 2, True)).union(around(exact, 1, 2, False))
     least = rows.groupBy("key", "kind", "value").agg(F.min(F.expr("if(left, r, null)")).alias("l"), F.min(F.expr("if(left, null, r)")).alias("o"))
-    linked = rows.join(least.where("l is not null and o is not null"), ["key", "kind", "value"])
+    linked = rows.hint("merge").join(least.where("l is not null and o is not null"), ["key", "kind", "value"])
     other = F.when(F.col("left"), F.col("o")).otherwise(F.col("l"))
     return linked.select(F.shiftrightunsigned("key", 32).alias("s"), F.least("r", other).alias("a"), F.greatest("r", other).alias("b")).where("a <> b").distinct()
 
