@@ -161,8 +161,11 @@ DIRECTIONS = ("-> vulnerable", "-> aman")
 
 
 def top_contributions(contributions: DataFrame, k: int) -> DataFrame:
-    """Each sample's k greatest contributions by size, zeros left out, with their direction."""
-    order = Window.partitionBy("sample_id").orderBy(F.desc(F.abs("value")), "feature")
+    """Each sample's k greatest contributions by size, zeros left out, with their direction.
+
+    Of opposite values of one feature, which samples that repeat may have, the positive one stands first.
+    """
+    order = Window.partitionBy("sample_id").orderBy(F.desc(F.abs("value")), "feature", F.desc("value"))
     out = contributions.where("value <> 0").withColumn("contribution_rank", F.row_number().over(order)).where(F.col("contribution_rank") <= k)
     return out.withColumn("direction", F.when(F.col("value") > 0, DIRECTIONS[0]).otherwise(DIRECTIONS[1]))
 

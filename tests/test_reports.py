@@ -14,3 +14,12 @@ def test_reports_write_parts_and_cut_no_sheet(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "SHEET_ROWS", 99, raising=False)
     with pytest.raises(ValueError, match="summary"):
         tables.write_report({"summary": every}, str(tmp_path), ("xlsx",))
+
+
+def test_opposite_contributions_of_a_repeated_sample_have_one_order(spark):
+    from patchloom.operators import metrics as M
+
+    rows = [("a", "tax", -0.06), ("a", "tax", 0.06), ("a", "age", 0.01)]
+    for part in (rows, rows[::-1]):
+        got = M.top_contributions(spark.createDataFrame(part, "sample_id string, feature string, value double").coalesce(1), 2).collect()
+        assert [(r["value"], r["contribution_rank"], r["direction"]) for r in got] == [(0.06, 1, "-> vulnerable"), (-0.06, 2, "-> aman")]
