@@ -10,9 +10,9 @@ from functools import reduce
 from itertools import chain
 from typing import Any
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import Vector, Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +26,9 @@ from patchloom.sources.tables import stored
 # Titles of the comparison's columns by approach and evaluation level, and of the difference of the first two.
 TITLES = {("raw", "method"): "raw | method", ("split", "method"): "split | method (agregasi statement)", ("split", "statement"): "split | statement"}
 DELTA = "selisih (split - raw) @method"
+READ = ("cve_id", "vulnerability_type", "origin", "statement_id", "statement_type", "function_name", "language", "raw_text", "label")
+#: Texts' weights that a worker remembers.
+REMEMBERED = 1 << 16
 EXPLAINED = ("native_importance", "shap_mean_abs", "shap_mean", "shap_value_corr", "permutation_mean", "permutation_std")
 
 
@@ -55,6 +58,10 @@ class Config:
     scoring: str = "average_precision"
     permuted: int = 100
 
+    def columns(self) -> list[str]:
+        """Columns of the statement table that compare() reads."""
+        return list(dict.fromkeys([*READ, *self.numeric, *self.categorical]))
+
     @classmethod
     def of(cls, found: dict[str, Any], **over: Any) -> Config:
         """From settings as config.load() gives them; over's values, where not None, come first."""
@@ -96,13 +103,21 @@ def term_vectors(rows: DataFrame, id_column: str, text: str, size: int, min_df:
     n_docs, terms = train.count(), [r["term"] for r in found]
     idf = {r["term"]: (i, math.log((1 + n_docs) / (1 + r["df"])) + 1) for i, r in enumerate(found)}
 
+    inside = {part for t in terms for at in (0, *(i for i, c in enumerate(t) if c == " ")) for part in (t[:at], t[at + bool(at) :])}
+    known: dict[tuple, Vector] = {}
+
     @F.udf(VectorUDT())
     def weights(tokens):
-        tokens = tokens or []
-        counts = Counter(t for t in chain(tokens, map(" ".join, zip(tokens, tokens[1:]))) if t in idf)
-        cells = sorted((idf[t][0], (1 + math.log(n)) * idf[t][1]) for t, n in counts.items())
-        norm = math.sqrt(sum(w * w for _, w in cells))
-        return Vectors.sparse(len(idf), [i for i, _ in cells], [w / norm for _, w in cells])
+        # texts that differ in tokens of no term have the same weights
+        tokens = tuple(t if t in inside else None for t in tokens or ())
+        if tokens not in known:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            counts = Counter(t for t in chain(tokens, (f"{a} {b}" for a, b in zip(tokens, tokens[1:]) if a is not None and b is not None)) if t in idf)
+            cells = sorted((idf[t][0], (1 + math.log(n)) * idf[t][1]) for t, n in counts.items())
+            norm = math.sqrt(sum(w * w for _, w in cells))
+            known[tokens] = Vectors.sparse(len(idf), [i for i, _ in cells], [w / norm for _, w in cells])
+        return known[tokens]
 
     return rows.withColumn("features", weights(T.code_tokens(F.col(text)))), terms
 
@@ -114,17 +129,20 @@ def statement_vectors(rows: DataFrame, config: Config) -> tuple[DataFrame, list[
     made: dict[str, Column] = {f"_f{i}": T.to_number(F.col(c)) for i, c in enumerate(numeric)}
     rows, inputs, names = rows.withColumns(made), list(made), list(numeric)
     if categorical:
-        # one sparse column, however many categories there are; the report names each
+        # a sparse column for each, however many categories there are; the report names each
         places = stored(D.numbered(D.one_hot(rows.where("not is_test"), "statement_id", categorical).select("feature").distinct(), "feature"))
         found = [r["feature"] for r in places.orderBy("i").collect()]
-        size = max(1, len(found))
-        sparse = F.udf(lambda at: Vectors.sparse(size, [(i, 1.0) for i in sorted(at)]), VectorUDT())
-        for n, c in enumerate(categorical):
-            # few names: a broadcast
-            rows = rows.join(places.select(F.col("feature").alias(f"_of{n}"), F.col("i").alias(f"_at{n}")), D.category(c) == F.col(f"_of{n}"), "left").drop(f"_of{n}")
-        at = [f"_at{n}" for n in range(len(categorical))]
-        rows = rows.withColumn("_categories", sparse(F.array_compact(F.array(*at)))).drop(*at)
-        inputs, names = [*inputs, "_categories"], names + (found or ["none"])
+        own = {c: [i for i, f in enumerate(found) if f.startswith(f"{c}=")] for c in sorted(set(categorical), key=lambda c: f"{c}=")}
+        for n, (c, at) in enumerate(own.items()):
+            # few names: a broadcast; what training has not seen is beyond the last, which the encoder gives no cell
+            here = F.col("i") - F.lit(min(at, default=0))
+            rows = rows.join(places.select(F.col("feature").alias(f"_of{n}"), here.cast("double").alias(f"_at{n}")), D.category(c) == F.col(f"_of{n}"), "left").drop(f"_of{n}")
+            rows = rows.withColumn(f"_at{n}", F.coalesce(f"_at{n}", F.lit(float(max(1, len(at))))))
+        before, after = [f"_at{n}" for n in range(len(own))], [f"_c{n}" for n in range(len(own))]
+        # the encoder learns how many categories there are from the last one's place
+        last = rows.sparkSession.createDataFrame([tuple(float(max(1, len(at)) - 1) for at in own.values())], before)
+        rows = OneHotEncoder(inputCols=before, outputCols=after, handleInvalid="keep").fit(last).transform(rows).drop(*before)
+        inputs, names = [*inputs, *after], names + [x for c, at in own.items() for x in ([found[i] for i in at] or [f"{c}=none"])]
     if config.statement_terms:
         rows, terms = term_vectors(rows, "statement_id", "raw_text", config.statement_terms)
         rows, inputs, names = rows.withColumnRenamed("features", "_terms"), [*inputs, "_terms"], [*names, *[f"term={t}" for t in terms]]

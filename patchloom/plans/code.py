@@ -234,5 +234,5 @@ def classify_end_to_end(spark, sf_dir):
     """Both approaches with a small tree over the generated pairs: metrics by fold, approach and model."""
     source = code_pairs(spark, sf_dir).withColumn("cve_id", F.lit(None).cast("string")).withColumn("vulnerability_type", F.lit("CWE")).withColumn("method", F.col("row_index").cast("string"))
     config = classify.Config(models=[{"name": "decision_tree", "params": {"maxDepth": 3}}], importance=False)
-    out = classify.compare(source, X.features(source), config)["metrics"]
+    out = classify.compare(source, X.features(source, config.columns()), config)["metrics"]
     return out.select("fold", "approach", "eval_level", "model", "n_test", "n_test_pos", *[F.round(c, 6).alias(c) for c in M.METRICS])

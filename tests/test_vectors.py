@@ -34,3 +34,16 @@ def test_categories_are_those_seen_in_training(spark):
     made, names = classify.statement_vectors(rows, classify.Config(numeric=("n",), categorical=("kind", "block")))
     assert names == ["n", "block=x", "block=y", "kind=a", "kind=none"]
     assert {r["statement_id"]: list(r["features"].toArray()) for r in made.collect()} == {"s1": [1, 1, 0, 1, 0], "s2": [1, 0, 1, 0, 1], "s3": [1, 1, 0, 0, 0]}
+
+
+def test_categories_take_no_python_a_row(spark):
+    rows = spark.createDataFrame([("s1", "a", "x", False), ("s2", "b", "y", False)], "statement_id string, kind string, block string, is_test boolean").withColumn("n", F.lit(1))
+    made, _ = classify.statement_vectors(rows, classify.Config(numeric=("n",), categorical=("kind", "block")))
+    assert "EvalPython" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_that_differ_outside_of_terms_have_the_same_weights(spark):
+    rows = spark.createDataFrame([(1, "k1 = b b", False), (2, "k2 = b b", False), (3, "b k3 b =", False)], "id int, code string, is_test boolean")
+    made, terms = classify.term_vectors(rows, "id", "code", 3)
+    found = {r["id"]: dict(zip((terms[i] for i in r["features"].indices), r["features"].values)) for r in made.collect()}
+    assert terms == ["=", "= b", "b"] and found[1] == found[2] and set(found[3]) == {"b", "="}
